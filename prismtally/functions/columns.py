@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prismtally.functions.parsing import parse_datetime, parse_number
+from prismtally.functions.rounding import nearest
 
 DATETIME_TYPES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
@@ -118,4 +119,5 @@ def present(df: DataFrame, name: str) -> Column:
 
 def ratio_pct(numerator: Column, denominator: Column) -> Column:
     """Percentage with two decimals, 0 when the denominator is 0."""
-    return F.round(F.coalesce(F.try_divide(numerator.cast("double") * 100, denominator.cast("double")), F.lit(0.0)), 2)
+    share = F.try_divide(numerator.cast("double"), denominator.cast("double"))
+    return nearest(F.coalesce(share * 100, F.lit(0.0)), 2)

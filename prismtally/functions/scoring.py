@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prismtally.functions.rounding import nearest
+
 FINDING_FIELDS = (
     "kind", "title", "detail", "score", "stat", "chart_type", "chart_columns",
     "sample_size", "effect_size", "p_value",
@@ -23,7 +25,7 @@ def confidence(sample: Column, effect: Column, p_value: Column, stability: Colum
     stable_points = F.least(F.greatest(stability, F.lit(0.0)), F.lit(1.0)) * 20
     has_p = p_value.isNotNull() & ~F.isnan(p_value)
     signal = F.when(has_p, p_points).when(stability.isNotNull(), stable_points).otherwise(F.lit(0.0))
-    return F.round(F.least(F.lit(99.0), sample_points + effect_points + signal), 1)
+    return nearest(F.least(F.lit(99.0), sample_points + effect_points + signal), 1)
 
 
 def confidence_label(score: Column) -> Column:
@@ -31,7 +33,7 @@ def confidence_label(score: Column) -> Column:
 
 
 def priority(score: Column, confidence_: Column) -> Column:
-    return F.round(F.log1p(F.abs(score)) * F.greatest(confidence_ / 20, F.lit(1.0)), 3)
+    return nearest(F.log1p(F.abs(score)) * F.greatest(confidence_ / 20, F.lit(1.0)), 3)
 
 
 def enrich(findings: DataFrame) -> DataFrame:
@@ -48,8 +50,8 @@ def enrich(findings: DataFrame) -> DataFrame:
         "chart_type",
         "chart_columns",
         F.col("sample_size").cast("long").alias("sample_size"),
-        F.round("effect", 4).alias("effect_size"),
-        F.when(~F.isnan("p"), F.round("p", 6)).alias("p_value"),
+        nearest(F.col("effect").cast("double"), 4).alias("effect_size"),
+        F.when(~F.isnan("p"), nearest(F.col("p"), 6)).alias("p_value"),
         "confidence_score",
         confidence_label(F.col("confidence_score")).alias("confidence_label"),
         priority(F.col("score"), F.col("confidence_score")).alias("priority_score"),

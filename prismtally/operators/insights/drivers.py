@@ -18,6 +18,7 @@ from prismtally.operators.insights.common import few_valued, findings, fixed, no
 DRIVER_VALUES, DRIVER_DIMENSIONS, DRIVER_PEERS, DRIVER_TARGETS = 15, 4, 3, 2
 DRIVER_ROWS, DRIVER_TARGET_VALUES = 30, 8
 TREES, LEAF, SEED = 180, 3, 42
+SPREAD_ROWS = 5_000_000
 LEAST_R2, LEAST_IMPORTANCE, KEPT = 0.2, 0.18, 1
 
 
@@ -55,6 +56,9 @@ def driver_model(
         *[F.coalesce(as_text(df, d), F.lit(modes[i])).alias(f"d{i}") for i, d in enumerate(dimensions)],
         *[F.coalesce(number(df, p), F.lit(medians[p][0])).alias(f"p{i}") for i, p in enumerate(peers)],
     )
+    if n <= SPREAD_ROWS:
+        # A small table may sit in one file split; a large one already has partitions enough.
+        table = table.repartition(df.sparkSession.sparkContext.defaultParallelism)
     stages, inputs = [], []
     for i in range(len(dimensions)):
         stages.append(StringIndexer(inputCol=f"d{i}", outputCol=f"i{i}", handleInvalid="keep", stringOrderType="frequencyDesc"))
@@ -65,7 +69,7 @@ def driver_model(
     stages.append(
         RandomForestRegressor(
             featuresCol="features", labelCol="label", numTrees=trees, minInstancesPerNode=LEAF, seed=SEED,
-            featureSubsetStrategy="all", maxDepth=8,
+            featureSubsetStrategy="all", maxDepth=8, maxMemoryInMB=1024,
         )
     )
     model = Pipeline(stages=stages).fit(table)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from prismtally.functions.columns import as_text
 from prismtally.functions.frequencies import distinct_counts, long_form, value_counts
 from prismtally.functions.parsing import strip
+from prismtally.functions.rounding import nearest
 
 # Name hints, weights and thresholds of the key and relationship scores.
 KEY_NAME_HINTS = ("id", "key", "code", "number", "no")
@@ -52,9 +53,9 @@ def key_candidates(df: DataFrame, limit: int = KEYS_PER_DATASET, approximate: bo
     return (
         scored.select(
             "column",
-            F.round("u", 3).alias("unique_ratio"),
-            F.round("p", 3).alias("non_null_ratio"),
-            F.round(score, 3).alias("score"),
+            nearest(F.col("u"), 3).alias("unique_ratio"),
+            nearest(F.col("p"), 3).alias("non_null_ratio"),
+            nearest(score, 3).alias("score"),
             F.when(F.col("u") >= PRIMARY_UNIQUE, "primary_key").otherwise("foreign_key_candidate").alias("role_hint"),
             F.col("unique").alias("unique_count"),
         )
@@ -170,9 +171,9 @@ def suggest_relationships(
             "left_column",
             "right_dataset",
             "right_column",
-            F.round(confidence, 3).alias("confidence"),
-            F.round(overlap, 3).alias("overlap_score"),
-            F.round("similarity", 3).alias("name_similarity"),
+            nearest(confidence, 3).alias("confidence"),
+            nearest(overlap, 3).alias("overlap_score"),
+            nearest(F.col("similarity"), 3).alias("name_similarity"),
             "recommended_join",
         )
         .orderBy(F.desc("confidence"), "left_dataset", "left_column", "right_dataset", "right_column")

@@ -18,6 +18,7 @@ from prismtally.functions.columns import is_profiled_as_number, kind_of, moment,
 from prismtally.functions.frequencies import digests, distinct_counts, value_counts
 from prismtally.functions.ordinals import gap_counts
 from prismtally.functions.quantiles import quantiles
+from prismtally.functions.rounding import nearest
 
 # Substrings of column names (parts of words match on purpose).
 GEOGRAPHY = ("country", "state", "city", "region", "postal", "zip", "latitude", "longitude", "lat", "lon")
@@ -205,8 +206,8 @@ def classify(stats: DataFrame, grains: DataFrame | None = None) -> DataFrame:
         role.alias("semantic_role"),
         F.when(is_date, "date").when(is_number, family).otherwise(text_subtype).alias("subtype"),
         family.alias("metric_family"),
-        F.round(uniqueness, 4).alias("uniqueness_ratio"),
-        F.round(1 - F.col("non_null_count") / rows, 4).alias("null_ratio"),
+        nearest(uniqueness, 4).alias("uniqueness_ratio"),
+        nearest(1 - F.col("non_null_count") / rows, 4).alias("null_ratio"),
         cardinality_band(unique, rows).alias("cardinality_band"),
         hierarchy_hint(name).alias("hierarchy"),
     )
@@ -281,6 +282,9 @@ def classify(stats: DataFrame, grains: DataFrame | None = None) -> DataFrame:
     )
 
 
+_TYPES = {"string": T.StringType(), "boolean": T.BooleanType(), "int": T.IntegerType()}
+
+
 def apply_overrides(profiles: DataFrame, overrides: Mapping[str, Mapping] | None) -> DataFrame:
     """M7: manual values win over inferred ones; unknown fields and empty values are ignored."""
     rows = []
@@ -291,7 +295,7 @@ def apply_overrides(profiles: DataFrame, overrides: Mapping[str, Mapping] | None
         return profiles
     schema = T.StructType([T.StructField("name", T.StringType())])
     for f, dtype in OVERRIDABLE.items():
-        schema = schema.add(f"o_{f}", dtype)
+        schema = schema.add(f"o_{f}", _TYPES[dtype])
     manual = profiles.sparkSession.createDataFrame(rows, schema).withColumn("o_manual", F.lit(True))
     joined = profiles.join(F.broadcast(manual), "name", "left")
     is_manual = F.col("o_manual").isNotNull()

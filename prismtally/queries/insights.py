@@ -95,7 +95,7 @@ _CONCENTRATION = """
              UNION ALL SELECT 'big', CASE WHEN l_quantity > 5 THEN 'big' ELSE 'small' END, count(*) FROM lineitem GROUP BY ALL),
   s AS (SELECT name, count(*) AS k, sum(n) AS t, max(n) AS top, arg_min(v, (-n, v)) AS label FROM c GROUP BY name)
   SELECT s.name, CAST(k AS BIGINT) AS categories, CAST(t AS BIGINT) AS n, label, CAST(top AS BIGINT) AS top,
-         round(top * 100.0 / t, 2) AS dominance, -sum(c.n / t * ln(c.n / t)) AS entropy
+         CAST(printf('%.2f', CAST(top / t * 100 AS DOUBLE)) AS DOUBLE) AS dominance, -sum(c.n / t * ln(c.n / t)) AS entropy
   FROM s JOIN c ON c.name = s.name GROUP BY ALL"""
 
 
@@ -293,8 +293,8 @@ def i8(spark, sf):
 
 # --- I9-I12 -------------------------------------------------------------------------------------
 
-_MONTHS = """(SELECT date_trunc('month', o_orderdate) AS m, month(o_orderdate) AS moy, sum(o_totalprice) AS t, count(*) AS n,
-                     row_number() OVER (ORDER BY date_trunc('month', o_orderdate)) - 1 AS x FROM orders GROUP BY ALL)"""
+_MONTHS = """(SELECT m, month(m) AS moy, t, n, row_number() OVER (ORDER BY m) - 1 AS x FROM
+                (SELECT date_trunc('month', o_orderdate) AS m, sum(o_totalprice) AS t, count(*) AS n FROM orders GROUP BY 1))"""
 
 
 @query(
@@ -494,7 +494,7 @@ def i15(spark, sf):
 @query(
     "I16_scores",
     f"""SELECT event_id, c AS confidence_score, CASE WHEN c >= 80 THEN 'high' WHEN c >= 60 THEN 'medium' ELSE 'low' END AS confidence_label,
-               round(ln(1 + value) * greatest(c / 20, 1.0), 3) AS priority_score
+               CAST(printf('%.3f', ln(1 + value) * greatest(c / 20, 1.0)) AS DOUBLE) AS priority_score
         FROM (SELECT event_id, value, {confidence_sql('event_id % 100', 'value / 25', "CASE WHEN event_id % 2 = 0 THEN (event_id % 30) / 100.0 END", "CASE WHEN event_id % 3 <> 0 THEN (event_id % 13) / 10.0 END")} AS c FROM events)""",
 )
 def i16(spark, sf):

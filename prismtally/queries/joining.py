@@ -90,8 +90,8 @@ def _key_sql(table_name: str, columns: list[str]) -> str:
     return f"""
       WITH s AS ({rows}), q AS (SELECT "column", u, u / greatest(p, 1) AS ur, p / greatest(n, 1) AS pr,
                                        CASE WHEN {hint} THEN 0.2 ELSE 0.0 END AS b FROM s)
-      SELECT "column", round(ur, 3) AS unique_ratio, round(pr, 3) AS non_null_ratio,
-             round(least(1.0, ur * 0.65 + pr * 0.25 + b), 3) AS score,
+      SELECT "column", CAST(printf('%.3f', CAST(ur AS DOUBLE)) AS DOUBLE) AS unique_ratio, CAST(printf('%.3f', CAST(pr AS DOUBLE)) AS DOUBLE) AS non_null_ratio,
+             CAST(printf('%.3f', CAST(least(1.0, ur * 0.65 + pr * 0.25 + b) AS DOUBLE)) AS DOUBLE) AS score,
              CASE WHEN ur >= 0.95 THEN 'primary_key' ELSE 'foreign_key_candidate' END AS role_hint,
              CAST(u AS BIGINT) AS unique_count
       FROM q WHERE pr >= 0.7 AND ur >= 0.55 ORDER BY score DESC, "column" LIMIT 8"""
@@ -153,7 +153,7 @@ def _j6_sql() -> str:
     hint = " OR ".join(f"contains(c, '{h}')" for h in ("id", "key", "code", "number", "no"))
     return f"""
       WITH vals AS ({values}), stats AS ({stats}),
-      keyed AS (SELECT id, d, c, n, round(least(1.0, ur * 0.65 + pr * 0.25 + CASE WHEN {hint} THEN 0.2 ELSE 0 END), 3) AS s FROM stats),
+      keyed AS (SELECT id, d, c, n, CAST(printf('%.3f', CAST(least(1.0, ur * 0.65 + pr * 0.25 + CASE WHEN {hint} THEN 0.2 ELSE 0 END) AS DOUBLE)) AS DOUBLE) AS s FROM stats),
       sizes AS (SELECT id, count(*) AS k FROM vals GROUP BY id),
       shared AS (SELECT x.id AS i, y.id AS j, count(*) AS k FROM vals x JOIN vals y ON x.v = y.v AND x.id < y.id GROUP BY ALL),
       names(i, j, sim) AS (SELECT i, j, CAST(s AS DOUBLE) FROM (VALUES {names}) v(i, j, s)),
@@ -164,8 +164,8 @@ def _j6_sql() -> str:
                  JOIN sizes sa ON sa.id = names.i JOIN sizes sb ON sb.id = names.j
                  LEFT JOIN shared ON shared.i = names.i AND shared.j = names.j)
       SELECT left_dataset, left_column, right_dataset, right_column,
-             round(ov * 0.7 + sim * 0.2 + ks * 0.1, 3) AS confidence, round(ov, 3) AS overlap_score,
-             round(sim, 3) AS name_similarity, recommended_join
+             CAST(printf('%.3f', CAST(ov * 0.7 + sim * 0.2 + ks * 0.1 AS DOUBLE)) AS DOUBLE) AS confidence, CAST(printf('%.3f', CAST(ov AS DOUBLE)) AS DOUBLE) AS overlap_score,
+             CAST(printf('%.3f', CAST(sim AS DOUBLE)) AS DOUBLE) AS name_similarity, recommended_join
       FROM scored WHERE ov * 0.7 + sim * 0.2 + ks * 0.1 >= 0.35
       ORDER BY confidence DESC, left_dataset, left_column, right_dataset, right_column LIMIT 12"""
 

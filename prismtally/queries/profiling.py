@@ -35,8 +35,8 @@ _GAPPY = """(SELECT event_type, CASE WHEN event_id % 3 <> 0 THEN CAST(floor(valu
              s AS (SELECT count(*) AS n, count(event_type) + count(level) + count(bucket) AS filled FROM e)
         SELECT CAST(n AS BIGINT) AS rows, CAST(3 AS BIGINT) AS columns, CAST(2 AS BIGINT) AS numeric_columns,
                CAST(1 AS BIGINT) AS categorical_columns, CAST(0 AS BIGINT) AS datetime_columns,
-               round(100 - round((n * 3 - filled) * 100.0 / (n * 3), 2), 2) AS completeness_pct,
-               CAST(n - k AS BIGINT) AS duplicate_rows, round((n - k) * 100.0 / n, 2) AS duplicate_pct FROM s, d""",
+               round(100 - CAST(printf('%.2f', CAST((n * 3 - filled) / (n * 3) * 100 AS DOUBLE)) AS DOUBLE), 2) AS completeness_pct,
+               CAST(n - k AS BIGINT) AS duplicate_rows, CAST(printf('%.2f', CAST((n - k) / n * 100 AS DOUBLE)) AS DOUBLE) AS duplicate_pct FROM s, d""",
 )
 def a1_gaps(spark, sf):
     return profile.overview(_gappy(spark, sf))
@@ -51,8 +51,8 @@ def _overview_sql(name: str, numeric: int, categorical: int, dates: int) -> str:
       SELECT CAST(n AS BIGINT) AS rows, CAST({len(columns)} AS BIGINT) AS columns,
              CAST({numeric} AS BIGINT) AS numeric_columns, CAST({categorical} AS BIGINT) AS categorical_columns,
              CAST({dates} AS BIGINT) AS datetime_columns,
-             round(100 - round((n * {len(columns)} - filled) * 100.0 / (n * {len(columns)}), 2), 2) AS completeness_pct,
-             CAST(n - k AS BIGINT) AS duplicate_rows, round((n - k) * 100.0 / n, 2) AS duplicate_pct FROM s, d"""
+             round(100 - CAST(printf('%.2f', CAST((n * {len(columns)} - filled) / (n * {len(columns)}) * 100 AS DOUBLE)) AS DOUBLE), 2) AS completeness_pct,
+             CAST(n - k AS BIGINT) AS duplicate_rows, CAST(printf('%.2f', CAST((n - k) / n * 100 AS DOUBLE)) AS DOUBLE) AS duplicate_pct FROM s, d"""
 
 
 @query("A1_overview_lineitem", _overview_sql("lineitem", 8, 2, 1))
@@ -69,7 +69,7 @@ def _info_sql(source: str, columns: list[tuple[str, str]]) -> str:
     return " UNION ALL ".join(
         f"SELECT '{c}' AS name, '{t}' AS dtype, CAST(count({c}) AS BIGINT) AS non_null_count, "
         f"CAST(count(*) - count({c}) AS BIGINT) AS missing_count, "
-        f"round((count(*) - count({c})) * 100.0 / count(*), 2) AS missing_pct, "
+        f"CAST(printf('%.2f', CAST((count(*) - count({c})) / count(*) * 100 AS DOUBLE)) AS DOUBLE) AS missing_pct, "
         f"CAST(count(DISTINCT {c}) AS BIGINT) AS unique_count FROM {source}"
         for c, t in columns
     )
@@ -108,10 +108,10 @@ def _numeric_sql(source: str, columns: list[str]) -> str:
                 round(stddev_samp({c}), 4) AS std, round(min({c}), 4) AS min, round(max({c}), 4) AS max,
                 round(quantile_cont({c}, 0.25), 4) AS q1, round(quantile_cont({c}, 0.75), 4) AS q3,
                 round(skewness({c}), 4) AS skewness, round(kurtosis({c}), 4) AS kurtosis,
-                round((SELECT count(*) FROM {source} AS s,
+                CAST(printf('%.2f', (SELECT count(*) FROM {source} AS s,
                          (SELECT quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b FROM {source}) AS q
                        WHERE q.b > q.a AND (s.{c} < q.a - 1.5 * (q.b - q.a) OR s.{c} > q.b + 1.5 * (q.b - q.a)))
-                      * 100.0 / count({c}), 2) AS outlier_pct FROM {source}"""
+                      / count({c}) * 100) AS DOUBLE) AS outlier_pct FROM {source}"""
         )
     return " UNION ALL ".join(parts)
 
@@ -154,7 +154,7 @@ def a5(spark, sf):
     """WITH c AS (SELECT 'o_orderstatus' AS name, o_orderstatus AS label, count(*) AS n FROM orders GROUP BY ALL
                   UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY ALL),
             r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, label) AS k, sum(n) OVER (PARTITION BY name) AS t FROM c)
-       SELECT name, CAST(k AS BIGINT) AS rank, label, CAST(n AS BIGINT) AS count, round(n * 100.0 / t, 2) AS pct FROM r WHERE k <= 3""",
+       SELECT name, CAST(k AS BIGINT) AS rank, label, CAST(n AS BIGINT) AS count, CAST(printf('%.2f', CAST(n / t * 100 AS DOUBLE)) AS DOUBLE) AS pct FROM r WHERE k <= 3""",
 )
 def a6(spark, sf):
     return profile.categorical_profile(table(spark, sf, "orders"))
@@ -166,12 +166,12 @@ def a6(spark, sf):
         n AS (SELECT count(*) AS n, (SELECT count(*) FROM (SELECT DISTINCT * FROM e)) AS k,
                      count(level) AS l, count(bucket) AS b FROM e),
         q AS (SELECT quantile_cont(spike, 0.25) AS lo, quantile_cont(spike, 0.75) AS hi, count(spike) AS c FROM e),
-        o AS (SELECT round((SELECT count(*) FROM e, q WHERE spike < lo - 1.5 * (hi - lo) OR spike > hi + 1.5 * (hi - lo)) * 100.0 / c, 2) AS pct FROM q),
+        o AS (SELECT CAST(printf('%.2f', CAST((SELECT count(*) FROM e, q WHERE spike < lo - 1.5 * (hi - lo) OR spike > hi + 1.5 * (hi - lo)) / c * 100 AS DOUBLE)) AS DOUBLE) AS pct FROM q),
         a AS (SELECT 1 AS p, 'warning' AS severity, 'Duplicate rows detected' AS title,
-                     (n - k) || ' rows (' || CAST(CAST(round((n - k) * 100.0 / n, 2) AS DOUBLE) AS VARCHAR) || '%) are exact duplicates and may distort aggregates.' AS detail FROM n
-              UNION ALL SELECT 2, 'warning', 'High missingness in ''level''', CAST(CAST(round((n - l) * 100.0 / n, 2) AS DOUBLE) AS VARCHAR) || '% of this column is blank, so insights using it may be incomplete.' FROM n WHERE round((n - l) * 100.0 / n, 2) >= 30
-              UNION ALL SELECT 3, 'warning', 'High missingness in ''bucket''', CAST(CAST(round((n - b) * 100.0 / n, 2) AS DOUBLE) AS VARCHAR) || '% of this column is blank, so insights using it may be incomplete.' FROM n WHERE round((n - b) * 100.0 / n, 2) >= 30
-              UNION ALL SELECT 4, 'warning', 'High missingness in ''spike''', CAST(CAST(round((n - b) * 100.0 / n, 2) AS DOUBLE) AS VARCHAR) || '% of this column is blank, so insights using it may be incomplete.' FROM n WHERE round((n - b) * 100.0 / n, 2) >= 30
+                     (n - k) || ' rows (' || CAST(CAST(printf('%.2f', CAST((n - k) / n * 100 AS DOUBLE)) AS DOUBLE) AS VARCHAR) || '%) are exact duplicates and may distort aggregates.' AS detail FROM n
+              UNION ALL SELECT 2, 'warning', 'High missingness in ''level''', CAST(CAST(printf('%.2f', CAST((n - l) / n * 100 AS DOUBLE)) AS DOUBLE) AS VARCHAR) || '% of this column is blank, so insights using it may be incomplete.' FROM n WHERE round((n - l) * 100.0 / n, 2) >= 30
+              UNION ALL SELECT 3, 'warning', 'High missingness in ''bucket''', CAST(CAST(printf('%.2f', CAST((n - b) / n * 100 AS DOUBLE)) AS DOUBLE) AS VARCHAR) || '% of this column is blank, so insights using it may be incomplete.' FROM n WHERE round((n - b) * 100.0 / n, 2) >= 30
+              UNION ALL SELECT 4, 'warning', 'High missingness in ''spike''', CAST(CAST(printf('%.2f', CAST((n - b) / n * 100 AS DOUBLE)) AS DOUBLE) AS VARCHAR) || '% of this column is blank, so insights using it may be incomplete.' FROM n WHERE round((n - b) * 100.0 / n, 2) >= 30
               UNION ALL SELECT 5, 'info', 'Potential outliers in ''spike''', CAST(CAST(pct AS DOUBLE) AS VARCHAR) || '% of values sit outside the IQR range. Review before using averages.' FROM o WHERE pct >= 10)
         SELECT CAST(row_number() OVER (ORDER BY p) AS BIGINT) AS alert, severity, title, detail FROM a""",
 )
@@ -182,8 +182,8 @@ def a7(spark, sf):
 
 @query(
     "A8_safe_ratio",
-    """SELECT o_orderstatus, round(coalesce(sum(CASE WHEN o_totalprice > 200000 THEN 1 ELSE 0 END) * 100.0 / nullif(count(*), 0), 0), 2) AS pct,
-              0.0 AS pct_of_nothing FROM orders GROUP BY 1""",
+    """SELECT o_orderstatus, CAST(printf('%.2f', CAST(coalesce(count(*) FILTER (o_totalprice > 200000) / nullif(count(*), 0) * 100, 0) AS DOUBLE)) AS DOUBLE) AS pct,
+              CAST(0 AS DOUBLE) AS pct_of_nothing FROM orders GROUP BY 1""",
 )
 def a8(spark, sf):
     rich = F.count_if(F.col("o_totalprice") > 200000)
@@ -279,7 +279,7 @@ def _semantic_sql(source: str, columns: list[tuple[str, str]]) -> str:
              CASE WHEN is_date THEN 'date' WHEN is_num THEN family WHEN flag THEN 'boolean' WHEN idn THEN 'identifier'
                   WHEN {_hint('geo')} THEN 'geography'
                   WHEN {_hint('txt')} AND u > greatest(20, floor(n * 0.3)) THEN 'text' ELSE 'category' END AS subtype,
-             family AS metric_family, CAST(u AS BIGINT) AS unique_count, round(ur, 4) AS uniqueness_ratio,
+             family AS metric_family, CAST(u AS BIGINT) AS unique_count, CAST(printf('%.4f', CAST(ur AS DOUBLE)) AS DOUBLE) AS uniqueness_ratio,
              CASE WHEN role = 'datetime' THEN 'none' WHEN role = 'identifier' THEN 'count_distinct'
                   WHEN role = 'measure' THEN CASE WHEN family IN ('percentage', 'boolean') THEN 'average' ELSE 'sum' END
                   ELSE 'count' END AS default_aggregation,

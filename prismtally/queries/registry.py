@@ -35,9 +35,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def confidence_sql(sample: str, effect: str, p: str = "NULL", stability: str = "NULL") -> str:
     return (
-        f"round(least(99.0, least(({sample}) / 80.0, 1.0) * 35 + least(abs({effect}), 2.0) / 2 * 35 + "
+        f"CAST(printf('%.1f', least(99.0, least(({sample}) / 80.0, 1.0) * 35 + least(abs({effect}), 2.0) / 2 * 35 + "
         f"CASE WHEN ({p}) IS NOT NULL THEN greatest(0.0, 1 - least({p}, 0.2) / 0.2) * 30 "
-        f"WHEN ({stability}) IS NOT NULL THEN least(greatest({stability}, 0.0), 1.0) * 20 ELSE 0 END), 1)"
+        f"WHEN ({stability}) IS NOT NULL THEN least(greatest({stability}, 0.0), 1.0) * 20 ELSE 0 END)) AS DOUBLE)"
     )
 
 
@@ -47,10 +47,10 @@ def scored_sql(rows: str, limit: int) -> str:
       WITH raw AS ({rows}),
       scored AS (SELECT *, {confidence_sql('sample', 'effect', 'p', 'stability')} AS confidence_score FROM raw)
       SELECT kind, title, detail, score, stat, CAST(sample AS BIGINT) AS sample_size,
-             round(effect, 4) AS effect_size, round(p, 6) AS p_value, confidence_score,
+             CAST(printf('%.4f', effect) AS DOUBLE) AS effect_size, CAST(printf('%.6f', p) AS DOUBLE) AS p_value, confidence_score,
              CASE WHEN confidence_score >= 80 THEN 'high' WHEN confidence_score >= 60 THEN 'medium' ELSE 'low' END
                AS confidence_label,
-             round(ln(1 + abs(score)) * greatest(confidence_score / 20, 1.0), 3) AS priority_score
+             CAST(printf('%.3f', ln(1 + abs(score)) * greatest(confidence_score / 20, 1.0)) AS DOUBLE) AS priority_score
       FROM scored ORDER BY priority_score DESC, score DESC, title LIMIT {limit}"""
 
 
