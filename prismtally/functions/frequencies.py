@@ -21,15 +21,22 @@ def long_form(df: DataFrame, values: dict[str, Column]) -> DataFrame:
     )
 
 
+def digest(text: Column) -> Column:
+    """A stand-in for equality only: long texts become their SHA-256 digest, so that whole
+    documents are never shuffled."""
+    return F.when(F.length(text) > DIGEST_OVER, F.sha2(text, 256)).otherwise(text)
+
+
+def may_be_long(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.StringType, T.BinaryType, T.StructType, T.ArrayType, T.MapType))
+
+
 def digests(df: DataFrame, columns: list[str] | None = None) -> dict[str, Column]:
-    """Texts for counting distinct values only: long ones are replaced by a SHA-256 digest, so
-    that whole documents are never shuffled."""
-    out = {}
-    for c in columns if columns is not None else df.columns:
-        text = as_text(df, c)
-        long_text = isinstance(df.schema[c].dataType, (T.StringType, T.BinaryType, T.StructType, T.ArrayType, T.MapType))
-        out[c] = F.when(F.length(text) > DIGEST_OVER, F.sha2(text, 256)).otherwise(text) if long_text else text
-    return out
+    """Texts for counting distinct values."""
+    return {
+        c: digest(as_text(df, c)) if may_be_long(df.schema[c].dataType) else as_text(df, c)
+        for c in (columns if columns is not None else df.columns)
+    }
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None, texts: dict[str, Column] | None = None) -> DataFrame:

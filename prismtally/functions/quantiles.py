@@ -5,9 +5,10 @@ Two ways, chosen by the measured number of values:
 * up to ``EXACT_VALUES_KEY`` values (rows x columns): the built-in ``percentile``, whose
   aggregation buffer holds the distinct values of a group, so the bound is also its memory bound;
 * beyond it: rank selection by repeated histograms. Each pass counts the values of every open
-  bracket into ``BUCKETS`` buckets (map-side combined, so a hot value or hot group is one
-  counter), keeps the bucket that holds the wanted rank, and narrows the bracket to that
-  bucket's smallest and largest value. No pass shuffles or sorts the values themselves.
+  bracket into buckets (map-side combined, so a hot value or hot group is one counter), keeps the
+  bucket that holds the wanted rank, and narrows the bracket to that bucket's smallest and
+  largest value. Once the open brackets hold no more values than the bound above, their distinct
+  values are ranked directly. No pass shuffles or sorts the table's values as a whole.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from prismtally.session import checkpointed
 
 EXACT_VALUES_KEY = "spark.prismtally.quantiles.builtinValues"
 EXACT_VALUES_DEFAULT = 5_000_000
-BUCKETS = 4096
+COUNTERS, FEWEST_BUCKETS, MOST_BUCKETS = 1_000_000, 512, 65_536
 BROADCAST_BRACKETS = 20_000
 LARGEST = 1.7976931348623157e308
 
@@ -56,14 +57,17 @@ def quantiles(
 
 
 def _selected(picked: DataFrame, names: list[str], probabilities: list[float], by: list[str]) -> DataFrame:
-    long = picked.select(
-        *by,
-        F.explode(
-            F.array(*[F.struct(F.lit(i).alias("series"), F.col(f"v{i}").alias("v")) for i in range(len(names))])
-        ).alias("s"),
-        "w",
-    ).select(*by, "s.series", F.greatest(F.least(F.col("s.v"), F.lit(LARGEST)), F.lit(-LARGEST)).alias("v"), "w")
-    long = long.where(F.col("v").isNotNull() & (F.col("w") > 0))
+    long = (
+        picked.select(
+            *by,
+            F.explode(
+                F.array(*[F.struct(F.lit(i).alias("series"), F.col(f"v{i}").alias("v")) for i in range(len(names))])
+            ).alias("s"),
+            "w",
+        )
+        .where(F.col("s.v").isNotNull() & (F.col("w") > 0))
+        .select(*by, "s.series", F.greatest(F.least(F.col("s.v"), F.lit(LARGEST)), F.lit(-LARGEST)).alias("v"), "w")
+    )
     keys = [*by, "series"]
 
     ranks = F.array_distinct(
@@ -82,16 +86,17 @@ def _selected(picked: DataFrame, names: list[str], probabilities: list[float], b
     sizes = checkpointed(
         long.groupBy(*keys).agg(F.sum("w").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     )
-    open_ = sizes.select(*keys, F.explode(ranks).alias("rank"), "lo", "hi", F.lit(0).cast("long").alias("below"))
+    whole = F.col("n").alias("held")
+    open_ = sizes.select(*keys, F.explode(ranks).alias("rank"), "lo", "hi", F.lit(0).cast("long").alias("below"), whole)
     done: DataFrame | None = None
     while True:
         settled = open_.where(F.col("lo") == F.col("hi")).select(*keys, "rank", F.col("lo").alias("v"))
         done = settled if done is None else done.unionByName(settled)
         open_ = open_.where(F.col("lo") < F.col("hi"))
-        left = open_.count()
+        left, held = open_.agg(F.count(F.lit(1)), F.sum("held")).first()
         if left == 0:
             break
-        open_ = checkpointed(_narrow(long, open_, keys, left))
+        open_ = checkpointed(_narrow(long, open_, keys, left, by_value=held <= builtin_limit(picked)))
 
     filled = done.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
     merged = sizes.join(filled, keys)
@@ -109,8 +114,9 @@ def _selected(picked: DataFrame, names: list[str], probabilities: list[float], b
     )
 
 
-def _narrow(long: DataFrame, open_: DataFrame, keys: list[str], open_rows: int) -> DataFrame:
-    """Replace every open bracket by the one of its buckets that holds the wanted rank."""
+def _narrow(long: DataFrame, open_: DataFrame, keys: list[str], open_rows: int, by_value: bool) -> DataFrame:
+    """Replace every open bracket by the one of its buckets that holds the wanted rank; with
+    ``by_value`` every distinct value is a bucket, which settles the bracket."""
     brackets = open_.select(*[F.col(k).alias(f"b_{k}") for k in keys], "rank", "lo", "hi", "below")
     # Brackets grow with the number of groups, so they are broadcast only when counted to be few.
     brackets = F.broadcast(brackets) if open_rows <= BROADCAST_BRACKETS else brackets
@@ -118,9 +124,15 @@ def _narrow(long: DataFrame, open_: DataFrame, keys: list[str], open_rows: int)
     for k in keys:
         same_group = same_group & long[k].eqNullSafe(F.col(f"b_{k}"))
     inside = long.join(brackets, same_group & F.col("v").between(F.col("lo"), F.col("hi")))
-    share = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+    if by_value:
+        bucket = F.col("v")
+    else:
+        # Only correctly rounded steps, so a larger value never falls into a lower bucket.
+        buckets = max(FEWEST_BUCKETS, min(MOST_BUCKETS, COUNTERS // open_rows))
+        share = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        bucket = F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("int")
     counted = (
-        inside.withColumn("bucket", F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
+        inside.withColumn("bucket", bucket)
         .groupBy(*keys, "rank", "below", "bucket")
         .agg(F.sum("w").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     )
@@ -128,7 +140,7 @@ def _narrow(long: DataFrame, open_: DataFrame, keys: list[str], open_rows: int)
     return (
         counted.withColumn("upto", F.col("below") + running)
         .where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("c")))
-        .select(*keys, "rank", "lo", "hi", (F.col("upto") - F.col("c")).alias("below"))
+        .select(*keys, "rank", "lo", "hi", (F.col("upto") - F.col("c")).alias("below"), F.col("c").alias("held"))
     )
 
 

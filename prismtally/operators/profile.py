@@ -18,7 +18,7 @@ from prismtally.functions.columns import (
     present,
     ratio_pct,
 )
-from prismtally.functions.frequencies import digests, distinct_counts, top_values, value_counts
+from prismtally.functions.frequencies import digest, digests, distinct_counts, may_be_long, top_values, value_counts
 from prismtally.functions.quantiles import quantile_row
 from prismtally.functions.stats import sample_kurtosis, sample_skewness
 
@@ -31,10 +31,10 @@ FILTER_COLUMNS, FILTER_VALUES, FILTER_DISTINCT = 8, 15, 20
 def row_copies(df: DataFrame) -> DataFrame:
     """(rows, duplicates, filled cells) from one aggregate over equal rows.
 
-    The shuffle key is the whole row, and copies collapse before it is sent.
+    The shuffle key is the whole row (long texts as digests), and copies collapse before it is sent.
     """
     keyed = df.select(*[
-        (as_text(df, c) if kind_of(df.schema[c].dataType) == "text" else present(df, c)).alias(f"k{i}")
+        (digest(as_text(df, c)) if may_be_long(df.schema[c].dataType) else present(df, c)).alias(f"k{i}")
         for i, c in enumerate(df.columns)
     ])
     copies = keyed.groupBy(*keyed.columns).agg(F.count(F.lit(1)).alias("n"))

@@ -18,15 +18,21 @@ class AppendResult:
     frame: DataFrame
     mode: str
     reason: str
+    added: DataFrame | None = None
 
 
-def incremental_append(current: DataFrame, source: DataFrame, cursor: str | None) -> AppendResult:
+def incremental_append(
+    current: DataFrame, source: DataFrame, cursor: str | None, current_distinct: bool = False
+) -> AppendResult:
     """Append the source rows beyond the cursor, then drop duplicates over everything.
 
-    Number and date cursors compare with the largest value already held, as a scalar subquery
-    that the file scan of the source can use. A late row at or below it is skipped. Any other
+    Number and date cursors compare with the largest value already held (one value, read ahead, so
+    that the bound reaches the file scan of the source as a literal). A late row at or below it is skipped. Any other
     text cursor takes the rows whose value is not held yet. Where that cannot be done the
     source replaces the data and the reason says so.
+
+    ``added`` are the new rows alone. They never repeat a held row, so data already known to be
+    free of duplicates (``current_distinct``) needs no second look: only ``added`` is shuffled.
     """
     if not cursor:
         return AppendResult(source, "full_fallback", "Incremental refresh requires a cursor column.")
@@ -36,11 +42,21 @@ def incremental_append(current: DataFrame, source: DataFrame, cursor: str | None
     if current.columns != source.columns:
         reason = "Schema drift changed column order or shape, so a full refresh was used."
         return AppendResult(source, "full_fallback", reason)
-    return AppendResult(
-        current.unionByName(delta_rows(current, source, cursor)).dropDuplicates(),
-        "incremental",
-        "Only newly detected rows were appended to the existing materialized dataset.",
-    )
+    added = new_rows(current, source, cursor)
+    held = current if current_distinct else current.dropDuplicates()
+    reason = "Only newly detected rows were appended to the existing materialized dataset."
+    return AppendResult(held.unionByName(added), "incremental", reason, added)
+
+
+def new_rows(current: DataFrame, source: DataFrame, cursor: str) -> DataFrame:
+    """The distinct source rows beyond the cursor that ``current`` does not hold."""
+    new = delta_rows(current, source, cursor)
+    if isinstance(field_type(source, cursor), T.StringType):
+        # A missing text is never among the held ones, so such rows are compared whole.
+        missing = col(cursor).isNull()
+        new = new.where(~missing).dropDuplicates().unionByName(new.where(missing).subtract(current.where(missing)))
+        return new
+    return new.dropDuplicates()
 
 
 def delta_rows(current: DataFrame, source: DataFrame, cursor: str) -> DataFrame:
@@ -61,10 +77,8 @@ def delta_rows(current: DataFrame, source: DataFrame, cursor: str) -> DataFrame:
 
 
 def _beyond(current: DataFrame, source: DataFrame, held, incoming) -> DataFrame:
-    latest = current.agg(F.max(held).alias("latest"))
-    if latest.first()["latest"] is None:
-        return source
-    return source.where(incoming > latest.scalar())
+    latest = current.agg(F.max(held).alias("latest")).first()["latest"]
+    return source if latest is None else source.where(incoming > F.lit(latest))
 
 
 def append_details(result: AppendResult, current: DataFrame) -> DataFrame:

@@ -15,12 +15,17 @@ from prismtally.sources.writers import write_version
 
 @dataclass(frozen=True)
 class ManagedDataset:
-    """A record, the path of its current version (None before the first) and its schema."""
+    """A record, the committed folders whose union is its data, and its schema.
+
+    ``distinct`` says that the data is known to hold no duplicate rows; an incremental refresh
+    then only adds a folder with the new rows and leaves the others as they are.
+    """
 
     record: DatasetRecord
     base: str
-    version: str | None = None
+    versions: tuple[str, ...] = ()
     schema: tuple[tuple[str, str], ...] = ()
+    distinct: bool = False
 
 
 @dataclass(frozen=True)
@@ -32,15 +37,15 @@ class RefreshOutcome:
 
 
 def current(spark: SparkSession, dataset: ManagedDataset) -> DataFrame:
-    return spark.read.parquet(dataset.version)
+    return spark.read.parquet(*dataset.versions)
 
 
 def materialise(spark: SparkSession, dataset: ManagedDataset) -> ManagedDataset:
     """Write the first version unless there is one."""
-    if dataset.version:
+    if dataset.versions:
         return dataset
     source = read_dataset(spark, dataset.record.stored_path, table=dataset.record.source_table)
-    return replace(dataset, version=write_version(source, dataset.base), schema=tuple(schema_snapshot(source)))
+    return replace(dataset, versions=(write_version(source, dataset.base),), schema=tuple(schema_snapshot(source)))
 
 
 def refresh(
@@ -50,13 +55,17 @@ def refresh(
     cursor: str | None = None,
     catalog: Mapping[str, DatasetRecord] | None = None,
 ) -> RefreshOutcome:
-    """Write a new version and return the dataset pointing at it; an empty result cancels."""
+    """Write the refreshed data and return the dataset pointing at it; an empty result cancels."""
     record = dataset.record
     if mode == "incremental":
         dataset = materialise(spark, dataset)
         source = read_dataset(spark, record.stored_path, table=record.source_table)
-        result = incremental_append(current(spark, dataset), source, cursor)
+        result = incremental_append(current(spark, dataset), source, cursor, dataset.distinct)
         frame, mode, reason = result.frame, result.mode, result.reason
+        if dataset.distinct and result.added is not None:
+            added = () if result.added.isEmpty() else (write_version(result.added, dataset.base),)
+            grown = replace(dataset, versions=dataset.versions + added)
+            return RefreshOutcome(grown, mode, reason, _drift(spark, dataset, list(dataset.schema)))
     elif record.source_type in SOURCE_TYPES:
         frame = read_dataset(spark, record.stored_path, table=record.source_table)
         mode, reason = "full", "A full refresh replaced the managed dataset snapshot."
@@ -71,8 +80,12 @@ def refresh(
     if frame.isEmpty():
         raise ValueError("The refreshed dataset is empty, so the refresh was cancelled.")
     fields = schema_snapshot(frame)
-    drift = schema_changes(
-        snapshot_frame(spark, {record.id: list(dataset.schema)}), snapshot_frame(spark, {record.id: fields})
-    )
-    written = replace(dataset, version=write_version(frame, dataset.base), schema=tuple(fields))
-    return RefreshOutcome(written, mode, reason, drift)
+    path = write_version(frame, dataset.base)
+    written = replace(dataset, versions=(path,), schema=tuple(fields), distinct=mode == "incremental")
+    return RefreshOutcome(written, mode, reason, _drift(spark, dataset, fields))
+
+
+def _drift(spark: SparkSession, dataset: ManagedDataset, fields: list[tuple[str, str]]) -> DataFrame:
+    name = dataset.record.id
+    before = snapshot_frame(spark, {name: list(dataset.schema)})
+    return schema_changes(before, snapshot_frame(spark, {name: fields}))

@@ -88,26 +88,35 @@ _workbench(
     """SELECT l_returnflag, l_linestatus, ROUND(SUM(l_extendedprice), 2) AS price FROM dataset
        GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())""",
 )
+# Daily totals come first, so that a customer's window is bounded by the calendar.
 _workbench(
     "Q9_windows",
     "orders",
     """SELECT * FROM (
-         SELECT o_custkey, o_orderkey, ROUND(o_totalprice - LAG(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), 2) AS step,
-                ROUND(SUM(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS recent,
-                CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS place FROM dataset) ranked
+         SELECT o_custkey, day, ROUND(total - LAG(total) OVER (PARTITION BY o_custkey ORDER BY day), 2) AS step,
+                ROUND(SUM(total) OVER (PARTITION BY o_custkey ORDER BY day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS recent,
+                CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY ROUND(total, 2) DESC, day) AS BIGINT) AS place
+         FROM (SELECT o_custkey, o_orderdate AS day, SUM(o_totalprice) AS total FROM dataset GROUP BY o_custkey, o_orderdate) days) ranked
        WHERE place <= 3""",
 )
 _workbench(
     "Q10_semi_join",
     "orders",
     """SELECT a.o_orderkey, a.o_custkey FROM dataset a
-       WHERE EXISTS (SELECT 1 FROM dataset b WHERE b.o_custkey = a.o_custkey AND b.o_totalprice > 1.5 * a.o_totalprice)""",
+       WHERE EXISTS (SELECT 1 FROM dataset b WHERE b.o_custkey = a.o_custkey AND b.o_orderpriority = '1-URGENT' AND b.o_orderstatus = 'P')""",
 )
 _workbench(
     "Q10_anti_join",
     "orders",
     """SELECT a.o_orderkey, a.o_custkey FROM dataset a
-       WHERE NOT EXISTS (SELECT 1 FROM dataset b WHERE b.o_custkey = a.o_custkey AND b.o_orderdate > a.o_orderdate)""",
+       WHERE NOT EXISTS (SELECT 1 FROM dataset b WHERE b.o_custkey = a.o_custkey AND b.o_orderpriority = '1-URGENT' AND b.o_orderstatus = 'P')""",
+)
+_workbench(
+    "Q10_non_equi_join",
+    "orders",
+    """SELECT a.o_orderkey, a.o_custkey, ROUND(a.o_totalprice, 2) AS price FROM dataset a
+       JOIN (SELECT o_custkey, AVG(o_totalprice) AS usual FROM dataset GROUP BY o_custkey) b
+         ON a.o_custkey = b.o_custkey AND a.o_totalprice > 1.5 * b.usual""",
 )
 _workbench(
     "Q10_self_join",
@@ -119,10 +128,9 @@ _workbench(
 _workbench(
     "Q11_set_operations",
     "orders",
-    """(SELECT o_custkey FROM dataset WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM dataset WHERE o_orderstatus = 'O')
+    """SELECT * FROM (SELECT o_custkey FROM dataset WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM dataset WHERE o_orderstatus = 'O') both_states
        EXCEPT SELECT o_custkey FROM dataset WHERE o_orderpriority = '1-URGENT'
-       UNION ALL SELECT o_custkey FROM dataset WHERE o_totalprice > 450000""".replace("(SELECT o_custkey FROM dataset WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM dataset WHERE o_orderstatus = 'O')",
-       "SELECT * FROM (SELECT o_custkey FROM dataset WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM dataset WHERE o_orderstatus = 'O') both_states"),
+       UNION ALL SELECT o_custkey FROM dataset WHERE o_totalprice > 450000""",
 )
 _workbench(
     "Q12_top_k",

@@ -11,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from prismtally.functions.columns import col, field_type
-from prismtally.operators.refresh import delta_rows
+from prismtally.operators.refresh import new_rows
 from prismtally.sources.writers import VERSION_PREFIX, committed_versions, write_version
 
 
@@ -25,16 +24,11 @@ def snapshot(spark: SparkSession, base: str) -> DataFrame | None:
 def append_batch(batch: DataFrame, base: str, cursor: str, name: str | None = None) -> str | None:
     """Add the new distinct rows of ``batch`` as a version; returns its path, None if nothing is new.
 
-    Versions hold distinct rows, and rows beyond the cursor (or with unseen cursor texts) cannot
-    repeat held ones, so duplicates are only looked for within the batch.
+    Versions hold distinct rows and rows beyond the cursor cannot repeat held ones, so duplicates
+    are only looked for within the batch.
     """
     held = snapshot(batch.sparkSession, base)
-    new = batch if held is None else delta_rows(held, batch, cursor)
-    if held is not None and isinstance(field_type(batch, cursor), T.StringType):
-        # Rows without a cursor text are compared as whole rows with the held ones of that kind.
-        without = new.where(col(cursor).isNull()).subtract(held.where(col(cursor).isNull()))
-        new = new.where(col(cursor).isNotNull()).unionByName(without)
-    new = new.dropDuplicates()
+    new = batch.dropDuplicates() if held is None else new_rows(held, batch, cursor)
     if new.isEmpty():
         return None
     return write_version(new, base, name)
