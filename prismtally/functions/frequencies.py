@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prismtally.functions.columns import as_text
+from prismtally.functions.parsing import strip
 
 DIGEST_OVER = 64  # characters; a digest has 64
 
@@ -31,6 +32,13 @@ def may_be_long(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.StringType, T.BinaryType, T.StructType, T.ArrayType, T.MapType))
 
 
+def key_text(df: DataFrame, column: str) -> Column:
+    """A column as a key to compare across tables: stripped text, long ones as digests."""
+    if may_be_long(df.schema[column].dataType):
+        return digest(strip(as_text(df, column)))
+    return as_text(df, column)
+
+
 def digests(df: DataFrame, columns: list[str] | None = None) -> dict[str, Column]:
     """Texts for counting distinct values."""
     return {

@@ -9,49 +9,57 @@ from pyspark.sql import functions as F
 NUMBER_PATTERN = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf(inity)?))\s*$"
 WHOLE_PATTERN = r"^\s*[+-]?\d{1,18}\s*$"
 
-# Date layouts read from text, tried in this order.
-DATE_FORMATS = (
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ssXXX",
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd HH:mm:ss.SSSSSS",
-    "yyyy/MM/dd",
-    "M/d/yyyy",
-    "M/d/yyyy H:mm",
-    "M/d/yyyy H:mm:ss",
-    "M-d-yyyy",
-    "d MMM yyyy",
-    "d MMMM yyyy",
-    "MMM d, yyyy",
-    "MMMM d, yyyy",
-    "yyyyMMdd",
+# White space as text stripping understands it, Unicode blanks included.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0         "
+    "       　"
 )
 
+# Date layouts read from text besides ISO forms: the shape that selects a layout, and the layout.
+_MONTH = r"[A-Za-z]{3,9}"
+DATE_LAYOUTS = (
+    (r"\d{4}/\d{1,2}/\d{1,2}", "yyyy/M/d"),
+    (r"\d{1,2}/\d{1,2}/\d{4}", "M/d/yyyy"),
+    (r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}", "M/d/yyyy H:mm"),
+    (r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}", "M/d/yyyy H:mm:ss"),
+    (r"\d{1,2}-\d{1,2}-\d{4}", "M-d-yyyy"),
+    (rf"\d{{1,2}} {_MONTH} \d{{4}}", "d MMM yyyy"),
+    (rf"\d{{1,2}} {_MONTH} \d{{4}}", "d MMMM yyyy"),
+    (rf"{_MONTH} \d{{1,2}}, \d{{4}}", "MMM d, yyyy"),
+    (rf"{_MONTH} \d{{1,2}}, \d{{4}}", "MMMM d, yyyy"),
+    (r"(19|20)\d{6}", "yyyyMMdd"),
+)
+DATE_PATTERN = "^(" + "|".join(dict.fromkeys(shape for shape, _ in DATE_LAYOUTS)) + ")$"
+
 
 def parse_number(c: Column, strip_commas: bool = False) -> Column:
     if strip_commas:
-        c = F.regexp_replace(c, ",", "")
+        c = F.replace(c, F.lit(","), F.lit(""))
     return F.when(c.rlike(NUMBER_PATTERN), F.trim(c).try_cast("double"))
 
 
 def parse_whole(c: Column, strip_commas: bool = False) -> Column:
     if strip_commas:
-        c = F.regexp_replace(c, ",", "")
+        c = F.replace(c, F.lit(","), F.lit(""))
     return F.when(c.rlike(WHOLE_PATTERN), F.trim(c).try_cast("long"))
 
 
 def parse_datetime(c: Column) -> Column:
-    trimmed = F.trim(c)
-    # The cast reads every ISO form in one go; the layouts only run where it fails.
-    readings = [trimmed.try_cast("timestamp_ntz")]
-    readings += [F.try_to_timestamp(trimmed, F.lit(f)).cast("timestamp_ntz") for f in DATE_FORMATS]
-    looks_dated = trimmed.rlike(r"^\d{4}|\d[/\- ]|[A-Za-z]{3,9} \d")
-    return F.when(looks_dated, F.coalesce(*readings))
+    """ISO forms by cast (which fails cheaply), other layouts only on texts of their shape, because
+    a failing layout is far dearer than a pattern. Zone offsets are converted to UTC."""
+    text = F.trim(c)
+    zoned = text.contains(":") & (text.endswith("Z") | F.substring(text, -6, 6).rlike(r"[+-]\d{2}:?\d{2}$"))
+    local = text.try_cast("timestamp").cast("timestamp_ntz")
+    iso = F.when(zoned, F.convert_timezone(F.current_timezone(), F.lit("UTC"), local)).otherwise(
+        text.try_cast("timestamp_ntz")
+    )
+    others = [
+        F.when(text.rlike(f"^{shape}$"), F.try_to_timestamp(text, F.lit(layout)).cast("timestamp_ntz"))
+        for shape, layout in DATE_LAYOUTS
+    ]
+    return F.coalesce(iso, F.when(text.rlike(DATE_PATTERN), F.coalesce(*others)))
 
 
 def strip(c: Column) -> Column:
     """Trim both ends of every kind of white space, tabs, newlines and Unicode blanks included."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+", ""), r"(?U)\s+$", "")
+    return F.btrim(c, F.lit(BLANKS))

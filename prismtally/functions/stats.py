@@ -60,11 +60,46 @@ def regularized_beta(a: float, b: float, x: float) -> float:
     return max(0.0, 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b)
 
 
+# Beyond this many degrees of freedom the limits (normal, chi-squared) are closer than the
+# cancellation in the gamma functions allows.
+LIMIT_DOF = 1e7
+
+
+def gamma_upper(a: float, x: float) -> float:
+    """Q(a, x), the upper regularised incomplete gamma function, for moderate ``a``."""
+    if x <= 0.0:
+        return 1.0
+    front = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1.0:
+        term = total = 1.0 / a
+        k = a
+        while abs(term) > abs(total) * 1e-16:
+            k += 1.0
+            term *= x / k
+            total += term
+        return max(0.0, 1.0 - front * total)
+    # Continued fraction, evaluated forwards.
+    b = x + 1.0 - a
+    c, d = 1e300, 1.0 / b
+    value = d
+    for i in range(1, 10_000):
+        an = -i * (i - a)
+        b += 2.0
+        d = 1.0 / (an * d + b)
+        c = b + an / c
+        value *= c * d
+        if abs(c * d - 1.0) < 1e-15:
+            break
+    return front * value
+
+
 def t_two_sided(t: float | None, dof: float | None) -> float | None:
     if t is None or dof is None or dof <= 0 or math.isnan(t):
         return None
     if math.isinf(t):
         return 0.0
+    if dof > LIMIT_DOF:
+        return math.erfc(abs(t) / math.sqrt(2.0))
     return regularized_beta(dof / 2.0, 0.5, dof / (dof + t * t))
 
 
@@ -73,6 +108,8 @@ def f_upper(f: float | None, dof1: float | None, dof2: float | None) -> float |
         return None
     if math.isinf(f):
         return 0.0
+    if dof2 > LIMIT_DOF and dof1 < 1e5:
+        return gamma_upper(dof1 / 2.0, dof1 * f / 2.0)
     return regularized_beta(dof2 / 2.0, dof1 / 2.0, dof2 / (dof2 + dof1 * f))
 
 

@@ -8,9 +8,7 @@ from difflib import SequenceMatcher
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismtally.functions.columns import as_text
-from prismtally.functions.frequencies import digest, distinct_counts, long_form, value_counts
-from prismtally.functions.parsing import strip
+from prismtally.functions.frequencies import distinct_counts, key_text, long_form, value_counts
 from prismtally.functions.rounding import nearest
 
 # Name hints, weights and thresholds of the key and relationship scores.
@@ -31,7 +29,7 @@ def key_candidates(df: DataFrame, limit: int = KEYS_PER_DATASET, approximate: bo
     Exact distinct counts take one shuffle keyed by (column, value); ``approximate`` replaces
     them by sketches, which need no shuffle of values at all.
     """
-    texts = {c: digest(strip(as_text(df, c))) for c in df.columns}
+    texts = {c: key_text(df, c) for c in df.columns}
     if approximate:
         stats = long_form(df, texts).groupBy("column").agg(
             F.count(F.lit(1)).alias("non_null"), F.approx_count_distinct("value", 0.02).alias("unique")
@@ -83,7 +81,7 @@ def membership_patterns(columns: list[tuple[DataFrame, str]]) -> DataFrame:
     """
     parts = None
     for i, (df, name) in enumerate(columns):
-        part = df.select(digest(strip(as_text(df, name))).alias("value"), F.lit(i).alias("id"))
+        part = df.select(key_text(df, name).alias("value"), F.lit(i).alias("id"))
         parts = part if parts is None else parts.unionByName(part)
     words = (len(columns) + BITS - 1) // BITS
     masks = [

@@ -20,6 +20,13 @@ def test_f_table(f, d1, d2, p):
     assert f_upper(f, d1, d2) == pytest.approx(p, abs=2e-2 if d1 == 60 else 2e-4)
 
 
+def test_limits_join_smoothly():
+    for f, d1 in ((3.0, 2), (1.2, 7), (0.4, 11), (2.5, 1)):
+        assert f_upper(f, d1, 0.9e7) == pytest.approx(f_upper(f, d1, 1.1e7), abs=1e-6)
+    assert t_two_sided(2.0, 0.9e7) == pytest.approx(t_two_sided(2.0, 1.1e7), abs=1e-6)
+    assert f_upper(3.841, 1, 1e12) == pytest.approx(0.05, abs=1e-4)
+
+
 def test_beta_edges():
     assert regularized_beta(2, 3, 0) == 0 and regularized_beta(2, 3, 1) == 1
     assert regularized_beta(0.5, 0.5, 0.5) == pytest.approx(0.5)
