@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prismtally.functions.columns import as_text, col, field_type, moment
-from prismtally.functions.quantiles import quantiles
 
 ANY_VALUE = (None, "", "__all__")
 INLINE_POLICY_VALUES = 10_000
@@ -54,14 +53,33 @@ def filter_dates(df: DataFrame, column: str | None, start: str | None = None, en
     """Inclusive range, either bound optional; unparsable dates drop out."""
     if not column or column not in df.columns:
         return df
-    when = moment(df, column)
     if start:
-        df = df.where(when >= F.to_timestamp_ntz(F.lit(_full(start))))
+        df = df.where(not_before(df, column, start))
     if end:
-        df = df.where(when <= F.to_timestamp_ntz(F.lit(_full(end))))
+        df = df.where(not_after(df, column, end))
     return df
 
 
+def not_before(df: DataFrame, column: str, start: str) -> Column:
+    """``column >= start`` as a comparison of the bare column, which reaches the file scan."""
+    dtype, bound = field_type(df, column), _full(start)
+    if isinstance(dtype, T.TimestampType):
+        return col(column) >= F.to_timestamp(F.lit(bound))
+    if isinstance(dtype, T.DateType):
+        midnight = bound.endswith(" 00:00:00")
+        return col(column) >= F.to_date(F.lit(bound)) if midnight else col(column) > F.to_date(F.lit(bound))
+    return moment(df, column) >= F.to_timestamp_ntz(F.lit(bound))
+
+
+def not_after(df: DataFrame, column: str, end: str) -> Column:
+    dtype, bound = field_type(df, column), _full(end)
+    if isinstance(dtype, T.TimestampType):
+        return col(column) <= F.to_timestamp(F.lit(bound))
+    if isinstance(dtype, T.DateType):
+        return col(column) <= F.to_date(F.lit(bound))
+    return moment(df, column) <= F.to_timestamp_ntz(F.lit(bound))
+
+
 def _full(bound: str) -> str:
     text = str(bound).strip().replace("T", " ")
     return text if " " in text else text + " 00:00:00"
@@ -127,29 +145,58 @@ def apply_policy_table(df: DataFrame, policy_table: DataFrame, user: str, column
     return df
 
 
+HASH_BITS, STEP_BITS, TAKE_AT_MOST = 64, 16, 10_000
+
+
 def sample_exact(df: DataFrame, percentage: float, key: list[str] | None = None, seed: int = 42) -> DataFrame:
     """Exactly ``max(1, int(rows * percentage / 100))`` rows, the same ones on every run.
 
-    Rows are ranked by a hash; the hash at the wanted rank is found by exact quantile selection
-    and everything below it is kept, so nothing is sorted and no task holds the sample. With
-    ``key`` (columns that identify a row) the choice does not depend on the file layout.
+    Rows are ranked by a 64-bit hash. The hash at the wanted rank is found by counting hash
+    prefixes, 16 further bits per pass (at most 65,536 counters each, map-side combined), until
+    the prefix at the cut holds a handful of rows; the sample itself is then one filter. Nothing
+    is sorted or shuffled but counters. With ``key`` (columns that identify a row) the choice
+    does not depend on the file layout.
     """
     if percentage >= 100:
         return df
-    ranked = df.select("*", *([] if key else [F.monotonically_increasing_id().alias("_row")]))
     identity = [col(c) for c in key] if key else [F.col("_row")]
-    # 53 bits are exact in a double, which the quantile selection works on.
-    ranked = ranked.withColumn("_h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), *identity), 11).cast("double"))
-    total = ranked.count()
-    wanted = max(1, int(total * percentage / 100))
-    if total <= wanted:
-        return df
-    # Aim one rank short, so that the part below the cut never holds more than is wanted; the
-    # few missing rows are the next ones in hash order (a bounded take, not a sort).
-    cut = quantiles(ranked, {"h": F.col("_h")}, [max(wanted - 2, 0) / (total - 1)]).first()["h"][0]
-    below = ranked.where(F.col("_h") < F.lit(cut))
-    rest = ranked.where(F.col("_h") >= F.lit(cut)).orderBy("_h", *identity).limit(wanted - below.count())
-    return below.unionByName(rest).select(*[col(c) for c in df.columns])
+    ranked = df if key else df.select("*", F.monotonically_increasing_id().alias("_row"))
+    ranked = ranked.withColumn("_h", F.xxhash64(F.lit(seed), *identity))
+
+    at_cut, below, wanted, shift, prefix = ranked, 0, None, HASH_BITS, 0
+    while True:
+        shift -= STEP_BITS
+        counts = sorted(at_cut.groupBy(F.shiftright("_h", shift).alias("b")).count().collect())
+        if wanted is None:
+            total = sum(r["count"] for r in counts)
+            wanted = max(1, int(total * percentage / 100))
+            if total <= wanted:
+                return df
+        for prefix, held in counts:
+            if below + held >= wanted:
+                break
+            below += held
+        at_cut = ranked.where(F.shiftright("_h", shift) == prefix)
+        if held <= TAKE_AT_MOST or shift == 0:
+            break
+    missing = wanted - below
+    if shift == 0 or missing == held:
+        edge = F.lit(False) if missing < held else F.shiftright("_h", shift) == prefix
+        tied = missing < held
+    else:
+        hashes = [r["_h"] for r in at_cut.select("_h").orderBy("_h").limit(missing + 1).collect()]
+        edge, tied = at_cut_edge(prefix, shift, hashes[missing - 1]), hashes[missing] == hashes[missing - 1]
+    lower = F.shiftright("_h", shift) < prefix
+    names = [col(c) for c in df.columns]
+    if not tied:
+        return ranked.where(lower | edge).select(*names)
+    # Equal hashes of distinct rows at the cut: the rest is taken in the order of the identity.
+    rest = at_cut.orderBy("_h", *identity).limit(missing)
+    return ranked.where(lower).unionByName(rest).select(*names)
+
+
+def at_cut_edge(prefix: int, shift: int, last: int) -> Column:
+    return (F.shiftright("_h", shift) == prefix) & (F.col("_h") <= F.lit(last))
 
 
 def sample_fraction(df: DataFrame, percentage: float, seed: int = 42) -> DataFrame:

@@ -18,6 +18,7 @@ from prismtally.operators.insights.common import few_valued, findings, fixed, no
 DRIVER_VALUES, DRIVER_DIMENSIONS, DRIVER_PEERS, DRIVER_TARGETS = 15, 4, 3, 2
 DRIVER_ROWS, DRIVER_TARGET_VALUES = 30, 8
 TREES, LEAF, SEED = 180, 3, 42
+DEPTH = 6  # the importances no longer move beyond it
 SPREAD_ROWS = 5_000_000
 LEAST_R2, LEAST_IMPORTANCE, KEPT = 0.2, 0.18, 1
 
@@ -69,7 +70,7 @@ def driver_model(
     stages.append(
         RandomForestRegressor(
             featuresCol="features", labelCol="label", numTrees=trees, minInstancesPerNode=LEAF, seed=SEED,
-            featureSubsetStrategy="all", maxDepth=8, maxMemoryInMB=1024,
+            featureSubsetStrategy="all", maxDepth=DEPTH, maxMemoryInMB=1024,
         )
     )
     model = Pipeline(stages=stages).fit(table)

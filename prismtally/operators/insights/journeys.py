@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismtally.functions.columns import as_text, col, moment, number
+from prismtally.functions.columns import col, moment, number, present
 from prismtally.operators.insights.common import findings, fixed, grouped, no_findings, say
 
 # Stage names in funnel order and the gates.
@@ -104,7 +104,7 @@ def cohort_table(df: DataFrame, date: str, identifier: str) -> DataFrame:
     month is a later one, so first and last timestamps per id are all that is needed (one
     map-side combined aggregate; an id with very many rows is one partial row per task)."""
     per_id = (
-        df.select(as_text(df, identifier).alias("id"), moment(df, date).alias("ts"))
+        df.select(present(df, identifier).alias("id"), moment(df, date).alias("ts"))
         .where(F.col("id").isNotNull() & F.col("ts").isNotNull())
         .groupBy("id")
         .agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("rows"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from prismtally.functions.columns import as_text, moment, number
 from prismtally.functions.stats import anova, correlation_p_value, with_f_p_value
+from prismtally.operators.filters import not_before
 from prismtally.operators.insights.common import findings, fixed, grouped, month_totals, no_findings, say
 
 # Gates and limits of the detectors.
@@ -259,7 +260,7 @@ def variance_table(
         )
         return df.sparkSession.createDataFrame([], schema)
     when = moment(df, date)
-    recent = df.where(when >= F.lit(min(b["previous"] for b in bounds)))
+    recent = df.where(not_before(df, date, str(min(b["previous"] for b in bounds))))
     entries = []
     for b in bounds:
         for d in dimensions:

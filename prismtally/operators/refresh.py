@@ -61,10 +61,12 @@ def new_rows(current: DataFrame, source: DataFrame, cursor: str) -> DataFrame:
 
 def delta_rows(current: DataFrame, source: DataFrame, cursor: str) -> DataFrame:
     dtype = field_type(source, cursor)
+    plain = not isinstance(dtype, (T.StringType, T.DoubleType, T.FloatType))
+    if plain and field_type(current, cursor) == dtype:
+        # The bare column, so that the bound is pushed down to the scan.
+        return _beyond(current, source, col(cursor), col(cursor))
     if isinstance(dtype, (T.NumericType, T.BooleanType)):
-        same_type = field_type(current, cursor) == dtype and not isinstance(dtype, (T.DoubleType, T.FloatType))
-        held, incoming = (col(cursor), col(cursor)) if same_type else (number(current, cursor), number(source, cursor))
-        return _beyond(current, source, held, incoming)
+        return _beyond(current, source, number(current, cursor), number(source, cursor))
     if not isinstance(dtype, T.StringType):
         return _beyond(current, source, moment(current, cursor), moment(source, cursor))
     dated = not source.select(moment(source, cursor).alias("t")).where("t IS NOT NULL").isEmpty()

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from difflib import SequenceMatcher
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismtally.functions.frequencies import distinct_counts, key_text, long_form, value_counts
+from prismtally.functions.frequencies import key_text, long_form
 from prismtally.functions.rounding import nearest
 
 # Name hints, weights and thresholds of the key and relationship scores.
@@ -23,43 +24,70 @@ SUGGESTIONS = 12
 BITS = 60  # columns per membership word
 
 
+ROWS = "\0rows"
+
+
 def key_candidates(df: DataFrame, limit: int = KEYS_PER_DATASET, approximate: bool = False) -> DataFrame:
-    """Columns that could identify rows, best first.
+    """Columns that could identify rows, best first."""
+    found = key_candidates_of({"": df}, limit, approximate).drop("dataset")
+    return found.orderBy(F.desc("score"), "column")
+
+
+def key_candidates_of(
+    datasets: Mapping[str, DataFrame], limit: int = KEYS_PER_DATASET, approximate: bool = False
+) -> DataFrame:
+    """Key candidates of many datasets in one job: (dataset, column, ratios, score, role, counts).
 
-    Exact distinct counts take one shuffle keyed by (column, value); ``approximate`` replaces
-    them by sketches, which need no shuffle of values at all.
+    Exact distinct counts take one shuffle keyed by (dataset, column, value); ``approximate``
+    replaces them by sketches, which need no shuffle of values at all. A constant pseudo column
+    carries the row counts along.
     """
-    texts = {c: key_text(df, c) for c in df.columns}
+    parts = [
+        long_form(df, {**{c: key_text(df, c) for c in df.columns}, ROWS: F.lit("")}).withColumn("dataset", F.lit(name))
+        for name, df in datasets.items()
+    ]
+    rows = reduce(DataFrame.unionByName, parts)
     if approximate:
-        stats = long_form(df, texts).groupBy("column").agg(
+        stats = rows.groupBy("dataset", "column").agg(
             F.count(F.lit(1)).alias("non_null"), F.approx_count_distinct("value", 0.02).alias("unique")
         )
     else:
-        stats = distinct_counts(value_counts(df, texts=texts))
-    rows = F.greatest(df.agg(F.count(F.lit(1))).scalar(), F.lit(1))
+        counted = rows.groupBy("dataset", "column", "value").agg(F.count(F.lit(1)).alias("n"))
+        stats = counted.groupBy("dataset", "column").agg(
+            F.sum("n").alias("non_null"), F.count(F.lit(1)).alias("unique")
+        )
     hint = F.lit(False)
     for token in KEY_NAME_HINTS:
         hint = hint | F.lower("column").contains(token)
-    scored = stats.select(
-        "column",
-        "unique",
-        (F.col("unique") / F.greatest("non_null", F.lit(1))).alias("u"),
-        (F.col("non_null") / rows).alias("p"),
-        F.when(hint, F.lit(NAME_BONUS)).otherwise(F.lit(0.0)).alias("bonus"),
-    ).where((F.col("p") >= MIN_PRESENT) & (F.col("u") >= MIN_UNIQUE))
-    score = F.least(F.lit(1.0), F.col("u") * UNIQUE_WEIGHT + F.col("p") * PRESENT_WEIGHT + F.col("bonus"))
-    return (
-        scored.select(
+    # From here on there is one row per column: the windows are bounded by the schemas.
+    in_dataset = Window.partitionBy("dataset")
+    scored = (
+        stats.withColumn("rows", F.max(F.when(F.col("column") == ROWS, F.col("non_null"))).over(in_dataset))
+        .where(F.col("column") != ROWS)
+        .select(
+            "dataset",
             "column",
-            nearest(F.col("u"), 3).alias("unique_ratio"),
-            nearest(F.col("p"), 3).alias("non_null_ratio"),
-            nearest(score, 3).alias("score"),
-            F.when(F.col("u") >= PRIMARY_UNIQUE, "primary_key").otherwise("foreign_key_candidate").alias("role_hint"),
-            F.col("unique").alias("unique_count"),
+            "unique",
+            "rows",
+            (F.col("unique") / F.greatest("non_null", F.lit(1))).alias("u"),
+            (F.col("non_null") / F.greatest("rows", F.lit(1))).alias("p"),
+            F.when(hint, F.lit(NAME_BONUS)).otherwise(F.lit(0.0)).alias("bonus"),
         )
-        .orderBy(F.desc("score"), "column")
-        .limit(limit)
+        .where((F.col("p") >= MIN_PRESENT) & (F.col("u") >= MIN_UNIQUE))
+    )
+    score = F.least(F.lit(1.0), F.col("u") * UNIQUE_WEIGHT + F.col("p") * PRESENT_WEIGHT + F.col("bonus"))
+    table = scored.select(
+        "dataset",
+        "column",
+        nearest(F.col("u"), 3).alias("unique_ratio"),
+        nearest(F.col("p"), 3).alias("non_null_ratio"),
+        nearest(score, 3).alias("score"),
+        F.when(F.col("u") >= PRIMARY_UNIQUE, "primary_key").otherwise("foreign_key_candidate").alias("role_hint"),
+        F.col("unique").alias("unique_count"),
+        F.col("rows").alias("dataset_rows"),
     )
+    place = F.row_number().over(in_dataset.orderBy(F.desc("score"), "column"))
+    return table.withColumn("place", place).where(F.col("place") <= limit).drop("place")
 
 
 def name_similarity(left: str, right: str) -> float:
@@ -128,7 +156,6 @@ def suggest_relationships(
     datasets: Mapping[str, DataFrame],
     row_counts: Mapping[str, int] | None = None,
     limit: int = SUGGESTIONS,
-    candidates: Mapping[str, list[dict]] | None = None,
 ) -> DataFrame:
     """The likeliest joins between datasets, best first.
 
@@ -137,11 +164,11 @@ def suggest_relationships(
     """
     spark = next(iter(datasets.values())).sparkSession
     row_counts = dict(row_counts or {})
-    keys: list[tuple[str, str, float]] = []
-    for name, df in datasets.items():
-        found = candidates[name] if candidates else [r.asDict() for r in key_candidates(df).collect()]
-        row_counts.setdefault(name, df.count())
-        keys += [(name, k["column"], float(k["score"])) for k in found]
+    found = key_candidates_of(datasets).orderBy("dataset", F.desc("score"), "column").collect()
+    order = {name: i for i, name in enumerate(datasets)}
+    keys = [(r["dataset"], r["column"], float(r["score"])) for r in sorted(found, key=lambda r: order[r["dataset"]])]
+    for r in found:
+        row_counts.setdefault(r["dataset"], r["dataset_rows"])
     schema = (
         "left_dataset string, left_column string, right_dataset string, right_column string, confidence double, "
         "overlap_score double, name_similarity double, recommended_join string"
@@ -158,11 +185,11 @@ def suggest_relationships(
         "i int, j int, left_dataset string, left_column string, right_dataset string, right_column string, "
         "similarity double, key_score double, recommended_join string",
     )
-    found = overlaps([(datasets[d], c) for d, c, _ in keys])
+    shared = overlaps([(datasets[d], c) for d, c, _ in keys])
     overlap = F.coalesce(F.col("overlap"), F.lit(0.0))
     confidence = overlap * OVERLAP_WEIGHT + F.col("similarity") * SIMILARITY_WEIGHT + F.col("key_score") * KEY_WEIGHT
     return (
-        named.join(found, ["i", "j"], "left")
+        named.join(shared, ["i", "j"], "left")
         .where(confidence >= MIN_CONFIDENCE)
         .select(
             "left_dataset",

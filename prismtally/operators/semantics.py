@@ -172,8 +172,11 @@ def column_stats(df: DataFrame, approximate: bool = False) -> DataFrame:
     )
 
 
-def classify(stats: DataFrame, grains: DataFrame | None = None) -> DataFrame:
-    """M1: roles and everything derived from them, over one row per column."""
+def classify(stats: DataFrame, grains: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """M1: roles and everything derived from them, over one row per column.
+
+    ``grains`` holds the one-row result of :func:`time_grain` per date column.
+    """
     name = F.lower("name")
     kind, rows, unique = F.col("kind"), F.greatest("rows", F.lit(1)), F.col("unique_count")
     uniqueness = unique / F.greatest("non_null_count", F.lit(1))
@@ -212,10 +215,10 @@ def classify(stats: DataFrame, grains: DataFrame | None = None) -> DataFrame:
         hierarchy_hint(name).alias("hierarchy"),
     )
     r, f, band = F.col("semantic_role"), F.col("metric_family"), F.col("cardinality_band")
-    if grains is None:
-        table = table.withColumn("time_grain", F.lit(None).cast("string"))
-    else:
-        table = table.join(F.broadcast(grains.select("name", "time_grain")), "name", "left")
+    grain = F.lit(None).cast("string")
+    for column, found in (grains or {}).items():
+        grain = F.when(F.col("name") == column, found.select("time_grain").scalar()).otherwise(grain)
+    table = table.withColumn("time_grain", grain)
     priority = (
         F.when(
             r == "measure",
@@ -323,8 +326,7 @@ def infer_semantics(
     grains = None
     if with_grain:
         dated = [c for c in df.columns if kind_of(df.schema[c].dataType) == "datetime" or named_as_date(c)]
-        parts = [time_grain(df, c) for c in dated]
-        grains = reduce(DataFrame.unionByName, parts) if parts else None
+        grains = {c: time_grain(df, c) for c in dated}
     return apply_overrides(classify(column_stats(df, approximate), grains), overrides)
 
 

@@ -155,6 +155,8 @@ def test_exact_sample(spark):
     again = filters.sample_exact(df.repartition(7), 12.5, key=["id"])
     ids = {r["id"] for r in sample.collect()}
     assert len(ids) == 125 and ids == {r["id"] for r in again.collect()}
+    same = df.selectExpr("1 AS k", "id")
+    assert filters.sample_exact(same, 10, key=["k"]).count() == 100
     assert filters.sample_exact(df, 0.01).count() == 1 and filters.sample_exact(df, 100).count() == 1000
 
 
