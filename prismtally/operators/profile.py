@@ -18,7 +18,16 @@ from prismtally.functions.columns import (
     present,
     ratio_pct,
 )
-from prismtally.functions.frequencies import digest, digests, distinct_counts, may_be_long, top_values, value_counts
+from prismtally.functions.frequencies import (
+    DIGEST_OVER,
+    digest,
+    digests,
+    distinct_counts,
+    long_form,
+    may_be_long,
+    top_values,
+    value_counts,
+)
 from prismtally.functions.quantiles import quantile_row
 from prismtally.functions.stats import sample_kurtosis, sample_skewness
 
@@ -187,26 +196,49 @@ def categorical_profile(df: DataFrame, columns: list[str] | None = None, k: int
     """The top values of every categorical column with count and share."""
     if columns is None:
         columns = [c for c in categorical_columns(df) if not is_profiled_as_number(df.schema[c].dataType)]
-    counts = value_counts(df, columns)
+    long_texts = _long_texts(df, columns)
+    counts = value_counts(df, texts=digests(df, columns)) if long_texts else value_counts(df, columns)
     totals = counts.groupBy("column").agg(F.sum("n").alias("non_null"))
-    return (
-        top_values(counts, k)
-        .join(totals, "column")
-        .select(
-            F.col("column").alias("name"),
-            F.col("rank").cast("long").alias("rank"),
-            F.col("value").alias("label"),
-            F.col("n").alias("count"),
-            ratio_pct(F.col("n"), F.col("non_null")).alias("pct"),
-        )
+    top = top_values(counts, k)
+    if long_texts:
+        top = _with_texts(df, columns, top)
+    return top.join(totals, "column").select(
+        F.col("column").alias("name"),
+        F.col("rank").cast("long").alias("rank"),
+        F.col("value").alias("label"),
+        F.col("n").alias("count"),
+        ratio_pct(F.col("n"), F.col("non_null")).alias("pct"),
     )
 
 
-def quality_alerts(df: DataFrame) -> DataFrame:
-    """Duplicates, heavy missingness and outliers in column order, or one all-clear row; at most 8."""
+def _long_texts(df: DataFrame, columns: list[str]) -> bool:
+    """Whether any of the columns holds texts too long to be shuffled for counting (one scan)."""
+    long_ = [c for c in columns if may_be_long(df.schema[c].dataType)]
+    row = df.agg(*[F.max(F.length(as_text(df, c))) for c in long_]).first() if long_ else ()
+    return any(n is not None and n > DIGEST_OVER for n in row)
+
+
+def _with_texts(df: DataFrame, columns: list[str], top: DataFrame) -> DataFrame:
+    """Put the texts back for top values that were counted by digest.
+
+    They are a handful per column, so they are broadcast to a second scan that reads their texts.
+    """
+    wanted = top.select("column", F.col("value").alias("digest"))
+    texts = long_form(df, {c: as_text(df, c) for c in columns}).withColumn("digest", digest(F.col("value")))
+    named = texts.join(F.broadcast(wanted), ["column", "digest"]).groupBy("column", "digest").agg(
+        F.min("value").alias("value")
+    )
+    return top.withColumnRenamed("value", "digest").join(named, ["column", "digest"])
+
+
+def quality_alerts(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Duplicates, heavy missingness and outliers in column order, or one all-clear row; at most 8.
+
+    ``facts`` is an :func:`overview` computed before, if there is one.
+    """
     spark = df.sparkSession
     text_of = _plain_number
-    copies = overview(df).where(F.col("duplicate_rows") > 0).select(
+    copies = (overview(df) if facts is None else facts).where(F.col("duplicate_rows") > 0).select(
         F.lit(-1).alias("position"),
         F.lit(0).alias("step"),
         F.lit("warning").alias("severity"),

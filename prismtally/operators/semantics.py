@@ -10,6 +10,7 @@ from collections.abc import Mapping
 from functools import reduce
 from operator import or_
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,21 +104,33 @@ def hierarchy_hint(name: Column) -> Column:
     return hint
 
 
-def grain_of_days(days: Column) -> Column:
-    chain = F.when(days.isNull(), "unknown")
+def median_gap_days(df: DataFrame, column: str) -> float | None:
+    """The median gap between ordered timestamps in days; one number, read ahead of the plan.
+
+    The gap counts feed a size check and the selection, so they are kept until both are done.
+    """
+    gaps = gap_counts(df.select(moment(df, column).alias("t")), "t").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        median = quantiles(gaps, {"gap": F.col("gap_seconds")}, [0.5], weight=F.col("freq")).first()["gap"]
+    finally:
+        gaps.unpersist()
+    return median[0] / 86_400 if median else None
+
+
+def grain_of_days(days: float | None) -> str:
+    if days is None:
+        return "unknown"
     for bound, label in GRAINS_BELOW:
-        chain = chain.when(days < bound, label)
-    for bound, label in GRAINS_UP_TO:
-        chain = chain.when(days <= bound, label)
-    return chain.otherwise("yearly")
+        if days < bound:
+            return label
+    return next((label for bound, label in GRAINS_UP_TO if days <= bound), "yearly")
 
 
 def time_grain(df: DataFrame, column: str) -> DataFrame:
-    """M4: (name, median_gap_days, time_grain) from the median gap between ordered timestamps."""
-    gaps = gap_counts(df.select(moment(df, column).alias("t")), "t")
-    median = quantiles(gaps, {"gap": F.col("gap_seconds")}, [0.5], weight=F.col("freq"))
-    days = F.col("gap")[0] / 86_400
-    return median.select(F.lit(column).alias("name"), days.alias("median_gap_days"), grain_of_days(days).alias("time_grain"))
+    """M4: (name, median_gap_days, time_grain) of a date column."""
+    days = median_gap_days(df, column)
+    row = (column, days, grain_of_days(days))
+    return df.sparkSession.createDataFrame([row], "name string, median_gap_days double, time_grain string")
 
 
 def column_stats(df: DataFrame, approximate: bool = False) -> DataFrame:
@@ -172,10 +185,10 @@ def column_stats(df: DataFrame, approximate: bool = False) -> DataFrame:
     )
 
 
-def classify(stats: DataFrame, grains: Mapping[str, DataFrame] | None = None) -> DataFrame:
+def classify(stats: DataFrame, grains: Mapping[str, str] | None = None) -> DataFrame:
     """M1: roles and everything derived from them, over one row per column.
 
-    ``grains`` holds the one-row result of :func:`time_grain` per date column.
+    ``grains`` names the time grain of every date column.
     """
     name = F.lower("name")
     kind, rows, unique = F.col("kind"), F.greatest("rows", F.lit(1)), F.col("unique_count")
@@ -216,8 +229,8 @@ def classify(stats: DataFrame, grains: Mapping[str, DataFrame] | None = None) ->
     )
     r, f, band = F.col("semantic_role"), F.col("metric_family"), F.col("cardinality_band")
     grain = F.lit(None).cast("string")
-    for column, found in (grains or {}).items():
-        grain = F.when(F.col("name") == column, found.select("time_grain").scalar()).otherwise(grain)
+    for column, label in (grains or {}).items():
+        grain = F.when(F.col("name") == column, label).otherwise(grain)
     table = table.withColumn("time_grain", grain)
     priority = (
         F.when(
@@ -326,7 +339,7 @@ def infer_semantics(
     grains = None
     if with_grain:
         dated = [c for c in df.columns if kind_of(df.schema[c].dataType) == "datetime" or named_as_date(c)]
-        grains = {c: time_grain(df, c) for c in dated}
+        grains = {c: grain_of_days(median_gap_days(df, c)) for c in dated}
     return apply_overrides(classify(column_stats(df, approximate), grains), overrides)
 
 

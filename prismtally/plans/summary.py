@@ -173,8 +173,8 @@ def analyse(
     roles = roles_of(semantics)
     base = foundational.foundational(df, roles.averaged).persist(StorageLevel.MEMORY_AND_DISK)
     insights = key_insights(base, advanced_insights(df, roles, with_model, trees)).persist(StorageLevel.MEMORY_AND_DISK)
-    alerts = quality_alerts(df)
-    facts = overview(df)
+    facts = overview(df).persist(StorageLevel.MEMORY_AND_DISK)
+    alerts = quality_alerts(df, facts)
     return Summary(
         overview=facts,
         quality_alerts=alerts,

@@ -160,6 +160,18 @@ def a6(spark, sf):
     return profile.categorical_profile(table(spark, sf, "orders"))
 
 
+@query(
+    "A6_top_values_long_texts",
+    """WITH c AS (SELECT 'lang' AS name, lang AS label, lang AS tie, count(*) AS n FROM documents GROUP BY ALL
+                  UNION ALL SELECT 'source', source, source, count(*) FROM documents GROUP BY ALL
+                  UNION ALL SELECT 'text', text, CASE WHEN length(text) > 64 THEN sha256(text) ELSE text END, count(*) FROM documents GROUP BY ALL),
+            r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, tie) AS k, sum(n) OVER (PARTITION BY name) AS t FROM c)
+       SELECT name, CAST(k AS BIGINT) AS rank, label, CAST(n AS BIGINT) AS count, CAST(printf('%.2f', CAST(n / t * 100 AS DOUBLE)) AS DOUBLE) AS pct FROM r WHERE k <= 3""",
+)
+def a6_long(spark, sf):
+    return profile.categorical_profile(table(spark, sf, "documents"), ["text", "lang", "source"])
+
+
 @query(
     "A7_quality_alerts",
     f"""WITH e AS (SELECT event_type, level, bucket, CASE WHEN bucket = 1 THEN 100.0 ELSE bucket * 0.01 END AS spike FROM {_GAPPY}),
