@@ -8,9 +8,11 @@ from prismtally.functions.scoring import enrich
 from prismtally.functions.stats import anova, with_f_p_value
 from prismtally.operators.insights import drivers, foundational, journeys, segments, series
 from prismtally.operators.insights.common import month_totals, segment_stats
+from prismtally.operators import profile
 from prismtally.plans import summary
 from prismtally.queries.registry import (
     FINDING_COLUMNS,
+    ORACLES,
     confidence_sql,
     f_upper_sql,
     query,
@@ -514,24 +516,81 @@ def _roles():
     return summary.Roles(["swing", "l_quantity"], ["l_returnflag", "l_linestatus"], ["l_shipdate"], [], frozenset())
 
 
-@query("I17_key_insights")
-def i17(spark, sf):
-    rows = _lines(spark, sf)
-    return summary.key_insights(foundational.foundational(rows), summary.advanced_insights(rows, _roles(), with_model=False))
+# The ranked findings below join detectors whose own statements stand above.
+_RANKED = ["I1_correlation_insights", "I2_distribution_insights", "I6_segment_drivers", "I8_contributions",
+           "I9_seasonality", "I10_forecast", "I11_decomposition", "I12_variance"]
+_RANKED_SQL = " UNION ALL ".join(f"SELECT * FROM ({ORACLES[name]})" for name in _RANKED)
+_RANK_ORDER = "priority_score DESC, confidence_score DESC, score DESC, kind, title"
 
 
-@query("I18_recommended_charts")
-def i18(spark, sf):
-    rows = _lines(spark, sf)
-    return summary.recommended_charts(rows, foundational.foundational(rows))
+def _ranked(spark, sf):
+    rows, orders = _lines(spark, sf), table(spark, sf, "orders")
+    dates, dims, price = ["o_orderdate"], ["o_orderstatus", "o_orderpriority"], ["o_totalprice"]
+    parts = [
+        foundational.correlation_insights(rows),
+        foundational.distribution_insights(rows),
+        segments.segment_driver_insights(rows, _DIMS, _MEASURES),
+        segments.contribution_insights(rows, _DIMS, _MEASURES),
+        series.seasonality_insights(orders, dates, price),
+        series.forecast_insights(orders, dates, price),
+        series.decomposition_insights(orders, dates, price),
+        series.variance_insights(orders, dates, dims, price),
+    ]
+    return summary.ranked(summary.union(parts), summary.KEY_INSIGHTS)
+
 
+@query("I17_ranked_findings", f"SELECT * FROM ({_RANKED_SQL}) ORDER BY {_RANK_ORDER} LIMIT 8")
+def i17_ranked(spark, sf):
+    return _findings(_ranked(spark, sf))
 
-@query("I19_takeaways")
+
+@query(
+    "I19_takeaways",
+    f"""WITH top AS (SELECT row_number() OVER (ORDER BY {_RANK_ORDER}) AS place, * FROM ({_RANKED_SQL}))
+        SELECT CAST(0 AS INTEGER) AS place, 'Data quality note: No major data quality blockers found - The dataset looks usable for exploratory analysis with the current checks.' AS text
+        FROM (SELECT count(*) AS n, (SELECT count(*) FROM (SELECT DISTINCT * FROM orders)) AS k FROM orders) WHERE n = k
+        UNION ALL SELECT CAST(place AS INTEGER), title || ' (' || confidence_label || ' confidence): ' || detail FROM top WHERE place <= 3""",
+)
 def i19(spark, sf):
-    return summary.analyse(table(spark, sf, "orders"), with_model=False).takeaways
+    return summary.takeaways(_ranked(spark, sf), profile.quality_alerts(table(spark, sf, "orders")))
+
+
+def _roles():
+    return summary.Roles(["swing", "l_quantity"], ["l_returnflag", "l_linestatus"], ["l_shipdate"], [], frozenset())
+
+
+@query("I17_key_insights")
+def i17(spark, sf):
+    rows = _lines(spark, sf)
+    return summary.key_insights(foundational.foundational(rows), summary.advanced_insights(rows, _roles(), with_model=False))
 
 
 @query("I17_dataset_summary")
 def i17_summary(spark, sf):
     """Key insights of the orders table as the summary finds them from the inferred roles."""
     return summary.analyse(table(spark, sf, "orders"), with_model=False).key_insights
+
+
+@query(
+    "I18_recommended_charts",
+    f"""WITH found AS (SELECT kind, title, priority_score, score FROM ({ORACLES["I1_correlation_insights"]})
+                       UNION ALL SELECT kind, title, priority_score, score FROM ({ORACLES["I3_concentration_insights"]})
+                       UNION ALL SELECT kind, title, priority_score, score FROM ({ORACLES["I2_distribution_insights"]})),
+        charts AS (SELECT row_number() OVER (ORDER BY list_position(['correlation', 'categorical', 'distribution'], kind), priority_score DESC, score DESC, title) AS place,
+                          CASE kind WHEN 'correlation' THEN 'scatter' WHEN 'categorical' THEN 'bar' ELSE 'histogram' END AS chart_type,
+                          CASE kind WHEN 'correlation' THEN replace(replace(title, ' move together', ''), ' and ', ',')
+                                    WHEN 'categorical' THEN string_split(title, ' is concentrated')[1] ELSE string_split(title, ' has a ')[1] END AS chart_columns FROM found
+                   UNION ALL SELECT 0, 'kpi', 'l_quantity' UNION ALL SELECT 1000, 'heatmap', 'l_returnflag,l_linestatus')
+        SELECT CAST(row_number() OVER (ORDER BY place) AS BIGINT) AS position, chart_type, chart_columns FROM charts ORDER BY place LIMIT 6""",
+)
+def i18(spark, sf):
+    numbers = _lines(spark, sf).select("l_quantity", "l_extendedprice", "net", "swing")
+    base = summary.union(
+        [
+            foundational.correlation_insights(numbers),
+            foundational.concentration_insights(_categories(spark, sf)),
+            foundational.distribution_insights(numbers),
+        ]
+    )
+    charts = summary.recommended_charts(_lines(spark, sf).drop("l_shipdate"), base)
+    return charts.withColumn("chart_columns", F.array_join("chart_columns", ","))

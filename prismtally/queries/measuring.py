@@ -336,7 +336,15 @@ def c15(spark, sf):
     return charts.category_batch(table(spark, sf, "orders"))
 
 
-@query("C15_dashboard")
+@query(
+    "C15_dashboard",
+    f"""WITH {_BINS.format(x="o_totalprice", t="orders")}
+        SELECT 'spread' AS chart, 'o_totalprice' AS part, CAST(count(DISTINCT least(floor((o_totalprice - lo) / ((hi - lo) / bins)), bins - 1)) AS BIGINT) AS rows FROM orders, b
+        UNION ALL SELECT 'mix', 'o_orderstatus', CAST(count(DISTINCT o_orderstatus) AS BIGINT) FROM orders
+        UNION ALL SELECT 'mix', 'o_orderpriority', CAST(count(DISTINCT o_orderpriority) AS BIGINT) FROM orders
+        UNION ALL SELECT 'trend', 'o_orderdate_o_totalprice', CAST(count(*) AS BIGINT) FROM orders
+        UNION ALL SELECT 'links', 'matrix', CAST(1 AS BIGINT)""",
+)
 def c15_dashboard(spark, sf):
     """All chart datasets of a dashboard definition, as one long table of their row counts."""
     config = {

@@ -432,9 +432,19 @@ def m7(spark, sf):
     )
 
 
-@query("M8_semantic_profile")
+_EVENT_KINDS = [
+    ("event_id", "numeric"), ("ts", "datetime"), ("user_id", "numeric"), ("event_type", "text"), ("value", "numeric"), ("props", "text"),
+]
+
+
+@query(
+    "M8_semantic_profile",
+    f"""SELECT s.*, g.time_grain, 'inferred' AS override_source, false AS certified, s.name AS business_name
+        FROM ({_semantic_sql("events", _EVENT_KINDS)}) s LEFT JOIN ({_grain_sql("events", "ts")}) g ON g.name = s.name""",
+)
 def m8(spark, sf):
-    return semantics.infer_semantics(table(spark, sf, "events"))
+    profiles = semantics.infer_semantics(table(spark, sf, "events"))
+    return profiles.select(*_SEMANTIC_COLUMNS, "time_grain", "override_source", "certified", "business_name")
 
 
 @query(

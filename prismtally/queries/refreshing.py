@@ -179,7 +179,12 @@ def r9(spark, sf):
     return governance.quality_risk(alerts)
 
 
-@query("R9_alert_risk")
+@query(
+    "R9_alert_risk",
+    """WITH w AS (SELECT 'orders' AS dataset, CASE WHEN (SELECT count(*) FROM orders) > (SELECT count(*) FROM (SELECT DISTINCT * FROM orders)) THEN 1 ELSE 0 END AS k
+                  UNION ALL SELECT 'documents', CASE WHEN (SELECT count(*) FROM documents) > (SELECT count(*) FROM (SELECT DISTINCT * FROM documents)) THEN 1 ELSE 0 END)
+       SELECT dataset, CAST(k AS BIGINT) AS warnings, CASE WHEN k >= 3 THEN 'High' WHEN k >= 1 THEN 'Medium' ELSE 'Low' END AS quality_risk FROM w""",
+)
 def r9_alerts(spark, sf):
     parts = [profile.quality_alerts(table(spark, sf, t)).withColumn("dataset", F.lit(t)) for t in ("orders", "documents")]
     return governance.quality_risk(parts[0].unionByName(parts[1]))

@@ -11,7 +11,7 @@ import __spark_entry__ as entry  # noqa: E402
 from check_oracles import compare, connect  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
-SLOW = {"I15_model_driver", "I17_dataset_summary"}  # the detectors have unit tests
+SLOW = {"I15_model_driver", "I17_dataset_summary", "I17_key_insights"}  # the detectors have unit tests
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not here")
 

@@ -11,7 +11,7 @@ from prismtally.operators import filters, joins, refresh
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not here")
-SLOW = {"I15_model_driver", "I17_dataset_summary", "I19_takeaways"}
+SLOW = {"I15_model_driver", "I17_dataset_summary", "I17_key_insights"}
 
 
 def plan(df):
