@@ -19,27 +19,23 @@ HIGH_RISK_WARNINGS = 3
 SHOWN_HINTS = 4
 
 
-def _matches(hints: tuple[str, ...]):
-    name = F.lower("column")
-    return F.array_compact(F.array(*[F.when(name.contains(h), F.lit(h)) for h in hints]))
-
-
 def sensitivity_labels(schema: DataFrame) -> DataFrame:
     """(dataset, label, hints) from (dataset, column, dtype) rows.
 
-    Restricted before Confidential before General (some numeric column) before Public.
+    Restricted before Confidential before General (some numeric column) before Public. One flag
+    per hint is aggregated, so a dataset with very many columns is still one small row per task.
     """
-    marked = schema.select(
-        "dataset",
-        _matches(RESTRICTED).alias("restricted"),
-        _matches(CONFIDENTIAL).alias("confidential"),
-        F.col("dtype").rlike(NUMERIC_TYPES).alias("numeric"),
+    name = F.lower("column")
+    flags = schema.groupBy("dataset").agg(
+        *[F.max(name.contains(h)).alias(f"hint_{h}") for h in (*RESTRICTED, *CONFIDENTIAL)],
+        F.max(F.col("dtype").rlike(NUMERIC_TYPES)).alias("numeric"),
     )
-    # Hints come from two fixed lists, so these sets are small for any catalog.
-    sets = marked.groupBy("dataset").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("restricted")))).alias("restricted"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("confidential")))).alias("confidential"),
-        F.max("numeric").alias("numeric"),
+
+    def found(hints: tuple[str, ...]):
+        return F.array_compact(F.array(*[F.when(F.col(f"hint_{h}"), F.lit(h)) for h in sorted(hints)]))
+
+    sets = flags.select(
+        "dataset", found(RESTRICTED).alias("restricted"), found(CONFIDENTIAL).alias("confidential"), "numeric"
     )
     label = (
         F.when(F.size("restricted") > 0, "Restricted")
@@ -47,12 +43,10 @@ def sensitivity_labels(schema: DataFrame) -> DataFrame:
         .when(F.col("numeric"), "General")
         .otherwise("Public")
     )
-    hints = (
-        F.when(F.size("restricted") > 0, F.slice("restricted", 1, SHOWN_HINTS))
-        .when(F.size("confidential") > 0, F.slice("confidential", 1, SHOWN_HINTS))
-        .otherwise(F.array().cast("array<string>"))
+    hints = F.when(F.size("restricted") > 0, F.col("restricted")).otherwise(F.col("confidential"))
+    return sets.select(
+        "dataset", label.alias("label"), F.array_join(F.slice(hints, 1, SHOWN_HINTS), ", ").alias("hints")
     )
-    return sets.select("dataset", label.alias("label"), F.array_join(hints, ", ").alias("hints"))
 
 
 def quality_risk(alerts: DataFrame, by: str = "dataset") -> DataFrame:

@@ -22,7 +22,11 @@ class AppendResult:
 
 
 def incremental_append(
-    current: DataFrame, source: DataFrame, cursor: str | None, current_distinct: bool = False
+    current: DataFrame,
+    source: DataFrame,
+    cursor: str | None,
+    current_distinct: bool = False,
+    newest: DataFrame | None = None,
 ) -> AppendResult:
     """Append the source rows beyond the cursor, then drop duplicates over everything.
 
@@ -33,6 +37,8 @@ def incremental_append(
 
     ``added`` are the new rows alone. They never repeat a held row, so data already known to be
     free of duplicates (``current_distinct``) needs no second look: only ``added`` is shuffled.
+    ``newest`` is the part of ``current`` known to hold its largest cursor, if there is one; the
+    cursor is then read from that part alone.
     """
     if not cursor:
         return AppendResult(source, "full_fallback", "Incremental refresh requires a cursor column.")
@@ -42,16 +48,17 @@ def incremental_append(
     if current.columns != source.columns:
         reason = "Schema drift changed column order or shape, so a full refresh was used."
         return AppendResult(source, "full_fallback", reason)
-    added = new_rows(current, source, cursor)
+    added = new_rows(current, source, cursor, newest)
     held = current if current_distinct else current.dropDuplicates()
     reason = "Only newly detected rows were appended to the existing materialized dataset."
     return AppendResult(held.unionByName(added), "incremental", reason, added)
 
 
-def new_rows(current: DataFrame, source: DataFrame, cursor: str) -> DataFrame:
+def new_rows(current: DataFrame, source: DataFrame, cursor: str, newest: DataFrame | None = None) -> DataFrame:
     """The distinct source rows beyond the cursor that ``current`` does not hold."""
-    new = delta_rows(current, source, cursor)
-    if isinstance(field_type(source, cursor), T.StringType):
+    textual = isinstance(field_type(source, cursor), T.StringType)
+    new = delta_rows(current if textual or newest is None else newest, source, cursor)
+    if textual:
         # A missing text is never among the held ones, so such rows are compared whole.
         missing = col(cursor).isNull()
         new = new.where(~missing).dropDuplicates().unionByName(new.where(missing).subtract(current.where(missing)))

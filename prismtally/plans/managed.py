@@ -60,7 +60,9 @@ def refresh(
     if mode == "incremental":
         dataset = materialise(spark, dataset)
         source = read_dataset(spark, record.stored_path, table=record.source_table)
-        result = incremental_append(current(spark, dataset), source, cursor, dataset.distinct)
+        # Added versions only hold rows beyond all earlier ones, so the last one holds the cursor.
+        newest = spark.read.parquet(dataset.versions[-1]) if dataset.distinct else None
+        result = incremental_append(current(spark, dataset), source, cursor, dataset.distinct, newest)
         frame, mode, reason = result.frame, result.mode, result.reason
         if dataset.distinct and result.added is not None:
             added = () if result.added.isEmpty() else (write_version(result.added, dataset.base),)

@@ -166,10 +166,17 @@ class Summary:
 
 
 def analyse(
-    df: DataFrame, overrides: Mapping[str, Mapping] | None = None, with_model: bool = True, trees: int = drivers.TREES
+    df: DataFrame,
+    overrides: Mapping[str, Mapping] | None = None,
+    with_model: bool = True,
+    trees: int = drivers.TREES,
+    approximate: bool = False,
 ) -> Summary:
-    """Everything the summary shows for one prepared table, as small DataFrames."""
-    semantics = infer_semantics(df, overrides).persist(StorageLevel.MEMORY_AND_DISK)
+    """Everything the summary shows for one prepared table, as small DataFrames.
+
+    ``approximate`` takes distinct counts from sketches instead of a shuffle of all values.
+    """
+    semantics = infer_semantics(df, overrides, approximate).persist(StorageLevel.MEMORY_AND_DISK)
     roles = roles_of(semantics)
     base = foundational.foundational(df, roles.averaged).persist(StorageLevel.MEMORY_AND_DISK)
     insights = key_insights(base, advanced_insights(df, roles, with_model, trees)).persist(StorageLevel.MEMORY_AND_DISK)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,18 +15,20 @@ def write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
-def new_version_name() -> str:
-    """Names sort by creation time."""
-    return f"{VERSION_PREFIX}{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+def next_version_name(spark: SparkSession, base: str, label: str | None = None) -> str:
+    """Versions are numbered, so that their names sort in the order they were added."""
+    taken = [int(v.rstrip("/").rsplit("=", 1)[1].split("-", 1)[0]) for v in _versions(spark, base)]
+    number = max(taken, default=0) + 1
+    return f"{VERSION_PREFIX}{number:012d}-{label or uuid.uuid4().hex[:8]}"
 
 
-def write_version(df: DataFrame, base: str, name: str | None = None, partition_by: list[str] | None = None) -> str:
+def write_version(df: DataFrame, base: str, label: str | None = None, partition_by: list[str] | None = None) -> str:
     """Materialise as Parquet in a folder of its own and return its path.
 
     A version that is being read is never overwritten; the caller points its record at the new
     path only after the write has committed, which makes the switch atomic.
     """
-    path = f"{base.rstrip('/')}/{name or new_version_name()}"
+    path = f"{base.rstrip('/')}/{next_version_name(df.sparkSession, base, label)}"
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -35,16 +36,21 @@ def write_version(df: DataFrame, base: str, name: str | None = None, partition_b
     return path
 
 
-def committed_versions(spark: SparkSession, base: str) -> list[str]:
-    """Finished versions below ``base``, oldest first (any file system Spark can reach)."""
+def _versions(spark: SparkSession, base: str, committed: bool = False) -> list[str]:
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(base)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(folder):
         return []
-    found = []
-    for status in fs.listStatus(folder):
-        path = status.getPath()
-        if path.getName().startswith(VERSION_PREFIX) and fs.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
-            found.append(path.toString())
-    return sorted(found)
+    paths = [status.getPath() for status in fs.listStatus(folder)]
+    return sorted(
+        p.toString()
+        for p in paths
+        if p.getName().startswith(VERSION_PREFIX)
+        and (not committed or fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    )
+
+
+def committed_versions(spark: SparkSession, base: str) -> list[str]:
+    """Finished versions below ``base``, oldest first (any file system Spark can reach)."""
+    return _versions(spark, base, committed=True)

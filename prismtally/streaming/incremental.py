@@ -7,12 +7,14 @@ the snapshot. Late rows at or below the cursor are skipped, as in the batch refr
 
 from __future__ import annotations
 
+import zlib
+
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from prismtally.operators.refresh import new_rows
-from prismtally.sources.writers import VERSION_PREFIX, committed_versions, write_version
+from prismtally.sources.writers import committed_versions, write_version
 
 
 def snapshot(spark: SparkSession, base: str) -> DataFrame | None:
@@ -21,17 +23,22 @@ def snapshot(spark: SparkSession, base: str) -> DataFrame | None:
     return spark.read.parquet(*versions) if versions else None
 
 
-def append_batch(batch: DataFrame, base: str, cursor: str, name: str | None = None) -> str | None:
+def append_batch(batch: DataFrame, base: str, cursor: str, label: str | None = None) -> str | None:
     """Add the new distinct rows of ``batch`` as a version; returns its path, None if nothing is new.
 
     Versions hold distinct rows and rows beyond the cursor cannot repeat held ones, so duplicates
-    are only looked for within the batch.
+    are only looked for within the batch. Every version lies beyond all earlier ones, so the
+    cursor is read from the last version alone.
     """
-    held = snapshot(batch.sparkSession, base)
-    new = batch.dropDuplicates() if held is None else new_rows(held, batch, cursor)
+    spark = batch.sparkSession
+    versions = committed_versions(spark, base)
+    if versions:
+        new = new_rows(spark.read.parquet(*versions), batch, cursor, spark.read.parquet(versions[-1]))
+    else:
+        new = batch.dropDuplicates()
     if new.isEmpty():
         return None
-    return write_version(new, base, name)
+    return write_version(new, base, label)
 
 
 def refresh_available(
@@ -47,18 +54,20 @@ def refresh_available(
 ):
     """Process all files that have arrived and stop; run again whenever more may have come.
 
-    Each batch writes one version named after its id, so a batch that is retried after a failure
+    Each batch writes one version labelled with the stream and its id, so a batch that is retried after a failure
     is recognised and not applied twice.
     """
     reader = spark.readStream.format(file_format).schema(schema).options(**(options or {}))
     if max_files_per_batch:
         reader = reader.option("maxFilesPerTrigger", max_files_per_batch)
 
+    stream = f"{zlib.crc32(checkpoint.encode()):08x}"
+
     def apply(batch: DataFrame, batch_id: int) -> None:
-        name = f"{VERSION_PREFIX}batch-{batch_id:012d}"
+        label = f"batch-{stream}-{batch_id:012d}"
         done = committed_versions(batch.sparkSession, base)
-        if not any(path.rstrip("/").endswith(name) for path in done):
-            append_batch(batch, base, cursor, name)
+        if not any(path.rstrip("/").endswith(label) for path in done):
+            append_batch(batch, base, cursor, label)
 
     return (
         reader.load(source)

@@ -255,7 +255,7 @@ def test_stream_picks_up_new_files_once(spark, folder):
 
 
 def test_versions_are_never_overwritten(spark, folder):
-    path = write_version(spark.range(2), folder, "version=x")
-    with pytest.raises(Exception):
-        write_version(spark.range(5), folder, "version=x")
-    assert spark.read.parquet(path).count() == 2
+    path = write_version(spark.range(2), folder, "x")
+    later = write_version(spark.range(5), folder, "x")
+    assert spark.read.parquet(path).count() == 2 and spark.read.parquet(later).count() == 5
+    assert [p.rsplit("/", 1)[1] for p in committed_versions(spark, folder)] == ["version=000000000001-x", "version=000000000002-x"]
