@@ -94,6 +94,28 @@ def moment(df: DataFrame, name: str) -> Column:
     return F.lit(None).cast("timestamp_ntz")
 
 
+CALENDAR_UNITS = ("week", "month", "quarter", "year")
+
+
+def period_start(moment_: Column, unit: str) -> Column:
+    """Start of the calendar unit of a zone-less timestamp, whatever the session time zone."""
+    if unit == "day":
+        return F.to_date(moment_).cast("timestamp_ntz")
+    if unit in CALENDAR_UNITS:
+        return F.trunc(F.to_date(moment_), unit).cast("timestamp_ntz")
+    return F.date_trunc(unit, moment_).cast("timestamp_ntz")
+
+
+def epoch_micros(moment_: Column) -> Column:
+    """Microseconds since 1970 of a zone-less timestamp, whatever the session time zone."""
+    of_day = (
+        F.hour(moment_).cast("long") * 3_600_000_000
+        + F.minute(moment_).cast("long") * 60_000_000
+        + (F.date_part(F.lit("SECOND"), moment_) * 1_000_000).cast("long")
+    )
+    return F.unix_date(F.to_date(moment_)).cast("long") * 86_400_000_000 + of_day
+
+
 def as_text(df: DataFrame, name: str) -> Column:
     """The column as comparable text; nested values as JSON, NaN as null."""
     dtype = field_type(df, name)

@@ -13,6 +13,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismtally.functions.columns import epoch_micros
+
+SECONDS_PER_DAY = 86_400
+
 
 def ordinal_regression(series: DataFrame, ts: str = "ts", y: str = "y", by: list[str] | None = None) -> DataFrame:
     """Least squares of ``y`` on the 0-based rank of its distinct ``ts``, per group of ``by``.
@@ -21,9 +25,8 @@ def ordinal_regression(series: DataFrame, ts: str = "ts", y: str = "y", by: list
     merged unit by unit (never raw sums of squares), so large levels do not cancel.
     """
     by = by or []
-    points = series.select(
-        *by, F.col(ts).alias("t"), F.date_trunc("second", ts).cast("timestamp_ntz").alias("sec"), F.col(y).alias("y")
-    )
+    second = F.floor(epoch_micros(F.col(ts)) / 1_000_000)
+    points = series.select(*by, F.col(ts).alias("t"), second.alias("sec"), F.col(y).alias("y"))
     in_second = Window.partitionBy(*by, "sec").orderBy("t")
     seconds = (
         points.withColumn("x", (F.row_number().over(in_second) - 1).cast("double"))
@@ -39,7 +42,7 @@ def ordinal_regression(series: DataFrame, ts: str = "ts", y: str = "y", by: list
             F.max("t").alias("t1"),
         )
     )
-    days = _fold(seconds.withColumn("day", F.to_date("sec")), by + ["day"])
+    days = _fold(seconds.withColumn("day", F.floor(F.col("sec") / SECONDS_PER_DAY)), by + ["day"])
     total = _fold(days, by)
     n = F.col("n").cast("double")
     sxx = n * (n * n - 1) / 12
@@ -92,19 +95,18 @@ def gap_counts(df: DataFrame, ts: str) -> DataFrame:
     Rows sharing a timestamp contribute zero gaps; gaps across seconds and days are taken from
     the first and last timestamp of neighbouring units.
     """
-    seconds_of = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     stamps = (
         df.where(F.col(ts).isNotNull())
         .groupBy(F.col(ts).alias("t"))
         .agg(F.count(F.lit(1)).alias("c"))
-        .select(seconds_of("t").alias("t"), "c")
+        .select(epoch_micros(F.col("t")).alias("t"), "c")
         .withColumn("sec", F.floor(F.col("t") / 1_000_000))
     )
     repeats = stamps.agg(F.lit(0).cast("long").alias("gap"), F.sum(F.col("c") - 1).alias("freq"))
     in_second = Window.partitionBy("sec").orderBy("t")
     within = stamps.select("sec", "t", (F.col("t") - F.lag("t").over(in_second)).alias("gap"))
     seconds = stamps.groupBy("sec").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
-    seconds = seconds.withColumn("day", F.floor(F.col("sec") / 86_400))
+    seconds = seconds.withColumn("day", F.floor(F.col("sec") / SECONDS_PER_DAY))
     in_day = Window.partitionBy("day").orderBy("sec")
     across_seconds = seconds.select((F.col("t0") - F.lag("t1").over(in_day)).alias("gap"))
     days = seconds.groupBy("day").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"))

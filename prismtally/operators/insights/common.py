@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismtally.functions.columns import as_text, moment, number
+from prismtally.functions.columns import as_text, moment, number, period_start
 from prismtally.functions.scoring import enrich, strongest
 
 FINDING_SCHEMA = (
@@ -106,7 +106,7 @@ def segment_stats(df: DataFrame, dimensions: list[str], measures: list[str], max
 def month_totals(df: DataFrame, date: str, measures: list[str]) -> DataFrame:
     """(measure, month, total, n): monthly sums of all measures in one scan; months without values are absent."""
     rows = df.select(
-        F.date_trunc("month", moment(df, date)).cast("timestamp_ntz").alias("month"),
+        period_start(moment(df, date), "month").alias("month"),
         *[number(df, m).alias(f"v{i}") for i, m in enumerate(measures)],
     ).where(F.col("month").isNotNull())
     aggs = []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismtally.functions.columns import col, moment, number, present
+from prismtally.functions.columns import col, moment, number, period_start, present
 from prismtally.operators.insights.common import findings, fixed, grouped, no_findings, say
 
 # Stage names in funnel order and the gates.
@@ -109,8 +109,8 @@ def cohort_table(df: DataFrame, date: str, identifier: str) -> DataFrame:
         .groupBy("id")
         .agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("rows"))
     )
-    cohort = F.date_trunc("month", "first").cast("timestamp_ntz")
-    repeated = F.date_trunc("month", "last") > F.date_trunc("month", "first")
+    cohort = period_start(F.col("first"), "month")
+    repeated = period_start(F.col("last"), "month") > cohort
     return per_id.groupBy(cohort.alias("cohort")).agg(
         F.count(F.lit(1)).alias("size"), F.count_if(repeated).alias("repeats"), F.sum("rows").alias("rows")
     )

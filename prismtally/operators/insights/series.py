@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismtally.functions.columns import as_text, moment, number
+from prismtally.functions.columns import as_text, moment, number, period_start
 from prismtally.functions.stats import anova, correlation_p_value, with_f_p_value
 from prismtally.operators.filters import not_before
 from prismtally.operators.insights.common import findings, fixed, grouped, month_totals, no_findings, say
@@ -276,7 +276,7 @@ def variance_table(
                 )
             )
     moved = (
-        recent.withColumn("_month", F.date_trunc("month", when).cast("timestamp_ntz"))
+        recent.withColumn("_month", period_start(when, "month"))
         .select(F.inline(F.array(*entries)))
         .where(F.col("segment").isNotNull() & F.col("v").isNotNull() & F.col("sign").isNotNull())
         .groupBy("measure", "dimension", "segment")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismtally.functions.columns import col, moment, number
+from prismtally.functions.columns import col, moment, number, period_start
 
 GRAINS = {"M": "month", "Q": "quarter", "Y": "year"}
 DEFAULT_WINDOW = 7
@@ -64,7 +64,7 @@ def evaluate_sum_measures(df: DataFrame, definitions: list[dict], by: list[str]
 def period_totals(df: DataFrame, d: dict, by: list[str], unit: str | None) -> DataFrame:
     """Totals of the metric per timestamp or calendar unit; equal timestamps collapse map-side."""
     when = moment(df, _needed(df, d.get("date_column"), "Date column"))
-    period = F.date_trunc(unit, when).cast("timestamp_ntz") if unit else when
+    period = period_start(when, unit) if unit else when
     rows = df.select(*[col(c) for c in by], period.alias("period"), number(df, _needed(df, d.get("metric"))).alias("value"))
     return rows.where(F.col("period").isNotNull() & F.col("value").isNotNull()).groupBy(*by, "period").agg(
         F.sum("value").alias("total")

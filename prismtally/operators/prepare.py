@@ -61,6 +61,29 @@ def parse_ratio(df: DataFrame, tests: dict[str, Column], denominators: dict[str,
     return {name: row[i] if row[i] is not None else 0.0 for i, name in enumerate(tests)}
 
 
+def _typing_tests(df: DataFrame, wanted: list[str], strip_commas: bool, number_share_of: str):
+    tests: dict[str, Column] = {}
+    denominators: dict[str, Column] = {}
+    for c in wanted:
+        tests[f"number:{c}"] = parse_number(col(c), strip_commas)
+        tests[f"date:{c}"] = parse_datetime(col(c))
+        tests[f"whole:{c}"] = parse_whole(col(c), strip_commas)
+        denominators[f"whole:{c}"] = col(c)
+        if number_share_of == "non_null":
+            denominators[f"number:{c}"] = col(c)
+    return tests, denominators
+
+
+def _typed(name: str, shares: dict[str, float], strip_commas: bool, threshold: float) -> Column:
+    if shares[f"number:{name}"] >= threshold:
+        # Whole numbers stay whole, so that keys keep their text form.
+        whole = shares[f"whole:{name}"] == 1.0
+        return (parse_whole if whole else parse_number)(col(name), strip_commas).alias(name)
+    if shares[f"date:{name}"] >= threshold:
+        return parse_datetime(col(name)).alias(name)
+    return col(name)
+
+
 def coerce_text(
     df: DataFrame,
     columns: list[str] | None = None,
@@ -74,27 +97,8 @@ def coerce_text(
     all rows (P3). Values that do not parse become null.
     """
     wanted = [c for c in (columns or df.columns) if isinstance(field_type(df, c), T.StringType)]
-    tests: dict[str, Column] = {}
-    denominators: dict[str, Column] = {}
-    for c in wanted:
-        tests[f"number:{c}"] = parse_number(col(c), strip_commas)
-        tests[f"date:{c}"] = parse_datetime(col(c))
-        tests[f"whole:{c}"] = parse_whole(col(c), strip_commas)
-        denominators[f"whole:{c}"] = col(c)
-        if number_share_of == "non_null":
-            denominators[f"number:{c}"] = col(c)
-    shares = parse_ratio(df, tests, denominators)
-    out = []
-    for c in df.columns:
-        if c in wanted and shares[f"number:{c}"] >= threshold:
-            # Whole numbers stay whole, so that keys keep their text form.
-            whole = shares[f"whole:{c}"] == 1.0
-            out.append((parse_whole if whole else parse_number)(col(c), strip_commas).alias(c))
-        elif c in wanted and shares[f"date:{c}"] >= threshold:
-            out.append(parse_datetime(col(c)).alias(c))
-        else:
-            out.append(col(c))
-    return df.select(*out)
+    shares = parse_ratio(df, *_typing_tests(df, wanted, strip_commas, number_share_of))
+    return df.select(*[_typed(c, shares, strip_commas, threshold) if c in wanted else col(c) for c in df.columns])
 
 
 def infer_text_types(df: DataFrame) -> DataFrame:
@@ -122,8 +126,23 @@ def infer_text_types(df: DataFrame) -> DataFrame:
 
 
 def prepare(df: DataFrame) -> DataFrame:
-    """Stripped names, no empty columns or rows, typed text columns."""
-    return coerce_text(drop_empty_rows(drop_empty_columns(normalise_missing(strip_column_names(df)))))
+    """Stripped names, no empty columns or rows, typed text columns.
+
+    One aggregate decides everything: which columns hold values at all, and which texts are
+    numbers or dates. Rows without any value do not count, whichever columns are dropped later.
+    """
+    rows = drop_empty_rows(normalise_missing(strip_column_names(df)))
+    wanted = text_columns(rows)
+    tests, denominators = _typing_tests(rows, wanted, True, "non_null")
+    filled = {f"filled:{c}": col(c) for c in rows.columns}
+    shares = parse_ratio(rows, {**tests, **filled}, denominators)
+    return rows.select(
+        *[
+            _typed(c, shares, True, COERCION_SHARE) if c in wanted else col(c)
+            for c in rows.columns
+            if shares[f"filled:{c}"] > 0
+        ]
+    )
 
 
 def prepare_chart_subset(df: DataFrame, columns: list[str]) -> DataFrame:

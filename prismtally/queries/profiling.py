@@ -90,14 +90,15 @@ def a2_documents(spark, sf):
 
 @query(
     "A2_sample_values",
-    """SELECT name, list(v ORDER BY v) AS samples FROM (
+    """SELECT name, string_agg(v, ' | ' ORDER BY v) AS samples FROM (
          SELECT name, v, row_number() OVER (PARTITION BY name ORDER BY v) AS k FROM (
            SELECT DISTINCT 'o_orderstatus' AS name, o_orderstatus AS v FROM orders
            UNION ALL SELECT DISTINCT 'o_orderpriority', o_orderpriority FROM orders))
        WHERE k <= 3 GROUP BY name""",
 )
 def a2_samples(spark, sf):
-    return profile.sample_values(table(spark, sf, "orders").select("o_orderstatus", "o_orderpriority"))
+    found = profile.sample_values(table(spark, sf, "orders").select("o_orderstatus", "o_orderpriority"))
+    return found.withColumn("samples", F.array_join("samples", " | "))
 
 
 def _numeric_sql(source: str, columns: list[str]) -> str:

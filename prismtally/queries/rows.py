@@ -23,6 +23,24 @@ def p1(spark, sf):
     return prepare.drop_empty_rows(prepare.drop_empty_columns(cleaned))
 
 
+@query(
+    "P1_prepare",
+    """SELECT o_orderkey AS key, round(o_totalprice, 2) AS price, o_orderdate AS placed, o_orderpriority AS priority
+       FROM orders WHERE o_orderkey % 11 <> 0""",
+)
+def p1_prepare(spark, sf):
+    """Everything at once: padded names, an empty column, empty rows, numbers and dates as text."""
+    kept = F.col("o_orderkey") % 11 != 0
+    raw = table(spark, sf, "orders").select(
+        F.when(kept, F.col("o_orderkey").cast("string")).alias(" key"),
+        F.when(kept, F.format_number("o_totalprice", 2)).alias("price "),
+        F.when(kept, F.date_format("o_orderdate", "MM/dd/yyyy")).alias("placed"),
+        F.when(kept, F.col("o_orderpriority")).alias("priority"),
+        F.lit(None).cast("string").alias("nothing"),
+    )
+    return prepare.prepare(raw).withColumn("price", F.round("price", 2))
+
+
 @query(
     "P2_coerce_numbers",
     """SELECT l_orderkey, CASE WHEN l_linenumber <> 7 THEN round(l_extendedprice, 2) END AS price_text,

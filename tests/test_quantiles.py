@@ -100,3 +100,19 @@ def test_gap_counts_are_all_gaps(spark):
         key = round((b - a).total_seconds(), 6)
         want[key] = want.get(key, 0) + 1
     assert got == want
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_folds_do_not_depend_on_the_session_zone(spark, zone):
+    """Wall-clock times that a zone skips or repeats are ordinary times here."""
+    start = dt.datetime(2024, 3, 10, 0, 0, 0, 250_000)
+    stamps = [start + dt.timedelta(minutes=20 * i) for i in range(30)]
+    df = spark.createDataFrame([(s, float(i)) for i, s in enumerate(stamps)], "ts timestamp_ntz, y double")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        assert [(r["gap_seconds"], r["freq"]) for r in gap_counts(df, "ts").collect()] == [(1200.0, 29)]
+        fit = ordinal_regression(df).first()
+        assert fit["slope"] == pytest.approx(1.0) and fit["r"] == pytest.approx(1.0)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
