@@ -8,13 +8,21 @@ Two ways, chosen by the measured number of values:
   bracket into buckets (map-side combined, so a hot value or hot group is one counter), keeps the
   bucket that holds the wanted rank, and narrows the bracket to that bucket's smallest and
   largest value. Once the open brackets hold no more values than the bound above, their distinct
-  values are ranked directly. No pass shuffles or sorts the table's values as a whole.
+  values are ranked directly. No pass shuffles or sorts the table's values as a whole. Without
+  groups the brackets are a few numbers and enter each pass as literals; with groups they are a
+  checkpointed table joined on the group.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prismtally.session import checkpointed
 
@@ -22,6 +30,7 @@ EXACT_VALUES_KEY = "spark.prismtally.quantiles.builtinValues"
 EXACT_VALUES_DEFAULT = 5_000_000
 COUNTERS, FEWEST_BUCKETS, MOST_BUCKETS = 1_000_000, 512, 65_536
 BROADCAST_BRACKETS = 20_000
+COLUMNS_PER_PASS = 24
 LARGEST = 1.7976931348623157e308
 
 
@@ -53,7 +62,88 @@ def quantiles(
             arr = F.percentile(F.col(f"v{i}"), probs, F.col("w")) if weight is not None else F.percentile(F.col(f"v{i}"), probs)
             aggs.append(arr.alias(name))
         return picked.groupBy(*by).agg(*aggs)
-    return _selected(picked, list(values), probabilities, by)
+    if by:
+        return _selected(picked, list(values), probabilities, by)
+    names = list(values)
+    found: dict[str, list[float] | None] = {}
+    for at in range(0, len(names), COLUMNS_PER_PASS):
+        series = range(at, min(at + COLUMNS_PER_PASS, len(names)))
+        for i, q in _selected_whole(picked, series, probabilities).items():
+            found[names[i]] = q
+    schema = T.StructType([T.StructField(n, T.ArrayType(T.DoubleType())) for n in names])
+    return df.sparkSession.createDataFrame([tuple(found[n] for n in names)], schema)
+
+
+@dataclass(frozen=True)
+class Bracket:
+    """Ranks of one series whose values lie in [lo, hi], with the number of values below and inside."""
+
+    series: int
+    lo: float
+    hi: float
+    below: int
+    held: int
+    ranks: tuple[int, ...]
+
+
+def _selected_whole(picked: DataFrame, series: range, probabilities: list[float]) -> dict[int, list[float] | None]:
+    """Quantiles of whole columns. Only the chosen buckets of each pass (a few rows) are collected."""
+    clamped = {i: F.greatest(F.least(F.col(f"v{i}"), F.lit(LARGEST)), F.lit(-LARGEST)) for i in series}
+    rows = picked.where(F.col("w") > 0).select(
+        "w", *[F.when(F.col(f"v{i}").isNotNull(), v).alias(f"v{i}") for i, v in clamped.items()]
+    )
+    aggs = []
+    for i in series:
+        v = F.col(f"v{i}")
+        aggs += [F.sum(F.when(v.isNotNull(), F.col("w"))).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+    sizes = rows.agg(*aggs).first()
+
+    found: dict[tuple[int, int], float] = {}
+    open_: list[Bracket] = []
+
+    def place(bracket: Bracket) -> None:
+        if bracket.lo == bracket.hi:
+            found.update({(bracket.series, r): bracket.lo for r in bracket.ranks})
+        else:
+            open_.append(bracket)
+
+    for i in series:
+        n = sizes[f"n{i}"] or 0
+        ranks = sorted({f(p * (n - 1)) for p in probabilities for f in (math.floor, math.ceil)}) if n else []
+        if n:
+            place(Bracket(i, sizes[f"lo{i}"], sizes[f"hi{i}"], 0, n, tuple(ranks)))
+    while open_:
+        brackets, open_ = open_, []
+        by_value = sum(b.held for b in brackets) <= builtin_limit(picked)
+        buckets = max(FEWEST_BUCKETS, min(MOST_BUCKETS, COUNTERS // len(brackets)))
+        entries, chosen = [], []
+        for k, b in enumerate(brackets):
+            v = F.col(f"v{b.series}")
+            share = (v / 2 - b.lo / 2) / F.lit(b.hi / 2 - b.lo / 2)
+            bucket = v if by_value else F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("double")
+            entry = F.struct(F.lit(k).alias("k"), bucket.alias("bucket"), v.alias("v"))
+            entries.append(F.when(v.between(b.lo, b.hi), entry))
+            for r in b.ranks:
+                rank = F.lit(r - b.below)
+                chosen.append((F.col("k") == k) & (rank < F.col("upto")) & (rank >= F.col("upto") - F.col("c")))
+        counted = (
+            rows.select(F.explode(F.array_compact(F.array(*entries))).alias("e"), "w")
+            .groupBy("e.k", "e.bucket")
+            .agg(F.sum("w").alias("c"), F.min("e.v").alias("lo"), F.max("e.v").alias("hi"))
+        )
+        running = F.sum("c").over(Window.partitionBy("k").orderBy("bucket"))
+        for row in counted.withColumn("upto", running).where(reduce(or_, chosen)).collect():
+            b = brackets[row["k"]]
+            below = b.below + row["upto"] - row["c"]
+            inside = tuple(r for r in b.ranks if below <= r < below + row["c"])
+            place(Bracket(b.series, row["lo"], row["hi"], below, row["c"], inside))
+
+    def quantile(i: int, p: float) -> float:
+        at = p * (sizes[f"n{i}"] - 1)
+        low, high = found[i, math.floor(at)], found[i, math.ceil(at)]
+        return low + (high - low) * (at - math.floor(at))
+
+    return {i: [quantile(i, p) for p in probabilities] if sizes[f"n{i}"] else None for i in series}
 
 
 def _selected(picked: DataFrame, names: list[str], probabilities: list[float], by: list[str]) -> DataFrame:
