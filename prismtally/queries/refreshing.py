@@ -149,23 +149,36 @@ _NAMES = ["customer", "documents", "events", "lineitem", "nation", "orders", "su
 @query(
     "R8_sensitivity",
     "WITH c AS (" + " UNION ALL ".join(f"SELECT '{t}' AS dataset, column_name AS name, column_type AS type FROM (DESCRIBE {t})" for t in _NAMES)
-    + """ UNION ALL SELECT 'people', 'home_' || c, 'VARCHAR' FROM (VALUES ('address'), ('phone'), ('email')) v(c)
-          UNION ALL SELECT 'cards', 'credit_card', 'VARCHAR' UNION ALL SELECT 'cards', 'email', 'VARCHAR' UNION ALL SELECT 'plain', 'remark', 'VARCHAR')
-       SELECT dataset, CASE WHEN bool_or(name IN ('credit_card')) THEN 'Restricted'
-                            WHEN bool_or(contains(name, 'address') OR contains(name, 'phone') OR contains(name, 'email')) THEN 'Confidential'
-                            WHEN bool_or(type IN ('BIGINT', 'INTEGER', 'DOUBLE')) THEN 'General' ELSE 'Public' END AS label,
-              CASE dataset WHEN 'cards' THEN 'credit_card' WHEN 'people' THEN 'address, email, phone' ELSE '' END AS hints
+    + """) SELECT dataset, CASE WHEN bool_or(type IN ('BIGINT', 'INTEGER', 'DOUBLE')) THEN 'General' ELSE 'Public' END AS label, '' AS hints
        FROM c GROUP BY dataset""",
 )
 def r8(spark, sf):
-    """Only schemas count here, so the schemas of the given tables and three made-up ones."""
+    """The schemas of the given tables; none of their names is sensitive."""
     schemas = {t: refresh.schema_snapshot(table(spark, sf, t)) for t in _NAMES}
-    schemas["people"] = [(f"home_{c}", "string") for c in ("address", "phone", "email")]
-    schemas["cards"] = [("credit_card", "string"), ("email", "string")]
-    schemas["plain"] = [("remark", "string")]
     return governance.sensitivity_labels(refresh.snapshot_frame(spark, schemas))
 
 
+@query(
+    "R8_sensitivity_catalog",
+    """WITH c AS (SELECT CAST(event_id // 3 AS VARCHAR) AS dataset, event_type AS e, value > 20 AS num FROM events)
+       SELECT dataset, CASE WHEN bool_or(e = 'purchase') THEN 'Restricted' WHEN bool_or(e IN ('signup', 'click')) THEN 'Confidential'
+                            WHEN bool_or(num) THEN 'General' ELSE 'Public' END AS label,
+              CASE WHEN bool_or(e = 'purchase') THEN 'card_number, credit_card' WHEN bool_or(e = 'signup') AND bool_or(e = 'click') THEN 'email, phone'
+                   WHEN bool_or(e = 'signup') THEN 'email' WHEN bool_or(e = 'click') THEN 'phone' ELSE '' END AS hints
+       FROM c GROUP BY dataset""",
+)
+def r8_catalog(spark, sf):
+    """A catalog derived from the events: three columns per dataset, named by the kind of event."""
+    kind = F.col("event_type")
+    columns = table(spark, sf, "events").select(
+        F.floor(F.col("event_id") / 3).cast("string").alias("dataset"),
+        F.when(kind == "purchase", "Credit_Card_Number").when(kind == "signup", "e_mail_or_email").when(kind == "click", "telephone")
+        .otherwise(kind).alias("column"),
+        F.when(F.col("value") > 20, "double").otherwise("string").alias("dtype"),
+    )
+    return governance.sensitivity_labels(columns)
+
+
 @query(
     "R9_quality_risk",
     """SELECT event_type AS dataset, CAST(count(*) FILTER (value > 60) AS BIGINT) AS warnings,
