@@ -59,3 +59,30 @@ def test_null_safe_join_is_an_equi_join(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in text and "NestedLoop" not in text
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "outer"])
+def test_hot_keys_are_split(spark, how):
+    """A key that holds a third of the rows is cut into several tasks at run time."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        ids = spark.range(0, 200_000, 1, 16)
+        left = ids.select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+        right = spark.range(0, 200_000, 2, 16).select(F.col("id").alias("k"), F.col("id").alias("w"))
+        joined = joins.join_on_keys(left, right, "k", "k", how)
+        rows = joined.collect()
+        keys, names = [0 if i % 3 == 0 else i for i in range(200_000)], set(range(0, 200_000, 2))
+        matched = sum(k in names for k in keys)
+        assert len(rows) == {"left": 200_000, "inner": matched, "outer": 200_000 + len(names - set(keys))}[how]
+        assert "skew=true" in plan(joined)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
