@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismtally.llm import linededup, mixing, packing, quality, simhash
+from prismtally.llm import ann, htmltext, linededup, mixing, packing, quality, simhash, substring, urls, warc
 from prismtally.llm.common import table
+from prismtally.session import scratch_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"  # the ranks of byte_bpe_50k.json
 SPECIAL = {"<|endoftext|>": 50256}
@@ -21,12 +22,78 @@ def query(fn):
     return fn
 
 
+URL_RULES = [
+    urls.parse_rule("org/", urls.ALLOW),
+    urls.parse_rule("example.org/es/", urls.BLOCK),
+    urls.parse_rule("example.org/en/1", urls.BLOCK),
+    urls.parse_rule("com/fr/", urls.ALLOW),
+    urls.parse_rule("com/de/", urls.BLOCK),
+]
+
+# A small labelled url table: words of hosts that training corpora block, and of hosts and paths that they keep.
+BLOCKED_WORDS = (
+    "casino win jackpot slots poker bets betting bonus pills pharmacy viagra cheap discount loans payday adult sex porn xxx cams escort "
+    "spam farm links seo ads track tracker popunder banner click torrent warez crack keygen replica lottery free"
+).split()
+KEPT_WORDS = (
+    "news blog journal library museum school college science history garden recipes travel weather sport music books review forum help docs "
+    "health council village city river mountain castle theatre film radio paper market bakery studio design photo craft"
+).split()
+
+
+def labelled_urls(spark: SparkSession) -> DataFrame:
+    """``url, blocked``: hosts made of two listed words under neutral names and paths."""
+    rows = []
+    for words, blocked in ((BLOCKED_WORDS, 1), (KEPT_WORDS, 0), (KEPT_WORDS, 0)):
+        for k, word in enumerate(words):
+            other = words[(k + 7 + len(rows) % 5) % len(words)]
+            front = ("", "www.", "m.", "blog.")[k % 4]
+            end = ("com", "net", "org")[k % 3]
+            lang = ("en", "de", "fr", "es")[k % 4]
+            host = f"{word}-{other}" if blocked or k % 2 else word + other
+            rows.append((f"https://{front}{host}.example.{end}/{lang}/{100 + 13 * k}", blocked))
+    return spark.createDataFrame(rows, "url string, blocked int")
+
+
+@query
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extracted(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 @query
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=2)
     return found.select("doc_id", simhash.hex_text(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.without_repeats(table(spark, sf_dir, "documents"), window=50, with_text=False)
+
+
+ORACLES["op3_substring_dedup"] = r"""
+  WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+  w AS (SELECT doc_id, i, array_to_string(words[i : i + 49], ' ') AS body
+        FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM d WHERE len(words) >= 50)),
+  g AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY body) AS least FROM w) WHERE least < doc_id),
+  r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM g),
+  k AS (SELECT doc_id, list(i) AS gone FROM r GROUP BY doc_id),
+  t AS (SELECT d.doc_id, unnest(d.words) AS word, unnest(range(1, len(d.words) + 1)) AS i FROM d),
+  s AS (SELECT t.doc_id, string_agg(t.word, ' ' ORDER BY t.i) AS kept, count(*) AS n_kept FROM t ANTI JOIN r ON t.doc_id = r.doc_id AND t.i = r.i GROUP BY t.doc_id)
+  SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(len(k.gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256
+  FROM d LEFT JOIN k ON d.doc_id = k.doc_id LEFT JOIN s ON d.doc_id = s.doc_id"""
+
+
+@query
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri = scratch_path(spark, "warc")
+    warc.write_pages(table(spark, sf_dir, "pages"), uri)
+    records = warc.read_records(spark, uri).where(F.col("record_type").isin("response", "revisit"))
+    size = F.coalesce(F.length("payload").cast("long"), F.col("payload_bytes"))
+    first = F.expr(r"try_cast(regexp_extract(refers_to, '<urn:page:(-?[0-9]+)>', 1) AS BIGINT)")
+    return records.select("page_id", size.alias("payload_bytes"), "payload_digest", "record_type", first.alias("refers_to"))
+
+
 @query
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(
@@ -35,6 +102,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.placed(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -63,6 +135,12 @@ ORACLES["op8_line_dedup"] = f"""
   FROM r GROUP BY doc_id"""
 
 
+@query
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = urls.fit_urls(labelled_urls(spark))
+    return urls.judged(table(spark, sf_dir, "pages"), URL_RULES, model).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mixed(table(spark, sf_dir, "documents"))
