@@ -2,8 +2,8 @@
 
 Centroids come from balanced bisection of a bounded sample; a graph that links each centroid to near ones finds the nearest
 centroids of a vector in a few hops. Every vector goes to its nearest list, and a vector near a border also to the
-other lists whose centroid is about as near, unless a list it already has lies between. A query reads the lists whose
-centroid is within a ratio of its nearest one's distance. Lists that fill up beyond a bound are dealt in blocks, and
+other lists whose centroid is about as near. A query reads the lists whose centroid is within a ratio of its nearest
+one's distance, however many they are. Lists that fill up beyond a bound are dealt in blocks, and
 each block gives its best rows per query, so a task holds one block and the queries that read it.
 """
 
@@ -20,21 +20,22 @@ from pyspark.sql import functions as F
 from prismtally.llm.common import Batches, rows_of, stored
 
 SAMPLE = 20_000  # rows that the centroids are fitted on
-LIST_ROWS = 200
+LIST_ROWS = 400
 MAX_LISTS = 4096  # centroids are broadcast: 4096 of them at most, whatever the table holds
 DEGREE = 16
 BLOCK_ROWS = 4000
+STRIDE = 8  # steps of a walk per round
 
 
 @dataclass(frozen=True)
 class Search:
-    """Parameters of assignment (``replicas``, ``border``) and of queries (``probes``, ``reach``)."""
+    """``replicas`` lists at most hold a vector, those within ``border`` times its nearest centroid's distance; a query
+    reads the lists within ``reach`` times. ``beam`` candidates are kept open in a walk."""
 
-    replicas: int = 4
+    replicas: int = 6
     border: float = 1.1
-    probes: int = 48
-    reach: float = 1.35
-    beam: int = 64
+    reach: float = 1.12
+    beam: int = 24
 
 
 def usable_vectors(table: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -88,55 +89,50 @@ class CentroidGraph:
         self.links = links
         self.entries = np.unique(np.linspace(0, k - 1, min(k, 16)).astype(np.int64))
 
-    def nearest(self, vectors: np.ndarray, count: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lists and distances of the ``count`` nearest centroids that a best-first walk finds, nearest first."""
+    def near(self, vectors: np.ndarray, beam: int, reach: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Distances to the centroids a best-first walk meets (others are infinite) and to the nearest of them.
+
+        All vectors walk at once, a few steps of each per round. A walk goes on while it has an unvisited centroid among
+        its ``beam`` nearest or within ``reach`` times its nearest one.
+        """
         k, n = len(self.centroids), len(vectors)
-        count, beam = min(count, k), min(max(beam, count), k)
-        rows = np.arange(n)
+        beam, stride = min(beam, k), min(STRIDE, k)
+        squares, own = (self.centroids**2).sum(axis=1), (vectors**2).sum(axis=1)
         seen = np.full((n, k), np.inf)
         seen[:, self.entries] = distances(vectors, self.centroids[self.entries])
-        open_ = np.where(np.isfinite(seen), seen, np.inf)
-        live = rows
+        closed = np.zeros((n, k), bool)
+        live = np.arange(n)
         while len(live):
-            best = np.argmin(open_[live], axis=1)
-            value = open_[live, best]
-            edge = np.partition(seen[live], beam - 1, axis=1)[:, beam - 1]
-            going = np.isfinite(value) & (value <= edge)
-            live, best = live[going], best[going]
-            if not len(live):
+            now = seen[live]
+            edge = np.maximum(np.partition(now, beam - 1, axis=1)[:, beam - 1], reach * now.min(axis=1))
+            waiting = np.where(closed[live] | (now > edge[:, None]), np.inf, now)
+            best = np.argpartition(waiting, stride - 1, axis=1)[:, :stride]
+            row, spot = np.nonzero(np.isfinite(np.take_along_axis(waiting, best, axis=1)))
+            if not len(row):
                 break
-            open_[live, best] = np.inf
-            targets = self.links[best]
-            for column in range(targets.shape[1]):
-                t = targets[:, column]
-                new = ~np.isfinite(seen[live, t])
-                r, c = live[new], t[new]
-                d = np.sqrt(((vectors[r] - self.centroids[c]) ** 2).sum(axis=1))
-                seen[r, c] = d
-                open_[r, c] = d
-        order = np.argsort(seen, axis=1, kind="stable")[:, :count]
-        return order, np.take_along_axis(seen, order, axis=1)
+            centre = best[row, spot]
+            closed[live[row], centre] = True
+            code = np.unique((live[row][:, None] * k + self.links[centre]).ravel())
+            r, c = code // k, code % k
+            new = ~np.isfinite(seen[r, c])
+            r, c = r[new], c[new]
+            dots = np.einsum("nd,nd->n", vectors[r], self.centroids[c])
+            seen[r, c] = np.sqrt(np.maximum(own[r] - 2 * dots + squares[c], 0))
+            live = live[np.unique(row)]
+        return seen, seen.min(axis=1)
 
 
 def chosen_lists(graph: CentroidGraph, vectors: np.ndarray, search: Search) -> list[list[int]]:
-    """Lists that hold each vector: the nearest one, then border lists that no chosen list shadows."""
-    lists, dist = graph.nearest(vectors, search.replicas * 4, search.beam)
-    out = []
-    for row, d in zip(lists, dist, strict=True):
-        kept = [int(row[0])]
-        for at in range(1, len(row)):
-            if len(kept) >= search.replicas or not d[at] <= search.border * d[0] + 1e-12:
-                break
-            gaps = ((graph.centroids[kept] - graph.centroids[row[at]]) ** 2).sum(axis=1)
-            if (gaps > d[at] ** 2).all():
-                kept.append(int(row[at]))
-        out.append(kept)
-    return out
+    """Lists that hold each vector, nearest first: the nearest one and the others on whose border it lies."""
+    seen, least = graph.near(vectors, search.beam)
+    order = np.argsort(seen, axis=1, kind="stable")[:, : search.replicas]
+    inside = np.take_along_axis(seen, order, axis=1) <= search.border * least[:, None] + 1e-12
+    return [row[ok].tolist() for row, ok in zip(order, inside, strict=True)]
 
 
 def probed_lists(graph: CentroidGraph, vectors: np.ndarray, search: Search) -> list[list[int]]:
-    lists, dist = graph.nearest(vectors, search.probes, search.beam)
-    return [row[np.isfinite(d) & (d <= search.reach * d[0] + 1e-12)].tolist() for row, d in zip(lists, dist, strict=True)]
+    seen, least = graph.near(vectors, search.beam, search.reach)
+    return [np.flatnonzero(row <= search.reach * d + 1e-12).tolist() for row, d in zip(seen, least, strict=True)]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
