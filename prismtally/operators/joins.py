@@ -40,14 +40,22 @@ def key_kind(df: DataFrame, column: str) -> str:
 
 
 def normalised_key(df: DataFrame, column: str, kind: str) -> Column:
+    """The key as a number, a time or stripped text; null only where the cell is missing.
+
+    A text among numbers or times that does not parse compares by its text, after a letter no parsed key begins with.
+    """
     if kind == "whole":
         return col(column).cast("long")
+    text = strip(as_text(df, column))
+    if kind not in ("number", "datetime"):
+        return text
+    textual = isinstance(field_type(df, column), T.StringType)
     if kind == "number":
-        text = isinstance(field_type(df, column), T.StringType)
-        return parse_number(strip(col(column))) if text else number(df, column)
-    if kind == "datetime":
-        return moment(df, column)
-    return strip(as_text(df, column))
+        # Adding zero makes one key of 0.0 and -0.0.
+        parsed = parse_number(text) + F.lit(0.0) if textual else number(df, column) + F.lit(0.0)
+    else:
+        parsed = moment(df, column)
+    return F.coalesce(F.concat(F.lit("="), parsed.cast("string")), F.concat(F.lit("t"), text))
 
 
 def common_kind(left: str, right: str) -> str:
@@ -62,27 +70,32 @@ def common_kind(left: str, right: str) -> str:
     return "text"
 
 
+def check_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str) -> None:
+    """All that is wrong with the arguments of a join, in one message."""
+    wrong = [f"{side} side has no column {key!r}" for side, df, key in (("left", left, left_key), ("right", right, right_key)) if key not in df.columns]
+    if how not in JOIN_TYPES:
+        wrong.append(f"{how!r} is none of {', '.join(JOIN_TYPES)}")
+    if wrong:
+        raise ValueError(f"Cannot join: {'; '.join(wrong)}.")
+
+
 def join_on_keys(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "left") -> DataFrame:
-    """Null keys match each other; both key columns stay; clashing names on the right get a suffix.
+    """Both key columns stay; clashing names on the right get a suffix.
 
-    Written as a null-safe equi-join, so Catalyst picks broadcast or sort-merge by size and AQE
-    splits hot keys. A full outer join cannot be split that way and is therefore put together
-    from a left join and the unmatched right rows.
+    A missing key matches nothing: such rows of the left side stay with an empty right side (none in an inner
+    join), those of the right side appear in an outer join only. So the output grows with the matches of real keys. Written as
+    an equi-join, Catalyst picks broadcast or sort-merge by size and AQE splits hot keys. A full outer join cannot be split that
+    way and is therefore put together from a left join and the unmatched right rows.
     """
-    if how not in JOIN_TYPES:
-        raise ValueError("Join type must be left, inner, or outer.")
-    if left_key not in left.columns:
-        raise ValueError(f"Left key '{left_key}' was not found.")
-    if right_key not in right.columns:
-        raise ValueError(f"Right key '{right_key}' was not found.")
+    check_join(left, right, left_key, right_key, how)
     kind = common_kind(key_kind(left, left_key), key_kind(right, right_key))
     renamed = [c + CLASH_SUFFIX if c in left.columns else c for c in right.columns]
     l_side = left.withColumn("__lk", normalised_key(left, left_key, kind))
     r_side = right.withColumn("__rk", normalised_key(right, right_key, kind)).toDF(*renamed, "__rk")
-    same = F.col("__lk").eqNullSafe(F.col("__rk"))
+    same = F.col("__lk") == F.col("__rk")
     joined = l_side.join(r_side, same, "inner" if how == "inner" else "left").drop("__lk", "__rk")
     if how != "outer":
         return joined
-    known = l_side.select("__lk").distinct()
+    known = l_side.select("__lk").where("__lk IS NOT NULL").distinct()
     unmatched = r_side.join(known, same, "left_anti").drop("__rk")
     return joined.unionByName(unmatched, allowMissingColumns=True)

@@ -13,12 +13,25 @@ from prismtally.functions.columns import as_text, col, field_type, moment, numbe
 
 @dataclass(frozen=True)
 class AppendResult:
-    """The refreshed rows (lazy), how they came about, and why."""
+    """The refreshed rows (lazy), how they came about, and why; the cursor column where one was used."""
 
     frame: DataFrame
     mode: str
     reason: str
     added: DataFrame | None = None
+    cursor: str | None = None
+
+
+APPENDED = "Rows beyond the cursor were added to the rows held."
+
+
+def append_obstacle(current: DataFrame, source: DataFrame, cursor: str | None) -> str:
+    """Why rows cannot be appended, or an empty text."""
+    if current.columns != source.columns:
+        gone, new = (sorted(set(a.columns) - set(b.columns)) for a, b in ((current, source), (source, current)))
+        changed = "; ".join(f"{what}: {', '.join(names)}" for what, names in (("missing now", gone), ("new", new)) if names)
+        return f"The columns changed ({changed or 'order'})."
+    return "" if cursor in current.columns else f"There is no cursor column {cursor!r}."
 
 
 def incremental_append(
@@ -40,18 +53,12 @@ def incremental_append(
     ``newest`` is the part of ``current`` known to hold its largest cursor, if there is one; the
     cursor is then read from that part alone.
     """
-    if not cursor:
-        return AppendResult(source, "full_fallback", "Incremental refresh requires a cursor column.")
-    if cursor not in source.columns or cursor not in current.columns:
-        reason = f"Incremental column '{cursor}' is not available in both snapshots."
-        return AppendResult(source, "full_fallback", reason)
-    if current.columns != source.columns:
-        reason = "Schema drift changed column order or shape, so a full refresh was used."
-        return AppendResult(source, "full_fallback", reason)
+    obstacle = append_obstacle(current, source, cursor)
+    if obstacle:
+        return AppendResult(source, "full_fallback", obstacle)
     added = new_rows(current, source, cursor, newest)
     held = current if current_distinct else current.dropDuplicates()
-    reason = "Only newly detected rows were appended to the existing materialized dataset."
-    return AppendResult(held.unionByName(added), "incremental", reason, added)
+    return AppendResult(held.unionByName(added), "incremental", APPENDED, added, cursor)
 
 
 def new_rows(current: DataFrame, source: DataFrame, cursor: str, newest: DataFrame | None = None) -> DataFrame:
@@ -91,12 +98,15 @@ def _beyond(current: DataFrame, source: DataFrame, held, incoming) -> DataFrame:
 
 
 def append_details(result: AppendResult, current: DataFrame) -> DataFrame:
-    """Mode, reason and rows added (negative when the old data held duplicates); one row."""
+    """Mode, reason, rows added (negative when the old data held duplicates), cursor column and its largest value; one row."""
     before = F.lit(0).cast("long") if result.mode != "incremental" else current.agg(F.count(F.lit(1))).scalar()
-    return result.frame.agg(F.count(F.lit(1)).alias("rows")).select(
+    latest = F.max(col(result.cursor)).cast("string") if result.cursor else F.lit(None).cast("string")
+    return result.frame.agg(F.count(F.lit(1)).alias("rows"), latest.alias("cursor_value")).select(
         F.lit(result.mode).alias("mode"),
         F.lit(result.reason).alias("reason"),
         (F.col("rows") - before).alias("rows_added"),
+        F.lit(result.cursor).cast("string").alias("cursor_column"),
+        "cursor_value",
     )
 
 

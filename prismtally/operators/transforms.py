@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,46 +56,56 @@ def drop_sparse_columns(df: DataFrame, threshold: float = SPARSE_DEFAULT) -> Dat
     return df.select(*[col(c) for i, c in enumerate(df.columns) if row[i] is not None and row[i] <= threshold])
 
 
+DATE_PARTS = {
+    "year": F.year,
+    "quarter": F.quarter,
+    "month": F.month,
+    "month_name": lambda when: F.date_format(when, "MMMM"),
+}
+
+
 def create_date_parts(df: DataFrame, column: str, prefix: str | None = None) -> DataFrame:
     if column not in df.columns:
-        raise ValueError("Choose a valid date column first.")
+        raise ValueError(f"There is no column {column!r} to take dates from.")
     when = moment(df, column)
-    if df.select(when.alias("t")).where(F.col("t").isNotNull()).isEmpty():
-        raise ValueError("The selected column could not be interpreted as dates.")
-    prefix = prefix or column
-    return df.withColumns(
-        {
-            f"{prefix}_year": F.year(when),
-            f"{prefix}_quarter": F.quarter(when),
-            f"{prefix}_month": F.month(when),
-            f"{prefix}_month_name": F.date_format(when, "MMMM"),
-        }
-    )
+    if df.where(when.isNotNull()).isEmpty():
+        raise ValueError(f"No value of {column!r} reads as a date.")
+    return df.withColumns({f"{prefix or column}_{part}": cut(when) for part, cut in DATE_PARTS.items()})
+
+
+# Doubles follow IEEE rules and do not raise; only division needs its zero guarded.
+OPERATORS: dict[str, Callable[[Column, Column], Column]] = {
+    "+": lambda a, b: a + b,
+    "-": lambda a, b: a - b,
+    "*": lambda a, b: a * b,
+    "/": F.try_divide,
+}
+
+
+def _operand(df: DataFrame, value, mode: str) -> Column:
+    """A column by name or a constant, as doubles."""
+    if mode != "column":
+        return F.lit(float(value))
+    if value not in df.columns:
+        raise KeyError(value)
+    return number(df, value)
 
 
 def create_calculated_column(
     df: DataFrame, new_column: str, left: str, operator: str, right_value, right_mode: str = "column"
 ) -> DataFrame:
-    new_column = (new_column or "").strip()
-    if not new_column:
-        raise ValueError("Enter a name for the calculated column.")
-    if not left or left not in df.columns:
-        raise ValueError("Choose a valid left-side column.")
-    if operator not in ("+", "-", "*", "/"):
-        raise ValueError("Choose a supported arithmetic operator.")
-    if right_mode == "column":
-        if not right_value or right_value not in df.columns:
-            raise ValueError("Choose a valid right-side column.")
-        b = number(df, right_value)
-    else:
-        try:
-            b = F.lit(float(right_value))
-        except (TypeError, ValueError):
-            raise ValueError("Enter a numeric constant for the right side.") from None
-    a = number(df, left)
-    # Doubles follow IEEE rules and do not raise; only division needs its zero guarded.
-    value = {"+": a + b, "-": a - b, "*": a * b}.get(operator)
-    return df.withColumn(new_column, F.try_divide(a, b) if value is None else value)
+    """``left operator right`` as a new column, the right side being a column or a constant."""
+    name = (new_column or "").strip()
+    try:
+        combine = OPERATORS[operator]
+        value = combine(_operand(df, left, "column"), _operand(df, right_value, right_mode))
+    except KeyError as unknown:
+        raise ValueError(f"{unknown.args[0]!r} is neither a column of the dataset nor one of {' '.join(OPERATORS)}.") from None
+    except (TypeError, ValueError):
+        raise ValueError(f"The constant {right_value!r} is not a number.") from None
+    if not name:
+        raise ValueError("The new column needs a name.")
+    return df.withColumn(name, value)
 
 
 # Operation names of the persisted steps and the options each one takes.
@@ -114,5 +124,31 @@ STEPS: dict[str, Callable[[DataFrame, dict], DataFrame]] = {
 
 def apply_transform(df: DataFrame, operation: str, options: dict | None = None) -> DataFrame:
     if operation not in STEPS:
-        raise ValueError("Unsupported transform operation.")
+        raise ValueError(f"{operation!r} is none of the transforms {', '.join(STEPS)}.")
     return STEPS[operation](df, options or {})
+
+
+def transform_report(before: DataFrame, after: DataFrame, operation: str) -> DataFrame:
+    """What a step did, as one row: rows and columns before and after, rows removed, columns added and dropped, cells filled.
+
+    One aggregate per side; the cells are those missing before and present after in the columns that both have.
+    """
+    shared = [c for c in before.columns if c in after.columns]
+
+    def totals(df: DataFrame) -> DataFrame:
+        missing = sum((F.count_if(present(df, c).isNull()) for c in shared), F.lit(0))
+        return df.agg(F.count(F.lit(1)).alias("rows"), missing.cast("long").alias("missing"))
+
+    old, new = totals(before), totals(after)
+    names = lambda some: F.array(*map(F.lit, some)).cast("array<string>")
+    rows = new.select(F.lit(operation).alias("operation"), old.select("rows").scalar().alias("rows_before"), F.col("rows").alias("rows_after"), F.col("missing"), old.select("missing").scalar().alias("was"))
+    removed = F.col("rows_before") - F.col("rows_after")
+    return rows.select(
+        "operation",
+        "rows_before",
+        "rows_after",
+        removed.alias("rows_removed"),
+        names([c for c in after.columns if c not in before.columns]).alias("columns_added"),
+        names([c for c in before.columns if c not in after.columns]).alias("columns_dropped"),
+        F.when(removed == 0, F.col("was") - F.col("missing")).otherwise(0).alias("cells_filled"),
+    )

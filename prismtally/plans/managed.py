@@ -48,6 +48,36 @@ def materialise(spark: SparkSession, dataset: ManagedDataset) -> ManagedDataset:
     return replace(dataset, versions=(write_version(source, dataset.base),), schema=tuple(schema_snapshot(source)))
 
 
+@dataclass(frozen=True)
+class Refreshed:
+    """Rows of a refresh and where they go: as a new snapshot, or (``added``) beside the held versions."""
+
+    frame: DataFrame
+    mode: str
+    reason: str
+    added: DataFrame | None = None
+
+
+def _read(spark: SparkSession, record: DatasetRecord) -> DataFrame:
+    return read_dataset(spark, record.stored_path, table=record.source_table)
+
+
+def _appended(spark: SparkSession, dataset: ManagedDataset, cursor: str | None) -> Refreshed:
+    # Added versions only hold rows beyond all earlier ones, so the last one holds the cursor.
+    newest = spark.read.parquet(dataset.versions[-1]) if dataset.distinct else None
+    result = incremental_append(current(spark, dataset), _read(spark, dataset.record), cursor, dataset.distinct, newest)
+    return Refreshed(result.frame, result.mode, result.reason, result.added if dataset.distinct else None)
+
+
+def _replaced(spark: SparkSession, record: DatasetRecord, catalog: Mapping[str, DatasetRecord]) -> Refreshed:
+    """The whole source again: by lineage where the record has one and a catalog is given, else from its path."""
+    if record.source_type not in SOURCE_TYPES and catalog and can_rebuild(record):
+        return Refreshed(rebuild(spark, catalog, record.id), "pipeline_rebuild", "Built again from its lineage.")
+    if not record.stored_path:
+        raise ValueError(f"Record {record.id!r} has neither a lineage nor a path to refresh from.")
+    return Refreshed(_read(spark, record), "full", "Read again from its path.")
+
+
 def refresh(
     spark: SparkSession,
     dataset: ManagedDataset,
@@ -56,35 +86,21 @@ def refresh(
     catalog: Mapping[str, DatasetRecord] | None = None,
 ) -> RefreshOutcome:
     """Write the refreshed data and return the dataset pointing at it; an empty result cancels."""
-    record = dataset.record
     if mode == "incremental":
         dataset = materialise(spark, dataset)
-        source = read_dataset(spark, record.stored_path, table=record.source_table)
-        # Added versions only hold rows beyond all earlier ones, so the last one holds the cursor.
-        newest = spark.read.parquet(dataset.versions[-1]) if dataset.distinct else None
-        result = incremental_append(current(spark, dataset), source, cursor, dataset.distinct, newest)
-        frame, mode, reason = result.frame, result.mode, result.reason
-        if dataset.distinct and result.added is not None:
-            added = () if result.added.isEmpty() else (write_version(result.added, dataset.base),)
-            grown = replace(dataset, versions=dataset.versions + added)
-            return RefreshOutcome(grown, mode, reason, _drift(spark, dataset, list(dataset.schema)))
-    elif record.source_type in SOURCE_TYPES:
-        frame = read_dataset(spark, record.stored_path, table=record.source_table)
-        mode, reason = "full", "A full refresh replaced the managed dataset snapshot."
-    elif can_rebuild(record) and catalog:
-        frame = rebuild(spark, catalog, record.id)
-        mode, reason = "pipeline_rebuild", "The dataset was rebuilt from its saved transform pipeline."
-    elif record.stored_path:
-        frame = read_dataset(spark, record.stored_path, table=record.source_table)
-        mode, reason = "full", "The current stored dataset snapshot was re-read as a full refresh."
+        new = _appended(spark, dataset, cursor)
     else:
-        raise ValueError("This dataset cannot be refreshed because its source definition is incomplete.")
-    if frame.isEmpty():
-        raise ValueError("The refreshed dataset is empty, so the refresh was cancelled.")
-    fields = schema_snapshot(frame)
-    path = write_version(frame, dataset.base)
-    written = replace(dataset, versions=(path,), schema=tuple(fields), distinct=mode == "incremental")
-    return RefreshOutcome(written, mode, reason, _drift(spark, dataset, fields))
+        new = _replaced(spark, dataset.record, catalog or {})
+    if new.added is not None:
+        added = () if new.added.isEmpty() else (write_version(new.added, dataset.base),)
+        grown = replace(dataset, versions=dataset.versions + added)
+        return RefreshOutcome(grown, new.mode, new.reason, _drift(spark, dataset, list(dataset.schema)))
+    if new.frame.isEmpty():
+        raise ValueError(f"Nothing to write: the refresh of {dataset.record.id!r} has no rows.")
+    fields = schema_snapshot(new.frame)
+    path = write_version(new.frame, dataset.base)
+    written = replace(dataset, versions=(path,), schema=tuple(fields), distinct=new.mode == "incremental")
+    return RefreshOutcome(written, new.mode, new.reason, _drift(spark, dataset, fields))
 
 
 def _drift(spark: SparkSession, dataset: ManagedDataset, fields: list[tuple[str, str]]) -> DataFrame:

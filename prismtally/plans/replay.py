@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,67 +38,68 @@ class DatasetRecord:
     row_policies: tuple[dict, ...] = field(default=())
 
 
+class Lineage:
+    """Builds records of a catalog, each once, so shared parents are one plan and Catalyst can reuse its exchanges."""
+
+    def __init__(self, spark: SparkSession, catalog: Mapping[str, DatasetRecord]) -> None:
+        self.spark, self.catalog, self.built = spark, catalog, {}
+
+    def frame(self, record_id: str | None, wanted_by: str = "the caller") -> DataFrame:
+        if record_id not in self.catalog:
+            raise ValueError(f"No record {record_id!r} in the catalog, which {wanted_by} needs.")
+        if record_id not in self.built:
+            record = self.catalog[record_id]
+            builder = BUILDERS.get(record.source_type)
+            if builder is None or not builder.needs(record):
+                raise ValueError(f"Record {record.id!r} of type {record.source_type!r} does not say how to build it.")
+            self.built[record_id] = builder.build(self, record)
+        return self.built[record_id]
+
+
+@dataclass(frozen=True)
+class Builder:
+    """What a record of one source type must have, and how its frame is made."""
+
+    needs: Callable[[DatasetRecord], bool]
+    build: Callable[[Lineage, DatasetRecord], DataFrame]
+
+
+def _stored(lineage: Lineage, record: DatasetRecord) -> DataFrame:
+    return read_dataset(lineage.spark, record.stored_path, table=record.source_table)
+
+
+def _derived(lineage: Lineage, record: DatasetRecord) -> DataFrame:
+    """The last step on the parent; earlier steps are the parents' own."""
+    step = record.steps[-1]
+    if step.get("kind") != "transform":
+        raise ValueError(f"The last step of record {record.id!r} is no transform.")
+    return apply_transform(lineage.frame(record.parent_dataset_id, record.id), step.get("operation"), step.get("options"))
+
+
+def _joined(lineage: Lineage, record: DatasetRecord) -> DataFrame:
+    spec = record.join
+    sides = [lineage.frame(i, record.id) for i in (spec.left_dataset_id, spec.right_dataset_id)]
+    return join_on_keys(*sides, spec.left_column, spec.right_column, spec.join_type)
+
+
+BUILDERS: dict[str, Builder] = {
+    **dict.fromkeys(SOURCE_TYPES, Builder(lambda r: r.stored_path is not None, _stored)),
+    "derived": Builder(lambda r: bool(r.steps and r.parent_dataset_id), _derived),
+    "joined": Builder(lambda r: bool(r.join and r.join.left_dataset_id and r.join.right_dataset_id), _joined),
+    "rebuilt": Builder(lambda r: bool(r.parent_dataset_id), lambda lineage, r: lineage.frame(r.parent_dataset_id, r.id)),
+}
+
+
 def can_rebuild(record: DatasetRecord | None) -> bool:
-    if record is None:
+    """Whether a record says all that its builder needs; uploads and samples are always read anew."""
+    if record is None or record.source_type not in BUILDERS:
         return False
-    if record.source_type in SOURCE_TYPES:
-        return True
-    if record.source_type == "derived":
-        return bool(record.steps) and bool(record.parent_dataset_id)
-    if record.source_type == "joined":
-        return bool(record.join and record.join.left_dataset_id and record.join.right_dataset_id)
-    return record.source_type == "rebuilt" and bool(record.parent_dataset_id)
-
-
-def _parent(catalog: Mapping[str, DatasetRecord], record_id: str | None, error: str) -> DatasetRecord:
-    if not record_id or record_id not in catalog:
-        raise ValueError(error)
-    return catalog[record_id]
-
-
-def rebuild(
-    spark: SparkSession,
-    catalog: Mapping[str, DatasetRecord],
-    record_id: str,
-    built: dict[str, DataFrame] | None = None,
-) -> DataFrame:
-    """The lazy DataFrame of a record, composed over its lineage.
-
-    Records are built once per call and the same DataFrame is reused for shared parents, so
-    Catalyst sees one plan and can reuse its exchanges. A derived record applies its last step
-    to its rebuilt parent.
-    """
-    built = {} if built is None else built
-    if record_id in built:
-        return built[record_id]
-    record = _parent(catalog, record_id, "The dataset could not be found.")
-    if record.source_type == "rebuilt":
-        parent = _parent(catalog, record.parent_dataset_id, "The parent dataset for this rebuild could not be found.")
-        df = rebuild(spark, catalog, parent.id, built)
-    elif record.source_type == "derived":
-        parent = _parent(catalog, record.parent_dataset_id, "The parent dataset for this transform could not be found.")
-        base = rebuild(spark, catalog, parent.id, built)
-        step = record.steps[-1] if record.steps else {}
-        if step.get("kind") != "transform":
-            raise ValueError("This dataset does not contain a replayable transform definition.")
-        df = apply_transform(base, step.get("operation"), step.get("options") or {})
-    elif record.source_type == "joined" and record.join:
-        missing = "One of the joined source datasets is no longer available."
-        left = _parent(catalog, record.join.left_dataset_id, missing)
-        right = _parent(catalog, record.join.right_dataset_id, missing)
-        df = join_on_keys(
-            rebuild(spark, catalog, left.id, built),
-            rebuild(spark, catalog, right.id, built),
-            record.join.left_column,
-            record.join.right_column,
-            record.join.join_type,
-        )
-    elif record.stored_path:
-        df = read_dataset(spark, record.stored_path, table=record.source_table)
-    else:
-        raise ValueError(f"Unsupported dataset source type for rebuild: {record.source_type}")
-    built[record_id] = df
-    return df
+    return record.source_type in SOURCE_TYPES or BUILDERS[record.source_type].needs(record)
+
+
+def rebuild(spark: SparkSession, catalog: Mapping[str, DatasetRecord], record_id: str) -> DataFrame:
+    """The lazy DataFrame of a record, composed over its lineage."""
+    return Lineage(spark, catalog).frame(record_id)
 
 
 def join_datasets(

@@ -25,7 +25,7 @@ def _right(spark, sf):
 _SIDES = """WITH l AS (SELECT o_orderkey, CASE WHEN o_orderkey % 50 <> 0 THEN o_custkey END AS custkey, o_totalprice FROM orders),
                  r AS (SELECT CASE WHEN c_custkey % 500 <> 3 THEN c_custkey END AS custkey, c_name, c_mktsegment FROM customer)
             SELECT o_orderkey, l.custkey AS custkey, o_totalprice, r.custkey AS custkey_related, c_name, c_mktsegment
-            FROM l {how} JOIN r ON l.custkey IS NOT DISTINCT FROM r.custkey"""
+            FROM l {how} JOIN r ON l.custkey = r.custkey"""
 
 
 @query("J1_join_left", _SIDES.format(how="LEFT"))
@@ -41,7 +41,7 @@ def j1_inner(spark, sf):
 _FULL = """WITH l AS (SELECT o_orderkey, o_custkey + 100 AS custkey FROM orders),
                 r AS (SELECT CASE WHEN c_custkey % 500 <> 3 THEN c_custkey END AS custkey, c_name FROM customer)
            SELECT o_orderkey, l.custkey AS custkey, r.custkey AS custkey_related, c_name
-           FROM l FULL JOIN r ON l.custkey IS NOT DISTINCT FROM r.custkey"""
+           FROM l FULL JOIN r ON l.custkey = r.custkey"""
 
 
 @query("J1_join_outer", _FULL)
@@ -62,6 +62,30 @@ def j2(spark, sf):
     return joins.join_on_keys(left, right, "code", "c_custkey", "inner")
 
 
+@query(
+    "J2_odd_keys",
+    """WITH l AS (SELECT o_orderkey, CASE WHEN o_orderkey % 40 = 0 THEN NULL WHEN o_orderkey % 40 = 1 THEN 'odd ' || o_custkey
+                              ELSE CAST(o_custkey AS VARCHAR) || '.0' END AS code FROM orders),
+            r AS (SELECT CASE WHEN c_custkey % 20 = 0 THEN NULL WHEN c_custkey % 20 = 1 THEN 'odd ' || c_custkey || ' '
+                              ELSE ' ' || c_custkey END AS ref, c_mktsegment FROM customer),
+            k AS (SELECT *, coalesce(CAST(TRY_CAST(code AS DOUBLE) AS VARCHAR), 't' || trim(code)) AS lk FROM l),
+            m AS (SELECT *, coalesce(CAST(TRY_CAST(trim(ref) AS DOUBLE) AS VARCHAR), 't' || trim(ref)) AS rk FROM r)
+       SELECT o_orderkey, code, ref, c_mktsegment FROM k LEFT JOIN m ON lk = rk""",
+)
+def j2_odd(spark, sf):
+    """Number texts with missing keys and keys that are no numbers on both sides: a missing key matches nothing."""
+    order, customer = F.col("o_orderkey"), F.col("c_custkey")
+    left = table(spark, sf, "orders").select(
+        "o_orderkey",
+        F.when(order % 40 == 0, None).when(order % 40 == 1, F.concat(F.lit("odd "), "o_custkey")).otherwise(F.concat("o_custkey", F.lit(".0"))).alias("code"),
+    )
+    right = table(spark, sf, "customer").select(
+        F.when(customer % 20 == 0, None).when(customer % 20 == 1, F.concat(F.lit("odd "), "c_custkey", F.lit(" "))).otherwise(F.concat(F.lit(" "), "c_custkey")).alias("ref"),
+        "c_mktsegment",
+    )
+    return joins.join_on_keys(left, right, "code", "ref", "left")
+
+
 @query(
     "J2_text_keys",
     """SELECT c_custkey, ' ' || c_name || '  ' AS name_key, upper(c_mktsegment) AS segment
@@ -105,10 +129,10 @@ def j4(spark, sf):
 @query(
     "J4_key_candidates_lineitem",
     _key_sql("lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
-                          "l_discount", "l_tax", "l_returnflag", "l_linestatus"]),
+                          "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]),
 )
 def j4_lineitem(spark, sf):
-    return relationships.key_candidates(table(spark, sf, "lineitem").drop("l_shipdate")).drop("dataset_rows")
+    return relationships.key_candidates(table(spark, sf, "lineitem")).drop("dataset_rows")
 
 
 @query(

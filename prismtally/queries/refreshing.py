@@ -22,7 +22,7 @@ def r1(spark, sf):
 
 
 def _orders(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    return table(spark, sf, "orders")
 
 
 def _held(spark, sf):
@@ -31,7 +31,7 @@ def _held(spark, sf):
     return early.unionByName(early.where(F.col("o_orderkey") % 7 == 0))
 
 
-@query("R2_incremental_dates", "SELECT DISTINCT o_orderkey, o_orderstatus, o_totalprice, o_orderdate FROM orders")
+@query("R2_incremental_dates", "SELECT DISTINCT * FROM orders")
 def r2(spark, sf):
     return refresh.incremental_append(_held(spark, sf), _orders(spark, sf), "o_orderdate").frame
 
@@ -40,8 +40,9 @@ def r2(spark, sf):
     "R2_append_details",
     f"""WITH held AS (SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '{CUT}'),
              twice AS (SELECT * FROM held UNION ALL SELECT * FROM held WHERE o_orderkey % 7 = 0)
-        SELECT 'incremental' AS mode, 'Only newly detected rows were appended to the existing materialized dataset.' AS reason,
-               CAST((SELECT count(*) FROM orders) - (SELECT count(*) FROM twice) AS BIGINT) AS rows_added""",
+        SELECT 'incremental' AS mode, 'Rows beyond the cursor were added to the rows held.' AS reason,
+               CAST((SELECT count(*) FROM orders) - (SELECT count(*) FROM twice) AS BIGINT) AS rows_added,
+               'o_orderdate' AS cursor_column, (SELECT strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') FROM orders) AS cursor_value""",
 )
 def r2_details(spark, sf):
     held = _held(spark, sf)
@@ -64,19 +65,19 @@ def r2_numbers(spark, sf):
 
 @query(
     "R3_incremental_text",
-    """WITH held AS (SELECT c_name, c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING')
-       SELECT * FROM held UNION SELECT c_name, c_mktsegment FROM customer
+    """WITH held AS (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING')
+       SELECT * FROM held UNION SELECT * FROM customer
        WHERE c_mktsegment NOT IN (SELECT c_mktsegment FROM held)""",
 )
 def r3(spark, sf):
-    rows = table(spark, sf, "customer").select("c_name", "c_mktsegment")
+    rows = table(spark, sf, "customer")
     return refresh.incremental_append(rows.where("c_mktsegment <> 'BUILDING'"), rows, "c_mktsegment").frame
 
 
 @query(
     "R4_full_fallback",
-    """SELECT 'full_fallback' AS mode, 'Schema drift changed column order or shape, so a full refresh was used.' AS reason,
-              CAST(count(*) AS BIGINT) AS rows_added FROM orders""",
+    """SELECT 'full_fallback' AS mode, 'The columns changed (new: o_orderstatus).' AS reason,
+              CAST(count(*) AS BIGINT) AS rows_added, CAST(NULL AS VARCHAR) AS cursor_column, CAST(NULL AS VARCHAR) AS cursor_value FROM orders""",
 )
 def r4(spark, sf):
     held = _held(spark, sf).drop("o_orderstatus")
@@ -104,21 +105,23 @@ def r5(spark, sf):
 
 @query(
     "R6_schema_drift",
-    """WITH before AS (SELECT column_name AS c, column_type AS t FROM (DESCRIBE SELECT o_orderkey, o_custkey, o_orderstatus FROM orders)),
-            after AS (SELECT column_name AS c, column_type AS t FROM (DESCRIBE SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_totalprice AS margin FROM orders))
-       SELECT 'orders' AS dataset, coalesce(b.c, a.c) AS "column",
-              CASE WHEN b.c IS NULL THEN 'added' WHEN a.c IS NULL THEN 'removed' ELSE 'type_changed' END AS change,
-              CASE b.t WHEN 'VARCHAR' THEN 'string' ELSE lower(b.t) END AS previous, CASE a.t WHEN 'VARCHAR' THEN 'string' ELSE lower(a.t) END AS current
-       FROM before b FULL JOIN after a ON a.c = b.c WHERE a.t IS DISTINCT FROM b.t""",
+    """WITH c AS (SELECT user_id AS dataset, event_type AS "column", ts < TIMESTAMP '2024-01-16' AS old, max(CASE WHEN value > 40 THEN 'double' ELSE 'bigint' END) AS t
+                  FROM events GROUP BY 1, 2, 3),
+            b AS (SELECT * FROM c WHERE old), a AS (SELECT * FROM c WHERE NOT old)
+       SELECT CAST(coalesce(b.dataset, a.dataset) AS VARCHAR) AS dataset, coalesce(b."column", a."column") AS "column",
+              CASE WHEN b.t IS NULL THEN 'added' WHEN a.t IS NULL THEN 'removed' ELSE 'type_changed' END AS change, b.t AS previous, a.t AS current
+       FROM b FULL JOIN a ON a.dataset = b.dataset AND a."column" = b."column" WHERE a.t IS DISTINCT FROM b.t""",
 )
 def r6(spark, sf):
-    orders = table(spark, sf, "orders")
-    before = orders.select("o_orderkey", "o_custkey", "o_orderstatus")
-    after = orders.select("o_orderkey", F.col("o_custkey").cast("string").alias("o_custkey"), F.col("o_totalprice").alias("margin"))
-    return refresh.schema_changes(
-        refresh.snapshot_frame(spark, {"orders": refresh.schema_snapshot(before)}),
-        refresh.snapshot_frame(spark, {"orders": refresh.schema_snapshot(after)}),
+    """Two catalogs derived from the events: users are datasets, kinds of event their columns, before and after a day."""
+    seen = table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("dataset"),
+        F.col("event_type").alias("column"),
+        (F.col("ts") < F.to_timestamp_ntz(F.lit("2024-01-16 00:00:00"))).alias("old"),
+        F.when(F.col("value") > 40, "double").otherwise("bigint").alias("dtype"),
     )
+    fields = seen.groupBy("dataset", "column", "old").agg(F.max("dtype").alias("dtype"))
+    return refresh.schema_changes(fields.where("old").drop("old"), fields.where("NOT old").drop("old"))
 
 
 @query(
@@ -143,21 +146,6 @@ def r7(spark, sf):
     return refresh.freshness(catalog, times)
 
 
-_NAMES = ["customer", "documents", "events", "lineitem", "nation", "orders", "supplier"]
-
-
-@query(
-    "R8_sensitivity",
-    "WITH c AS (" + " UNION ALL ".join(f"SELECT '{t}' AS dataset, column_name AS name, column_type AS type FROM (DESCRIBE {t})" for t in _NAMES)
-    + """) SELECT dataset, CASE WHEN bool_or(type IN ('BIGINT', 'INTEGER', 'DOUBLE')) THEN 'General' ELSE 'Public' END AS label, '' AS hints
-       FROM c GROUP BY dataset""",
-)
-def r8(spark, sf):
-    """The schemas of the given tables; none of their names is sensitive."""
-    schemas = {t: refresh.schema_snapshot(table(spark, sf, t)) for t in _NAMES}
-    return governance.sensitivity_labels(refresh.snapshot_frame(spark, schemas))
-
-
 @query(
     "R8_sensitivity_catalog",
     """WITH c AS (SELECT CAST(event_id // 3 AS VARCHAR) AS dataset, event_type AS e, value > 20 AS num FROM events)
@@ -203,14 +191,14 @@ def r9_alerts(spark, sf):
     return governance.quality_risk(parts[0].unionByName(parts[1]))
 
 
-@query("R2_stream_refresh", "SELECT event_id, ts, user_id, event_type, value FROM events")
+@query("R2_stream_refresh", "SELECT * FROM events")
 def r2_stream(spark, sf):
-    """Half of the events are held as a managed version; the stream appends what lies beyond them."""
-    events = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    """Half of the events are held as a managed version; the rest arrives in several files, the newest first, one per batch."""
+    events = table(spark, sf, "events")
     base, landing = scratch_path(spark, "managed-events"), scratch_path(spark, "landing")
-    half = events.agg(F.floor(F.max("event_id") / 2)).scalar()
-    append_batch(events.where(F.col("event_id") <= half), base, "event_id")
-    events.write.parquet(landing)
-    run = refresh_available(spark, landing, events.schema, base, "event_id", scratch_path(spark, "progress"))
-    run.awaitTermination()
+    top = events.agg(F.max("event_id")).first()[0] or 0
+    append_batch(events.where(F.col("event_id") <= top // 2), base, "event_id")
+    for part in (3, 2, 1, 0):
+        events.where(F.floor(F.col("event_id") * 4 / (top + 1)) == part).coalesce(1).write.mode("append").parquet(landing)
+    refresh_available(spark, landing, events.schema, base, "event_id", scratch_path(spark, "progress"), max_files_per_batch=1)
     return snapshot(spark, base)

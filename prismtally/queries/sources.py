@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import sqlite3
-from collections.abc import Iterator
-from pathlib import Path
-
-import pandas as pd
 from pyspark.sql import functions as F
 
 from prismtally.operators.profile import preview
 from prismtally.operators.transforms import create_calculated_column
 from prismtally.plans.workbench import export_query
 from prismtally.queries.registry import query, table
-from prismtally.session import local_path, scratch_path
+from prismtally.session import scratch_path
 from prismtally.sources.readers import flatten_deep, flatten_json_text, read_dataset
 from prismtally.sources.writers import write_csv, write_version
 
@@ -33,15 +28,16 @@ def s2(spark, sf):
     return read_dataset(spark, path, "csv")
 
 
-@query(
-    "S3_tsv_scan",
-    "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity, l_extendedprice, l_returnflag FROM lineitem",
-)
+_LINEITEM = "l_orderkey, l_partkey, l_suppkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus"
+
+
+@query("S3_tsv_scan", f"SELECT {_LINEITEM}, strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate FROM lineitem")
 def s3(spark, sf):
     path = scratch_path(spark, "lineitem")
-    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag")
+    rows = table(spark, sf, "lineitem").withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd"))
     rows.write.option("header", True).option("sep", "\t").csv(path)
-    return read_dataset(spark, path, "tsv")
+    back = read_dataset(spark, path, "tsv", line_breaks=False)  # no text of lineitem has a line break
+    return back.withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd"))
 
 
 @query(
@@ -61,11 +57,11 @@ def s4(spark, sf):
     return read_dataset(spark, path, "json").select("key", "`customer.key`", "`state.code`", "`state.amount.total`")
 
 
-@query("S5_json_lines", "SELECT event_id, user_id, event_type, value, props FROM events")
+@query("S5_json_lines", "SELECT event_id, epoch_us(ts) AS ts, user_id, event_type, value, props FROM events")
 def s5(spark, sf):
     path = scratch_path(spark, "events")
-    table(spark, sf, "events").select("event_id", "user_id", "event_type", "value", "props").write.json(path)
-    return read_dataset(spark, path, "jsonl").select("event_id", "user_id", "event_type", "value", "props")
+    table(spark, sf, "events").withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp"))).write.json(path)
+    return read_dataset(spark, path, "jsonl").select("event_id", "ts", "user_id", "event_type", "value", "props")
 
 
 @query("S6_parquet_scan", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
@@ -73,35 +69,6 @@ def s6(spark, sf):
     return read_dataset(spark, f"{sf}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-@query("S7_sqlite_scan", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
-def s7(spark, sf):
-    """Every task writes its rows to a database file of its own in the shared folder; the source
-    then reads the folder of files in row-id ranges."""
-    folder = local_path(scratch_path(spark, "customer-sqlite"))
-    Path(folder).mkdir(parents=True)
-    ddl = "CREATE TABLE customer (c_custkey INTEGER, c_name TEXT, c_acctbal REAL, c_mktsegment TEXT)"
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        context = TaskContext.get()
-        name = f"{folder}/part-{context.partitionId():06d}-{context.taskAttemptId()}"
-        rows = 0
-        with sqlite3.connect(name + ".tmp") as db:
-            db.execute(ddl)
-            for pdf in batches:
-                db.executemany("INSERT INTO customer VALUES (?, ?, ?, ?)", pdf.itertuples(index=False, name=None))
-                rows += len(pdf)
-        db.close()
-        yield pd.DataFrame({"file": [name], "rows": [rows]})
-
-    rows = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
-    # Only the attempts that count are published: their names come back with the job's result.
-    for part in rows.mapInPandas(write, "file string, rows long").toLocalIterator():
-        Path(part["file"] + ".tmp").rename(part["file"] + ".sqlite")
-    return read_dataset(spark, folder, "sqlite", table="customer")
-
-
 @query(
     "S8_flatten_json",
     "SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS props_k FROM events",
@@ -131,20 +98,29 @@ def s8_lists(spark, sf):
 
 @query(
     "S9_csv_sink",
-    "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, round(l_extendedprice * l_discount, 4) AS rebate FROM lineitem",
+    f"SELECT {_LINEITEM}, strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate, round(l_extendedprice * l_discount, 4) AS rebate FROM lineitem",
 )
 def s9(spark, sf):
-    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount")
+    rows = table(spark, sf, "lineitem").withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd"))
     derived = create_calculated_column(rows, "rebate", "l_extendedprice", "*", "l_discount")
-    path = write_csv(derived.select("l_orderkey", "l_linenumber", "rebate"), scratch_path(spark, "derived"))
-    back = read_dataset(spark, path, "csv")
-    return back.withColumn("rebate", F.round("rebate", 4))
+    back = read_dataset(spark, write_csv(derived, scratch_path(spark, "derived")), "csv")
+    return back.withColumns({"rebate": F.round("rebate", 4), "l_shipdate": F.date_format("l_shipdate", "yyyy-MM-dd")})
+
+
+@query(
+    "S9_text_round_trip",
+    """SELECT doc_id, '"' || text || '", ' || chr(13) || chr(10) || '""' AS text, lang, source, n_chars FROM documents""",
+)
+def s9_texts(spark, sf):
+    """Every document, with quotes, separators and both kinds of line ends added."""
+    quoted = F.concat(F.lit('"'), F.col("text"), F.lit('", \r\n""'))
+    path = write_csv(table(spark, sf, "documents").withColumn("text", quoted), scratch_path(spark, "texts"))
+    return read_dataset(spark, path, "csv")
 
 
-@query("S10_managed_version", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate FROM orders")
+@query("S10_managed_version", "SELECT * FROM orders")
 def s10(spark, sf):
-    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
-    return spark.read.parquet(write_version(rows, scratch_path(spark, "managed")))
+    return spark.read.parquet(write_version(table(spark, sf, "orders"), scratch_path(spark, "managed")))
 
 
 @query(
@@ -160,6 +136,13 @@ def s11(spark, sf):
     return read_dataset(spark, path, "csv")
 
 
+@query("S11_whole_export", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice > 1000")
+def s11_whole(spark, sf):
+    """A result of far more rows than a preview shows."""
+    sql = "SELECT o_orderkey, o_custkey, o_totalprice FROM dataset WHERE o_totalprice > 1000"
+    return read_dataset(spark, export_query(table(spark, sf, "orders"), sql, scratch_path(spark, "whole")), "csv")
+
+
 @query(
     "S12_preview",
     """SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 4) AS o_totalprice,

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from prismtally.operators.filters import clean_policies
-from prismtally.plans.workbench import guard, run_query
+from prismtally.plans.workbench import RefusedStatement, guard, run_query
 from prismtally.queries.registry import query, table
 
 
@@ -37,17 +37,30 @@ def q2(spark, sf):
     return result.preview.withColumn("row_count", F.lit(result.count()).cast("long"))
 
 
-@query("Q3_guard", "SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n, CAST(3 AS BIGINT) AS refused FROM orders GROUP BY 1")
+_REFUSED = {
+    "DROP TABLE dataset": "not_a_query",
+    "SELECT 'delete' FROM dataset": "refused_word",
+    "SELECT 1; SELECT 2 FROM dataset": "second_statement",
+    "SELECT java_method('java.lang.System', 'getProperty', 'user.home') FROM dataset": "reflection",
+    "SELECT * FROM parquet.`{sf}/customer.parquet`": "other_relation",
+    "WITH x AS (SELECT 1) SELECT * FROM dataset WHERE o_orderkey IN (SELECT c_custkey FROM parquet.`{sf}/customer.parquet`)": "other_relation",
+}
+
+
+@query(
+    "Q3_guard",
+    f"""SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n, '{" ".join(_REFUSED.values())}' AS refused FROM orders GROUP BY 1""",
+)
 def q3(spark, sf):
-    orders = table(spark, sf, "orders")
-    refused = 0
-    for sql in ("DROP TABLE dataset", "SELECT 'delete' FROM dataset", f"SELECT * FROM parquet.`{sf}/customer.parquet`"):
+    """The statement that passes, beside the reasons why others do not."""
+    orders, reasons = table(spark, sf, "orders"), []
+    for sql in _REFUSED:
         try:
-            run_query(orders, sql)
-        except Exception:
-            refused += 1
+            run_query(orders, sql.replace("{sf}", sf))
+        except RefusedStatement as refusal:
+            reasons.append(refusal.reason)
     rows = run_query(orders, guard("SELECT o_orderstatus, COUNT(*) AS n FROM dataset GROUP BY 1;")).rows
-    return rows.withColumn("refused", F.lit(refused).cast("long"))
+    return rows.withColumn("refused", F.lit(" ".join(reasons)))
 
 
 @query("Q4_policy_sql", "SELECT o_orderstatus, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY 1")

@@ -11,14 +11,14 @@ from pyspark.sql import types as T
 from prismtally.functions.columns import col
 from prismtally.operators.prepare import infer_text_types
 from prismtally.sources.sqlite import read_sqlite
+from prismtally.sources.writers import csv_options
 
 # File extensions by reader and the separators tried.
 DELIMITED, JSON_LINES, JSON, PARQUET = ("csv", "tsv"), ("jsonl", "ndjson"), ("json",), ("parquet",)
 SQLITE = ("db", "sqlite", "sqlite3")
 SEPARATORS = (",", ";", "\t", "|")
-HEADER_SAMPLE = 20
 OVERFLOW = "__extra_field"
-WIDEST_ARRAY = 1000
+FALLBACK_ENCODING = "ISO-8859-1"
 
 
 def read_dataset(
@@ -27,15 +27,16 @@ def read_dataset(
     file_format: str | None = None,
     table: str | None = None,
     sep: str | None = None,
-    encoding: str = "UTF-8",
+    encoding: str | None = None,
     infer: bool = True,
+    **csv,
 ) -> DataFrame:
-    """Read by extension (or ``file_format`` where a folder name carries none)."""
+    """Read by extension (or ``file_format`` where a folder name carries none); ``csv`` goes to ``read_delimited``."""
     kind = (file_format or PurePosixPath(path.rstrip("/")).suffix.lstrip(".")).lower()
     if kind in DELIMITED:
-        return read_delimited(spark, path, "\t" if kind == "tsv" else sep, encoding, infer)
+        return read_delimited(spark, path, "\t" if kind == "tsv" else sep, encoding, infer, **csv)
     if kind in JSON_LINES:
-        return flatten_structs(spark.read.option("encoding", encoding).json(path))
+        return flatten_structs(spark.read.option("encoding", encoding or text_encoding(spark, path)).json(path))
     if kind in JSON:
         return read_json(spark, path, encoding)
     if kind in PARQUET:
@@ -45,43 +46,63 @@ def read_dataset(
     raise ValueError(f"Unsupported file format: {kind}")
 
 
-def guess_separator(lines: list[str]) -> str:
-    """The separator that splits every sampled line into the same number of fields, most fields first."""
+def text_encoding(spark: SparkSession, path: str) -> str:
+    """UTF-8 if every line is valid in it, else a one-byte encoding. One scan; name the encoding to save it."""
+    odd = spark.read.text(path).where(~F.is_valid_utf8("value"))
+    return "UTF-8" if odd.isEmpty() else FALLBACK_ENCODING
 
-    def fields(line: str, sep: str) -> int:
-        quoted, count = False, 1
-        for ch in line:
-            quoted ^= ch == '"'
-            count += ch == sep and not quoted
-        return count
 
-    lines = [line for line in lines if line.strip()]
-    best, best_rank = ",", (0, 0)
-    for sep in SEPARATORS:
-        counts = [fields(line, sep) for line in lines]
-        if not counts or counts[0] < 2:
-            continue
-        rank = (sum(c == counts[0] for c in counts), counts[0])
-        if rank > best_rank:
-            best, best_rank = sep, rank
-    return best
+def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """Physical lines as ``value``, decoded like the reader decodes them."""
+    if encoding.upper() in ("UTF-8", "UTF8"):
+        return spark.read.option("lineSep", "\n").text(path)
+    whole = {"sep": "\u0001", "quote": "", "encoding": encoding, "lineSep": "\n"}
+    return spark.read.options(**whole).schema("value string").csv(path)
+
+
+def guess_separator(lines: DataFrame, header: str) -> str:
+    """The separator that splits most lines into as many fields as the header, most fields first.
+
+    One aggregate over all lines (``value``), so no sample decides; quoted parts of a line do not count.
+    """
+
+    def fields(text) -> dict[str, int]:
+        bare = F.regexp_replace(text, '"[^"]*"', "")
+        return {s: F.length(bare) - F.length(F.replace(bare, F.lit(s), F.lit(""))) + 1 for s in SEPARATORS}
+
+    top = lines.sparkSession.range(1).select(*[c.alias(s) for s, c in fields(F.lit(header)).items()]).first()
+    split = [s for s in SEPARATORS if top[s] > 1]
+    if len(split) < 2:
+        return split[0] if split else SEPARATORS[0]
+    here = fields(F.col("value"))
+    hits = lines.agg(*[F.count_if(here[s] == top[s]).alias(s) for s in split]).first()
+    return max(split, key=lambda s: (hits[s], top[s], -SEPARATORS.index(s)))
 
 
 def read_delimited(
-    spark: SparkSession, path: str, sep: str | None = None, encoding: str = "UTF-8", infer: bool = True
+    spark: SparkSession,
+    path: str,
+    sep: str | None = None,
+    encoding: str | None = None,
+    infer: bool = True,
+    line_breaks: bool = True,
+    null_mark: str | None = None,
 ) -> DataFrame:
     """Header line, quoted fields, leading blanks dropped, too long lines skipped.
 
-    Only a few header lines come to the driver, for the separator and the names. An extra last
-    field catches overlong lines, which are skipped; short lines are filled with nulls. Text
-    columns whose every value is a number (thousands commas allowed) become numbers.
+    An extra last field catches overlong lines, which are skipped; short lines are filled with nulls. Text columns whose
+    every value is a number (thousands commas allowed) become numbers. Fields may hold line breaks, so a file is read by
+    one task; ``line_breaks=False`` is the caller's word that none does, and lets Spark split files. Separator and encoding
+    are found by a scan of the lines where they are not given.
     """
-    sample = [r[0] for r in spark.read.text(path).head(HEADER_SAMPLE)] if sep is None else []
-    sep = sep or guess_separator(sample)
-    options = {
-        "sep": sep, "encoding": encoding, "quote": '"', "escape": '"',
-        "ignoreLeadingWhiteSpace": "true", "multiLine": "false",
-    }
+    encoding = encoding or text_encoding(spark, path)
+    lines = _lines(spark, path, encoding)
+    first = lines.first()
+    header = (first[0] or "") if first else ""
+    options = {**csv_options(null_mark), "encoding": encoding, "ignoreLeadingWhiteSpace": "true", "multiLine": str(line_breaks).lower()}
+    if header.endswith("\r"):
+        del options["lineSep"]  # the reader then takes both kinds of line ends
+    options["sep"] = sep or guess_separator(lines, header.rstrip("\r"))
     names = [n.strip() for n in spark.read.options(header="true", **options).csv(path).columns]
     schema = T.StructType([T.StructField(f"f{i}", T.StringType()) for i in range(len(names))])
     schema = schema.add(OVERFLOW, T.StringType())
@@ -90,11 +111,12 @@ def read_delimited(
     return infer_text_types(kept) if infer else kept
 
 
-def read_json(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """One document (list of records or a single object) per file, else line-delimited."""
-    head = [r[0].strip() for r in spark.read.text(path).head(HEADER_SAMPLE) if r[0].strip()]
-    by_line = len(head) > 1 and all(line.startswith("{") and line.endswith("}") for line in head[:2])
-    reader = spark.read.option("encoding", encoding).option("multiLine", not by_line)
+def read_json(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """One document (list of records or a single object) per file, or line-delimited if every line is an object."""
+    encoding = encoding or text_encoding(spark, path)
+    line = F.trim(F.regexp_replace("value", r"\s+$", ""))
+    other = _lines(spark, path, encoding).where((line != "") & ~(line.startswith("{") & line.endswith("}")))
+    reader = spark.read.option("encoding", encoding).option("multiLine", not other.isEmpty())
     return flatten_structs(reader.json(path))
 
 
@@ -121,8 +143,8 @@ def flatten_deep(df: DataFrame, sep: str = "_") -> DataFrame:
     """Objects joined by ``_`` and lists of objects spread to ``name_i_field`` columns.
 
     The width of each list of objects is measured (one aggregate per nesting level); lists of
-    plain values stay lists. Very wide lists are refused: explode those with
-    :func:`explode_records`.
+    plain values stay lists. The columns follow the longest list, so for long lists the long form of
+    :func:`explode_records` is the better one.
     """
     while True:
         df = flatten_structs(df, sep)
@@ -140,8 +162,6 @@ def flatten_deep(df: DataFrame, sep: str = "_") -> DataFrame:
                 out.append(col(name))
                 continue
             width = max(widths[nested.index(name)] or 0, 0)
-            if width > WIDEST_ARRAY:
-                raise ValueError(f"Lists in '{name}' hold up to {width} objects; use explode_records instead.")
             # ``get`` is null past the end of a shorter list; the struct itself is split next round.
             out += [F.get(col(name), F.lit(i)).alias(f"{name}{sep}{i}") for i in range(width)]
         df = df.select(*out)

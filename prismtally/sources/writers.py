@@ -7,11 +7,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 VERSION_PREFIX = "version="
+WHOLE = "whole"  # label of a version that replaces all before it
 
 
-def write_csv(df: DataFrame, path: str) -> str:
-    """A CSV folder with a header line in every part."""
-    df.write.mode("errorifexists").option("header", True).csv(path)
+def csv_options(null_mark: str | None = None) -> dict[str, str]:
+    """The one convention of sink and reader: a quote inside a field is doubled, line breaks stay, blanks stay."""
+    options = {"quote": '"', "escape": '"', "lineSep": "\n"}
+    return {**options, "nullValue": null_mark} if null_mark is not None else options
+
+
+def write_csv(df: DataFrame, path: str, null_mark: str | None = None, quote_all: bool = True) -> str:
+    """A CSV folder with a header line in every part, from which texts come back as they were.
+
+    With ``quote_all=False`` only the fields that need it are quoted; readers that skip blanks after a separator then lose
+    those at the start of a text. An empty text and a null are both an empty field, which reads as null; ``null_mark`` keeps
+    them apart.
+    """
+    blanks = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    df.write.mode("errorifexists").options(header="true", quoteAll=str(quote_all).lower(), **blanks, **csv_options(null_mark)).csv(path)
     return path
 
 
@@ -52,5 +65,7 @@ def _versions(spark: SparkSession, base: str, committed: bool = False) -> list[s
 
 
 def committed_versions(spark: SparkSession, base: str) -> list[str]:
-    """Finished versions below ``base``, oldest first (any file system Spark can reach)."""
-    return _versions(spark, base, committed=True)
+    """Finished versions below ``base``, oldest first (any file system Spark can reach), from the last whole one on."""
+    versions = _versions(spark, base, committed=True)
+    whole = [k for k, v in enumerate(versions) if v.rstrip("/").endswith(f"-{WHOLE}")]
+    return versions[whole[-1] :] if whole else versions

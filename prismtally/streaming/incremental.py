@@ -1,20 +1,22 @@
 """Incremental refresh of a managed dataset from new files (the micro-batch form of R2).
 
-The managed dataset is a folder of committed versions whose union is the snapshot. A batch only
-adds the rows beyond the held cursor as one more version, so its cost follows the new data, not
-the snapshot. Late rows at or below the cursor are skipped, as in the batch refresh.
+The managed dataset is a folder of committed versions whose union is the snapshot. What counts as new is settled once per
+run, by the versions held when it began: every batch is compared with those, so neither the order of the files
+nor their number per batch changes the answer. A run that did not end goes on with the versions it began with.
 """
 
 from __future__ import annotations
 
 import zlib
 
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prismtally.operators.refresh import new_rows
-from prismtally.sources.writers import committed_versions, write_version
+from prismtally.sources.writers import WHOLE, committed_versions, write_version
+
+RUN_LOG = "run long, held array<string>, state string"
 
 
 def snapshot(spark: SparkSession, base: str) -> DataFrame | None:
@@ -23,22 +25,50 @@ def snapshot(spark: SparkSession, base: str) -> DataFrame | None:
     return spark.read.parquet(*versions) if versions else None
 
 
-def append_batch(batch: DataFrame, base: str, cursor: str, label: str | None = None) -> str | None:
+def compact(spark: SparkSession, base: str) -> str | None:
+    """Write the snapshot as one version that replaces all earlier ones; those stay on disk but are no longer listed."""
+    held = snapshot(spark, base)
+    return None if held is None else write_version(held, base, WHOLE)
+
+
+def append_batch(batch: DataFrame, base: str, cursor: str, label: str | None = None, held: list[str] | None = None) -> str | None:
     """Add the new distinct rows of ``batch`` as a version; returns its path, None if nothing is new.
 
-    Versions hold distinct rows and rows beyond the cursor cannot repeat held ones, so duplicates
-    are only looked for within the batch. Every version lies beyond all earlier ones, so the
-    cursor is read from the last version alone.
+    ``held`` are the versions to compare the cursor with (all committed ones by default). Rows of versions that came later, in
+    the same run, are not added a second time. The batch is computed once: it is written, and an empty version adds nothing.
     """
     spark = batch.sparkSession
     versions = committed_versions(spark, base)
-    if versions:
-        new = new_rows(spark.read.parquet(*versions), batch, cursor, spark.read.parquet(versions[-1]))
-    else:
-        new = batch.dropDuplicates()
-    if new.isEmpty():
-        return None
-    return write_version(new, base, label)
+    held = versions if held is None else held
+    new = new_rows(spark.read.parquet(*held), batch, cursor) if held else batch.dropDuplicates()
+    since = [v for v in versions if v not in set(held)]
+    if since:
+        run = spark.read.parquet(*since).select(*batch.columns).alias("run")
+        same = F.lit(True)
+        for c in batch.columns:
+            same = same & F.col(f"new.`{c}`").eqNullSafe(F.col(f"run.`{c}`"))
+        new = new.alias("new").join(run, same, "left_anti")
+    path = write_version(new, base, label)
+    return None if spark.read.parquet(path).isEmpty() else path
+
+
+def _run_start(spark: SparkSession, base: str, log: str) -> tuple[int, list[str]]:
+    """Number of the run and the versions it compares with: those of an unfinished run, else the ones there are now."""
+    try:
+        last = spark.read.schema(RUN_LOG).parquet(log).orderBy(F.desc("run"), F.col("state") == "begun").first()
+    except Exception as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        last = None
+    if last is not None and last["state"] == "begun":
+        return last["run"], list(last["held"])
+    run, held = (last["run"] + 1 if last else 0), committed_versions(spark, base)
+    _note(spark, log, run, held, "begun")
+    return run, held
+
+
+def _note(spark: SparkSession, log: str, run: int, held: list[str], state: str) -> None:
+    spark.createDataFrame([(run, held, state)], RUN_LOG).coalesce(1).write.mode("append").parquet(log)
 
 
 def refresh_available(
@@ -52,27 +82,32 @@ def refresh_available(
     max_files_per_batch: int | None = None,
     options: dict | None = None,
 ):
-    """Process all files that have arrived and stop; run again whenever more may have come.
+    """Process all files that have arrived and return the ended query; run again whenever more may have come.
 
     Each batch writes one version labelled with the stream and its id, so a batch that is retried after a failure
-    is recognised and not applied twice.
+    is recognised and not applied twice. One writer at a time may work on a managed folder.
     """
     reader = spark.readStream.format(file_format).schema(schema).options(**(options or {}))
     if max_files_per_batch:
         reader = reader.option("maxFilesPerTrigger", max_files_per_batch)
 
     stream = f"{zlib.crc32(checkpoint.encode()):08x}"
+    log = f"{checkpoint.rstrip('/')}-runs"
+    run, held = _run_start(spark, base, log)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         label = f"batch-{stream}-{batch_id:012d}"
         done = committed_versions(batch.sparkSession, base)
         if not any(path.rstrip("/").endswith(label) for path in done):
-            append_batch(batch, base, cursor, label)
+            append_batch(batch, base, cursor, label, held)
 
-    return (
+    query = (
         reader.load(source)
         .writeStream.foreachBatch(apply)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+    query.awaitTermination()
+    _note(spark, log, run, held, "ended")
+    return query

@@ -98,14 +98,28 @@ def test_join_on_padded_keys(spark):
     assert joined.count() == 3 and "segment" in joined.columns and "customer_code_related" in joined.columns
 
 
-def test_join_nulls_match_and_outer_keeps_both_sides(spark):
+def test_missing_keys_match_nothing_and_outer_keeps_both_sides(spark):
     left = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c")], "k int, l string")
     right = spark.createDataFrame([(1, "x"), (None, "y"), (9, "z")], "k int, r string")
     got = {(r["l"], r["r"]) for r in joins.join_on_keys(left, right, "k", "k", "outer").collect()}
-    assert got == {("a", "x"), ("b", "y"), ("c", None), (None, "z")}
-    with pytest.raises(ValueError, match="left, inner, or outer"):
+    assert got == {("a", "x"), ("b", None), (None, "y"), ("c", None), (None, "z")}
+    assert joins.join_on_keys(left, right, "k", "k", "inner").count() == 1
+
+
+def test_keys_that_do_not_parse_compare_as_text(spark):
+    keys = lambda mark: [(str(k),) for k in range(100)] + [(f"{mark}{k}",) for k in range(8)]
+    left, right = spark.createDataFrame(keys("x"), "k string"), spark.createDataFrame(keys("x") + keys("y")[100:], "k string")
+    assert joins.join_on_keys(left, right, "k", "k", "left").count() == 108
+    assert joins.join_on_keys(left, right, "k", "k", "inner").count() == 108
+    assert joins.join_on_keys(left, right, "k", "k", "outer").count() == 116
+
+
+def test_join_arguments(spark):
+    left = spark.createDataFrame([(1, "a")], "k int, l string")
+    right = left
+    with pytest.raises(ValueError, match="left, inner, outer"):
         joins.join_on_keys(left, right, "k", "k", "cross")
-    with pytest.raises(ValueError, match="Right key"):
+    with pytest.raises(ValueError, match="right side"):
         joins.join_on_keys(left, right, "k", "nope")
 
 
