@@ -62,7 +62,8 @@ def repeated_chunks(docs: DataFrame, id_column: str = "doc_id", text_column: str
     )
     marks = stored(marks.select("doc", "rid", "c.no", "c.digest"), "chunks")
     firsts = marks.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
-    held = marks.join(firsts, "digest")
+    # Stored, so that both sides of the next join come from a shuffle of their own and a frequent chunk can be split.
+    held = marks.join(stored(firsts, "first-chunks"), "digest")
     wanted = held.groupBy("rid").agg(F.collect_set(F.struct("no", "digest", (place == F.col("first")).alias("is_first"))).alias("wanted"))
     texts = (
         with_chunks(base.select("rid", "text").join(wanted, "rid"), "text", "chunks", divisor)
