@@ -23,6 +23,7 @@ from prismtally.llm.common import Batches, raw_bytes, rows_of, stored
 CAPACITY = 1024
 END = 2
 ROWS_PER_SALT = 50_000
+LEAST_SALTS = 32  # even a small table has a length that many pieces share
 MEMO = 300_000
 
 
@@ -101,7 +102,7 @@ def placed(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] =
     window, and such rows may swap places.
     """
     pieces = stored(pieces, "pieces")
-    salts = max(1, rows_of(pieces) // ROWS_PER_SALT)
+    salts = max(LEAST_SALTS, rows_of(pieces) // ROWS_PER_SALT)
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
     counts = stored(salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n")), "lengths")
     totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
