@@ -180,7 +180,8 @@ def repeated_intervals(
     base = _base(docs, id_column, text_column)
     pieces = stored(_pieces(base, window, gram), "pieces")
     shared = pieces.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("key")
-    pieces = stored(pieces.join(shared, "key"), "shared-pieces")
+    # Stored, so that both sides of the join come from a shuffle of their own and a frequent key can be split.
+    pieces = stored(pieces.join(stored(shared, "shared-keys"), "key"), "shared-pieces")
     contents = pieces.groupBy("key", "content").agg(
         F.min("doc").alias("doc"), F.max("doc").alias("last"), F.min(F.struct("doc", "rid", "start", "words")).alias("example")
     )
