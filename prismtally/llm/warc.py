@@ -246,8 +246,8 @@ class WarcWriter(DataSourceWriter):
 
         store, path = fs.FileSystem.from_uri(self.uri)
         context = TaskContext.get()
-        name = f"part-{context.partitionId():05d}"
-        hidden = f"{path}/_temporary/{name}-{uuid.uuid4().hex}"
+        name = f"part-{context.partitionId():05d}-{uuid.uuid4().hex}"  # appending never meets an older file of that name
+        hidden = f"{path}/_temporary/{name}"
         store.create_dir(f"{path}/_temporary", recursive=True)
         rows = 0
         with store.open_output_stream(hidden, compression=None) as out:
