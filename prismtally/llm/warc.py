@@ -195,9 +195,9 @@ class WarcReader(DataSourceReader):
             filled += size
         return out
 
-    def read(self, partition: FilePart) -> Iterator[tuple]:
+    def read(self, partition: FilePart | None) -> Iterator[tuple]:
         store, _ = fs.FileSystem.from_uri(self.uri)
-        for path in partition.paths:
+        for path in partition.paths if partition else ():  # Spark reads None where there is no partition
             with store.open_input_stream(path, compression=None) as source:
                 stream = MemberStream(source)
                 while stream.next_member():
