@@ -175,3 +175,10 @@ def anova(groups: DataFrame, keys: list[str]) -> DataFrame:
 
 def with_f_p_value(table: DataFrame) -> DataFrame:
     return table.withColumn("p", f_p_value("f_stat", "dof1", "dof2"))
+
+
+def pearson(a, b):
+    """Correlation over the rows where both are present; null where one of them does not vary (the built-in one fails there)."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    left, right = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(left, right), F.sqrt(F.var_pop(left)) * F.sqrt(F.var_pop(right)))

@@ -15,27 +15,28 @@ from prismtally.functions.quantiles import quantile_row
 from prismtally.operators.insights.common import few_valued, findings, fixed, no_findings, say
 
 # Gates and forest settings.
-DRIVER_VALUES, DRIVER_DIMENSIONS, DRIVER_PEERS, DRIVER_TARGETS = 15, 4, 3, 2
+DRIVER_VALUES = 15
 DRIVER_ROWS, DRIVER_TARGET_VALUES = 30, 8
 TREES, LEAF, SEED = 180, 3, 42
-DEPTH = 6  # the importances no longer move beyond it
-SPREAD_ROWS = 5_000_000
+DEPTH = 6  # default depth of a tree; MLlib grows level by level, one job or more each, so depth is what a forest costs
+MODEL_ROWS = 10_000  # labelled rows a forest is fitted on at most, chosen by a hash of the row
+MODEL_PARTS = 4  # bags are drawn per partition, so their number is fixed and does not follow the cluster
 LEAST_R2, LEAST_IMPORTANCE, KEPT = 0.2, 0.18, 1
 
 
 def usable_dimensions(df: DataFrame, dimensions: list[str]) -> list[str]:
-    """Dimensions with at most 15 distinct values, exactly counted behind a sketch; first four."""
+    """Dimensions with at most 15 distinct values, exactly counted behind a sketch."""
     small = few_valued(df, dimensions, DRIVER_VALUES)
     if not small:
         return []
     row = df.agg(*[F.count_distinct(as_text(df, c)).alias(f"c{i}") for i, c in enumerate(small)]).first()
-    return [c for i, c in enumerate(small) if row[i] <= DRIVER_VALUES][:DRIVER_DIMENSIONS]
+    return [c for i, c in enumerate(small) if row[i] <= DRIVER_VALUES]
 
 
 def driver_model(
-    df: DataFrame, target: str, dimensions: list[str], peers: list[str], trees: int = TREES
+    df: DataFrame, target: str, dimensions: list[str], peers: list[str], trees: int = TREES, depth: int = DEPTH
 ) -> tuple[dict[str, float], float, int] | None:
-    """(importance per source column, in-sample R squared, rows), or None below the gates.
+    """(importance per source column, R squared over all rows, rows), or None below the gates.
 
     Missing categories become the most frequent one and missing numbers the median, as literals;
     indexing, one-hot encoding and the forest are MLlib stages. Each level of a tree is one
@@ -57,9 +58,13 @@ def driver_model(
         *[F.coalesce(as_text(df, d), F.lit(modes[i])).alias(f"d{i}") for i, d in enumerate(dimensions)],
         *[F.coalesce(number(df, p), F.lit(medians[p][0])).alias(f"p{i}") for i, p in enumerate(peers)],
     )
-    if n <= SPREAD_ROWS:
-        # A small table may sit in one file split; a large one already has partitions enough.
-        table = table.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    whole = table
+    table = table.withColumn("h", F.xxhash64(*table.columns))
+    if n > MODEL_ROWS:
+        # One comparison per row keeps the smallest hashes; rows that are equal stay or go together.
+        edge = table.orderBy("h").select("h").limit(MODEL_ROWS).agg(F.max("h")).first()[0]
+        table = table.where(F.col("h") <= F.lit(edge))
+    table = table.repartition(MODEL_PARTS, "h").sortWithinPartitions("h").drop("h").persist()
     stages, inputs = [], []
     for i in range(len(dimensions)):
         stages.append(StringIndexer(inputCol=f"d{i}", outputCol=f"i{i}", handleInvalid="keep", stringOrderType="frequencyDesc"))
@@ -70,11 +75,12 @@ def driver_model(
     stages.append(
         RandomForestRegressor(
             featuresCol="features", labelCol="label", numTrees=trees, minInstancesPerNode=LEAF, seed=SEED,
-            featureSubsetStrategy="all", maxDepth=DEPTH, maxMemoryInMB=1024,
+            featureSubsetStrategy="all", maxDepth=depth, maxMemoryInMB=1024,
         )
     )
     model = Pipeline(stages=stages).fit(table)
-    scored = model.transform(table)
+    table.unpersist()
+    scored = model.transform(whole)  # R squared is that of all rows
     r2 = RegressionEvaluator(labelCol="label", metricName="r2").evaluate(scored)
     slots = scored.schema["features"].metadata["ml_attr"]["attrs"]
     owner: dict[int, str] = {}
@@ -93,13 +99,13 @@ def _exact_distinct(rows: DataFrame, target: str) -> int:
 
 
 def model_driver_insights(df: DataFrame, dimensions: list[str], measures: list[str], trees: int = TREES) -> DataFrame:
-    """The strongest modelled driver of each of the first two measures, best one kept."""
+    """The strongest modelled driver of each measure, best one kept."""
     usable = usable_dimensions(df, dimensions)
     if not usable or len(measures) < 2:
         return no_findings(df)
     results = []
-    for target in measures[:DRIVER_TARGETS]:
-        peers = [m for m in measures if m != target][:DRIVER_PEERS]
+    for target in measures:
+        peers = [m for m in measures if m != target]
         fitted = driver_model(df, target, usable, peers, trees)
         if fitted is None:
             continue
@@ -120,8 +126,8 @@ def model_driver_insights(df: DataFrame, dimensions: list[str], measures: list[s
         kind=F.lit("model_driver"),
         title=say(F.col("driver"), " looks like the strongest modeled driver of ", F.col("measure")),
         detail=say(
-            "The driver model explains about ", fixed(r2 * 100, 1), "% of variation in ", F.col("measure"), ", with ",
-            F.col("driver"), " contributing the highest importance (", fixed(importance * 100, 1), "%).",
+            "A forest accounts for ", fixed(r2 * 100, 1), "% of the variance, and ", fixed(importance * 100, 1),
+            "% of its splits' gain is due to ", F.col("driver"), ".",
         ),
         score=F.round(importance * 100, 3),
         stat=say("R² = ", fixed(r2, 2), " / top importance = ", fixed(importance * 100, 1), "%"),

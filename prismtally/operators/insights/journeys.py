@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,18 +12,18 @@ from prismtally.operators.insights.common import findings, fixed, grouped, no_fi
 
 # Stage names in funnel order and the gates.
 STAGES = ("visit", "view", "lead", "signup", "trial", "cart", "checkout", "purchase", "paid")
-FUNNEL_STAGES, FUNNEL_VOLUME = 5, 500
+FUNNEL_VOLUME = 500
 COHORT_IDS, COHORT_ROWS = 10, 20
 
 
 def funnel_columns(measures: list[str]) -> list[str]:
-    """Measures named after a stage, in funnel order (first stage found in the name), first five."""
+    """Measures named after a stage, in funnel order (first stage found in the name)."""
     placed = []
     for c in measures:
         stage = next((i for i, s in enumerate(STAGES) if s in c.lower()), None)
         if stage is not None:
             placed.append((stage, c))
-    return [c for _, c in sorted(placed)][:FUNNEL_STAGES]
+    return [c for _, c in sorted(placed)]
 
 
 def funnel_steps(totals: DataFrame) -> DataFrame:
@@ -86,8 +88,7 @@ def funnel_finding(totals: DataFrame, stages: list[str]) -> DataFrame:
         kind=F.lit("funnel"),
         title=say("Largest funnel friction appears between ", F.col("from_stage"), " and ", F.col("to_stage")),
         detail=say(
-            "The observed conversion between these stages is ", fixed(conversion, 2), "%, with a drop of ",
-            grouped(F.col("drop")), ".",
+            "Of what enters this step ", fixed(conversion, 2), "% goes on; ", grouped(F.col("drop")), " is lost.",
         ),
         score=F.round(100 - conversion, 3),
         stat=say(fixed(conversion, 2), "% conversion"),
@@ -117,17 +118,21 @@ def cohort_table(df: DataFrame, date: str, identifier: str) -> DataFrame:
 
 
 def retention_insights(df: DataFrame, dates: list[str], identifiers: list[str]) -> DataFrame:
-    """The first date and identifier; cohorts without any repeat are left out."""
-    if not dates or not identifiers:
+    """I14 over all pairs of date and identifier, the best one kept; cohorts without any repeat are left out."""
+    pairs = [(d, i) for d in dates for i in identifiers]
+    if not pairs:
         return no_findings(df)
-    cohorts = cohort_table(df, dates[0], identifiers[0])
-    everyone = Window.partitionBy(F.lit(0))  # one row per month
+    cohorts = reduce(
+        DataFrame.unionByName,
+        [cohort_table(df, d, i).withColumns({"date_column": F.lit(d), "identifier": F.lit(i)}) for d, i in pairs],
+    )
+    everyone = Window.partitionBy("date_column", "identifier")  # one row per month
     rate = F.col("repeats") / F.col("size") * 100
     best = (
         cohorts.select("*", F.sum("size").over(everyone).alias("ids"), F.sum("rows").over(everyone).alias("all_rows"))
         .where((F.col("ids") >= COHORT_IDS) & (F.col("all_rows") >= COHORT_ROWS) & (F.col("repeats") > 0))
         .withColumn("rate", rate)
-        .orderBy(F.desc("rate"), "cohort")
+        .orderBy(F.desc("rate"), "cohort", "date_column", "identifier")
         .limit(1)
     )
     rate = F.col("rate")
@@ -137,11 +142,11 @@ def retention_insights(df: DataFrame, dates: list[str], identifiers: list[str])
         ["Cohorts are the first month of each identifier.", "Repeat activity is any later month."],
         kind=F.lit("retention_cohort"),
         title=say(F.date_format("cohort", "yyyy-MM"), " cohort has the strongest repeat activity"),
-        detail=say(fixed(rate, 2), "% of entities in that cohort appear again in a later period."),
+        detail=say("Of those first seen in that month, ", fixed(rate, 2), "% come back in a later one."),
         score=F.round(rate, 3),
         stat=say(fixed(rate, 2), "% repeat rate"),
         chart_type=F.lit("heatmap"),
-        chart_columns=F.array(F.lit(dates[0]), F.lit(identifiers[0])),
+        chart_columns=F.array("date_column", "identifier"),
         sample_size=F.col("size"),
         effect=rate / 100,
         stability=F.least(F.lit(1.0), rate / 100),

@@ -11,9 +11,9 @@ from prismtally.functions.stats import anova, with_f_p_value
 from prismtally.operators.insights.common import findings, fixed, grouped, no_findings, say, segment_stats
 
 # Gates and limits; the normal scale enters twice, as the reference result does.
-ANOMALY_MEASURES, ANOMALY_ROWS, ROBUST_Z, ANOMALIES = 8, 12, 3.5, 2
+ANOMALY_ROWS, ROBUST_Z, ANOMALIES = 12, 3.5, 2
 Z_FACTOR, NORMAL_SCALE = 0.6745, 0.6744897501960817
-SEGMENT_DIMENSIONS, SEGMENT_MEASURES, SEGMENT_VALUES = 6, 6, 12
+SEGMENT_VALUES = 12
 DRIVER_ROWS, DRIVER_P, DRIVER_GAP, DRIVERS = 20, 0.1, 0.35, 3
 SHARE_ROWS, TOP_SHARE, CONTRIBUTIONS = 10, 35, 2
 
@@ -21,7 +21,6 @@ SHARE_ROWS, TOP_SHARE, CONTRIBUTIONS = 10, 35, 2
 def anomaly_table(df: DataFrame, measures: list[str]) -> DataFrame:
     """(measure, n, median, mad, outliers, top_value, max_z): medians and median deviations of all
     measures by exact selection, then one counting scan."""
-    measures = measures[:ANOMALY_MEASURES]
     schema = "measure string, n bigint, median double, mad double, outliers bigint, top_value double, max_z double"
     if not measures:
         return df.sparkSession.createDataFrame([], schema)
@@ -64,9 +63,9 @@ def anomaly_insights(df: DataFrame, measures: list[str]) -> DataFrame:
         kind=F.lit("anomaly"),
         title=say(F.col("measure"), " shows statistically unusual values"),
         detail=say(
-            "The strongest robust outlier observed is ",
+            "The value furthest from the median is ",
             grouped(F.col("top_value")),
-            ", far outside the typical median-centered range.",
+            ".",
         ),
         score=F.round("max_z", 3),
         stat=say(F.col("outliers").cast("string"), " outliers (robust z >= 3.5)"),
@@ -106,7 +105,7 @@ def driver_table(stats: DataFrame) -> DataFrame:
 def segment_driver_insights(df: DataFrame, dimensions: list[str], measures: list[str], stats: DataFrame | None = None) -> DataFrame:
     """I6 with I7; ``stats`` may be shared with the contribution detector."""
     if stats is None:
-        stats = segment_stats(df, dimensions[:SEGMENT_DIMENSIONS], measures[:SEGMENT_MEASURES], SEGMENT_VALUES)
+        stats = segment_stats(df, dimensions, measures, SEGMENT_VALUES)
     separated = (
         with_f_p_value(driver_table(stats))
         .where((F.col("rows") >= DRIVER_ROWS) & (F.col("lo") < F.col("hi")) & (F.col("groups_seen") >= 2))
@@ -120,8 +119,7 @@ def segment_driver_insights(df: DataFrame, dimensions: list[str], measures: list
         kind=F.lit("segment_driver"),
         title=say(F.col("dimension"), " strongly separates ", F.col("measure")),
         detail=say(
-            F.col("top_segment"), " leads while ", F.col("bottom_segment"), " trails, with an average gap of ",
-            grouped(F.col("spread")), ".",
+            "On average ", F.col("top_segment"), " is ", grouped(F.col("spread")), " above ", F.col("bottom_segment"), ".",
         ),
         score=F.round(F.abs("spread"), 3),
         stat=say(F.col("top_segment"), " vs ", F.col("bottom_segment")),
@@ -152,7 +150,7 @@ def contribution_table(stats: DataFrame) -> DataFrame:
 def contribution_insights(df: DataFrame, dimensions: list[str], measures: list[str], stats: DataFrame | None = None) -> DataFrame:
     """I8."""
     if stats is None:
-        stats = segment_stats(df, dimensions[:SEGMENT_DIMENSIONS], measures[:SEGMENT_MEASURES], SEGMENT_VALUES)
+        stats = segment_stats(df, dimensions, measures, SEGMENT_VALUES)
     share = F.col("top_share")
     dominant = contribution_table(stats).where(
         (F.col("rows") >= SHARE_ROWS) & (F.col("grand_total") != 0) & (F.col("groups_seen") >= 2) & (share >= TOP_SHARE)
@@ -163,7 +161,7 @@ def contribution_insights(df: DataFrame, dimensions: list[str], measures: list[s
         ["Contribution is a segment's share of the total.", "High concentration is a dependency or an opportunity."],
         kind=F.lit("contribution"),
         title=say(F.col("top_segment"), " dominates contribution to ", F.col("measure")),
-        detail=say(F.col("top_segment"), " contributes ", fixed(share, 2), "% of the total ", F.col("measure"), "."),
+        detail=say("Of all ", F.col("measure"), ", ", fixed(share, 2), "% comes from ", F.col("top_segment"), "."),
         score=F.round(share, 3),
         stat=say(fixed(share, 2), "% share"),
         chart_type=F.lit("bar"),

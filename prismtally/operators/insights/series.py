@@ -12,16 +12,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismtally.functions.columns import as_text, moment, number, period_start
-from prismtally.functions.stats import anova, correlation_p_value, with_f_p_value
+from prismtally.functions.stats import anova, correlation_p_value, pearson, with_f_p_value
 from prismtally.operators.filters import not_before
 from prismtally.operators.insights.common import findings, fixed, grouped, month_totals, no_findings, say
 
 # Gates and limits of the detectors.
-SEASON_DATES, SEASON_MEASURES, SEASON_ROWS, SEASON_MONTHS, SEASON_STRENGTH, SEASONS = 2, 4, 12, 6, 0.15, 1
-FORECAST_MEASURES, FORECAST_ROWS, FORECAST_MONTHS, FORECAST_CHANGE, FORECAST_R, FORECASTS = 3, 12, 6, 0.05, 0.35, 1
+SEASON_ROWS, SEASON_MONTHS, SEASON_STRENGTH, SEASONS = 12, 6, 0.15, 1
+FORECAST_ROWS, FORECAST_MONTHS, FORECAST_CHANGE, FORECAST_R, FORECASTS = 12, 6, 0.05, 0.35, 1
 HORIZON, MONTHS_PER_STEP = 3, 6
-SPLIT_MEASURES, SPLIT_ROWS, SPLIT_MONTHS, SPLIT_TREND, SPLIT_SEASON, SPLITS = 3, 16, 8, 0.08, 0.1, 1
-CHANGE_MEASURES, CHANGE_DIMENSIONS, CHANGE_ROWS, CHANGE_SHARE, CHANGES = 4, 4, 12, 20, 2
+SPLIT_ROWS, SPLIT_MONTHS, SPLIT_TREND, SPLIT_SEASON, SPLITS = 16, 8, 0.08, 0.1, 1
+CHANGE_ROWS, CHANGE_SHARE, CHANGES = 12, 20, 2
 
 
 def _months(df: DataFrame, date: str, measures: list[str], shared: dict[str, DataFrame] | None) -> DataFrame:
@@ -31,6 +31,12 @@ def _months(df: DataFrame, date: str, measures: list[str], shared: dict[str, Dat
     return month_totals(df, date, measures)
 
 
+def _per_date(df: DataFrame, dates: list[str], measures: list[str], shared: dict[str, DataFrame] | None, table) -> DataFrame:
+    """``table`` of the monthly totals by each date column, with ``date_column``."""
+    parts = [table(_months(df, d, measures, shared)).withColumn("date_column", F.lit(d)) for d in dates]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _base(value):
     """The absolute value, 1 where it is 0."""
     return F.when(value == 0, F.lit(1.0)).otherwise(F.abs(value))
@@ -63,11 +69,9 @@ def seasonality_insights(
     df: DataFrame, dates: list[str], measures: list[str], shared: dict[str, DataFrame] | None = None
 ) -> DataFrame:
     """I9."""
-    dates, measures = dates[:SEASON_DATES], measures[:SEASON_MEASURES]
     if not dates or not measures:
         return no_findings(df)
-    parts = [seasonality_table(_months(df, d, measures, shared)).withColumn("date_column", F.lit(d)) for d in dates]
-    seasonal = with_f_p_value(reduce(DataFrame.unionByName, parts)).where(
+    seasonal = with_f_p_value(_per_date(df, dates, measures, shared, seasonality_table)).where(
         (F.col("rows") >= SEASON_ROWS)
         & (F.col("months") >= SEASON_MONTHS)
         & (F.col("levels") >= 2)
@@ -81,8 +85,7 @@ def seasonality_insights(
         kind=F.lit("seasonality"),
         title=say(F.col("measure"), " shows a repeating month pattern"),
         detail=say(
-            "Month ", peak, " tends to be strongest while month ", trough,
-            " is weakest based on repeated monthly totals.",
+            "Over the years the totals of month ", peak, " are the highest and those of month ", trough, " the lowest.",
         ),
         score=F.round(F.abs("spread"), 3),
         stat=say("month ", peak, " vs month ", trough),
@@ -110,7 +113,7 @@ def forecast_table(months: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("months"),
             F.regr_slope("total", "x").alias("slope"),
             F.regr_intercept("total", "x").alias("intercept"),
-            F.corr("total", "x").alias("r"),
+            pearson("total", "x").alias("r"),
             F.max_by("total", "x").alias("latest"),
         )
     )
@@ -137,12 +140,11 @@ def forecast_insights(
     df: DataFrame, dates: list[str], measures: list[str], shared: dict[str, DataFrame] | None = None
 ) -> DataFrame:
     """I10."""
-    measures = measures[:FORECAST_MEASURES]
     if not dates or not measures:
         return no_findings(df)
     pct, strength = F.col("delta_pct"), F.coalesce(F.abs(F.nanvl("r", F.lit(0.0))), F.lit(0.0))
     moving = (
-        forecast_table(_months(df, dates[0], measures, shared))
+        _per_date(df, dates, measures, shared, forecast_table)
         .where((F.col("rows") >= FORECAST_ROWS) & (F.col("months") >= FORECAST_MONTHS) & F.col("slope").isNotNull())
         .where((F.abs(pct) >= FORECAST_CHANGE) | (strength >= FORECAST_R))
         .withColumn("p", correlation_p_value("r", "months"))
@@ -155,13 +157,12 @@ def forecast_insights(
         kind=F.lit("forecast"),
         title=say(F.col("measure"), " is projected to ", way, " next period"),
         detail=say(
-            "A linear period forecast points to ", grouped(F.col("next")), " next, versus the latest ",
-            grouped(F.col("latest")), ".",
+            "The line through the months reaches ", grouped(F.col("next")), " after ", grouped(F.col("latest")), " in the last one.",
         ),
         score=F.round(F.abs(pct) * 100, 3),
         stat=say("next period ", grouped(F.col("next")), " (", F.format_string("%+.1f", pct * 100), "%)"),
         chart_type=F.lit("line"),
-        chart_columns=F.array(F.lit(dates[0]), F.col("measure")),
+        chart_columns=F.array("date_column", "measure"),
         sample_size=F.col("months"),
         effect=F.greatest(F.abs(pct), strength),
         p=F.col("p"),
@@ -197,11 +198,10 @@ def decomposition_insights(
     df: DataFrame, dates: list[str], measures: list[str], shared: dict[str, DataFrame] | None = None
 ) -> DataFrame:
     """I11."""
-    measures = measures[:SPLIT_MEASURES]
     if not dates or not measures:
         return no_findings(df)
     trend, season = F.abs("trend_change") / F.col("base"), F.col("seasonal_range") / F.col("base")
-    split = decomposition_table(_months(df, dates[0], measures, shared)).where(
+    split = _per_date(df, dates, measures, shared, decomposition_table).where(
         (F.col("rows") >= SPLIT_ROWS)
         & (F.col("months") >= SPLIT_MONTHS)
         & ((trend >= SPLIT_TREND) | (season >= SPLIT_SEASON))
@@ -214,12 +214,12 @@ def decomposition_insights(
         kind=F.lit("decomposition"),
         title=say(F.col("measure"), " can be split into trend and recurring pattern"),
         detail=say(
-            "The smoothed trend changed by ", change, ", while the month-of-year seasonal swing spans ", swing, "."
+            "Smoothed, it changed by ", change, "; around that, the months of the year swing by ", swing, "."
         ),
         score=F.round(F.greatest(F.abs("trend_change"), F.abs("seasonal_range")), 3),
         stat=say("trend delta ", change, " / seasonal range ", swing),
         chart_type=F.lit("line"),
-        chart_columns=F.array(F.lit(dates[0]), F.col("measure")),
+        chart_columns=F.array("date_column", "measure"),
         sample_size=F.col("months"),
         effect=F.greatest(trend, season),
         stability=F.least(F.lit(1.0), season),
@@ -316,7 +316,7 @@ def variance_insights(
     if not dates or not dimensions or not measures:
         return no_findings(df)
     share = F.abs(F.col("delta") / F.col("total_delta") * 100)
-    table = variance_table(df, dates[0], dimensions[:CHANGE_DIMENSIONS], measures[:CHANGE_MEASURES], shared)
+    table = reduce(DataFrame.unionByName, [variance_table(df, d, dimensions, measures, shared) for d in dates])
     explained = table.withColumn("share", share).where(F.col("share") >= CHANGE_SHARE)
     return findings(
         explained,
@@ -325,8 +325,7 @@ def variance_insights(
         kind=F.lit("variance_explanation"),
         title=say(F.col("dimension"), " explains the latest change in ", F.col("measure")),
         detail=say(
-            F.col("segment"), " contributed ", grouped(F.col("delta")), " of the latest period change (",
-            fixed(F.col("share"), 1), "% of net movement).",
+            "In ", F.col("segment"), " it moved by ", grouped(F.col("delta")), ", ", fixed(F.col("share"), 1), "% of the net change.",
         ),
         score=F.round(F.abs("delta"), 3),
         stat=say(F.col("latest"), " vs ", F.col("previous")),

@@ -34,7 +34,7 @@ from prismtally.functions.stats import sample_kurtosis, sample_skewness
 # Fixed values of the quality checks and fences.
 FENCE = 1.5
 MISSING_ALERT, OUTLIER_ALERT, MAX_ALERTS = 30, 10, 8
-FILTER_COLUMNS, FILTER_VALUES, FILTER_DISTINCT = 8, 15, 20
+FILTER_VALUES, FILTER_DISTINCT = 15, 20
 
 
 def row_copies(df: DataFrame) -> DataFrame:
@@ -307,7 +307,7 @@ def filter_options(df: DataFrame, semantics: DataFrame) -> DataFrame:
     """The values offered per dimension, most frequent first, and the date columns.
 
     ``semantics`` is the column profile of :mod:`prismtally.operators.semantics`. Dimensions
-    with few distinct values or a geographic meaning qualify; the first eight in column order.
+    with few distinct values or a geographic meaning qualify.
     """
     profile = semantics.select("name", "semantic_role", "subtype", "unique_count").collect()
     order = {c: i for i, c in enumerate(df.columns)}
@@ -318,7 +318,7 @@ def filter_options(df: DataFrame, semantics: DataFrame) -> DataFrame:
             if r["semantic_role"] == "dimension" and (r["unique_count"] <= FILTER_DISTINCT or r["subtype"] == "geography")
         ),
         key=order.get,
-    )[:FILTER_COLUMNS]
+    )
     values = top_values(value_counts(df, chosen), FILTER_VALUES).select(
         F.col("column").alias("name"), F.lit("dimension").alias("role"), F.col("rank").cast("long").alias("rank"), "value"
     )

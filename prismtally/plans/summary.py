@@ -16,6 +16,7 @@ from prismtally.operators.insights import drivers, foundational, journeys, segme
 from prismtally.operators.insights.common import month_totals, segment_stats
 from prismtally.operators.profile import overview, quality_alerts
 from prismtally.operators.semantics import dataset_model, infer_semantics
+from prismtally.session import checkpointed
 
 # Fixed values.
 ADVANCED, KEY_INSIGHTS, RECOMMENDATIONS, TAKEAWAYS, TAKEAWAY_INSIGHTS = 6, 8, 6, 4, 3
@@ -58,18 +59,15 @@ def advanced_insights(df: DataFrame, roles: Roles, with_model: bool = True, tree
     """I5-I15 over the semantic groups, best six.
 
     Detectors of one family share their aggregate: segment statistics feed I6 and I8, monthly
-    totals I9-I12. The shared frames are a few rows and are kept until the caller's session ends.
+    totals I9-I12. The shared frames are a few rows; they are released once the findings are written, which are six rows.
     """
     m, d, t = roles.measures, roles.dimensions, roles.dates
     stats = None
     if m and d:
         stats = segment_stats(
-            df, d[: segments.SEGMENT_DIMENSIONS], m[: segments.SEGMENT_MEASURES], segments.SEGMENT_VALUES
+            df, d, m, segments.SEGMENT_VALUES
         ).persist(StorageLevel.MEMORY_AND_DISK)
-    shared = {
-        date: month_totals(df, date, m[: series.SEASON_MEASURES]).persist(StorageLevel.MEMORY_AND_DISK)
-        for date in (t[: series.SEASON_DATES] if m else [])
-    }
+    shared = {date: month_totals(df, date, m).persist(StorageLevel.MEMORY_AND_DISK) for date in (t if m else [])}
     parts = [
         segments.anomaly_insights(df, m),
         series.seasonality_insights(df, t, m, shared),
@@ -86,7 +84,10 @@ def advanced_insights(df: DataFrame, roles: Roles, with_model: bool = True, tree
         ]
     if with_model:
         parts.append(drivers.model_driver_insights(df, d, m, trees))
-    return ranked(union(parts), ADVANCED)
+    best = checkpointed(ranked(union(parts), ADVANCED))
+    for frame in [*shared.values(), *([stats] if stats is not None else [])]:
+        frame.unpersist()
+    return best
 
 
 def key_insights(foundational_rows: DataFrame, advanced_rows: DataFrame) -> DataFrame:
@@ -172,15 +173,15 @@ def analyse(
     trees: int = drivers.TREES,
     approximate: bool = False,
 ) -> Summary:
-    """Everything the summary shows for one prepared table, as small DataFrames.
+    """Everything the summary shows for one prepared table, as small DataFrames, written out so that nothing stays cached.
 
     ``approximate`` takes distinct counts from sketches instead of a shuffle of all values.
     """
-    semantics = infer_semantics(df, overrides, approximate).persist(StorageLevel.MEMORY_AND_DISK)
+    semantics = checkpointed(infer_semantics(df, overrides, approximate))
     roles = roles_of(semantics)
-    base = foundational.foundational(df, roles.averaged).persist(StorageLevel.MEMORY_AND_DISK)
-    insights = key_insights(base, advanced_insights(df, roles, with_model, trees)).persist(StorageLevel.MEMORY_AND_DISK)
-    facts = overview(df).persist(StorageLevel.MEMORY_AND_DISK)
+    base = checkpointed(foundational.foundational(df, roles.averaged))
+    insights = checkpointed(key_insights(base, advanced_insights(df, roles, with_model, trees)))
+    facts = checkpointed(overview(df))
     alerts = quality_alerts(df, facts)
     return Summary(
         overview=facts,

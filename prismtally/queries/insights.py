@@ -62,7 +62,7 @@ def i1_pairs(spark, sf):
     "I1_correlation_insights",
     scored_sql(
         f"""SELECT 'correlation' AS kind, a || ' and ' || b || ' move together' AS title,
-                   'The correlation is ' || printf('%.2f', r) || ', which is strong enough to investigate a business relationship.' AS detail,
+                   'Their linear correlation is ' || printf('%.2f', r) || '; look for what ties them together.' AS detail,
                    round(abs(r), 3) AS score, 'r = ' || printf('%.2f', r) AS stat, n AS sample, abs(r) AS effect,
                    {t_two_sided_sql('r', 'n')} AS p, NULL AS stability
             FROM ({_PAIR_ROWS}) WHERE abs(r) >= 0.45 AND n >= 12""",
@@ -80,7 +80,7 @@ _SKEW_ROWS = " UNION ALL ".join(f"SELECT '{c}' AS name, skewness({c}) AS s, coun
     "I2_distribution_insights",
     scored_sql(
         f"""SELECT 'distribution' AS kind, name || ' has a ' || CASE WHEN s > 0 THEN 'right' ELSE 'left' END || '-skewed distribution' AS title,
-                   'The mean may be less representative than the median here, and a few values are likely stretching the range.' AS detail,
+                   'A few values far out pull the mean away from the bulk, so the median describes it better.' AS detail,
                    round(abs(s), 3) AS score, 'skew = ' || printf('%.2f', s) AS stat, n AS sample, least(abs(s) / 2.5, 2.0) AS effect,
                    CAST(NULL AS DOUBLE) AS p, least(1.0, abs(s) / 3) AS stability
             FROM ({_SKEW_ROWS}) WHERE abs(s) >= 1 AND n >= 8""",
@@ -116,7 +116,7 @@ def i3_table(spark, sf):
     "I3_concentration_insights",
     scored_sql(
         f"""SELECT 'categorical' AS kind, name || ' is concentrated in ''' || label || '''' AS title,
-                   'The top category contributes ' || CAST(CAST(dominance AS DOUBLE) AS VARCHAR) || '% of observed rows, which suggests an imbalance worth explaining.' AS detail,
+                   'This one value stands in ' || CAST(CAST(dominance AS DOUBLE) AS VARCHAR) || '% of the rows that have one.' AS detail,
                    dominance AS score, label || ': ' || CAST(CAST(dominance AS DOUBLE) AS VARCHAR) || '%' AS stat, n AS sample,
                    greatest(dominance / 100, 1 - least(entropy, 3.0) / 3) AS effect, CAST(NULL AS DOUBLE) AS p, least(1.0, dominance / 70) AS stability
             FROM ({_CONCENTRATION}) WHERE dominance >= 35""",
@@ -162,22 +162,29 @@ def i4_events(spark, sf):
     )
 
 
+_RISING = "(SELECT o_orderdate, o_totalprice + date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) * 100.0 AS rising FROM orders)"
+
+
 @query(
     "I4_trend_insights",
     scored_sql(
         f"""SELECT 'trend' AS kind, measure || ' changes over time' AS title,
-                   'From the first to last recorded period, the metric moves by ' || CAST(CAST(round(d, 2) AS DOUBLE) AS VARCHAR) || ' (' || CAST(CAST(pct AS DOUBLE) AS VARCHAR) || '%).' AS detail,
+                   'Between its first and its last period it changed by ' || CAST(CAST(round(d, 2) AS DOUBLE) AS VARCHAR) || ' (' || CAST(CAST(pct AS DOUBLE) AS VARCHAR) || '%).' AS detail,
                    greatest(abs(pct), abs(d)) AS score,
                    'change = ' || CAST(CAST(round(d, 2) AS DOUBLE) AS VARCHAR) || ' (' || CAST(CAST(pct AS DOUBLE) AS VARCHAR) || '%)' AS stat,
                    periods AS sample, greatest(abs(r), abs(pct) / 100) AS effect, {t_two_sided_sql('r', 'periods')} AS p, NULL AS stability
             FROM (SELECT *, last - first AS d, round((last - first) / CASE WHEN first = 0 THEN 1 ELSE abs(first) END * 100, 2) AS pct
-                  FROM ({_trend_sql('o_totalprice', 'sum')}))
+                  FROM ({_trend_sql('rising', 'avg', _RISING)} UNION ALL {_trend_sql('o_custkey', 'avg')}))
             WHERE abs(r) >= 0.35 OR abs(pct) >= 10""",
         2,
     ),
 )
 def i4(spark, sf):
-    return _findings(foundational.trend_insights(table(spark, sf, "orders"), ["o_orderdate"], ["o_totalprice"]))
+    """A measure that rises with the date, beside one that does not."""
+    day = F.datediff(F.col("o_orderdate"), F.lit("1992-01-01").cast("date"))
+    orders = table(spark, sf, "orders").withColumn("rising", F.col("o_totalprice") + day * 100.0)
+    found = foundational.trend_insights(orders, ["o_orderdate"], ["rising", "o_custkey"], {"rising", "o_custkey"})
+    return _findings(found)
 
 
 # --- I5-I8 --------------------------------------------------------------------------------------
@@ -216,7 +223,7 @@ def i5_table(spark, sf):
     "I5_anomaly_insights",
     scored_sql(
         f"""SELECT 'anomaly' AS kind, measure || ' shows statistically unusual values' AS title,
-                   'The strongest robust outlier observed is ' || format('{{:,.2f}}', top_value) || ', far outside the typical median-centered range.' AS detail,
+                   'The value furthest from the median is ' || format('{{:,.2f}}', top_value) || '.' AS detail,
                    round(max_z, 3) AS score, outliers || ' outliers (robust z >= 3.5)' AS stat, n AS sample, least(3.0, max_z) / 3.5 AS effect,
                    CAST(NULL AS DOUBLE) AS p, least(1.0, outliers / greatest(n * 0.1, 1)) AS stability
             FROM ({_ANOMALY}) WHERE outliers > 0""",
@@ -259,7 +266,7 @@ def i7(spark, sf):
     "I6_segment_drivers",
     scored_sql(
         f"""SELECT 'segment_driver' AS kind, dimension || ' strongly separates ' || measure AS title,
-                   top_segment || ' leads while ' || bottom_segment || ' trails, with an average gap of ' || format('{{:,.2f}}', spread) || '.' AS detail,
+                   'On average ' || top_segment || ' is ' || format('{{:,.2f}}', spread) || ' above ' || bottom_segment || '.' AS detail,
                    round(abs(spread), 3) AS score, top_segment || ' vs ' || bottom_segment AS stat, total_n AS sample,
                    greatest(ssb / (ssb + ssw), spread / sd / 3) AS effect,
                    {f_upper_sql('((ssb / (groups - 1)) / (ssw / (total_n - groups)))', '(groups - 1)', '(total_n - groups)')} AS p, NULL AS stability
@@ -282,7 +289,7 @@ _SHARES = f"""
     "I8_contributions",
     scored_sql(
         f"""SELECT 'contribution' AS kind, top_segment || ' dominates contribution to ' || measure AS title,
-                   top_segment || ' contributes ' || printf('%.2f', top_share) || '% of the total ' || measure || '.' AS detail,
+                   'Of all ' || measure || ', ' || printf('%.2f', top_share) || '% comes from ' || top_segment || '.' AS detail,
                    round(top_share, 3) AS score, printf('%.2f', top_share) || '% share' AS stat, rows AS sample,
                    greatest(hhi, top_share / 100) AS effect, CAST(NULL AS DOUBLE) AS p, least(1.0, top_share / 60) AS stability
             FROM ({_SHARES}) WHERE top_share >= 35""",
@@ -320,7 +327,7 @@ _SEASON = f"""
     "I9_seasonality",
     scored_sql(
         f"""SELECT 'seasonality' AS kind, 'o_totalprice shows a repeating month pattern' AS title,
-                   'Month ' || peak || ' tends to be strongest while month ' || trough || ' is weakest based on repeated monthly totals.' AS detail,
+                   'Over the years the totals of month ' || peak || ' are the highest and those of month ' || trough || ' the lowest.' AS detail,
                    round(spread, 3) AS score, 'month ' || peak || ' vs month ' || trough AS stat, months AS sample, greatest(eta, strength) AS effect,
                    {f_upper_sql('((ssb / (groups - 1)) / (ssw / (total_n - groups)))', '(groups - 1)', '(total_n - groups)')} AS p,
                    least(1.0, strength) AS stability
@@ -349,7 +356,7 @@ def i10_values(spark, sf):
     "I10_forecast",
     scored_sql(
         f"""SELECT 'forecast' AS kind, 'o_totalprice is projected to ' || CASE WHEN nx >= latest THEN 'grow' ELSE 'decline' END || ' next period' AS title,
-                   'A linear period forecast points to ' || format('{{:,.2f}}', nx) || ' next, versus the latest ' || format('{{:,.2f}}', latest) || '.' AS detail,
+                   'The line through the months reaches ' || format('{{:,.2f}}', nx) || ' after ' || format('{{:,.2f}}', latest) || ' in the last one.' AS detail,
                    round(abs(d) * 100, 3) AS score, 'next period ' || format('{{:,.2f}}', nx) || ' (' || printf('%+.1f', d * 100) || '%)' AS stat,
                    months AS sample, greatest(abs(d), abs(r)) AS effect, {t_two_sided_sql('r', 'months')} AS p, NULL AS stability
             FROM (SELECT *, i + s * months AS nx, (i + s * months - latest) / abs(latest) AS d FROM {_FIT}) WHERE abs(d) >= 0.05 OR abs(r) >= 0.35""",
@@ -370,7 +377,7 @@ _SPLIT = f"""
     "I11_decomposition",
     scored_sql(
         f"""SELECT 'decomposition' AS kind, 'o_totalprice can be split into trend and recurring pattern' AS title,
-                   'The smoothed trend changed by ' || format('{{:,.2f}}', change) || ', while the month-of-year seasonal swing spans ' || format('{{:,.2f}}', swing) || '.' AS detail,
+                   'Smoothed, it changed by ' || format('{{:,.2f}}', change) || '; around that, the months of the year swing by ' || format('{{:,.2f}}', swing) || '.' AS detail,
                    round(greatest(abs(change), abs(swing)), 3) AS score,
                    'trend delta ' || format('{{:,.2f}}', change) || ' / seasonal range ' || format('{{:,.2f}}', swing) AS stat, months AS sample,
                    greatest(abs(change) / base, swing / base) AS effect, CAST(NULL AS DOUBLE) AS p, least(1.0, swing / base) AS stability
@@ -396,7 +403,7 @@ _VARIANCE = """
     "I12_variance",
     scored_sql(
         f"""SELECT 'variance_explanation' AS kind, dimension || ' explains the latest change in o_totalprice' AS title,
-                   segment || ' contributed ' || format('{{:,.2f}}', delta) || ' of the latest period change (' || printf('%.1f', share) || '% of net movement).' AS detail,
+                   'In ' || segment || ' it moved by ' || format('{{:,.2f}}', delta) || ', ' || printf('%.1f', share) || '% of the net change.' AS detail,
                    round(abs(delta), 3) AS score, l || ' vs ' || p AS stat, k AS sample, greatest(share / 100, abs(d) / base) AS effect,
                    CAST(NULL AS DOUBLE) AS p, least(1.0, share / 100) AS stability
             FROM (SELECT * FROM ({_VARIANCE})) WHERE share >= 20""",
@@ -425,7 +432,7 @@ def _wide(spark, sf):
 def _funnel_sql(steps: str, stages: list[str], label: str) -> str:
     return scored_sql(
         f"""SELECT 'funnel' AS kind, 'Largest funnel friction appears between ' || a || ' and ' || b AS title,
-                   'The observed conversion between these stages is ' || printf('%.2f', conv) || '%, with a drop of ' || format('{{:,.2f}}', d) || '.' AS detail,
+                   'Of what enters this step ' || printf('%.2f', conv) || '% goes on; ' || format('{{:,.2f}}', d) || ' is lost.' AS detail,
                    round(100 - conv, 3) AS score, printf('%.2f', conv) || '% conversion' AS stat, vol AS sample,
                    greatest(0.0, (100 - conv) / 100) AS effect, CAST(NULL AS DOUBLE) AS p, least(1.0, vol / 500.0) AS stability
             FROM (SELECT * FROM ({steps}) ORDER BY conv, k LIMIT 1)""",
@@ -474,7 +481,7 @@ def i14_table(spark, sf):
     "I14_retention",
     scored_sql(
         f"""SELECT 'retention_cohort' AS kind, strftime(cohort, '%Y-%m') || ' cohort has the strongest repeat activity' AS title,
-                   printf('%.2f', rate) || '% of entities in that cohort appear again in a later period.' AS detail, round(rate, 3) AS score,
+                   'Of those first seen in that month, ' || printf('%.2f', rate) || '% come back in a later one.' AS detail, round(rate, 3) AS score,
                    printf('%.2f', rate) || '% repeat rate' AS stat, size AS sample, rate / 100 AS effect, CAST(NULL AS DOUBLE) AS p,
                    least(1.0, rate / 100) AS stability
             FROM (SELECT *, repeats * 100.0 / size AS rate FROM ({_COHORTS}) WHERE repeats > 0 ORDER BY rate DESC, cohort LIMIT 1)""",
@@ -512,10 +519,6 @@ def i16(spark, sf):
     return enrich(raw).select(F.col("kind").cast("long").alias("event_id"), "confidence_score", "confidence_label", "priority_score")
 
 
-def _roles():
-    return summary.Roles(["swing", "l_quantity"], ["l_returnflag", "l_linestatus"], ["l_shipdate"], [], frozenset())
-
-
 # The ranked findings below join detectors whose own statements stand above.
 _RANKED = ["I1_correlation_insights", "I2_distribution_insights", "I6_segment_drivers", "I8_contributions",
            "I9_seasonality", "I10_forecast", "I11_decomposition", "I12_variance"]

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from prismtally.operators.insights import drivers, foundational, journeys, segments, series
 from prismtally.plans import summary
@@ -36,7 +37,7 @@ def test_variance_names_the_moving_segment(spark):
             rows.append((dt.datetime(2026, month, day), "B", 80))
     df = spark.createDataFrame(rows, "date timestamp_ntz, segment string, revenue long")
     (row,) = rows_of(series.variance_insights(df, ["date"], ["segment"], ["revenue"]))
-    assert row["detail"].startswith("A contributed 200.00") and row["stat"] == "2026-02 vs 2026-01"
+    assert row["detail"].startswith("In A it moved by 200.00") and row["stat"] == "2026-02 vs 2026-01"
     assert row["sample_size"] == 8
 
 
@@ -156,3 +157,45 @@ def test_summary_of_a_small_business_table(spark):
 def test_nothing_without_columns(spark, fn):
     df = spark.createDataFrame([(1,)], "a long")
     assert rows_of(fn(df, [], [])) == []
+
+
+def test_the_only_finding_is_in_the_last_of_many_columns(spark):
+    """No detector stops at the first columns."""
+    day = F.col("id").cast("int")
+    when = F.add_months(F.lit("2024-01-01").cast("date"), F.floor(day / 20).cast("int")).cast("timestamp")
+    wide = spark.range(480).select(
+        *[F.lit("2024-01-01").cast("timestamp").alias(f"t{i}") for i in range(3)],
+        when.alias("when"),
+        *[F.lit("same").alias(f"d{i}") for i in range(7)],
+        F.when(day % 3 == 0, "A").otherwise("B").alias("last_dimension"),
+        *[F.lit(5.0).alias(f"m{i:02d}") for i in range(12)],
+        (F.when(day % 3 == 0, 40.0).otherwise(1.0) + F.floor(day / 20) * 10 + F.when(day % 240 < 20, 300.0).otherwise(0.0)).alias("loud"),
+    )
+    rising = wide.columns
+    spiked = spark.range(480).select(*[F.lit(5.0).alias(m) for m in rising[-13:-1]], F.when(day == 7, 450.0).otherwise(day % 9).alias("loud"))
+    dates = ["t0", "t1", "t2", "when"]
+    dims, measures = [f"d{i}" for i in range(7)] + ["last_dimension"], [f"m{i:02d}" for i in range(12)] + ["loud"]
+    for found in (
+        segments.anomaly_insights(spiked, measures),
+        segments.segment_driver_insights(wide, dims, measures),
+        series.seasonality_insights(wide, dates, measures),
+        series.forecast_insights(wide, dates, measures),
+        series.decomposition_insights(wide, dates, measures),
+        foundational.trend_insights(wide, dates, measures),
+        series.variance_insights(wide, dates, dims, measures),
+    ):
+        kinds = [(r["kind"], r["chart_columns"]) for r in found.collect()]
+        assert kinds and "loud" in kinds[0][1], kinds
+    ids = spark.range(400).select(
+        F.lit("2024-01-01").cast("timestamp").alias("first"),
+        F.add_months(F.lit("2024-01-01").cast("date"), (F.col("id") % 5).cast("int")).cast("timestamp").alias("second"),
+        F.col("id").alias("once_id"),
+        (F.col("id") % 60 + F.floor(F.col("id") / 200) * 0).alias("again_id"),
+    )
+    assert journeys.retention_insights(ids, ["first", "second"], ["once_id", "again_id"]).count() <= 1
+    assert journeys.funnel_columns(["paid", "visit", "view", "lead", "signup", "trial", "cart"])[-1] == "paid"
+
+
+def test_summary_leaves_no_cache(spark):
+    summary.analyse(spark.range(40).selectExpr("id % 3 AS k", "id * 1.5 AS amount"), with_model=False).key_insights.collect()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
