@@ -57,7 +57,8 @@ def parse_datetime(c: Column) -> Column:
         F.when(text.rlike(f"^{shape}$"), F.try_to_timestamp(text, F.lit(layout)).cast("timestamp_ntz"))
         for shape, layout in DATE_LAYOUTS
     ]
-    return F.coalesce(iso, F.when(text.rlike(DATE_PATTERN), F.coalesce(*others)))
+    # No layout goes without a digit, which spares plain words every cast.
+    return F.when(text.rlike(r"\d"), F.coalesce(iso, F.when(text.rlike(DATE_PATTERN), F.coalesce(*others))))
 
 
 def strip(c: Column) -> Column:

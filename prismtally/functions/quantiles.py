@@ -1,16 +1,14 @@
 """Exact quantiles (linear interpolation) without gathering a group in one task.
 
-Two ways, chosen by the measured number of values:
-
-* up to ``EXACT_VALUES_KEY`` values (rows x columns): the built-in ``percentile``, whose
-  aggregation buffer holds the distinct values of a group, so the bound is also its memory bound;
-* beyond it: rank selection by repeated histograms. Each pass counts the values of every open
-  bracket into buckets (map-side combined, so a hot value or hot group is one counter), keeps the
-  bucket that holds the wanted rank, and narrows the bracket to that bucket's smallest and
-  largest value. Once the open brackets hold no more values than the bound above, their distinct
-  values are ranked directly. No pass shuffles or sorts the table's values as a whole. Without
-  groups the brackets are a few numbers and enter each pass as literals; with groups they are a
-  checkpointed table joined on the group.
+Whole columns are always selected by rank: each pass counts the values of every open bracket into buckets (map-side combined,
+so a hot value is one counter), keeps the bucket that holds the wanted rank, and narrows the bracket to that bucket's smallest
+and largest value. Once the open brackets hold few values, every distinct value is a bucket of its own, which ends the
+search. The first pass also gives the number of values, so nothing is counted beforehand. Brackets are a few numbers and
+enter each pass as literals.
+
+Groups take the built-in ``percentile`` while the values are few enough for its buffers, and the same selection, with the
+brackets as a checkpointed table joined on the group, beyond that. Both give the same answer, infinite values included; the
+bound only chooses the plan.
 """
 
 from __future__ import annotations
@@ -44,18 +42,20 @@ def quantiles(
     probabilities: list[float],
     by: list[str] | None = None,
     weight: Column | None = None,
+    builtin_values: int | None = None,
 ) -> DataFrame:
     """One row per group with an ``array<double>`` column per entry of ``values``.
 
     ``weight`` gives each value a whole-number frequency. Nulls are skipped; a group without
-    values gets a null array.
+    values gets a null array. ``builtin_values`` is the number of grouped values up to which the built-in aggregate is used.
     """
     by = by or []
     row_weight = weight if weight is not None else F.lit(1)
     picked = df.select(
         *by, *[v.cast("double").alias(f"v{i}") for i, v in enumerate(values.values())], row_weight.cast("long").alias("w")
     )
-    if picked.count() * max(len(values), 1) <= builtin_limit(df):
+    most = builtin_limit(df) if builtin_values is None else builtin_values
+    if by and picked.count() * max(len(values), 1) <= most:
         probs = F.array(*[F.lit(float(p)) for p in probabilities])
         aggs = []
         for i, name in enumerate(values):
@@ -88,14 +88,15 @@ class Bracket:
 
 def _selected_whole(picked: DataFrame, series: range, probabilities: list[float]) -> dict[int, list[float] | None]:
     """Quantiles of whole columns. Only the chosen buckets of each pass (a few rows) are collected."""
-    clamped = {i: F.greatest(F.least(F.col(f"v{i}"), F.lit(LARGEST)), F.lit(-LARGEST)) for i in series}
-    rows = picked.where(F.col("w") > 0).select(
-        "w", *[F.when(F.col(f"v{i}").isNotNull(), v).alias(f"v{i}") for i, v in clamped.items()]
-    )
+    rows = picked.where(F.col("w") > 0)
     aggs = []
     for i in series:
         v = F.col(f"v{i}")
-        aggs += [F.sum(F.when(v.isNotNull(), F.col("w"))).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+        finite = F.when(F.abs(v) <= LARGEST, v)
+        aggs += [
+            F.sum(F.when(v.isNotNull(), F.col("w"))).alias(f"n{i}"), F.min(finite).alias(f"lo{i}"), F.max(finite).alias(f"hi{i}"),
+            F.sum(F.when(v < -LARGEST, F.col("w"))).alias(f"low{i}"), F.sum(F.when(v > LARGEST, F.col("w"))).alias(f"high{i}"),
+        ]
     sizes = rows.agg(*aggs).first()
 
     found: dict[tuple[int, int], float] = {}
@@ -110,8 +111,11 @@ def _selected_whole(picked: DataFrame, series: range, probabilities: list[float]
     for i in series:
         n = sizes[f"n{i}"] or 0
         ranks = sorted({f(p * (n - 1)) for p in probabilities for f in (math.floor, math.ceil)}) if n else []
-        if n:
-            place(Bracket(i, sizes[f"lo{i}"], sizes[f"hi{i}"], 0, n, tuple(ranks)))
+        low, high = sizes[f"low{i}"] or 0, sizes[f"high{i}"] or 0  # infinite values need no search
+        found.update({(i, r): -math.inf if r < low else math.inf for r in ranks if r < low or r >= n - high})
+        ranks = [r for r in ranks if (i, r) not in found]
+        if ranks:
+            place(Bracket(i, sizes[f"lo{i}"], sizes[f"hi{i}"], low, n - low - high, tuple(ranks)))
     while open_:
         brackets, open_ = open_, []
         by_value = sum(b.held for b in brackets) <= builtin_limit(picked)
@@ -141,7 +145,7 @@ def _selected_whole(picked: DataFrame, series: range, probabilities: list[float]
     def quantile(i: int, p: float) -> float:
         at = p * (sizes[f"n{i}"] - 1)
         low, high = found[i, math.floor(at)], found[i, math.ceil(at)]
-        return low + (high - low) * (at - math.floor(at))
+        return low if low == high else low + (high - low) * (at - math.floor(at))
 
     return {i: [quantile(i, p) for p in probabilities] if sizes[f"n{i}"] else None for i in series}
 
@@ -156,7 +160,7 @@ def _selected(picked: DataFrame, names: list[str], probabilities: list[float], b
             "w",
         )
         .where(F.col("s.v").isNotNull() & (F.col("w") > 0))
-        .select(*by, "s.series", F.greatest(F.least(F.col("s.v"), F.lit(LARGEST)), F.lit(-LARGEST)).alias("v"), "w")
+        .select(*by, "s.series", F.greatest(F.least(F.col("s.v"), F.lit(LARGEST)), F.lit(-LARGEST)).alias("v"), F.col("s.v").alias("raw"), "w")
     )
     keys = [*by, "series"]
 
@@ -174,8 +178,12 @@ def _selected(picked: DataFrame, names: list[str], probabilities: list[float], b
         )
     )
     sizes = checkpointed(
-        long.groupBy(*keys).agg(F.sum("w").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    )
+        long.groupBy(*keys).agg(
+            F.sum("w").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+            F.coalesce(F.sum(F.when(F.col("raw") < -LARGEST, F.col("w"))), F.lit(0)).alias("low"),
+            F.coalesce(F.sum(F.when(F.col("raw") > LARGEST, F.col("w"))), F.lit(0)).alias("high"),
+        )
+    )
     whole = F.col("n").alias("held")
     open_ = sizes.select(*keys, F.explode(ranks).alias("rank"), "lo", "hi", F.lit(0).cast("long").alias("below"), whole)
     done: DataFrame | None = None
@@ -192,12 +200,16 @@ def _selected(picked: DataFrame, names: list[str], probabilities: list[float], b
     merged = sizes.join(filled, keys)
     lower = [F.floor(F.lit(float(p)) * (F.col("n") - 1)).cast("long") for p in probabilities]
     upper = [F.ceil(F.lit(float(p)) * (F.col("n") - 1)).cast("long") for p in probabilities]
-    interpolated = F.array(
-        *[
-            F.col("at")[lo] + (F.col("at")[hi] - F.col("at")[lo]) * (F.lit(float(p)) * (F.col("n") - 1) - lo)
-            for p, lo, hi in zip(probabilities, lower, upper)
-        ]
-    )
+
+    def value(rank: Column) -> Column:
+        infinite = F.when(rank < F.col("low"), -math.inf).when(rank >= F.col("n") - F.col("high"), math.inf)
+        return F.coalesce(infinite, F.col("at")[rank])
+
+    def between(p: float, lo: Column, hi: Column) -> Column:
+        a, b = value(lo), value(hi)
+        return F.when(a == b, a).otherwise(a + (b - a) * (F.lit(float(p)) * (F.col("n") - 1) - lo))
+
+    interpolated = F.array(*[between(p, lo, hi) for p, lo, hi in zip(probabilities, lower, upper)])
     per_series = merged.select(*keys, interpolated.alias("q"))
     return per_series.groupBy(*by).agg(
         *[F.max(F.when(F.col("series") == i, F.col("q"))).alias(name) for i, name in enumerate(names)]

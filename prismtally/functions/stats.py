@@ -136,6 +136,20 @@ def f_p_value(f: pd.Series, dof1: pd.Series, dof2: pd.Series) -> pd.Series:
     )
 
 
+def anova_columns() -> list[Column]:
+    """``f_stat, eta_squared, dof1, dof2`` from ``groups, total_n, ss_between, ss_within``."""
+    dof1, dof2 = F.col("groups") - 1, F.col("total_n") - F.col("groups")
+    enough = F.col("groups") >= 2
+    f_stat = F.when(enough, F.try_divide(F.col("ss_between") / dof1, F.try_divide(F.col("ss_within"), dof2)))
+    eta = F.try_divide(F.col("ss_between"), F.col("ss_between") + F.col("ss_within"))
+    return [
+        f_stat.alias("f_stat"),
+        F.when(enough, F.coalesce(eta, F.lit(0.0))).otherwise(F.lit(0.0)).alias("eta_squared"),
+        dof1.cast("double").alias("dof1"),
+        dof2.cast("double").alias("dof2"),
+    ]
+
+
 def anova(groups: DataFrame, keys: list[str]) -> DataFrame:
     """One-way analysis of variance per ``keys`` from one row (n, mean, m2) per group.
 
@@ -156,21 +170,7 @@ def anova(groups: DataFrame, keys: list[str]) -> DataFrame:
         F.sum(F.col("n") * deviation * deviation).alias("ss_between"),
         F.sum("m2").alias("ss_within"),
     )
-    dof1, dof2 = F.col("groups") - 1, F.col("total_n") - F.col("groups")
-    enough = F.col("groups") >= 2
-    f_stat = F.when(enough, F.try_divide(F.col("ss_between") / dof1, F.try_divide(F.col("ss_within"), dof2)))
-    eta = F.try_divide(F.col("ss_between"), F.col("ss_between") + F.col("ss_within"))
-    return sums.select(
-        *keys,
-        "groups",
-        "total_n",
-        "ss_between",
-        "ss_within",
-        f_stat.alias("f_stat"),
-        F.when(enough, F.coalesce(eta, F.lit(0.0))).otherwise(F.lit(0.0)).alias("eta_squared"),
-        dof1.cast("double").alias("dof1"),
-        dof2.cast("double").alias("dof2"),
-    )
+    return sums.select(*keys, "groups", "total_n", "ss_between", "ss_within", *anova_columns())
 
 
 def with_f_p_value(table: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismtally.functions.columns import as_text, moment, number, period_start
@@ -88,8 +88,9 @@ def segment_stats(df: DataFrame, dimensions: list[str], measures: list[str], max
             (F.var_pop(v) * F.count(v)).alias(f"m{i}"), F.min(v).alias(f"l{i}"), F.max(v).alias(f"h{i}"),
         ]
     wide = rows.groupBy(F.col("e.dimension").alias("dimension"), F.col("e.segment").alias("segment")).agg(*aggs)
-    cardinality = wide.groupBy("dimension").agg(F.count(F.lit(1)).alias("segments"))
-    kept = wide.join(F.broadcast(cardinality), "dimension").where(F.col("segments").between(2, max_segments))
+    # The sketch leaves at most a few dozen segments per dimension.
+    counted = wide.withColumn("segments", F.count(F.lit(1)).over(Window.partitionBy("dimension")))
+    kept = counted.where(F.col("segments").between(2, max_segments))
     per_measure = F.array(
         *[
             F.struct(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from prismtally.functions.columns import number
 from prismtally.functions.quantiles import quantile_row
-from prismtally.functions.stats import anova, with_f_p_value
+from prismtally.functions.stats import anova_columns, with_f_p_value
 from prismtally.operators.insights.common import findings, fixed, grouped, no_findings, say, segment_stats
 
 # Gates and limits; the normal scale enters twice, as the reference result does.
@@ -81,10 +81,16 @@ PAIR = ["dimension", "measure"]
 
 
 def driver_table(stats: DataFrame) -> DataFrame:
-    """Spread of segment means, its size against the overall deviation, and the ANOVA, per pair."""
-    pair = Window.partitionBy(*PAIR)  # at most 12 segments each
+    """Spread of segment means, its size against the overall deviation, and the ANOVA, per pair, in one aggregate.
+
+    The two grand means (of all segments, and of those of two rows or more, which the ANOVA compares) come from windows over
+    the at most 12 segments of a pair.
+    """
+    pair = Window.partitionBy(*PAIR)
+    big = F.when(F.col("n") >= 2, F.col("n"))
     grand = F.sum(F.col("n") * F.col("mean")).over(pair) / F.sum("n").over(pair)
-    placed = stats.withColumn("off", F.col("mean") - grand)
+    big_grand = F.try_divide(F.sum(big * F.col("mean")).over(pair), F.sum(big).over(pair))
+    placed = stats.withColumns({"off": F.col("mean") - grand, "big": big, "big_off": F.col("mean") - big_grand})
     spread = placed.groupBy(*PAIR).agg(
         F.sum("n").alias("rows"),
         F.min("lo").alias("lo"),
@@ -94,12 +100,13 @@ def driver_table(stats: DataFrame) -> DataFrame:
         F.min_by("segment", F.struct(-F.col("mean"), F.col("segment"))).alias("top_segment"),
         F.max_by("segment", F.struct(-F.col("mean"), F.col("segment"))).alias("bottom_segment"),
         (F.max("mean") - F.min("mean")).alias("spread"),
+        F.count("big").alias("groups"),
+        F.sum("big").alias("total_n"),
+        F.sum(F.col("big") * F.col("big_off") * F.col("big_off")).alias("ss_between"),
+        F.sum(F.when(F.col("big").isNotNull(), F.col("m2"))).alias("ss_within"),
     )
-    tested = anova(stats, PAIR)
     gap = F.when(F.col("pooled_std") > 0, F.abs(F.col("spread") / F.col("pooled_std"))).otherwise(F.abs("spread"))
-    return spread.join(tested, PAIR, "left").withColumn("gap", gap).withColumn(
-        "eta_squared", F.coalesce("eta_squared", F.lit(0.0))
-    )
+    return spread.select("*", *anova_columns()).withColumn("gap", gap)
 
 
 def segment_driver_insights(df: DataFrame, dimensions: list[str], measures: list[str], stats: DataFrame | None = None) -> DataFrame:

@@ -61,17 +61,22 @@ def parse_ratio(df: DataFrame, tests: dict[str, Column], denominators: dict[str,
     return {name: row[i] if row[i] is not None else 0.0 for i, name in enumerate(tests)}
 
 
-def _typing_tests(df: DataFrame, wanted: list[str], strip_commas: bool, number_share_of: str):
-    tests: dict[str, Column] = {}
+def _typing_shares(df: DataFrame, wanted: list[str], strip_commas: bool, number_share_of: str, threshold: float, also: dict[str, Column] | None = None) -> dict[str, float]:
+    """Shares of numbers and whole numbers of all columns, then of dates for the columns that are no numbers.
+
+    Date parsing is by far the dearer test, so the second scan reads only the columns that need it.
+    """
+    tests: dict[str, Column] = dict(also or {})
     denominators: dict[str, Column] = {}
     for c in wanted:
         tests[f"number:{c}"] = parse_number(col(c), strip_commas)
-        tests[f"date:{c}"] = parse_datetime(col(c))
         tests[f"whole:{c}"] = parse_whole(col(c), strip_commas)
         denominators[f"whole:{c}"] = col(c)
         if number_share_of == "non_null":
             denominators[f"number:{c}"] = col(c)
-    return tests, denominators
+    shares = parse_ratio(df, tests, denominators)
+    rest = [c for c in wanted if shares[f"number:{c}"] < threshold]
+    return {**shares, **parse_ratio(df, {f"date:{c}": parse_datetime(col(c)) for c in rest})}
 
 
 def _typed(name: str, shares: dict[str, float], strip_commas: bool, threshold: float) -> Column:
@@ -97,7 +102,7 @@ def coerce_text(
     all rows (P3). Values that do not parse become null.
     """
     wanted = [c for c in (columns or df.columns) if isinstance(field_type(df, c), T.StringType)]
-    shares = parse_ratio(df, *_typing_tests(df, wanted, strip_commas, number_share_of))
+    shares = _typing_shares(df, wanted, strip_commas, number_share_of, threshold)
     return df.select(*[_typed(c, shares, strip_commas, threshold) if c in wanted else col(c) for c in df.columns])
 
 
@@ -128,14 +133,13 @@ def infer_text_types(df: DataFrame) -> DataFrame:
 def prepare(df: DataFrame) -> DataFrame:
     """Stripped names, no empty columns or rows, typed text columns.
 
-    One aggregate decides everything: which columns hold values at all, and which texts are
-    numbers or dates. Rows without any value do not count, whichever columns are dropped later.
+    One scan tells which columns hold values at all and which texts are numbers, a second one which of the
+    other texts are dates. Rows without any value do not count, whichever columns are dropped later.
     """
     rows = drop_empty_rows(normalise_missing(strip_column_names(df)))
     wanted = text_columns(rows)
-    tests, denominators = _typing_tests(rows, wanted, True, "non_null")
     filled = {f"filled:{c}": col(c) for c in rows.columns}
-    shares = parse_ratio(rows, {**tests, **filled}, denominators)
+    shares = _typing_shares(rows, wanted, True, "non_null", COERCION_SHARE, filled)
     return rows.select(
         *[
             _typed(c, shares, True, COERCION_SHARE) if c in wanted else col(c)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from prismtally.functions.quantiles import quantiles
 from prismtally.operators import charts, measures
 from prismtally.queries.registry import query, table
 
@@ -365,3 +366,14 @@ def c15_dashboard(spark, sf):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+@query(
+    "C9_selected_quartiles",
+    """SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.25), 6) AS q1, round(quantile_cont(l_extendedprice, 0.5), 6) AS median,
+              round(quantile_cont(l_extendedprice, 0.75), 6) AS q3 FROM lineitem GROUP BY ALL""",
+)
+def c9_selected(spark, sf):
+    """Grouped quartiles by the selection that large tables take."""
+    found = quantiles(table(spark, sf, "lineitem"), {"q": F.col("l_extendedprice")}, [0.25, 0.5, 0.75], by=["l_returnflag", "l_linestatus"], builtin_values=0)
+    return found.select("l_returnflag", "l_linestatus", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("q1", "median", "q3"))])

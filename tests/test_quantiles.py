@@ -116,3 +116,18 @@ def test_folds_do_not_depend_on_the_session_zone(spark, zone):
         assert fit["slope"] == pytest.approx(1.0) and fit["r"] == pytest.approx(1.0)
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+INFINITE = [float("-inf"), 1.0, 2.0, float("inf"), float("inf")]
+
+
+def test_infinite_values_are_the_same_at_any_size(spark, selection):
+    rows = [("a", v) for v in INFINITE] + [("b", 1.0), ("b", 2.0), ("b", float("inf")), ("b", float("inf"))] + [("c", float("inf"))]
+    df = spark.createDataFrame(rows, "g string, x double")
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    small = {r["g"]: r["x"] for r in quantiles(df, {"x": F.col("x")}, probs, by=["g"], builtin_values=10**9).collect()}
+    large = {r["g"]: r["x"] for r in quantiles(df, {"x": F.col("x")}, probs, by=["g"], builtin_values=0).collect()}
+    assert small == large
+    for g in "abc":
+        assert quantiles(df.where(F.col("g") == g), {"x": F.col("x")}, probs).first()["x"] == small[g]
+    assert small["b"] == [1.0, 1.75, float("inf"), float("inf"), float("inf")]
