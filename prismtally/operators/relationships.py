@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from prismtally.functions.frequencies import key_text, long_form
 from prismtally.functions.rounding import nearest
+from prismtally.session import checkpointed
 
 # Name hints, weights and thresholds of the key and relationship scores.
 KEY_NAME_HINTS = ("id", "key", "code", "number", "no")
@@ -21,6 +22,11 @@ OVERLAP_WEIGHT, SIMILARITY_WEIGHT, KEY_WEIGHT = 0.7, 0.2, 0.1
 MIN_CONFIDENCE = 0.35
 SUGGESTIONS = 12
 
+SUGGESTION_SCHEMA = (
+    "left_dataset string, left_column string, right_dataset string, right_column string, confidence double, "
+    "overlap_score double, name_similarity double, recommended_join string"
+)
+
 BITS = 60  # columns per membership word
 
 
@@ -107,9 +113,14 @@ def membership_patterns(columns: list[tuple[DataFrame, str]]) -> DataFrame:
     columns that hold it, and equal bit sets are counted. Pairs of columns are only formed on
     that short table, never on the values.
     """
+    by_frame: dict[int, list[int]] = {}
+    for i, (df, _) in enumerate(columns):
+        by_frame.setdefault(id(df), []).append(i)
     parts = None
-    for i, (df, name) in enumerate(columns):
-        part = df.select(key_text(df, name).alias("value"), F.lit(i).alias("id"))
+    for ids in by_frame.values():  # one scan per dataset, whatever the number of its columns
+        df = columns[ids[0]][0]
+        entries = [F.struct(key_text(df, columns[i][1]).alias("value"), F.lit(i).alias("id")) for i in ids]
+        part = df.select(F.inline(F.array(*entries)))
         parts = part if parts is None else parts.unionByName(part)
     words = (len(columns) + BITS - 1) // BITS
     masks = [
@@ -128,7 +139,7 @@ def overlaps(columns: list[tuple[DataFrame, str]]) -> DataFrame:
 
     All distinct values count (not a leading sample). Pairs without a common value are absent.
     """
-    patterns = membership_patterns(columns)
+    patterns = checkpointed(membership_patterns(columns))  # read three times below
     ids = F.array(*[
         F.when(F.col(f"w{i // BITS}").bitwiseAND(F.lit(1 << (i % BITS)).cast("long")) != 0, F.lit(i))
         for i in range(len(columns))
@@ -159,47 +170,41 @@ def suggest_relationships(
 ) -> DataFrame:
     """The likeliest joins between datasets, best first.
 
-    Candidate keys are at most eight per dataset and come to the driver with their scores (names
-    are compared there); all value overlaps are then found by one job over all datasets.
+    Candidate keys are at most eight per dataset and come to the driver with their scores; all value overlaps are then found
+    by one job over all datasets, and names are compared for the pairs that share a value.
     """
     spark = next(iter(datasets.values())).sparkSession
     row_counts = dict(row_counts or {})
-    found = key_candidates_of(datasets).orderBy("dataset", F.desc("score"), "column").collect()
     order = {name: i for i, name in enumerate(datasets)}
-    keys = [(r["dataset"], r["column"], float(r["score"])) for r in sorted(found, key=lambda r: order[r["dataset"]])]
-    for r in found:
-        row_counts.setdefault(r["dataset"], r["dataset_rows"])
-    schema = (
-        "left_dataset string, left_column string, right_dataset string, right_column string, confidence double, "
-        "overlap_score double, name_similarity double, recommended_join string"
-    )
-    pairs = [
-        (i, j, a[0], a[1], b[0], b[1], name_similarity(a[1], b[1]), min(a[2], b[2]),
-         "left" if row_counts[a[0]] >= row_counts[b[0]] else "inner")
-        for i, a in enumerate(keys) for j, b in enumerate(keys) if i < j and a[0] != b[0]
-    ]
-    if not pairs:
-        return spark.createDataFrame([], schema)
-    named = spark.createDataFrame(
-        pairs,
-        "i int, j int, left_dataset string, left_column string, right_dataset string, right_column string, "
-        "similarity double, key_score double, recommended_join string",
+    found = sorted(key_candidates_of(datasets).collect(), key=lambda r: (order[r["dataset"]], -r["score"], r["column"]))
+    rows = [(i, r["dataset"], r["column"], float(r["score"]), row_counts.get(r["dataset"], r["dataset_rows"])) for i, r in enumerate(found)]
+    keys = spark.createDataFrame(rows, "id int, dataset string, column string, score double, rows long")
+    if not rows:
+        return spark.createDataFrame([], SUGGESTION_SCHEMA)
+
+    # Name and key scores alone stay below the threshold, so only pairs that share a value are formed.
+    def side(mark: str, at: str) -> DataFrame:
+        return keys.select(F.col("id").alias(at), *[F.col(c).alias(f"{mark}_{c}") for c in ("dataset", "column", "score", "rows")])
+
+    shared = overlaps([(datasets[r["dataset"]], r["column"]) for r in found])
+    pairs = shared.join(side("left", "i"), "i").join(side("right", "j"), "j").where("left_dataset <> right_dataset")
+    similarity = F.udf(name_similarity, "double")("left_column", "right_column")
+    scored = pairs.withColumn("similarity", similarity).withColumn(
+        "confidence",
+        F.col("overlap") * OVERLAP_WEIGHT + F.col("similarity") * SIMILARITY_WEIGHT + F.least("left_score", "right_score") * KEY_WEIGHT,
     )
-    shared = overlaps([(datasets[d], c) for d, c, _ in keys])
-    overlap = F.coalesce(F.col("overlap"), F.lit(0.0))
-    confidence = overlap * OVERLAP_WEIGHT + F.col("similarity") * SIMILARITY_WEIGHT + F.col("key_score") * KEY_WEIGHT
+    recommended = F.when(F.col("left_rows") >= F.col("right_rows"), "left").otherwise("inner")
     return (
-        named.join(shared, ["i", "j"], "left")
-        .where(confidence >= MIN_CONFIDENCE)
+        scored.where(F.col("confidence") >= MIN_CONFIDENCE)
         .select(
             "left_dataset",
             "left_column",
             "right_dataset",
             "right_column",
-            nearest(confidence, 3).alias("confidence"),
-            nearest(overlap, 3).alias("overlap_score"),
+            nearest(F.col("confidence"), 3).alias("confidence"),
+            nearest(F.col("overlap"), 3).alias("overlap_score"),
             nearest(F.col("similarity"), 3).alias("name_similarity"),
-            "recommended_join",
+            recommended.alias("recommended_join"),
         )
         .orderBy(F.desc("confidence"), "left_dataset", "left_column", "right_dataset", "right_column")
         .limit(limit)

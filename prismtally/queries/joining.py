@@ -154,47 +154,61 @@ def j5(spark, sf):
     return found.withColumn("overlap", F.round("overlap", 6))
 
 
-# The candidate keys of the four datasets below: dataset, column, type of comparison.
 _J6 = {
-    "customer": ["c_custkey", "c_name", "c_acctbal"],
-    "nation": ["n_nationkey", "n_name"],
-    "orders": ["o_orderkey", "o_totalprice"],
-    "supplier": ["s_suppkey", "s_name", "s_acctbal"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
 }
 
 
+def _expected_ratio(a: str, b: str) -> float:
+    """Twice the letters in common blocks over all letters: the longest block first, then both sides of it."""
+    a, b = a.replace("_", ""), b.replace("_", "")
+
+    def common(x: str, y: str) -> int:
+        spots = [(k, -i, -j) for i in range(len(x)) for j in range(len(y)) for k in range(1, min(len(x) - i, len(y) - j) + 1) if x[i : i + k] == y[j : j + k]]
+        if not spots:
+            return 0
+        k, i, j = max(spots)
+        return k + common(x[:-i], y[:-j]) + common(x[k - i :], y[k - j :])
+
+    return 2 * common(a, b) / (len(a) + len(b))
+
+
 def _j6_sql() -> str:
     keys = [(d, c) for d, cs in _J6.items() for c in cs]
-    values = " UNION ALL ".join(f"SELECT DISTINCT {i} AS id, trim(CAST({c} AS VARCHAR)) AS v FROM {d}" for i, (d, c) in enumerate(keys))
+    values = " UNION ALL ".join(f"SELECT DISTINCT {i} AS id, trim(CAST({c} AS VARCHAR)) AS v FROM {d} WHERE {c} IS NOT NULL" for i, (d, c) in enumerate(keys))
     stats = " UNION ALL ".join(
-        f"SELECT {i} AS id, '{d}' AS d, '{c}' AS c, count(DISTINCT {c}) / count(*) AS ur, 1.0 AS pr, count(*) AS n FROM {d}"
+        f"SELECT {i} AS id, '{d}' AS d, '{c}' AS c, count(DISTINCT {c}) / greatest(count({c}), 1) AS ur, count({c}) / greatest(count(*), 1) AS pr, count(*) AS n FROM {d}"
         for i, (d, c) in enumerate(keys)
     )
     names = ", ".join(
-        f"({i}, {j}, {relationships.name_similarity(a[1], b[1])!r})"
-        for i, a in enumerate(keys) for j, b in enumerate(keys) if i < j and a[0] != b[0]
-    )
+        f"({i}, {j}, {_expected_ratio(a[1], b[1])!r})" for i, a in enumerate(keys) for j, b in enumerate(keys) if i < j and a[0] != b[0]
+    )
     hint = " OR ".join(f"contains(c, '{h}')" for h in ("id", "key", "code", "number", "no"))
     return f"""
-      WITH vals AS ({values}), stats AS ({stats}),
-      keyed AS (SELECT id, d, c, n, CAST(printf('%.3f', CAST(least(1.0, ur * 0.65 + pr * 0.25 + CASE WHEN {hint} THEN 0.2 ELSE 0 END) AS DOUBLE)) AS DOUBLE) AS s FROM stats),
+      WITH stats AS ({stats}),
+      gated AS (SELECT *, CAST(printf('%.3f', CAST(least(1.0, ur * 0.65 + pr * 0.25 + CASE WHEN {hint} THEN 0.2 ELSE 0 END) AS DOUBLE)) AS DOUBLE) AS s
+                FROM stats WHERE pr >= 0.7 AND ur >= 0.55),
+      keyed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY s DESC, c) AS place FROM gated) WHERE place <= 8),
+      every AS ({values}), vals AS (SELECT * FROM every WHERE id IN (SELECT id FROM keyed)),
       sizes AS (SELECT id, count(*) AS k FROM vals GROUP BY id),
       shared AS (SELECT x.id AS i, y.id AS j, count(*) AS k FROM vals x JOIN vals y ON x.v = y.v AND x.id < y.id GROUP BY ALL),
       names(i, j, sim) AS (SELECT i, j, CAST(s AS DOUBLE) FROM (VALUES {names}) v(i, j, s)),
-      scored AS (SELECT a.d AS left_dataset, a.c AS left_column, b.d AS right_dataset, b.c AS right_column, sim,
-                        coalesce(shared.k / least(sa.k, sb.k), 0.0) AS ov, least(a.s, b.s) AS ks,
-                        CASE WHEN a.n >= b.n THEN 'left' ELSE 'inner' END AS recommended_join
+      scored AS (SELECT a.d AS ad, a.c AS ac, a.place AS ap, a.n AS an, b.d AS bd, b.c AS bc, b.n AS bn, sim,
+                        coalesce(shared.k / least(sa.k, sb.k), 0.0) AS ov, least(a.s, b.s) AS ks
                  FROM names JOIN keyed a ON a.id = names.i JOIN keyed b ON b.id = names.j
                  JOIN sizes sa ON sa.id = names.i JOIN sizes sb ON sb.id = names.j
                  LEFT JOIN shared ON shared.i = names.i AND shared.j = names.j)
-      SELECT left_dataset, left_column, right_dataset, right_column,
+      SELECT ad AS left_dataset, ac AS left_column, bd AS right_dataset, bc AS right_column,
              CAST(printf('%.3f', CAST(ov * 0.7 + sim * 0.2 + ks * 0.1 AS DOUBLE)) AS DOUBLE) AS confidence, CAST(printf('%.3f', CAST(ov AS DOUBLE)) AS DOUBLE) AS overlap_score,
-             CAST(printf('%.3f', CAST(sim AS DOUBLE)) AS DOUBLE) AS name_similarity, recommended_join
+             CAST(printf('%.3f', CAST(sim AS DOUBLE)) AS DOUBLE) AS name_similarity, CASE WHEN an >= bn THEN 'left' ELSE 'inner' END AS recommended_join
       FROM scored WHERE ov * 0.7 + sim * 0.2 + ks * 0.1 >= 0.35
       ORDER BY confidence DESC, left_dataset, left_column, right_dataset, right_column LIMIT 12"""
 
 
 @query("J6_relationships", _j6_sql())
 def j6(spark, sf):
-    datasets = {d: table(spark, sf, d).select(*cs) for d, cs in _J6.items()}
-    return relationships.suggest_relationships(datasets)
+    """Four whole tables; the gates decide which of their columns are compared."""
+    return relationships.suggest_relationships({d: table(spark, sf, d) for d in _J6})
