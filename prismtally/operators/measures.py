@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from prismtally.functions.columns import col, moment, number, period_start
 
 GRAINS = {"M": "month", "Q": "quarter", "Y": "year"}
+STEPS = ("day", "week", "month", "quarter", "year")
 DEFAULT_WINDOW = 7
 
 
 def _needed(df: DataFrame, column: str | None, what: str = "Column") -> str:
     if not column or column not in df.columns:
-        raise ValueError(f"{what} '{column}' was not found.")
+        raise ValueError(f"{what} {column!r} is not in the dataset.")
     return column
 
 
@@ -92,16 +93,24 @@ def _latest(totals: DataFrame, by: list[str], k: int) -> DataFrame:
     return totals.withColumn("age", F.row_number().over(spec)).where(F.col("age") <= k)
 
 
+def _step(d: dict) -> str:
+    """The unit of a rolling average, for its value and its series alike."""
+    step = d.get("step") or "day"
+    if step not in STEPS:
+        raise ValueError(f"A rolling average has no step {step!r}; it goes by {', '.join(STEPS)}.")
+    return step
+
+
 def _rolling(df: DataFrame, d: dict, by: list[str]) -> DataFrame:
     window = int(d.get("window") or DEFAULT_WINDOW)
-    newest = _latest(period_totals(df, d, by, None), by, window)
+    newest = _latest(period_totals(df, d, by, _step(d)), by, window)
     return newest.groupBy(*by).agg(F.count(F.lit(1)).alias("periods"), F.avg("total").alias("raw"))
 
 
 def _period_change(df: DataFrame, d: dict, by: list[str]) -> DataFrame:
     grain = d.get("grain") or "M"
     if grain not in GRAINS:
-        raise ValueError("Period change grain must be M, Q, or Y.")
+        raise ValueError(f"No grain {grain!r}: a change is measured by M, Q or Y.")
     pair = _latest(period_totals(df, d, by, GRAINS[grain]), by, 2)
     latest = F.max(F.when(F.col("age") == 1, F.col("total")))
     previous = F.max(F.when(F.col("age") == 2, F.col("total")))
@@ -110,17 +119,38 @@ def _period_change(df: DataFrame, d: dict, by: list[str]) -> DataFrame:
 
 # Measures over time: least number of periods, the error below it, and the evaluation.
 TIME_MEASURES: dict[str, tuple[int, str, Callable[[DataFrame, dict, list[str]], DataFrame]]] = {
-    "growth_pct": (2, "Growth percentage requires at least two dated metric periods.", _growth),
-    "rolling_average": (1, "Rolling average requires usable dated metric values.", _rolling),
-    "period_change": (2, "Period change requires at least two complete periods.", _period_change),
+    "growth_pct": (2, "Growth needs the metric at two different times or more.", _growth),
+    "rolling_average": (1, "There is no dated value to average.", _rolling),
+    "period_change": (2, "A change needs two periods or more.", _period_change),
+}
+
+
+# How the value of each type comes about, filled in from its definition.
+EXPLANATIONS: dict[str, str] = {
+    "ratio": "sum of {numerator} over sum of {denominator}",
+    "margin": "share of {revenue} left after {cost}, in percent",
+    "conversion_rate": "sum of {converted} per hundred of {total}",
+    "growth_pct": "{metric} at the last {date_column} against the first, in percent",
+    "rolling_average": "mean {metric} of the last {window} {step}s by {date_column}",
+    "period_change": "{metric} of the last {grain} by {date_column} against the one before, in percent",
 }
 
 
-def evaluate_measure(df: DataFrame, definition: dict, by: list[str] | None = None, strict: bool = False) -> DataFrame:
-    """(by..., name, type, value). ``strict`` raises where too few periods exist, at the
-    price of one job ahead of the plan; otherwise such a value is null."""
+def explain_measure(definition: dict) -> str:
+    """One sentence that says what is computed from which columns."""
+    filled = {"window": DEFAULT_WINDOW, "step": "day", **{k: v for k, v in definition.items() if v}}
+    filled["grain"] = GRAINS.get(filled.get("grain", "M"), filled.get("grain"))
+    return EXPLANATIONS[definition["type"]].format_map(filled)
+
+
+def evaluate_measure(
+    df: DataFrame, definition: dict, by: list[str] | None = None, strict: bool = False, explain: bool = False
+) -> DataFrame:
+    """(by..., name, type, value) and, if asked for, ``explanation``.
+
+    ``strict`` raises where too few periods exist, at the price of one job ahead of the plan; otherwise such a value is null.
+    """
     kind = definition.get("type")
-    name = definition.get("name") or kind or "Measure"
     by = by or []
     if kind in SUM_MEASURES:
         table = df.groupBy(*[col(c) for c in by]).agg(SUM_MEASURES[kind](df, definition).alias("raw"))
@@ -133,16 +163,17 @@ def evaluate_measure(df: DataFrame, definition: dict, by: list[str] | None = Non
                 raise ValueError(message)
         table = table.withColumn("raw", F.when(F.col("periods") >= least, F.col("raw")))
     else:
-        raise ValueError("Unsupported measure type.")
-    return table.select(*by, F.lit(name).alias("name"), F.lit(kind).alias("type"), shown(F.col("raw")).alias("value"))
+        raise ValueError(f"{kind!r} is none of the measures {', '.join([*SUM_MEASURES, *TIME_MEASURES])}.")
+    out = table.select(*by, F.lit(definition.get("name") or kind).alias("name"), F.lit(kind).alias("type"), shown(F.col("raw")).alias("value"))
+    return out.withColumn("explanation", F.lit(explain_measure(definition))) if explain else out
 
 
 def rolling_series(df: DataFrame, definition: dict, by: list[str]) -> DataFrame:
-    """B5 as a full series: the moving average of the daily totals at every day of every group.
+    """B5 as a full series: the moving average at every step (a day unless ``step`` says otherwise) of every group.
 
-    After the daily aggregation a group has at most one row per calendar day, which bounds each
-    window partition however many rows fell on a day.
+    After the aggregation a group has at most one row per calendar unit, which bounds each
+    window partition however many rows fell on it.
     """
     window = int(definition.get("window") or DEFAULT_WINDOW)
     spec = Window.partitionBy(*by).orderBy("period").rowsBetween(-(window - 1), 0)
-    return period_totals(df, definition, by, "day").withColumn("rolling", F.avg("total").over(spec))
+    return period_totals(df, definition, by, _step(definition)).withColumn("rolling", F.avg("total").over(spec))

@@ -112,6 +112,19 @@ def b6_year(spark, sf):
     return measures.evaluate_measure(table(spark, sf, "orders"), {"type": "period_change", "grain": "Y", **_METRIC})
 
 
+@query(
+    "B7_explained",
+    """SELECT 'rebate' AS name, 'ratio' AS type, round(sum(l_discount) / sum(l_quantity), 4) AS value, 'sum of l_discount over sum of l_quantity' AS explanation FROM lineitem
+       UNION ALL SELECT 'growth', 'growth_pct', round((arg_max(t, d) - arg_min(t, d)) / abs(arg_min(t, d)) * 100, 4), 'o_totalprice at the last o_orderdate against the first, in percent'
+       FROM (SELECT o_orderdate AS d, sum(o_totalprice) AS t FROM orders GROUP BY 1)""",
+)
+def b7_explained(spark, sf):
+    rebate = {"name": "rebate", "type": "ratio", "numerator": "l_discount", "denominator": "l_quantity"}
+    growth = {"name": "growth", "type": "growth_pct", "metric": "o_totalprice", "date_column": "o_orderdate"}
+    first = measures.evaluate_measure(table(spark, sf, "lineitem"), rebate, explain=True)
+    return first.unionByName(measures.evaluate_measure(table(spark, sf, "orders"), growth, explain=True))
+
+
 @query(
     "B7_many_measures",
     """SELECT l_shipmode AS l_linestatus, round(sum(l_extendedprice) / sum(l_quantity), 4) AS unit_price,

@@ -55,11 +55,11 @@ def test_groups_and_many_measures(spark):
 
 def test_errors(spark):
     df = dated(spark, [(1, 1, 5)])
-    with pytest.raises(ValueError, match="not found"):
+    with pytest.raises(ValueError, match="not in the dataset"):
         evaluate_measure(df, {"type": "ratio", "numerator": "nope", "denominator": "revenue"})
-    with pytest.raises(ValueError, match="Unsupported"):
+    with pytest.raises(ValueError, match="none of the measures"):
         evaluate_measure(df, {"type": "magic"})
-    with pytest.raises(ValueError, match="M, Q, or Y"):
+    with pytest.raises(ValueError, match="M, Q or Y"):
         evaluate_measure(df, {"type": "period_change", "metric": "revenue", "date_column": "date", "grain": "W"})
     with pytest.raises(ValueError, match="two"):
         evaluate_measure(df, {"type": "growth_pct", "metric": "revenue", "date_column": "date"}, strict=True)
