@@ -145,14 +145,14 @@ def apply_policy_table(df: DataFrame, policy_table: DataFrame, user: str, column
     return df
 
 
-HASH_BITS, STEP_BITS, TAKE_AT_MOST = 64, 16, 10_000
+HASH_DIGITS, HASH_BITS, STEP_BITS, TAKE_AT_MOST = 15, 60, 15, 10_000
 
 
 def sample_exact(df: DataFrame, percentage: float, key: list[str] | None = None, seed: int = 42) -> DataFrame:
     """Exactly ``max(1, int(rows * percentage / 100))`` rows, the same ones on every run.
 
-    Rows are ranked by a 64-bit hash. The hash at the wanted rank is found by counting hash
-    prefixes, 16 further bits per pass (at most 65,536 counters each, map-side combined), until
+    Rows are ranked by the first 60 bits of the MD5 of seed and identity. The hash at the wanted rank is found by counting
+    hash prefixes, 15 further bits per pass (at most 32,768 counters each, map-side combined), until
     the prefix at the cut holds a handful of rows; the sample itself is then one filter. Nothing
     is sorted or shuffled but counters. With ``key`` (columns that identify a row) the choice
     does not depend on the file layout.
@@ -161,7 +161,8 @@ def sample_exact(df: DataFrame, percentage: float, key: list[str] | None = None,
         return df
     identity = [col(c) for c in key] if key else [F.col("_row")]
     ranked = df if key else df.select("*", F.monotonically_increasing_id().alias("_row"))
-    ranked = ranked.withColumn("_h", F.xxhash64(F.lit(seed), *identity))
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("")) for c in identity])), 1, HASH_DIGITS)
+    ranked = ranked.withColumn("_h", F.conv(digits, 16, 10).cast("long"))
 
     at_cut, below, wanted, shift, prefix = ranked, 0, None, HASH_BITS, 0
     while True:
@@ -197,8 +198,3 @@ def sample_exact(df: DataFrame, percentage: float, key: list[str] | None = None,
 
 def at_cut_edge(prefix: int, shift: int, last: int) -> Column:
     return (F.shiftright("_h", shift) == prefix) & (F.col("_h") <= F.lit(last))
-
-
-def sample_fraction(df: DataFrame, percentage: float, seed: int = 42) -> DataFrame:
-    """The one-pass variant: about the wanted share, no job ahead of the plan."""
-    return df if percentage >= 100 else df.sample(fraction=percentage / 100, seed=seed)

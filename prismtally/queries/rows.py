@@ -145,19 +145,19 @@ def p8_table(spark, sf):
     return filters.apply_policy_table(rows, policies, "viewer", ["o_custkey"])
 
 
-@query(
-    "P9_sample_exact",
-    """SELECT CAST(greatest(1, floor(count(*) * 0.1)) AS BIGINT) AS sampled,
-              CAST(greatest(1, floor(count(*) * 0.1)) AS BIGINT) AS distinct_rows FROM lineitem""",
-)
+def _sample_sql(columns: str, source: str, key: str, share: float) -> str:
+    digest = f"substr(md5(concat_ws('|', '42', {key})), 1, 15)"
+    return f"""SELECT {columns} FROM (SELECT *, row_number() OVER (ORDER BY {digest}, {key}) AS place, count(*) OVER () AS n FROM {source})
+               WHERE place <= greatest(1, floor(n * {share}))"""
+
+
+@query("P9_sample_exact", _sample_sql("l_orderkey, l_linenumber, l_quantity", "lineitem", "l_orderkey, l_linenumber", 0.1))
 def p9(spark, sf):
-    """Rows cannot equal another generator's; size and the absence of repeats are compared."""
-    keyed = table(spark, sf, "lineitem").withColumn("row", F.monotonically_increasing_id())
-    sample = filters.sample_exact(keyed.select("row", "l_orderkey"), 10, key=["row"])
-    return sample.agg(F.count(F.lit(1)).alias("sampled"), F.count_distinct("row").alias("distinct_rows"))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return filters.sample_exact(rows, 10, key=["l_orderkey", "l_linenumber"])
 
 
-@query("P9_sampled_rows")
+@query("P9_sampled_rows", _sample_sql("* EXCLUDE (place, n)", "orders", "o_orderkey", 0.05))
 def p9_rows(spark, sf):
     return filters.sample_exact(table(spark, sf, "orders"), 5, key=["o_orderkey"])
 
