@@ -71,7 +71,8 @@ def repeated_chunks(docs: DataFrame, id_column: str = "doc_id", text_column: str
         .select("rid", "w.no", "w.digest", "w.is_first", F.array_join(F.element_at("chunks", F.col("w.no") + 1), "\n").alias("body"))
     )
     texts = stored(texts, "chunk-texts")
-    kept = texts.where("is_first").select("digest", F.col("body").alias("first_body")).distinct()
+    # Rows that repeat in full give their first place more than once. Stored for the same reason as above.
+    kept = stored(texts.where("is_first").select("digest", F.col("body").alias("first_body")).distinct(), "first-texts")
     same = texts.where("NOT is_first").join(kept, "digest").where("body = first_body")
     return stored(same.groupBy("rid").agg(F.collect_set("no").alias("removed")), "removed")
 
