@@ -93,22 +93,23 @@ def apply_chart_filters(df: DataFrame, filters: dict | None) -> DataFrame:
 
 @dataclass(frozen=True)
 class RowPolicy:
+    """The values of one column that a user may see; no values restrict nothing."""
+
     user: str
     column: str
     allowed_values: tuple[str, ...]
 
+    @classmethod
+    def parse(cls, entry: object) -> RowPolicy | None:
+        """A policy from its stored form, or None where that names no user or no column."""
+        if not isinstance(entry, dict):
+            return None
+        names = [str(entry.get(field) or "").strip() for field in ("user", "column")]
+        return cls(*names, tuple(map(str, (v for v in entry.get("allowed_values") or () if v is not None)))) if all(names) else None
+
 
 def clean_policies(raw: list[dict] | None) -> list[RowPolicy]:
-    """Policies with a user and a column; allowed values as text without nulls."""
-    policies = []
-    for entry in raw or []:
-        if not isinstance(entry, dict):
-            continue
-        user, column = str(entry.get("user", "")).strip(), str(entry.get("column", "")).strip()
-        if user and column:
-            values = tuple(str(v) for v in entry.get("allowed_values") or [] if v is not None)
-            policies.append(RowPolicy(user, column, values))
-    return policies
+    return [policy for policy in map(RowPolicy.parse, raw or ()) if policy]
 
 
 def apply_row_policies(df: DataFrame, policies: list[RowPolicy], user: str, owner: str | None = None) -> DataFrame:

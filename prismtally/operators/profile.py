@@ -242,10 +242,10 @@ def quality_alerts(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
         F.lit(-1).alias("position"),
         F.lit(0).alias("step"),
         F.lit("warning").alias("severity"),
-        F.lit("Duplicate rows detected").alias("title"),
+        F.lit("Repeated rows").alias("title"),
         F.concat(
             F.col("duplicate_rows").cast("string"), F.lit(" rows ("), text_of("duplicate_pct"),
-            F.lit("%) are exact duplicates and may distort aggregates."),
+            F.lit("%) repeat another row in full."),
         ).alias("detail"),
     )
     places = spark.createDataFrame([(c, i) for i, c in enumerate(df.columns)], "name string, position int")
@@ -258,10 +258,10 @@ def quality_alerts(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
             "position",
             F.lit(1).alias("step"),
             F.lit("warning").alias("severity"),
-            F.concat(F.lit("High missingness in '"), "name", F.lit("'")).alias("title"),
+            F.concat(F.lit("Many gaps in '"), "name", F.lit("'")).alias("title"),
             F.concat(
                 text_of("missing_pct"),
-                F.lit("% of this column is blank, so insights using it may be incomplete."),
+                F.lit("% of its cells are missing."),
             ).alias("detail"),
         )
     )
@@ -273,10 +273,10 @@ def quality_alerts(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
             "position",
             F.lit(2).alias("step"),
             F.lit("info").alias("severity"),
-            F.concat(F.lit("Potential outliers in '"), "name", F.lit("'")).alias("title"),
+            F.concat(F.lit("Far values in '"), "name", F.lit("'")).alias("title"),
             F.concat(
                 text_of("outlier_pct"),
-                F.lit("% of values sit outside the IQR range. Review before using averages."),
+                F.lit("% of its values lie beyond the fences; prefer the median."),
             ).alias("detail"),
         )
     )
@@ -284,8 +284,8 @@ def quality_alerts(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
         F.lit(1 << 30).alias("position"),
         F.lit(3).alias("step"),
         F.lit("success").alias("severity"),
-        F.lit("No major data quality blockers found").alias("title"),
-        F.lit("The dataset looks usable for exploratory analysis with the current checks.").alias("detail"),
+        F.lit("No quality alert").alias("title"),
+        F.lit("Repeats, gaps and far values are all below their limits.").alias("detail"),
     )
     # A handful of rows per column: ranking them in one window is bounded by the schema.
     found = copies.unionByName(missing).unionByName(outliers).unionByName(clear)

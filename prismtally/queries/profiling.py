@@ -180,12 +180,12 @@ def a6_long(spark, sf):
                      count(level) AS l, count(bucket) AS b FROM e),
         q AS (SELECT quantile_cont(spike, 0.25) AS lo, quantile_cont(spike, 0.75) AS hi, count(spike) AS c FROM e),
         o AS (SELECT CAST(printf('%.2f', CAST((SELECT count(*) FROM e, q WHERE spike < lo - 1.5 * (hi - lo) OR spike > hi + 1.5 * (hi - lo)) / c * 100 AS DOUBLE)) AS DOUBLE) AS pct FROM q),
-        a AS (SELECT 1 AS p, 'warning' AS severity, 'Duplicate rows detected' AS title,
-                     (n - k) || ' rows (' || CAST(CAST(printf('%.2f', CAST((n - k) / n * 100 AS DOUBLE)) AS DOUBLE) AS VARCHAR) || '%) are exact duplicates and may distort aggregates.' AS detail FROM n
-              UNION ALL SELECT 2, 'warning', 'High missingness in ''level''', CAST(CAST(printf('%.2f', CAST((n - l) / n * 100 AS DOUBLE)) AS DOUBLE) AS VARCHAR) || '% of this column is blank, so insights using it may be incomplete.' FROM n WHERE round((n - l) * 100.0 / n, 2) >= 30
-              UNION ALL SELECT 3, 'warning', 'High missingness in ''bucket''', CAST(CAST(printf('%.2f', CAST((n - b) / n * 100 AS DOUBLE)) AS DOUBLE) AS VARCHAR) || '% of this column is blank, so insights using it may be incomplete.' FROM n WHERE round((n - b) * 100.0 / n, 2) >= 30
-              UNION ALL SELECT 4, 'warning', 'High missingness in ''spike''', CAST(CAST(printf('%.2f', CAST((n - b) / n * 100 AS DOUBLE)) AS DOUBLE) AS VARCHAR) || '% of this column is blank, so insights using it may be incomplete.' FROM n WHERE round((n - b) * 100.0 / n, 2) >= 30
-              UNION ALL SELECT 5, 'info', 'Potential outliers in ''spike''', CAST(CAST(pct AS DOUBLE) AS VARCHAR) || '% of values sit outside the IQR range. Review before using averages.' FROM o WHERE pct >= 10)
+        a AS (SELECT 1 AS p, 'warning' AS severity, 'Repeated rows' AS title,
+                     (n - k) || ' rows (' || CAST(CAST(printf('%.2f', CAST((n - k) / n * 100 AS DOUBLE)) AS DOUBLE) AS VARCHAR) || '%) repeat another row in full.' AS detail FROM n
+              UNION ALL SELECT 2, 'warning', 'Many gaps in ''level''', CAST(CAST(printf('%.2f', CAST((n - l) / n * 100 AS DOUBLE)) AS DOUBLE) AS VARCHAR) || '% of its cells are missing.' FROM n WHERE round((n - l) * 100.0 / n, 2) >= 30
+              UNION ALL SELECT 3, 'warning', 'Many gaps in ''bucket''', CAST(CAST(printf('%.2f', CAST((n - b) / n * 100 AS DOUBLE)) AS DOUBLE) AS VARCHAR) || '% of its cells are missing.' FROM n WHERE round((n - b) * 100.0 / n, 2) >= 30
+              UNION ALL SELECT 4, 'warning', 'Many gaps in ''spike''', CAST(CAST(printf('%.2f', CAST((n - b) / n * 100 AS DOUBLE)) AS DOUBLE) AS VARCHAR) || '% of its cells are missing.' FROM n WHERE round((n - b) * 100.0 / n, 2) >= 30
+              UNION ALL SELECT 5, 'info', 'Far values in ''spike''', CAST(CAST(pct AS DOUBLE) AS VARCHAR) || '% of its values lie beyond the fences; prefer the median.' FROM o WHERE pct >= 10)
         SELECT CAST(row_number() OVER (ORDER BY p) AS BIGINT) AS alert, severity, title, detail FROM a""",
 )
 def a7(spark, sf):

@@ -53,7 +53,7 @@ def choose_table(path: str, table: str | None = None) -> str:
     """The wanted table, else the first one (by name) that holds rows."""
     names = list_tables(path)
     if not names:
-        raise ValueError("The SQLite database does not contain any user tables")
+        raise ValueError(f"No table in {path!r}.")
     for name in [table] if table else names:
         for file in database_files(path):
             with _open(file) as db:
@@ -62,7 +62,7 @@ def choose_table(path: str, table: str | None = None) -> str:
                         return name
                 except sqlite3.OperationalError:
                     continue
-    raise ValueError("The SQLite database tables are empty or the selected table could not be read")
+    raise ValueError(f"No rows could be read from {table or 'any table'} of {path!r}.")
 
 
 def _spark_type(declared: str) -> T.DataType:

@@ -148,7 +148,7 @@ def test_summary_of_a_small_business_table(spark):
     model = result.model.first()
     assert model["dataset_role"] == "fact" and model["grain_candidates"] == ["order_id"]
     lines = [r["text"] for r in result.takeaways.collect()]
-    assert lines[0].startswith("Data quality note: No major data quality blockers found - ")
+    assert lines[0].startswith("Data quality note: No quality alert - ")
     assert 1 < len(lines) <= 4 and "confidence)" in lines[1]
     assert 1 <= result.key_insights.count() <= 8
 

@@ -208,6 +208,6 @@ def test_numbers_win_over_dates_and_whole_numbers_stay_whole(spark):
 def test_quality_alerts(spark):
     df = spark.createDataFrame([(1, None), (1, None), (2, "x"), (3, "y")], "a int, b string")
     alerts = [(r["severity"], r["title"]) for r in profile.quality_alerts(df).orderBy("alert").collect()]
-    assert alerts == [("warning", "Duplicate rows detected"), ("warning", "High missingness in 'b'")]
+    assert alerts == [("warning", "Repeated rows"), ("warning", "Many gaps in 'b'")]
     clean = spark.createDataFrame([(1, "x"), (2, "y")], "a int, b string")
     assert [r["severity"] for r in profile.quality_alerts(clean).collect()] == ["success"]
