@@ -94,6 +94,17 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", size.alias("payload_bytes"), "payload_digest", "record_type", first.alias("refers_to"))
 
 
+ORACLES["op4_warc"] = """
+  WITH p AS (SELECT page_id, coalesce(html, '') AS body, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+  h AS (SELECT *, sha1(body) AS hex FROM p)
+  SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+         array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+             ((CAST('0x' || substr(hex, 10 * (k // 8) + 1, 10) AS BIGINT) >> (35 - 5 * (k % 8))) & 31) + 1, 1)), '') AS payload_digest,
+         CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+         CASE WHEN first < page_id THEN first END AS refers_to
+  FROM h"""
+
+
 @query
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(
