@@ -93,11 +93,15 @@ def a2_documents(spark, sf):
     """SELECT name, string_agg(v, ' | ' ORDER BY v) AS samples FROM (
          SELECT name, v, row_number() OVER (PARTITION BY name ORDER BY v) AS k FROM (
            SELECT DISTINCT 'o_orderstatus' AS name, o_orderstatus AS v FROM orders
-           UNION ALL SELECT DISTINCT 'o_orderpriority', o_orderpriority FROM orders))
+           UNION ALL SELECT DISTINCT 'o_orderpriority', o_orderpriority FROM orders
+           UNION ALL SELECT DISTINCT 'o_orderkey', CAST(o_orderkey AS VARCHAR) FROM orders
+           UNION ALL SELECT DISTINCT 'o_custkey', CAST(o_custkey AS VARCHAR) FROM orders
+           UNION ALL SELECT DISTINCT 'o_totalprice', CAST(o_totalprice AS VARCHAR) FROM orders
+           UNION ALL SELECT DISTINCT 'o_orderdate', CAST(o_orderdate AS VARCHAR) FROM orders))
        WHERE k <= 3 GROUP BY name""",
 )
 def a2_samples(spark, sf):
-    found = profile.sample_values(table(spark, sf, "orders").select("o_orderstatus", "o_orderpriority"))
+    found = profile.sample_values(table(spark, sf, "orders"))
     return found.withColumn("samples", F.array_join("samples", " | "))
 
 
@@ -117,10 +121,12 @@ def _numeric_sql(source: str, columns: list[str]) -> str:
     return " UNION ALL ".join(parts)
 
 
-@query("A3_numeric_profile", _numeric_sql("lineitem", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
+_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("A3_numeric_profile", _numeric_sql("lineitem", _NUMBERS))
 def a3(spark, sf):
-    columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    return profile.numeric_profile(table(spark, sf, "lineitem"), columns)
+    return profile.numeric_profile(table(spark, sf, "lineitem"))
 
 
 @query(
@@ -223,11 +229,12 @@ def a9(spark, sf):
 
 @query(
     "A10_upload_info",
-    _info_sql("lineitem", [("l_orderkey", "bigint"), ("l_linenumber", "int"), ("l_discount", "double"), ("l_returnflag", "string"), ("l_shipdate", "timestamp_ntz")]),
-)
+    _info_sql("lineitem", [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"), ("l_linenumber", "int"), ("l_quantity", "double"),
+                           ("l_extendedprice", "double"), ("l_discount", "double"), ("l_tax", "double"), ("l_returnflag", "string"),
+                           ("l_linestatus", "string"), ("l_shipdate", "timestamp_ntz")]),
+)
 def a10(spark, sf):
-    columns = ["l_orderkey", "l_linenumber", "l_discount", "l_returnflag", "l_shipdate"]
-    return profile.column_info(table(spark, sf, "lineitem").select(*columns))
+    return profile.column_info(table(spark, sf, "lineitem"))
 
 
 @query(
