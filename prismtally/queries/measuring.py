@@ -353,14 +353,15 @@ def c15(spark, sf):
 @query(
     "C15_dashboard",
     f"""WITH {_BINS.format(x="o_totalprice", t="orders")}
-        SELECT 'spread' AS chart, 'o_totalprice' AS part, CAST(count(DISTINCT least(floor((o_totalprice - lo) / ((hi - lo) / bins)), bins - 1)) AS BIGINT) AS rows FROM orders, b
-        UNION ALL SELECT 'mix', 'o_orderstatus', CAST(count(DISTINCT o_orderstatus) AS BIGINT) FROM orders
-        UNION ALL SELECT 'mix', 'o_orderpriority', CAST(count(DISTINCT o_orderpriority) AS BIGINT) FROM orders
-        UNION ALL SELECT 'trend', 'o_orderdate_o_totalprice', CAST(count(*) AS BIGINT) FROM orders
-        UNION ALL SELECT 'links', 'matrix', CAST(1 AS BIGINT)""",
+        SELECT 'spread' AS chart, 'o_totalprice' AS part, CAST(CAST(least(floor((o_totalprice - lo) / ((hi - lo) / bins)), bins - 1) AS BIGINT) AS VARCHAR) AS label,
+               CAST(count(*) AS DOUBLE) AS value FROM orders, b GROUP BY 3
+        UNION ALL SELECT 'mix', 'o_orderstatus', o_orderstatus, CAST(count(*) AS DOUBLE) FROM orders GROUP BY 3
+        UNION ALL SELECT 'mix', 'o_orderpriority', o_orderpriority, CAST(count(*) AS DOUBLE) FROM orders GROUP BY 3
+        UNION ALL SELECT 'trend', 'o_orderdate_o_totalprice', strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), round(o_totalprice, 6) FROM orders
+        UNION ALL SELECT 'links', 'matrix', 'o_totalprice o_custkey', round(corr(o_totalprice, o_custkey), 6) FROM orders""",
 )
 def c15_dashboard(spark, sf):
-    """All chart datasets of a dashboard definition, as one long table of their row counts."""
+    """All chart datasets of a dashboard definition, as one long table of their points."""
     config = {
         "visualizations": [
             {"id": "spread", "type": "distribution", "columns": ["o_totalprice", "o_orderstatus"]},
@@ -370,11 +371,17 @@ def c15_dashboard(spark, sf):
         ]
     }
     built = charts.dashboard(table(spark, sf, "orders"), config)["visualizations"]
+    points = {
+        "spread": ("bin", "count"),
+        "trend": ("o_orderdate", "o_totalprice"),
+        "links": (None, "r"),
+    }
     parts = []
     for chart_id, found in built.items():
         for name, df in (found if isinstance(found, dict) else {"matrix": found}).items():
-            rows = df.agg(F.count(F.lit(1)).alias("rows"))
-            parts.append(rows.select(F.lit(chart_id).alias("chart"), F.lit(name).alias("part"), "rows"))
+            label, value = points.get(chart_id, (name, "count"))
+            text = F.concat_ws(" ", "left", "right") if label is None else F.col(label).cast("string")
+            parts.append(df.select(F.lit(chart_id).alias("chart"), F.lit(name).alias("part"), text.alias("label"), F.round(F.col(value).cast("double"), 6).alias("value")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
