@@ -398,12 +398,18 @@ def m5(spark, sf):
     )
 
 
-@query(
-    "M6_hierarchies",
-    """SELECT * FROM (VALUES ('o_orderdate', 'calendar', 'date', ''), ('region_name', 'geography', 'region', 'country,state,province,city,postal,zip'),
-                             ('p_brand', 'commerce', 'brand', 'product,sku'), ('team', 'organization', 'team', 'manager,employee'),
-                             ('o_totalprice', NULL, NULL, NULL)) t(name, hierarchy, level, next_levels)""",
-)
+def _m6_sql() -> str:
+    """The first level, in the order of the templates, that a column's name contains."""
+    steps = [(h, levels[i], ",".join(levels[i + 1 :])) for h, levels in semantics.HIERARCHIES.items() for i in range(len(levels))]
+    listed = ", ".join(f"({k}, '{h}', '{level}', '{rest}')" for k, (h, level, rest) in enumerate(steps))
+    sources = {"o_orderdate": "o_orderdate", "region_name": "o_orderstatus", "p_brand": "o_orderstatus", "team": "o_orderpriority", "o_totalprice": "o_totalprice"}
+    columns = " UNION ALL ".join(f"SELECT '{name}' AS name, count({c}) AS present FROM orders" for name, c in sources.items())
+    return f"""WITH c AS ({columns}), l(k, h, level, rest) AS (VALUES {listed}),
+                    m AS (SELECT name, arg_min(struct_pack(h := h, level := level, rest := rest), k) AS f FROM c JOIN l ON contains(name, level) GROUP BY name)
+               SELECT c.name, f.h AS hierarchy, f.level AS level, f.rest AS next_levels, present FROM c LEFT JOIN m ON m.name = c.name"""
+
+
+@query("M6_hierarchies", _m6_sql())
 def m6(spark, sf):
     orders = table(spark, sf, "orders").select(
         "o_orderdate", F.col("o_orderstatus").alias("region_name"), F.col("o_orderstatus").alias("p_brand"),
@@ -413,7 +419,7 @@ def m6(spark, sf):
     hint = semantics.hierarchy_hint(F.lower("name"))
     return stats.withColumn("h", hint).select(
         "name", F.col("h.name").alias("hierarchy"), F.col("h.level").alias("level"),
-        F.array_join("h.next_levels", ",").alias("next_levels"),
+        F.array_join("h.next_levels", ",").alias("next_levels"), F.col("non_null_count").alias("present"),
     )
 
 
