@@ -4,6 +4,9 @@ A rolling hash over the hashes of the last two lines chooses the lines that end
 only the boundaries next to it and shared passages fall into the same chunks wherever they stand. A chunk of two or
 more lines with words that an earlier document (or place) has too is removed; equal digests only make candidates, the
 bytes are compared before anything goes.
+
+Chunks miss most short passages, as their first and last part share a chunk with other lines. ``without_repeats``, which the
+pipeline uses, finds every repeated run of two or more lines with words. The chunks stay for the SQL of the line dedup query.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 
 from prismtally.llm.common import free_name, ordered_id, row_key, stored
 
+WORDED = r"[^\x20\x09-\x0D]"  # found in a line with a word
 DIVISOR = 3  # one line in so many ends a chunk
 FACTOR = 31
 
@@ -97,3 +101,61 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         .withColumn(text_column, F.when(F.col(gone).isNull(), F.col(text_column)).otherwise(F.array_join(F.flatten(stays), "\n")))
         .drop(rid, gone, chunks)
     )
+
+
+def with_passages(df: DataFrame, text: str, name: str) -> DataFrame:
+    """``df`` with ``name``: ``first`` and ``last`` line (from 1) of each line with a word and the next one, and the ``body`` between."""
+    lines, worded = f"{name}_lines", f"{name}_worded"
+    out = df.withColumn(lines, F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1))
+    out = out.withColumn(worded, F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.element_at(lines, i).rlike(WORDED)))
+
+    def passage(last: Column, k: Column) -> Column:
+        first = F.element_at(worded, F.greatest(k, F.lit(1)))
+        body = F.array_join(F.slice(lines, first, last - first + 1), "\n")
+        return F.when(k > 0, F.struct(k.alias("no"), first.alias("first"), last.alias("last"), body.alias("body")))
+
+    return out.withColumn(name, F.filter(F.transform(worded, passage), F.isnotnull)).drop(lines, worded)
+
+
+def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``rid`` and ``removed``: the numbers (from 1) of its lines in runs of two or more lines with words that an earlier place has.
+
+    Each run is the union of its passages from a line with words to the next one, so all such runs are found, whatever
+    stands around them. Earlier is as in ``repeated_chunks``; where a passage overlaps its own first place, that stays.
+    """
+    base = docs.select(ordered_id(F.col(id_column).cast("long")).alias("doc"), row_key(id_column, text_column).alias("rid"), F.col(text_column).cast("string").alias("text"))
+    place = F.struct("doc", "rid", "no")
+    # An inner explode would push a filter on the passages to the scan, which splits the text again for each of its lines.
+    marks = with_passages(base, "text", "passages").select("doc", "rid", F.explode_outer("passages").alias("p"))
+    marks = stored(marks.where("p IS NOT NULL").select("doc", "rid", "p.no", F.unhex(F.md5("p.body")).alias("digest")), "passages")
+    firsts = marks.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
+    # Stored at each step, so that both sides of a join come from a shuffle of their own and a frequent passage can be split.
+    held = marks.join(stored(firsts, "first-passages"), "digest")
+    overlaps = (F.col("rid") == F.col("first.rid")) & (F.col("no") == F.col("first.no") + 1)
+    mark = F.struct("no", "digest", (place == F.col("first")).alias("is_first"), overlaps.alias("overlaps"))
+    wanted = held.groupBy("rid").agg(F.collect_set(mark).alias("wanted"))
+    texts = with_passages(base.select("rid", "text").join(wanted, "rid"), "text", "passages")
+    found = F.transform("wanted", lambda w: F.struct(w["digest"].alias("digest"), w["is_first"].alias("is_first"), w["overlaps"].alias("overlaps"), F.element_at("passages", w["no"]).alias("p")))
+    texts = texts.select("rid", F.explode_outer(found).alias("w")).select("rid", "w.digest", "w.is_first", (F.col("w.p.first") + F.col("w.overlaps").cast("int")).alias("first"), "w.p.last", "w.p.body")
+    texts = stored(texts, "passage-texts")
+    kept = stored(texts.where("is_first").select("digest", F.col("body").alias("first_body")).distinct(), "first-texts")
+    same = texts.where("NOT is_first").join(kept, "digest").where("body = first_body")
+    return stored(same.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("first", "last")))).alias("removed")), "removed")
+
+
+def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` without the lines of ``repeated_lines``, with ``n_removed_lines`` added (a column of that name is replaced).
+
+    All rows stay; a text without anything to remove is unchanged, one that loses all its lines is empty.
+    """
+    removed = repeated_lines(docs, id_column, text_column)
+    rid, gone, lines = free_name(docs, "rid"), free_name(docs, "removed_numbers"), free_name(docs, "lines")
+    keyed = docs.withColumn(rid, row_key(id_column, text_column))
+    joined = keyed.join(removed.select(F.col("rid").alias(rid), F.col("removed").alias(gone)), rid, "left")
+    cut = joined.withColumn(lines, F.split(F.coalesce(F.col(text_column).cast("string"), F.lit("")), "\n", -1))
+    stays = F.transform(F.array_except(F.sequence(F.lit(1), F.size(lines)), F.col(gone)), lambda i: F.element_at(lines, i))
+    return (
+        cut.withColumn("n_removed_lines", F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long"))
+        .withColumn(text_column, F.when(F.col(gone).isNull(), F.col(text_column)).otherwise(F.array_join(stays, "\n")))
+        .drop(rid, gone, lines)
+    )
