@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 from prismtally.llm import linededup
 from tests.llm.test_near_duplicates import documents, words
 
@@ -47,3 +48,12 @@ def test_a_run_that_overlaps_itself_keeps_its_first_place(spark):
     got = linededup.without_repeats(documents(spark, ["a\na\na\na\nb", "a\na"]))
     assert {r["doc_id"]: r["text"] for r in got.collect()} == {0: "a\na\nb", 1: ""}
     assert linededup.without_repeats(documents(spark, [])).count() == 0
+
+
+def test_full_copies_leave_no_stump(spark):
+    """With chunks, single-line chunks of a copy stayed as a document of their own."""
+    rng = random.Random(6)
+    texts = ["\n".join(words(rng, 8) for _ in range(n)) for n in (2, 3, 7, 12, 30)]
+    docs = documents(spark, texts + [t + "\n" for t in texts] + ["", None])
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert kept == {**dict(enumerate(texts)), 10: "", 11: None}
