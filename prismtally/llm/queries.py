@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismtally.llm import ann, htmltext, linededup, mixing, packing, quality, simhash, substring, urls, warc
-from prismtally.llm.common import table
+from prismtally.llm import ann, hardneg, htmltext, linededup, mixing, packing, quality, runs, secrets, simhash, substring, urls, warc
+from prismtally.llm.common import WORD, table
 from prismtally.session import scratch_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"  # the ranks of byte_bpe_50k.json
@@ -156,3 +156,87 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mixed(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query
+def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.with_spans(table(spark, sf_dir, "documents"), name="found")
+    base = secrets.of_kinds("found", tuple(r.kind for r in secrets.BASE))
+    counts = [F.size(secrets.of_kinds("found", (r.kind,))).cast("long").alias(f"n_{r.kind}") for r in secrets.BASE]
+    return found.select("doc_id", *counts, F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written("found").alias("spans"))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hardneg.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op12_hard_negatives"] = """
+  WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS parts
+             FROM embeddings
+             WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT a.vec_id AS anchor_id, c.vec_id AS vec_id, a.label = c.label AS same,
+               CAST(list_sum(list_transform(range(1, len(a.parts) + 1), lambda i: a.parts[i] * c.parts[i])) AS BIGINT) AS score
+        FROM e a, e c WHERE a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+  p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+  n AS (SELECT p.anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+               row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS place
+        FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+  SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS "rank", negative_id, positive_score, negative_score FROM n WHERE place <= 10"""
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Texts whose hashed id ends in 0 repeat their words from some place on; all others are unchanged."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    picked = docs.withColumn("g", F.floor(h / 10)).withColumn("words", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(f"({WORD})"), 1)))
+    n, a = F.size("words"), F.col("at")
+    placed = picked.withColumn("at", F.when(n > 0, F.col("g") % n))
+    placed = placed.withColumn("period", 1 + F.floor((n - a) / (3 + F.col("g") % 8)))
+    word = lambda i: F.get("words", F.when(i < a, i).otherwise(a + (i - a) % F.col("period")).cast("int"))
+    repeated = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), word), " ")
+    return placed.withColumn("text", F.when(a.isNotNull(), repeated).otherwise(F.col("text"))).select(*docs.columns)
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.with_runs(with_planted_runs(table(spark, sf_dir, "documents"))).withColumn("top", runs.strongest("found.runs"))
+    return found.select(
+        "doc_id",
+        F.size("found.runs").cast("long").alias("n_runs"),
+        "top.start",
+        "top.length",
+        "top.period",
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(runs.written("found.runs"), 256).alias("runs_sha256"),
+        F.sha2("found.collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+# Five words in a row match at least wherever a run goes on, so places whose next five words stand earlier in the text are
+# enough; the check value of the id is taken bit by bit.
+ORACLES["op13_periodic_runs"] = r"""
+  WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+               xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+                 list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                 lambda x, b: list_reduce([xor(x, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1))))) AS h
+             FROM documents),
+  m AS (SELECT *, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) ELSE len(w) END AS a, h // 10 AS g FROM d),
+  q AS (SELECT doc_id, list_transform(range(0, len(w)), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (len(w) - a) // (3 + g % 8)) END]) AS words FROM m),
+  t AS (SELECT doc_id, unnest(range(0, len(words))) AS i, words FROM q),
+  c AS (SELECT doc_id, i, len(words) AS n, array_to_string(words[i + 1 : i + 5], ' ') AS body FROM t WHERE i + 5 <= len(words)),
+  p AS (SELECT x.doc_id, x.i, x.i - y.i AS lag FROM c x JOIN c y ON x.doc_id = y.doc_id AND x.body = y.body AND y.i < x.i WHERE 4 * (x.i - y.i) <= x.n),
+  s AS (SELECT doc_id, lag, i, i - row_number() OVER (PARTITION BY doc_id, lag ORDER BY i) AS island FROM p),
+  f AS (SELECT doc_id, lag, min(i) - lag AS start, count(*) + 4 + lag AS length FROM s GROUP BY doc_id, lag, island),
+  r AS (SELECT doc_id, start, length, min(lag) AS period FROM f WHERE length >= greatest(6, 4 * lag) GROUP BY doc_id, start, length),
+  l AS (SELECT doc_id, count(*) AS n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS listed FROM r GROUP BY doc_id),
+  b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) = 1),
+  gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+  k AS (SELECT t.doc_id, string_agg(t.words[t.i + 1], ' ' ORDER BY t.i) AS kept FROM t ANTI JOIN gone ON t.doc_id = gone.doc_id AND t.i = gone.i GROUP BY t.doc_id)
+  SELECT q.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+         CAST(1000 * length // period AS BIGINT) AS exponent_milli, coalesce(listed, sha256('')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+  FROM q LEFT JOIN l ON q.doc_id = l.doc_id LEFT JOIN b ON q.doc_id = b.doc_id LEFT JOIN k ON q.doc_id = k.doc_id"""
