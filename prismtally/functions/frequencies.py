@@ -55,11 +55,6 @@ def value_counts(df: DataFrame, columns: list[str] | None = None, texts: dict[st
     return long_form(df, texts).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def distinct_counts(counts: DataFrame) -> DataFrame:
-    """(column, non_null, unique) of a :func:`value_counts` frame."""
-    return counts.groupBy("column").agg(F.sum("n").alias("non_null"), F.count(F.lit(1)).alias("unique"))
-
-
 def top_values(counts: DataFrame, k: int, by_value: bool = False) -> DataFrame:
     """The ``k`` most frequent values per column (or the k smallest with ``by_value``), ties by value.
 

@@ -1,10 +1,14 @@
 """Exact quantiles (linear interpolation) without gathering a group in one task.
 
-Whole columns are always selected by rank: each pass counts the values of every open bracket into buckets (map-side combined,
-so a hot value is one counter), keeps the bucket that holds the wanted rank, and narrows the bracket to that bucket's smallest
-and largest value. Once the open brackets hold few values, every distinct value is a bucket of its own, which ends the
-search. The first pass also gives the number of values, so nothing is counted beforehand. Brackets are a few numbers and
-enter each pass as literals.
+Whole columns are read twice, however many there are. The first scan keeps a mergeable rank sketch per column (KLL), whose error bound
+turns each wanted rank into a narrow bracket of values. The second scan counts what lies below a bracket and at its two ends and
+keeps the values inside, which are a fraction of the column that the bound fixes; a hot value cannot lie inside, as it would fill
+the bracket, so it is counted at an end. The wanted ranks are then selected from the kept values alone. The counts prove that a rank
+is in its bracket; should one ever not be, its column is selected by histogram passes over all values.
+
+A selection pass counts the values of every open bracket into buckets (map-side combined), keeps the bucket that holds the wanted rank and
+narrows the bracket to that bucket's smallest and largest value. Once the open brackets hold few values, every distinct value is
+a bucket of its own, which ends the search. Brackets are a few numbers and enter each pass as literals.
 
 Groups take the built-in ``percentile`` while the values are few enough for its buffers, and the same selection, with the
 brackets as a checkpointed table joined on the group, beyond that. Both give the same answer, infinite values included; the
@@ -22,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prismtally.session import checkpointed
+from prismtally.session import checkpointed, scratch_path
 
 EXACT_VALUES_KEY = "spark.prismtally.quantiles.builtinValues"
 EXACT_VALUES_DEFAULT = 5_000_000
@@ -30,6 +34,10 @@ COUNTERS, FEWEST_BUCKETS, MOST_BUCKETS = 1_000_000, 512, 65_536
 BROADCAST_BRACKETS = 20_000
 COLUMNS_PER_PASS = 24
 LARGEST = 1.7976931348623157e308
+SKETCH_SIZE = 4096
+# Twice the sketch's error at 99 % confidence, and the difference between p * (n - 1) and p * n in a long column.
+SKETCH_MARGIN = 2 * 2.296 / SKETCH_SIZE**0.9021 + 2e-4
+SHORT_COLUMN = 10_000  # so many values are kept whole
 
 
 def builtin_limit(df: DataFrame) -> int:
@@ -66,9 +74,10 @@ def quantiles(
         return _selected(picked, list(values), probabilities, by)
     names = list(values)
     found: dict[str, list[float] | None] = {}
+    select = _by_histogram if weight is not None else _by_sketch
     for at in range(0, len(names), COLUMNS_PER_PASS):
         series = range(at, min(at + COLUMNS_PER_PASS, len(names)))
-        for i, q in _selected_whole(picked, series, probabilities).items():
+        for i, q in select(picked, series, probabilities).items():
             found[names[i]] = q
     schema = T.StructType([T.StructField(n, T.ArrayType(T.DoubleType())) for n in names])
     return df.sparkSession.createDataFrame([tuple(found[n] for n in names)], schema)
@@ -86,68 +95,139 @@ class Bracket:
     ranks: tuple[int, ...]
 
 
-def _selected_whole(picked: DataFrame, series: range, probabilities: list[float]) -> dict[int, list[float] | None]:
-    """Quantiles of whole columns. Only the chosen buckets of each pass (a few rows) are collected."""
-    rows = picked.where(F.col("w") > 0)
-    aggs = []
-    for i in series:
-        v = F.col(f"v{i}")
-        finite = F.when(F.abs(v) <= LARGEST, v)
-        aggs += [
-            F.sum(F.when(v.isNotNull(), F.col("w"))).alias(f"n{i}"), F.min(finite).alias(f"lo{i}"), F.max(finite).alias(f"hi{i}"),
-            F.sum(F.when(v < -LARGEST, F.col("w"))).alias(f"low{i}"), F.sum(F.when(v > LARGEST, F.col("w"))).alias(f"high{i}"),
-        ]
-    sizes = rows.agg(*aggs).first()
+def _ranks(n: int, probabilities: list[float]) -> list[int]:
+    return sorted({f(p * (n - 1)) for p in probabilities for f in (math.floor, math.ceil)}) if n else []
 
-    found: dict[tuple[int, int], float] = {}
-    open_: list[Bracket] = []
 
-    def place(bracket: Bracket) -> None:
-        if bracket.lo == bracket.hi:
-            found.update({(bracket.series, r): bracket.lo for r in bracket.ranks})
-        else:
-            open_.append(bracket)
+def _interpolated(n: int, probabilities: list[float], at_rank: dict[int, float]) -> list[float] | None:
+    def quantile(p: float) -> float:
+        at = p * (n - 1)
+        low, high = at_rank[math.floor(at)], at_rank[math.ceil(at)]
+        return low if low == high else low + (high - low) * (at - math.floor(at))
 
+    return [quantile(p) for p in probabilities] if n else None
+
+
+def _number(i: int) -> Column:
+    """Series ``i`` with NaN as the largest value, as Spark orders it."""
+    return F.when(F.isnan(f"v{i}"), math.inf).otherwise(F.col(f"v{i}"))
+
+
+def _by_sketch(picked: DataFrame, series: range, probabilities: list[float]) -> dict[int, list[float] | None]:
+    """Quantiles of whole columns from two scans."""
+    cuts = [min(1.0, max(0.0, c)) for p in probabilities for c in (p - SKETCH_MARGIN, p + SKETCH_MARGIN)]
+    grid = F.array(*[F.lit(float(c)) for c in [*cuts, 0.0, 1.0]])
+    sketches = picked.agg(
+        *[F.count(f"v{i}").alias(f"n{i}") for i in series],
+        *[F.kll_sketch_agg_double(_number(i), F.lit(SKETCH_SIZE)).alias(f"s{i}") for i in series],
+    )
+    row = sketches.select(*[f"n{i}" for i in series], *[F.when(F.col(f"n{i}") > 0, F.kll_sketch_get_quantile_double(f"s{i}", grid)).alias(f"q{i}") for i in series]).first()
+    sizes = {i: row[f"n{i}"] for i in series}
+    wanted: list[Bracket] = []
     for i in series:
-        n = sizes[f"n{i}"] or 0
-        ranks = sorted({f(p * (n - 1)) for p in probabilities for f in (math.floor, math.ceil)}) if n else []
-        low, high = sizes[f"low{i}"] or 0, sizes[f"high{i}"] or 0  # infinite values need no search
-        found.update({(i, r): -math.inf if r < low else math.inf for r in ranks if r < low or r >= n - high})
-        ranks = [r for r in ranks if (i, r) not in found]
-        if ranks:
-            place(Bracket(i, sizes[f"lo{i}"], sizes[f"hi{i}"], low, n - low - high, tuple(ranks)))
-    while open_:
-        brackets, open_ = open_, []
-        by_value = sum(b.held for b in brackets) <= builtin_limit(picked)
+        edges, n = row[f"q{i}"], sizes[i]
+        if n and n <= SHORT_COLUMN or n and edges[-2] == edges[-1]:
+            wanted.append(Bracket(i, edges[-2], edges[-1], 0, n, tuple(_ranks(n, probabilities))))
+        elif n:
+            wanted += [Bracket(i, edges[2 * k], edges[2 * k + 1], 0, n, tuple(_ranks(n, [p]))) for k, p in enumerate(probabilities)]
+
+    found: dict[tuple[int, int], float] = {}
+    inside: list[Bracket] = []
+    missed: set[int] = set()
+    if wanted:
+        held = _held(picked, wanted)
+        totals = held.agg(*[F.sum(f"{c}{k}").alias(f"{c}{k}") for k in range(len(wanted)) for c in ("below", "to_lo", "to_hi")], *[F.sum(F.size(f"inner{k}")).alias(f"inner{k}") for k in range(len(wanted))]).first()
+        for k, b in enumerate(wanted):
+            below, to_lo, to_hi, inner = (totals[f"{c}{k}"] for c in ("below", "to_lo", "to_hi", "inner"))
+            between = []
+            for r in b.ranks:
+                if r < below or r >= to_hi:
+                    missed.add(b.series)
+                elif r < to_lo:
+                    found[b.series, r] = b.lo
+                elif r >= to_lo + inner:
+                    found[b.series, r] = b.hi
+                else:
+                    between.append(r)
+            if between:
+                inside.append(Bracket(k, b.lo, b.hi, to_lo, inner, tuple(between)))
+        if inside:
+            kept = F.explode(F.array(*[F.struct(F.lit(b.series).alias("k"), F.col(f"inner{b.series}").alias("inner")) for b in inside]))
+            long = held.select(kept.alias("e")).select("e.k", F.explode("e.inner").alias("v"), F.lit(1).cast("long").alias("w"))
+            for (k, r), v in _narrowed(long, inside).items():
+                found[wanted[k].series, r] = v
+    out = {i: _interpolated(sizes[i], probabilities, {r: v for (s, r), v in found.items() if s == i}) for i in series if i not in missed}
+    for i in missed:
+        out |= _by_histogram(picked, range(i, i + 1), probabilities)
+    return out
+
+
+def _held(picked: DataFrame, wanted: list[Bracket]) -> DataFrame:
+    """Per input partition and bracket: how many values lie below it, up to its lower and its upper end, and the values between."""
+    aggs = []
+    for k, b in enumerate(wanted):
+        v = _number(b.series)
+        aggs += [
+            F.count_if(v < b.lo).alias(f"below{k}"),
+            F.count_if(v <= b.lo).alias(f"to_lo{k}"),
+            F.count_if(v <= b.hi).alias(f"to_hi{k}"),
+            F.collect_list(F.when((v > b.lo) & (v < b.hi), v)).alias(f"inner{k}"),
+        ]
+    path = scratch_path(picked.sparkSession, "ranks")
+    picked.groupBy(F.spark_partition_id().alias("part")).agg(*aggs).write.parquet(path)
+    return picked.sparkSession.read.parquet(path)
+
+
+def _by_histogram(picked: DataFrame, series: range, probabilities: list[float]) -> dict[int, list[float] | None]:
+    """Quantiles of whole columns with frequencies, by selection passes alone."""
+    entries = F.array(*[F.struct(F.lit(i).alias("k"), _number(i).alias("v")) for i in series])
+    long = picked.where(F.col("w") > 0).select(F.explode(entries).alias("e"), "w").select("e.k", "e.v", "w").where(F.col("v").isNotNull())
+    sizes = {r["k"]: r for r in long.groupBy("k").agg(F.sum("w").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+    found = _narrowed(long, [Bracket(i, r["lo"], r["hi"], 0, r["n"], tuple(_ranks(r["n"], probabilities))) for i, r in sizes.items()])
+    n = {i: sizes[i]["n"] if i in sizes else 0 for i in series}
+    return {i: _interpolated(n[i], probabilities, {r: v for (s, r), v in found.items() if s == i}) for i in series}
+
+
+def _narrowed(long: DataFrame, brackets: list[Bracket]) -> dict[tuple[int, int], float]:
+    """The values at the ranks of the brackets, one bracket per series to begin with, from rows ``k`` (series), ``v``, ``w``.
+
+    Only the chosen buckets of each pass (a few rows) are collected.
+    """
+    found: dict[tuple[int, int], float] = {}
+    while True:
+        found.update({(b.series, r): b.lo for b in brackets if b.lo == b.hi for r in b.ranks})
+        brackets = [b for b in brackets if b.lo != b.hi]
+        if not brackets:
+            return found
+        by_value = sum(b.held for b in brackets) <= builtin_limit(long)
         buckets = max(FEWEST_BUCKETS, min(MOST_BUCKETS, COUNTERS // len(brackets)))
         entries, chosen = [], []
-        for k, b in enumerate(brackets):
-            v = F.col(f"v{b.series}")
-            share = (v / 2 - b.lo / 2) / F.lit(b.hi / 2 - b.lo / 2)
-            bucket = v if by_value else F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("double")
-            entry = F.struct(F.lit(k).alias("k"), bucket.alias("bucket"), v.alias("v"))
-            entries.append(F.when(v.between(b.lo, b.hi), entry))
+        clipped = lambda x: F.greatest(F.least(x, F.lit(LARGEST)), F.lit(-LARGEST))
+        for j, b in enumerate(brackets):
+            v = F.col("v")
+            lo, hi = max(b.lo, -LARGEST), min(b.hi, LARGEST)
+            if by_value or hi / 2 - lo / 2 <= 0:
+                bucket = v
+            else:
+                share = (clipped(v) / 2 - lo / 2) / F.lit(hi / 2 - lo / 2)
+                bucket = F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("double")
+            entry = F.struct(F.lit(j).alias("j"), bucket.alias("bucket"), v.alias("v"))
+            entries.append(F.when((F.col("k") == b.series) & v.between(b.lo, b.hi), entry))
             for r in b.ranks:
                 rank = F.lit(r - b.below)
-                chosen.append((F.col("k") == k) & (rank < F.col("upto")) & (rank >= F.col("upto") - F.col("c")))
+                chosen.append((F.col("j") == j) & (rank < F.col("upto")) & (rank >= F.col("upto") - F.col("c")))
         counted = (
-            rows.select(F.explode(F.array_compact(F.array(*entries))).alias("e"), "w")
-            .groupBy("e.k", "e.bucket")
+            long.select(F.explode(F.array_compact(F.array(*entries))).alias("e"), "w")
+            .groupBy("e.j", "e.bucket")
             .agg(F.sum("w").alias("c"), F.min("e.v").alias("lo"), F.max("e.v").alias("hi"))
         )
-        running = F.sum("c").over(Window.partitionBy("k").orderBy("bucket"))
+        running = F.sum("c").over(Window.partitionBy("j").orderBy("bucket"))
+        before, brackets = brackets, []
         for row in counted.withColumn("upto", running).where(reduce(or_, chosen)).collect():
-            b = brackets[row["k"]]
+            b = before[row["j"]]
             below = b.below + row["upto"] - row["c"]
-            inside = tuple(r for r in b.ranks if below <= r < below + row["c"])
-            place(Bracket(b.series, row["lo"], row["hi"], below, row["c"], inside))
-
-    def quantile(i: int, p: float) -> float:
-        at = p * (sizes[f"n{i}"] - 1)
-        low, high = found[i, math.floor(at)], found[i, math.ceil(at)]
-        return low if low == high else low + (high - low) * (at - math.floor(at))
-
-    return {i: [quantile(i, p) for p in probabilities] if sizes[f"n{i}"] else None for i in series}
+            ranks = tuple(r for r in b.ranks if below <= r < below + row["c"])
+            brackets.append(Bracket(b.series, row["lo"], row["hi"], below, row["c"], ranks))
 
 
 def _selected(picked: DataFrame, names: list[str], probabilities: list[float], by: list[str]) -> DataFrame:

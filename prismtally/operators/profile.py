@@ -18,11 +18,11 @@ from prismtally.functions.columns import (
     present,
     ratio_pct,
 )
+from prismtally.functions.distinct import distinct_values
 from prismtally.functions.frequencies import (
     DIGEST_OVER,
     digest,
     digests,
-    distinct_counts,
     long_form,
     may_be_long,
     top_values,
@@ -99,7 +99,7 @@ def column_info(df: DataFrame, approximate: bool = False) -> DataFrame:
             F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("unique")) for i, c in enumerate(df.columns)]))
         )
     else:
-        unique = distinct_counts(value_counts(df, texts=digests(df))).select("column", "unique")
+        unique = distinct_values(df, df.columns)
     return (
         missing_summary(df)
         .join(unique, F.col("name") == F.col("column"), "left")
@@ -115,11 +115,22 @@ def column_info(df: DataFrame, approximate: bool = False) -> DataFrame:
 
 
 def sample_values(df: DataFrame, k: int = 3) -> DataFrame:
-    """A2: ``k`` example values per column; the smallest as text, so the answer is stable."""
-    picked = top_values(value_counts(df), k, by_value=True)
-    return picked.groupBy(F.col("column").alias("name")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"]).alias("samples")
-    )
+    """A2: ``k`` example values per column; the smallest as text, so the answer is stable.
+
+    Each of ``k`` scans takes the next larger value of every column, so a task sends one value per column and no text is shuffled.
+    """
+    found: dict[str, list[str]] = {c: [] for c in df.columns}
+    for place in range(k):
+        going = [c for c in df.columns if len(found[c]) == place]
+        if not going:
+            break
+        texts = {c: as_text(df, c) for c in going}
+        larger = [F.min(F.when(texts[c] > F.lit(found[c][-1]), texts[c]) if place else texts[c]).alias(f"m{i}") for i, c in enumerate(going)]
+        row = df.agg(*larger).first()
+        for i, c in enumerate(going):
+            if row[f"m{i}"] is not None:
+                found[c].append(row[f"m{i}"])
+    return df.sparkSession.createDataFrame([(c, v) for c, v in found.items() if v], "name string, samples array<string>")
 
 
 def number_columns(df: DataFrame) -> list[str]:

@@ -6,10 +6,11 @@ from collections.abc import Mapping
 from difflib import SequenceMatcher
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prismtally.functions.frequencies import key_text, long_form
+from prismtally.functions.distinct import SKETCH_ERROR, column_estimates, distinct_values
+from prismtally.functions.frequencies import key_text
 from prismtally.functions.rounding import nearest
 from prismtally.session import checkpointed
 
@@ -30,7 +31,13 @@ SUGGESTION_SCHEMA = (
 BITS = 60  # columns per membership word
 
 
-ROWS = "\0rows"
+CANDIDATE_SCHEMA = (
+    "dataset string, column string, unique_ratio double, non_null_ratio double, score double, role_hint string, unique_count long, dataset_rows long"
+)
+
+
+def spark_of(datasets: Mapping[str, DataFrame]) -> SparkSession:
+    return next(iter(datasets.values())).sparkSession
 
 
 def key_candidates(df: DataFrame, limit: int = KEYS_PER_DATASET, approximate: bool = False) -> DataFrame:
@@ -42,35 +49,34 @@ def key_candidates(df: DataFrame, limit: int = KEYS_PER_DATASET, approximate: bo
 def key_candidates_of(
     datasets: Mapping[str, DataFrame], limit: int = KEYS_PER_DATASET, approximate: bool = False
 ) -> DataFrame:
-    """Key candidates of many datasets in one job: (dataset, column, ratios, score, role, counts).
+    """Key candidates of many datasets: (dataset, column, ratios, score, role, counts).
 
-    Exact distinct counts take one shuffle keyed by (dataset, column, value); ``approximate``
-    replaces them by sketches, which need no shuffle of values at all. A constant pseudo column
-    carries the row counts along.
+    One scan per dataset sketches all columns. Those whose share of different values is certainly below the gate are out; only the
+    others are counted exactly, by type. With ``approximate`` the sketches are the answer.
     """
-    parts = [
-        long_form(df, {**{c: key_text(df, c) for c in df.columns}, ROWS: F.lit("")}).withColumn("dataset", F.lit(name))
-        for name, df in datasets.items()
-    ]
-    rows = reduce(DataFrame.unionByName, parts)
+    sketched = {name: column_estimates(df) for name, df in datasets.items()}
+    stats = reduce(DataFrame.unionByName, [s.withColumn("dataset", F.lit(name)) for name, s in sketched.items()])
     if approximate:
-        stats = rows.groupBy("dataset", "column").agg(
-            F.count(F.lit(1)).alias("non_null"), F.approx_count_distinct("value", 0.02).alias("unique")
-        )
+        stats = stats.withColumnRenamed("estimate", "unique")
     else:
-        counted = rows.groupBy("dataset", "column", "value").agg(F.count(F.lit(1)).alias("n"))
-        stats = counted.groupBy("dataset", "column").agg(
-            F.sum("n").alias("non_null"), F.count(F.lit(1)).alias("unique")
-        )
+        known = stats.collect()  # a row per column
+        near = [r for r in known if r["non_null"] >= MIN_PRESENT * r["rows"] and r["estimate"] * (1 + SKETCH_ERROR) + 1 >= MIN_UNIQUE * r["non_null"]]
+        if not near:
+            return spark_of(datasets).createDataFrame([], CANDIDATE_SCHEMA)
+        counted = [
+            distinct_values(df, [r["column"] for r in near if r["dataset"] == name], stripped=True).withColumn("dataset", F.lit(name))
+            for name, df in datasets.items()
+            if any(r["dataset"] == name for r in near)
+        ]
+        given = spark_of(datasets).createDataFrame([(r["dataset"], r["column"], r["rows"], r["non_null"]) for r in near], "dataset string, column string, rows long, non_null long")
+        stats = given.join(reduce(DataFrame.unionByName, counted), ["dataset", "column"], "left").na.fill(0, ["unique"])
     hint = F.lit(False)
     for token in KEY_NAME_HINTS:
         hint = hint | F.lower("column").contains(token)
     # From here on there is one row per column: the windows are bounded by the schemas.
     in_dataset = Window.partitionBy("dataset")
     scored = (
-        stats.withColumn("rows", F.max(F.when(F.col("column") == ROWS, F.col("non_null"))).over(in_dataset))
-        .where(F.col("column") != ROWS)
-        .select(
+        stats.select(
             "dataset",
             "column",
             "unique",
@@ -173,7 +179,7 @@ def suggest_relationships(
     Candidate keys are at most eight per dataset and come to the driver with their scores; all value overlaps are then found
     by one job over all datasets, and names are compared for the pairs that share a value.
     """
-    spark = next(iter(datasets.values())).sparkSession
+    spark = spark_of(datasets)
     row_counts = dict(row_counts or {})
     order = {name: i for i, name in enumerate(datasets)}
     found = sorted(key_candidates_of(datasets).collect(), key=lambda r: (order[r["dataset"]], -r["score"], r["column"]))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prismtally.functions.columns import is_profiled_as_number, kind_of, moment, number, present
-from prismtally.functions.frequencies import digests, distinct_counts, value_counts
+from prismtally.functions.distinct import distinct_values
 from prismtally.functions.ordinals import gap_counts
 from prismtally.functions.quantiles import quantiles
 from prismtally.functions.rounding import nearest
@@ -171,7 +171,7 @@ def column_stats(df: DataFrame, approximate: bool = False) -> DataFrame:
     if approximate:
         stats = stats.withColumn("unique_count", F.col("sketch_unique"))
     else:
-        counted = distinct_counts(value_counts(df, texts=digests(df))).select(F.col("column").alias("name"), "unique")
+        counted = distinct_values(df, df.columns).withColumnRenamed("column", "name")
         stats = stats.join(counted, "name", "left").withColumn("unique_count", F.coalesce("unique", F.lit(0)).cast("long"))
     fills_range = F.col("hi") - F.col("lo") + 1 == F.col("unique_count")
     return stats.select(

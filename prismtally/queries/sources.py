@@ -36,7 +36,7 @@ def s3(spark, sf):
     path = scratch_path(spark, "lineitem")
     rows = table(spark, sf, "lineitem").withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd"))
     rows.write.option("header", True).option("sep", "\t").csv(path)
-    back = read_dataset(spark, path, "tsv", line_breaks=False)  # no text of lineitem has a line break
+    back = read_dataset(spark, path, "tsv")
     return back.withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd"))
 
 

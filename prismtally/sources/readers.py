@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from prismtally.functions.columns import col
 from prismtally.operators.prepare import infer_text_types
+from prismtally.session import scratch_path
+from prismtally.sources import spanning
 from prismtally.sources.sqlite import read_sqlite
 from prismtally.sources.writers import csv_options
 
@@ -85,39 +87,60 @@ def read_delimited(
     sep: str | None = None,
     encoding: str | None = None,
     infer: bool = True,
-    line_breaks: bool = True,
     null_mark: str | None = None,
 ) -> DataFrame:
     """Header line, quoted fields, leading blanks dropped, too long lines skipped.
 
     An extra last field catches overlong lines, which are skipped; short lines are filled with nulls. Text columns whose
-    every value is a number (thousands commas allowed) become numbers. Fields may hold line breaks, so a file is read by
-    one task; ``line_breaks=False`` is the caller's word that none does, and lets Spark split files. Separator and encoding
-    are found by a scan of the lines where they are not given.
+    every value is a number (thousands commas allowed) become numbers. Separator and encoding are found by a scan of the lines
+    where they are not given. Files are read in ranges by many tasks, whatever their fields hold: where every line ends outside of
+    quotes, by Spark's reader, else by :mod:`prismtally.sources.spanning`.
     """
     encoding = encoding or text_encoding(spark, path)
     lines = _lines(spark, path, encoding)
     first = lines.first()
     header = (first[0] or "") if first else ""
-    options = {**csv_options(null_mark), "encoding": encoding, "ignoreLeadingWhiteSpace": "true", "multiLine": str(line_breaks).lower()}
-    if header.endswith("\r"):
-        del options["lineSep"]  # the reader then takes both kinds of line ends
-    options["sep"] = sep or guess_separator(lines, header.rstrip("\r"))
+    windows = header.endswith("\r")
+    sep = sep or guess_separator(lines, header.rstrip("\r"))
+    options = {**csv_options(null_mark), "encoding": encoding, "ignoreLeadingWhiteSpace": "true", "sep": sep}
+    del options["lineSep"]  # the reader then takes both kinds of line ends
+    whole = spanning.Quoted(sep)
     names = [n.strip() for n in spark.read.options(header="true", **options).csv(path).columns]
     schema = T.StructType([T.StructField(f"f{i}", T.StringType()) for i in range(len(names))])
     schema = schema.add(OVERFLOW, T.StringType())
-    rows = spark.read.options(header="true", mode="PERMISSIVE", **options).schema(schema).csv(path)
+    if lines.where(F.col("value").contains('"') & ~F.col("value").rlike(whole.complete_line)).isEmpty():
+        ends = {} if windows else {"lineSep": "\n"}
+        rows = spark.read.options(header="true", mode="PERMISSIVE", **options, **ends).schema(schema).csv(path)
+    else:
+        text = F.decode("record", encoding)
+        text = F.regexp_replace(text, "\r$", "") if windows else text
+        parsed = F.from_csv(text, schema.simpleString()[len("struct<"):-1].replace(":", " "), {**options, "mode": "PERMISSIVE", "multiLine": "true"})
+        rows = spanning.records(spark, path, whole).select(parsed.alias("r")).select("r.*")
     kept = rows.where(col(OVERFLOW).isNull()).drop(OVERFLOW).toDF(*names)
     return infer_text_types(kept) if infer else kept
 
 
 def read_json(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """One document (list of records or a single object) per file, or line-delimited if every line is an object."""
+    """One document (list of records or a single object) per file, or line-delimited if every line is an object.
+
+    Lists of records are cut into records range by range (:mod:`prismtally.sources.spanning`), written as lines and read again, so
+    one large file is many tasks; a file that is a single object is one record and one task.
+    """
     encoding = encoding or text_encoding(spark, path)
     line = F.trim(F.regexp_replace("value", r"\s+$", ""))
     other = _lines(spark, path, encoding).where((line != "") & ~(line.startswith("{") & line.endswith("}")))
-    reader = spark.read.option("encoding", encoding).option("multiLine", not other.isEmpty())
-    return flatten_structs(reader.json(path))
+    reader = spark.read.option("encoding", encoding)
+    if other.isEmpty():
+        return flatten_structs(reader.json(path))
+    cutter = spanning.Listed()
+    ranges = spanning.effects(spanning.pieces_of(spark, path, cutter.separator), cutter)
+    if ranges.openings != {b"["}:
+        return flatten_structs(reader.option("multiLine", True).json(path))
+    lines = scratch_path(spark, "records")
+    # Line breaks outside of strings are blanks; inside they cannot stand as they are.
+    one_line = F.translate(F.decode("record", encoding), "\r\n", "  ")
+    spanning.records(spark, path, cutter, ranges).select(one_line.alias("value")).write.text(lines)
+    return flatten_structs(spark.read.json(lines))
 
 
 def _leaves(schema: T.StructType, reference: Column | None, prefix: str, sep: str) -> list[tuple[str, Column]]:

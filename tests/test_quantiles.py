@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from prismtally.functions import quantiles as quantile_module
 from prismtally.functions.ordinals import gap_counts, ordinal_regression
 from prismtally.functions.quantiles import EXACT_VALUES_KEY, quantiles
 
@@ -131,3 +132,53 @@ def test_infinite_values_are_the_same_at_any_size(spark, selection):
     for g in "abc":
         assert quantiles(df.where(F.col("g") == g), {"x": F.col("x")}, probs).first()["x"] == small[g]
     assert small["b"] == [1.0, 1.75, float("inf"), float("inf"), float("inf")]
+
+
+def _long_column(spark, n=60_000):
+    """Spread over eight partitions: a hot value, wide and narrow spreads, missing values, infinities."""
+    rng = np.random.default_rng(11)
+    x = np.where(rng.random(n) < 0.35, 7.0, rng.normal(size=n) * 10.0 ** rng.integers(-3, 9, n))
+    z = np.where(rng.random(n) < 0.01, np.inf, np.where(rng.random(n) < 0.02, -np.inf, np.round(rng.normal(size=n), 1)))
+    rows = list(zip(x.tolist(), [None if v > 2 else float(v) for v in rng.normal(size=n)], z.tolist(), range(n)))
+    df = spark.createDataFrame(rows, "x double, y double, z double, k long").repartition(8)
+    return rows, df
+
+
+def test_long_columns_by_sketch_and_one_exact_scan(spark, selection):
+    rows, df = _long_column(spark)
+    got = quantiles(df, {c: F.col(c) for c in "xyzk"}, PROBS).first()
+    for c, values in zip("xyzk", zip(*rows)):
+        ranked = sorted(v for v in values if v is not None)
+        spots = [p * (len(ranked) - 1) for p in PROBS]
+        ends = [(ranked[int(np.floor(s))], ranked[int(np.ceil(s))], s % 1) for s in spots]
+        np.testing.assert_allclose(got[c], [a if a == b else a + (b - a) * part for a, b, part in ends], rtol=1e-12)
+
+
+def test_a_rank_outside_its_bracket_is_still_right(spark, monkeypatch):
+    rows, df = _long_column(spark, 20_000)
+    monkeypatch.setattr(quantile_module, "SKETCH_MARGIN", 1e-9)
+    monkeypatch.setattr(quantile_module, "SKETCH_SIZE", 8)
+    got = quantiles(df, {"x": F.col("x"), "k": F.col("k")}, PROBS).first()
+    np.testing.assert_allclose(got["x"], np.quantile([r[0] for r in rows], PROBS), rtol=1e-12)
+    np.testing.assert_allclose(got["k"], np.quantile([r[3] for r in rows], PROBS), rtol=1e-12)
+
+
+def test_two_scans_whatever_the_columns(spark):
+    _, df = _long_column(spark, 20_000)
+    scans = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            scans.add(batch.num_rows)
+            yield batch
+
+    watched = df.mapInArrow(seen, df.schema)
+    quantiles(watched, {c: F.col(c) for c in "xyzk"}, [0.25, 0.5, 0.75]).first()
+    assert scans.value == 2 * 20_000
+
+
+def test_odd_columns(spark):
+    df = spark.createDataFrame([(None, 1.0, float("nan")), (None, 1.0, 2.0)], "a double, b double, c double")
+    got = quantiles(df, {c: F.col(c) for c in "abc"}, [0.0, 0.5]).first()
+    assert got["a"] is None and got["b"] == [1.0, 1.0] and got["c"] == [2.0, float("inf")]
+    assert quantiles(df.limit(0), {"b": F.col("b")}, [0.5]).first()["b"] is None
