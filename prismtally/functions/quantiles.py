@@ -18,10 +18,13 @@ bound only chooses the plan.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +41,7 @@ SKETCH_SIZE = 4096
 # Twice the sketch's error at 99 % confidence, and the difference between p * (n - 1) and p * n in a long column.
 SKETCH_MARGIN = 2 * 2.296 / SKETCH_SIZE**0.9021 + 2e-4
 SHORT_COLUMN = 10_000  # so many values are kept whole
+KEPT_VALUES = 4_000_000  # of a task, until it hands them on
 
 
 def builtin_limit(df: DataFrame) -> int:
@@ -163,18 +167,42 @@ def _by_sketch(picked: DataFrame, series: range, probabilities: list[float]) ->
 
 
 def _held(picked: DataFrame, wanted: list[Bracket]) -> DataFrame:
-    """Per input partition and bracket: how many values lie below it, up to its lower and its upper end, and the values between."""
-    aggs = []
-    for k, b in enumerate(wanted):
-        v = _number(b.series)
-        aggs += [
-            F.count_if(v < b.lo).alias(f"below{k}"),
-            F.count_if(v <= b.lo).alias(f"to_lo{k}"),
-            F.count_if(v <= b.hi).alias(f"to_hi{k}"),
-            F.collect_list(F.when((v > b.lo) & (v < b.hi), v)).alias(f"inner{k}"),
-        ]
+    """Per task and bracket: how many values lie below it, up to its lower and its upper end, and the values between.
+
+    A task keeps the values inside the brackets only, and hands them on when they are many.
+    """
+    names = [f"{c}{k}" for k in range(len(wanted)) for c in ("below", "to_lo", "to_hi", "inner")]
+    schema = ", ".join(f"{n} array<double>" if n.startswith("inner") else f"{n} long" for n in names)
+    series = sorted({b.series for b in wanted})
+
+    def row(counts: np.ndarray, inner: list[list[np.ndarray]]) -> pa.RecordBatch:
+        arrays = []
+        for k in range(len(wanted)):
+            arrays += [pa.array([int(c)], pa.int64()) for c in counts[k]]
+            arrays.append(pa.array([np.concatenate(inner[k])] if inner[k] else [[]], pa.list_(pa.float64())))
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, inner, kept = np.zeros((len(wanted), 3), np.int64), [[] for _ in wanted], 0
+        for batch in batches:
+            values = {}
+            for i, column in zip(series, batch.columns, strict=True):
+                column = column.drop_null().to_numpy(zero_copy_only=False)
+                values[i] = np.where(np.isnan(column), np.inf, column)
+            for k, b in enumerate(wanted):
+                v = values[b.series]
+                counts[k] += np.count_nonzero(v < b.lo), np.count_nonzero(v <= b.lo), np.count_nonzero(v <= b.hi)
+                between = v[(v > b.lo) & (v < b.hi)]
+                if len(between):
+                    inner[k].append(between)
+                    kept += len(between)
+            if kept > KEPT_VALUES:
+                yield row(counts, inner)
+                counts, inner, kept = np.zeros_like(counts), [[] for _ in wanted], 0
+        yield row(counts, inner)
+
     path = scratch_path(picked.sparkSession, "ranks")
-    picked.groupBy(F.spark_partition_id().alias("part")).agg(*aggs).write.parquet(path)
+    picked.select(*[f"v{i}" for i in series]).mapInArrow(run, schema).write.parquet(path)
     return picked.sparkSession.read.parquet(path)
 
 

@@ -28,6 +28,7 @@ from prismtally.functions.frequencies import (
     top_values,
     value_counts,
 )
+from prismtally.functions.moments import column_moments
 from prismtally.functions.quantiles import quantile_row
 from prismtally.functions.stats import sample_kurtosis, sample_skewness
 
@@ -140,7 +141,7 @@ def number_columns(df: DataFrame) -> list[str]:
 def numeric_profile(df: DataFrame, columns: list[str] | None = None, digits: int = 4) -> DataFrame:
     """A3 / A4: moments, quartiles and the share outside the 1.5 IQR fences per numeric column.
 
-    Two passes: quartiles by exact selection, then one aggregate for everything else.
+    Three scans, whatever the columns: two for exact quartiles, one for everything else.
     """
     columns = columns if columns is not None else number_columns(df)
     schema = (
@@ -150,39 +151,29 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None, digits: int
     if not columns:
         return df.sparkSession.createDataFrame([], schema)
     quartiles = quantile_row(df, {c: number(df, c) for c in columns}, [0.25, 0.5, 0.75])
-    aggs, entries = [], []
-    for i, c in enumerate(columns):
-        v = number(df, c)
-        q1, median, q3 = quartiles[c] or (None, None, None)
-        spread = (q3 - q1) if q1 is not None else 0.0
-        outside = F.lit(False) if not spread > 0 else (v < q1 - FENCE * spread) | (v > q3 + FENCE * spread)
-        aggs += [
-            F.count(v).alias(f"n{i}"),
-            F.avg(v).alias(f"mean{i}"),
-            F.stddev_samp(v).alias(f"std{i}"),
-            F.min(v).alias(f"min{i}"),
-            F.max(v).alias(f"max{i}"),
-            F.skewness(v).alias(f"skew{i}"),
-            F.kurtosis(v).alias(f"kurt{i}"),
-            F.count_if(outside).alias(f"out{i}"),
-        ]
-        n = F.col(f"n{i}")
-        entries.append(
-            F.struct(
-                F.lit(c).alias("name"),
-                F.round(f"mean{i}", digits).alias("mean"),
-                F.round(F.lit(median).cast("double"), digits).alias("median"),
-                F.round(f"std{i}", digits).alias("std"),
-                F.round(f"min{i}", digits).alias("min"),
-                F.round(f"max{i}", digits).alias("max"),
-                F.round(F.lit(q1).cast("double"), digits).alias("q1"),
-                F.round(F.lit(q3).cast("double"), digits).alias("q3"),
-                F.round(sample_skewness(F.col(f"skew{i}"), n), digits).alias("skewness"),
-                F.round(sample_kurtosis(F.col(f"kurt{i}"), n), digits).alias("kurtosis"),
-                ratio_pct(F.col(f"out{i}"), n).alias("outlier_pct"),
-            )
-        )
-    return df.agg(*aggs).select(F.inline(F.array(*entries)))
+    fences = []
+    for c in columns:
+        q1, _, q3 = quartiles[c] or (0.0, 0.0, 0.0)
+        fences.append((q1 - FENCE * (q3 - q1), q3 + FENCE * (q3 - q1)) if q3 > q1 else None)
+    fields = column_moments(df, [number(df, c) for c in columns], fences)
+    rows = [(c, *(quartiles[c] or (None,) * 3), *map(float, fields[:, i])) for i, c in enumerate(columns)]
+    raw = df.sparkSession.createDataFrame(rows, "name string, q1 double, median double, q3 double, n double, mean double, m2 double, m3 double, m4 double, low double, high double, outside double")
+    some, n = F.col("n") > 0, F.col("n")
+    skew = F.try_divide(F.sqrt(n) * F.col("m3"), F.pow("m2", F.lit(1.5)))
+    kurtosis = F.try_divide(n * F.col("m4"), F.col("m2") * F.col("m2")) - 3
+    return raw.select(
+        "name",
+        F.round(F.when(some, F.col("mean")), digits).alias("mean"),
+        F.round("median", digits).alias("median"),
+        F.round(F.when(n > 1, F.sqrt(F.col("m2") / (n - 1))), digits).alias("std"),
+        F.round(F.when(some, F.col("low")), digits).alias("min"),
+        F.round(F.when(some, F.col("high")), digits).alias("max"),
+        F.round("q1", digits).alias("q1"),
+        F.round("q3", digits).alias("q3"),
+        F.round(sample_skewness(skew, n), digits).alias("skewness"),
+        F.round(sample_kurtosis(kurtosis, n), digits).alias("kurtosis"),
+        ratio_pct(F.col("outside"), n).alias("outlier_pct"),
+    )
 
 
 def datetime_profile(df: DataFrame) -> DataFrame:
