@@ -5,7 +5,8 @@ bits of 64-bit words: a word is one row before the shuffle however many of its v
 and scattered ones cost what they would anyway. Floating-point numbers and zone-less timestamps are grouped as they are. Only texts and nested values
 travel as texts, long ones as digests.
 
-Sketches (HyperLogLog) tell in one scan which columns are far from a gate, so that the exact count is taken of the others only.
+Theta sketches (the smallest hashes of a column) tell in one scan which columns are far from a gate, so that the exact count is taken of the
+others only, and which pairs of columns have certainly too little in common to compare their values.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from pyspark.sql import types as T
 from prismtally.functions.columns import as_text, col, field_type, present
 from prismtally.functions.frequencies import digest, key_text, may_be_long
 
-LOG_REGISTERS = 14
-# Five standard errors of the sketch (1.04 / sqrt(2 ** 14) each).
-SKETCH_ERROR = 5 * 1.04 / 2 ** (LOG_REGISTERS / 2)
+LOG_ENTRIES = 14
+# Five standard errors of a count from so many hashes.
+SKETCH_ERROR = 5 / 2 ** (LOG_ENTRIES / 2)
 SCHEMA = "column string, unique long"
 
 
@@ -81,14 +82,28 @@ def distinct_values(df: DataFrame, columns: list[str], stripped: bool = False) -
     return reduce(DataFrame.unionByName, parts).select(F.element_at(names, F.col("id") + 1).alias("column"), F.col("unique").cast("long").alias("unique"))
 
 
-def column_estimates(df: DataFrame) -> DataFrame:
-    """``column, rows, non_null, estimate`` from one scan; ``estimate`` is within ``SKETCH_ERROR`` of the number of different values."""
+def column_sketches(df: DataFrame) -> DataFrame:
+    """``column, rows, non_null, estimate, sketch`` from one scan; ``estimate`` is within ``SKETCH_ERROR`` of the number of different values."""
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(df.columns):
-        value = key_text(df, c) if may_be_long(field_type(df, c)) else present(df, c)
-        aggs += [F.count(value).alias(f"n{i}"), F.hll_sketch_agg(F.when(value.isNotNull(), F.xxhash64(value)), F.lit(LOG_REGISTERS)).alias(f"s{i}")]
+        # Columns of any two types meet as texts when they are compared, so all are hashed as that.
+        value = key_text(df, c)
+        aggs += [F.count(value).alias(f"n{i}"), F.theta_sketch_agg(F.when(value.isNotNull(), F.xxhash64(value)), LOG_ENTRIES).alias(f"s{i}")]
     entries = [
-        F.struct(F.lit(c).alias("column"), F.col("rows"), F.col(f"n{i}").alias("non_null"), F.hll_sketch_estimate(f"s{i}").alias("estimate"))
+        F.struct(
+            F.lit(c).alias("column"), F.col("rows"), F.col(f"n{i}").alias("non_null"),
+            F.theta_sketch_estimate(f"s{i}").cast("long").alias("estimate"), F.col(f"s{i}").alias("sketch"),
+        )
         for i, c in enumerate(df.columns)
-    ]
+    ]
     return df.agg(*aggs).select(F.inline(F.array(*entries)))
+
+
+def most_shared(intersection: Column, left: Column, right: Column) -> Column:
+    """An upper bound (five standard errors) on how many values two columns share, from the estimates of their intersection and of both.
+
+    The intersection is known from a sample that holds at least ``2 ** LOG_ENTRIES`` of the larger column's values.
+    """
+    share = F.least(F.lit(1.0), F.lit(float(2**LOG_ENTRIES)) / F.greatest(left, right, F.lit(1)))
+    seen = intersection * F.least(F.lit(1.0), 2 * share)  # the sample is at most twice as large
+    return F.when(share >= 1, intersection).otherwise(intersection + (5 * F.sqrt(seen + 1) + 12) / share)

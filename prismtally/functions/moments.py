@@ -1,7 +1,7 @@
 """Moments of many columns at once: one scan, one row per task, whatever the number of columns.
 
 A wide table of aggregate expressions falls off the just-in-time compiler long before it has too many columns to read. Here a task
-folds its batches column by column into a few numbers (count, mean, second to fourth central sums, extremes, values outside two fences),
+folds its batches column by column into a few numbers (count, mean, second to fourth central sums, extremes, values outside two fences, sum),
 which merge pairwise without cancelling; sums are taken around the first value of a batch, so a column that does not vary has central sums of exactly 0.
 """
 
@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FIELDS = ("n", "mean", "m2", "m3", "m4", "low", "high", "outside")
+FIELDS = ("n", "mean", "m2", "m3", "m4", "low", "high", "outside", "total")
 SCHEMA = ", ".join(f"{f} array<double>" for f in FIELDS)
 TREE = 64
-N, MEAN, M2, M3, M4, LOW, HIGH, OUTSIDE = range(len(FIELDS))
+N, MEAN, M2, M3, M4, LOW, HIGH, OUTSIDE, TOTAL = range(len(FIELDS))
 
 
 def empty(columns: int) -> np.ndarray:
@@ -31,7 +31,7 @@ def of_values(x: np.ndarray, fence: tuple[float, float] | None) -> np.ndarray:
     out = empty(1)[:, 0]
     if not len(x):
         return out
-    out[N], out[LOW], out[HIGH] = len(x), x.min(), x.max()
+    out[N], out[LOW], out[HIGH], out[TOTAL] = len(x), x.min(), x.max(), x.sum()
     if fence is not None:
         out[OUTSIDE] = np.count_nonzero((x < fence[0]) | (x > fence[1]))
     if not np.isfinite(x).all():
@@ -63,7 +63,7 @@ def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         a[M4] + b[M4] + d**4 * p * (a[N] ** 2 - a[N] * b[N] + b[N] ** 2) / n**2
         + 6 * d * d * (a[N] ** 2 * b[M2] + b[N] ** 2 * a[M2]) / n**2 + 4 * d * (a[N] * b[M3] - b[N] * a[M3]) / n
     )
-    c[LOW], c[HIGH], c[OUTSIDE] = np.minimum(a[LOW], b[LOW]), np.maximum(a[HIGH], b[HIGH]), a[OUTSIDE] + b[OUTSIDE]
+    c[LOW], c[HIGH], c[OUTSIDE], c[TOTAL] = np.minimum(a[LOW], b[LOW]), np.maximum(a[HIGH], b[HIGH]), a[OUTSIDE] + b[OUTSIDE], a[TOTAL] + b[TOTAL]
     out[:, both] = c
     return out
 

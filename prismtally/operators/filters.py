@@ -17,7 +17,7 @@ INLINE_POLICY_VALUES = 10_000
 def keep_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise ValueError(f"Columns not found: {', '.join(missing)}")
+        raise ValueError(f"The dataset has no column {', '.join(missing)}")
     return df.select(*[col(c) for c in columns])
 
 
@@ -146,29 +146,28 @@ def apply_policy_table(df: DataFrame, policy_table: DataFrame, user: str, column
     return df
 
 
-HASH_DIGITS, HASH_BITS, STEP_BITS, TAKE_AT_MOST = 15, 60, 15, 10_000
+HASH_DIGITS, STEP_DIGITS, TAKE_AT_MOST = 15, 3, 10_000
 
 
 def sample_exact(df: DataFrame, percentage: float, key: list[str] | None = None, seed: int = 42) -> DataFrame:
     """Exactly ``max(1, int(rows * percentage / 100))`` rows, the same ones on every run.
 
-    Rows are ranked by the first 60 bits of the MD5 of seed and identity. The hash at the wanted rank is found by counting
-    hash prefixes, 15 further bits per pass (at most 32,768 counters each, map-side combined), until
-    the prefix at the cut holds a handful of rows; the sample itself is then one filter. Nothing
-    is sorted or shuffled but counters. With ``key`` (columns that identify a row) the choice
-    does not depend on the file layout.
+    Rows are ranked by the first 15 hexadecimal digits of the MD5 of seed and identity; digits of one width sort as text like the numbers
+    they write, so they are never converted. The hash at the wanted rank is found by counting prefixes, three further digits per pass (at most
+    4,096 counters, map-side combined), until the prefix at the cut holds a handful of rows; the sample itself is then one filter. Nothing
+    is sorted or shuffled but counters. With ``key`` (columns that identify a row) the choice does not depend on the file layout.
     """
     if percentage >= 100:
         return df
     identity = [col(c) for c in key] if key else [F.col("_row")]
     ranked = df if key else df.select("*", F.monotonically_increasing_id().alias("_row"))
-    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("")) for c in identity])), 1, HASH_DIGITS)
-    ranked = ranked.withColumn("_h", F.conv(digits, 16, 10).cast("long"))
+    written = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("")) for c in identity])
+    ranked = ranked.withColumn("_h", F.substring(F.md5(written), 1, HASH_DIGITS))
 
-    at_cut, below, wanted, shift, prefix = ranked, 0, None, HASH_BITS, 0
+    at_cut, below, wanted, width, prefix = ranked, 0, None, 0, ""
     while True:
-        shift -= STEP_BITS
-        counts = sorted(at_cut.groupBy(F.shiftright("_h", shift).alias("b")).count().collect())
+        width += STEP_DIGITS
+        counts = sorted(at_cut.groupBy(F.substring("_h", 1, width).alias("b")).count().collect())
         if wanted is None:
             total = sum(r["count"] for r in counts)
             wanted = max(1, int(total * percentage / 100))
@@ -178,24 +177,20 @@ def sample_exact(df: DataFrame, percentage: float, key: list[str] | None = None,
             if below + held >= wanted:
                 break
             below += held
-        at_cut = ranked.where(F.shiftright("_h", shift) == prefix)
-        if held <= TAKE_AT_MOST or shift == 0:
+        at_cut = ranked.where(F.col("_h").startswith(prefix))
+        if held <= TAKE_AT_MOST or width == HASH_DIGITS:
             break
     missing = wanted - below
-    if shift == 0 or missing == held:
-        edge = F.lit(False) if missing < held else F.shiftright("_h", shift) == prefix
-        tied = missing < held
+    at_prefix = F.col("_h").startswith(prefix)
+    if width == HASH_DIGITS or missing == held:
+        edge, tied = F.lit(False) if missing < held else at_prefix, missing < held
     else:
         hashes = [r["_h"] for r in at_cut.select("_h").orderBy("_h").limit(missing + 1).collect()]
-        edge, tied = at_cut_edge(prefix, shift, hashes[missing - 1]), hashes[missing] == hashes[missing - 1]
-    lower = F.shiftright("_h", shift) < prefix
+        edge, tied = at_prefix & (F.col("_h") <= F.lit(hashes[missing - 1])), hashes[missing] == hashes[missing - 1]
+    lower = F.col("_h") < F.lit(prefix)
     names = [col(c) for c in df.columns]
     if not tied:
         return ranked.where(lower | edge).select(*names)
     # Equal hashes of distinct rows at the cut: the rest is taken in the order of the identity.
     rest = at_cut.orderBy("_h", *identity).limit(missing)
     return ranked.where(lower).unionByName(rest).select(*names)
-
-
-def at_cut_edge(prefix: int, shift: int, last: int) -> Column:
-    return (F.shiftright("_h", shift) == prefix) & (F.col("_h") <= F.lit(last))

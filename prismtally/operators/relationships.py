@@ -6,13 +6,13 @@ from collections.abc import Mapping
 from difflib import SequenceMatcher
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prismtally.functions.distinct import SKETCH_ERROR, column_estimates, distinct_values
+from prismtally.functions.distinct import SKETCH_ERROR, column_sketches, distinct_values, most_shared
 from prismtally.functions.frequencies import key_text
 from prismtally.functions.rounding import nearest
-from prismtally.session import checkpointed
+from prismtally.session import checkpointed, scratch_path
 
 # Name hints, weights and thresholds of the key and relationship scores.
 KEY_NAME_HINTS = ("id", "key", "code", "number", "no")
@@ -31,11 +31,6 @@ SUGGESTION_SCHEMA = (
 BITS = 60  # columns per membership word
 
 
-CANDIDATE_SCHEMA = (
-    "dataset string, column string, unique_ratio double, non_null_ratio double, score double, role_hint string, unique_count long, dataset_rows long"
-)
-
-
 def spark_of(datasets: Mapping[str, DataFrame]) -> SparkSession:
     return next(iter(datasets.values())).sparkSession
 
@@ -46,30 +41,32 @@ def key_candidates(df: DataFrame, limit: int = KEYS_PER_DATASET, approximate: bo
     return found.orderBy(F.desc("score"), "column")
 
 
+def sketch_columns(datasets: Mapping[str, DataFrame]) -> DataFrame:
+    """The sketches of all columns of all datasets, one scan each, kept for several uses."""
+    parts = [column_sketches(df).withColumn("dataset", F.lit(name)) for name, df in datasets.items()]
+    path = scratch_path(spark_of(datasets), "sketches")
+    reduce(DataFrame.unionByName, parts).write.parquet(path)
+    return spark_of(datasets).read.parquet(path)
+
+
 def key_candidates_of(
-    datasets: Mapping[str, DataFrame], limit: int = KEYS_PER_DATASET, approximate: bool = False
+    datasets: Mapping[str, DataFrame], limit: int = KEYS_PER_DATASET, approximate: bool = False, sketches: DataFrame | None = None
 ) -> DataFrame:
     """Key candidates of many datasets: (dataset, column, ratios, score, role, counts).
 
     One scan per dataset sketches all columns. Those whose share of different values is certainly below the gate are out; only the
     others are counted exactly, by type. With ``approximate`` the sketches are the answer.
     """
-    sketched = {name: column_estimates(df) for name, df in datasets.items()}
-    stats = reduce(DataFrame.unionByName, [s.withColumn("dataset", F.lit(name)) for name, s in sketched.items()])
+    known = (sketches if sketches is not None else sketch_columns(datasets)).select("dataset", "column", "rows", "non_null", "estimate").collect()  # a row per column
     if approximate:
-        stats = stats.withColumnRenamed("estimate", "unique")
+        found = [tuple(r) for r in known]
     else:
-        known = stats.collect()  # a row per column
         near = [r for r in known if r["non_null"] >= MIN_PRESENT * r["rows"] and r["estimate"] * (1 + SKETCH_ERROR) + 1 >= MIN_UNIQUE * r["non_null"]]
-        if not near:
-            return spark_of(datasets).createDataFrame([], CANDIDATE_SCHEMA)
-        counted = [
-            distinct_values(df, [r["column"] for r in near if r["dataset"] == name], stripped=True).withColumn("dataset", F.lit(name))
-            for name, df in datasets.items()
-            if any(r["dataset"] == name for r in near)
-        ]
-        given = spark_of(datasets).createDataFrame([(r["dataset"], r["column"], r["rows"], r["non_null"]) for r in near], "dataset string, column string, rows long, non_null long")
-        stats = given.join(reduce(DataFrame.unionByName, counted), ["dataset", "column"], "left").na.fill(0, ["unique"])
+        wanted = {name: [r["column"] for r in near if r["dataset"] == name] for name in datasets}
+        counted = [distinct_values(datasets[name], columns, stripped=True).withColumn("dataset", F.lit(name)) for name, columns in wanted.items() if columns]
+        exact = {(r["dataset"], r["column"]): r["unique"] for r in (reduce(DataFrame.unionByName, counted).collect() if counted else [])}
+        found = [(r["dataset"], r["column"], r["rows"], r["non_null"], exact.get((r["dataset"], r["column"]), 0)) for r in near]
+    stats = spark_of(datasets).createDataFrame(found, "dataset string, column string, rows long, non_null long, unique long").coalesce(1)
     hint = F.lit(False)
     for token in KEY_NAME_HINTS:
         hint = hint | F.lower("column").contains(token)
@@ -169,6 +166,20 @@ def overlaps(columns: list[tuple[DataFrame, str]]) -> DataFrame:
     )
 
 
+def comparable(candidates: list[Row], sketches: DataFrame) -> list[int]:
+    """Numbers of the candidates that may share enough values with one of another dataset to be suggested."""
+    named = [(i, r["dataset"], r["column"], float(r["score"])) for i, r in enumerate(candidates)]
+    numbered = sketches.join(F.broadcast(sketches.sparkSession.createDataFrame(named, "id int, dataset string, column string, score double")), ["dataset", "column"])
+    a, b = (numbered.select(*[F.col(c).alias(f"{side}_{c}") for c in ("id", "dataset", "column", "score", "estimate", "sketch")]) for side in "ab")
+    pairs = a.join(b, (F.col("a_id") < F.col("b_id")) & (F.col("a_dataset") != F.col("b_dataset")))
+    similarity = F.udf(name_similarity, "double")("a_column", "b_column")
+    least = (MIN_CONFIDENCE - 0.0005 - similarity * SIMILARITY_WEIGHT - F.least("a_score", "b_score") * KEY_WEIGHT) / OVERLAP_WEIGHT
+    both = F.theta_sketch_estimate(F.theta_intersection("a_sketch", "b_sketch")).cast("double")
+    most = most_shared(both, F.col("a_estimate"), F.col("b_estimate")) / (F.least("a_estimate", "b_estimate") * (1 - SKETCH_ERROR))
+    kept = pairs.where((most > 0) & (most >= least)).select("a_id", "b_id").collect()  # at most eight candidates per dataset
+    return sorted({i for row in kept for i in row})
+
+
 def suggest_relationships(
     datasets: Mapping[str, DataFrame],
     row_counts: Mapping[str, int] | None = None,
@@ -176,13 +187,15 @@ def suggest_relationships(
 ) -> DataFrame:
     """The likeliest joins between datasets, best first.
 
-    Candidate keys are at most eight per dataset and come to the driver with their scores; all value overlaps are then found
-    by one job over all datasets, and names are compared for the pairs that share a value.
+    Candidate keys are at most eight per dataset and come to the driver with their scores. The sketches that found them also tell which pairs
+    share certainly too few values to reach the threshold, whatever their names; a column without any other pair is not read again.
+    All value overlaps of the rest are then found by one job over all datasets, and names are compared for the pairs that share a value.
     """
     spark = spark_of(datasets)
     row_counts = dict(row_counts or {})
     order = {name: i for i, name in enumerate(datasets)}
-    found = sorted(key_candidates_of(datasets).collect(), key=lambda r: (order[r["dataset"]], -r["score"], r["column"]))
+    sketches = sketch_columns(datasets)
+    found = sorted(key_candidates_of(datasets, sketches=sketches).collect(), key=lambda r: (order[r["dataset"]], -r["score"], r["column"]))
     rows = [(i, r["dataset"], r["column"], float(r["score"]), row_counts.get(r["dataset"], r["dataset_rows"])) for i, r in enumerate(found)]
     keys = spark.createDataFrame(rows, "id int, dataset string, column string, score double, rows long")
     if not rows:
@@ -192,7 +205,13 @@ def suggest_relationships(
     def side(mark: str, at: str) -> DataFrame:
         return keys.select(F.col("id").alias(at), *[F.col(c).alias(f"{mark}_{c}") for c in ("dataset", "column", "score", "rows")])
 
-    shared = overlaps([(datasets[r["dataset"]], r["column"]) for r in found])
+    compared = comparable(found, sketches)
+    if not compared:
+        return spark.createDataFrame([], SUGGESTION_SCHEMA)
+    places = spark.createDataFrame(list(enumerate(compared)), "at int, id int")
+    shared = overlaps([(datasets[found[i]["dataset"]], found[i]["column"]) for i in compared])
+    for end in ("i", "j"):  # back to the numbers of all candidates
+        shared = shared.withColumnRenamed(end, "at").join(F.broadcast(places), "at").drop("at").withColumnRenamed("id", end)
     pairs = shared.join(side("left", "i"), "i").join(side("right", "j"), "j").where("left_dataset <> right_dataset")
     similarity = F.udf(name_similarity, "double")("left_column", "right_column")
     scored = pairs.withColumn("similarity", similarity).withColumn(
