@@ -143,8 +143,8 @@ def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return stored(same.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("first", "last")))).alias("removed")), "removed")
 
 
-def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` without the lines of ``repeated_lines``, with ``n_removed_lines`` added (a column of that name is replaced).
+def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", count: str = "n_removed_lines") -> DataFrame:
+    """``docs`` without the lines of ``repeated_lines``, with their number as ``count`` added (a column of that name is replaced).
 
     All rows stay; a text without anything to remove is unchanged, one that loses all its lines is empty.
     """
@@ -155,7 +155,20 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     cut = joined.withColumn(lines, F.split(F.coalesce(F.col(text_column).cast("string"), F.lit("")), "\n", -1))
     stays = F.transform(F.array_except(F.sequence(F.lit(1), F.size(lines)), F.col(gone)), lambda i: F.element_at(lines, i))
     return (
-        cut.withColumn("n_removed_lines", F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long"))
+        cut.withColumn(count, F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long"))
         .withColumn(text_column, F.when(F.col(gone).isNull(), F.col(text_column)).otherwise(F.array_join(stays, "\n")))
         .drop(rid, gone, lines)
     )
+
+
+def cleaned(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size_column: str = "n_chars") -> DataFrame:
+    """``docs`` without repeated runs of lines and without the documents that this leaves without a word; same columns.
+
+    ``size_column``, if there is one, follows the text. A copy whose lines all stand in an earlier document is no document any more; a
+    text that had no word before stays.
+    """
+    count = free_name(docs, "n_removed_lines")
+    out = without_repeats(docs, id_column, text_column, count)
+    if size_column in docs.columns:
+        out = out.withColumn(size_column, F.when(F.col(count) > 0, F.length(text_column).cast("long")).otherwise(F.col(size_column)))
+    return out.where((F.col(count) == 0) | F.col(text_column).rlike(WORDED)).select(*docs.columns)
