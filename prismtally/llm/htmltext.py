@@ -1,10 +1,14 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines: a block element begins a new line, and the edges of page regions (article, navigation,
-footer and the like) leave a gap of empty lines. Sums of text lengths over a sliding window of lines rise from zero at the
-first line of a stretch of text (surge) and fall back to zero after its last one (dive). The text between a surge
-and its dive is an area; the article is the areas of the longest article element, or else the area with the most text that
-is not links.
+Markup is stripped into lines: a block element begins a new line, and the edges of page regions (navigation, footer and the like) leave
+a gap of empty lines. Sums of text lengths over a sliding window of lines rise at the first line of a stretch of text and fall
+back to zero after its last one. A stretch is text of the article if its sums surge: if the highest of them reaches a fixed number
+of characters and a share of the highest on the page. It goes from its surge to its dive, so short lines between long ones stay. All such
+stretches are kept, in page order; a page without any surge gives its strongest stretch.
+
+What a line weighs is the tags' part: text of links weighs nothing outside of the article element, text inside of it several times
+its length. Elements that never hold the story (by tag, or by a class name of their own) are left out beforehand, but never an article or main
+element, nor one that holds most of the text of a page without them.
 """
 
 from __future__ import annotations
@@ -23,6 +27,10 @@ from pyspark.sql import functions as F
 from prismtally.llm.common import Batches
 
 WINDOW = 3
+SURGE = 40  # characters (weighed) that the sum of a window must reach
+SURGE_SHARE = 0.25  # and the share of the highest sum of the page
+INSIDE = 8  # what a character of the article element weighs
+MOST = 0.6  # an element with more of the page's text is no side element, whatever its class
 # Elements without running text, with all they hold.
 MUTE = frozenset("script style noscript template iframe object svg math canvas head select option button textarea audio video title".split())
 # Regions of a page beside its article.
@@ -52,6 +60,8 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACE = re.compile(r"\s+")
 PART = re.compile(r"[a-z]+")
+# Elements of running text: only a class name that is a mark as a whole tells that one is no part of the story.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre span em strong b i dd dt td figcaption".split())
 
 
 def tokens(page: str) -> list[tuple[int, int, str, bool, str]]:
@@ -78,11 +88,16 @@ def partners(found: list[tuple[int, int, str, bool, str]]) -> dict[int, int]:
     return out
 
 
-def marked(attrs: str) -> set[str]:
+def marked(name: str, attrs: str) -> set[str]:
+    """The marks among the class names, ids and roles of an element: as a whole, or as the first or last part of one."""
     words: set[str] = set()
     if "=" in attrs:
         for values in ATTRIBUTE.findall(attrs):
-            words.update(PART.findall(" ".join(values).lower()))
+            for label in " ".join(values).lower().split():
+                words.add(label)
+                parts = PART.findall(label)
+                if parts and name not in RUNNING:
+                    words.update((parts[0], parts[-1]))
     return words
 
 
@@ -91,8 +106,13 @@ def page_lines(page: str) -> list[tuple[str, int, int]]:
     found = tokens(page)
     match = partners(found)
     wanted = next((name for name in BODY if any(t[2] == name and not t[3] for t in found)), "")
-    bodies = [k for k, t in enumerate(found) if t[2] == wanted and not t[3] and not marked(t[4]) & MARKS] if wanted else []
+    bodies = [k for k, t in enumerate(found) if t[2] == wanted and not t[3]] if wanted else []
     starts = set(bodies)
+    # Characters between the pieces of markup before each of them, for the share of an element without an article element.
+    before = [0]
+    for k, t in enumerate(found):
+        between = page[found[k - 1][1] if k else 0 : t[0]]
+        before.append(before[-1] + len(between) - between.count(" "))
     lines: list[tuple[str, int, int]] = []
     parts: list[str] = []
     linked = 0
@@ -128,10 +148,12 @@ def page_lines(page: str) -> list[tuple[str, int, int]]:
             number = 0
         if name and not closing and name not in VOID:
             last = match.get(k)
-            words = marked(attrs)
+            words = marked(name, attrs) if name not in BODY else set()
             beside = name in MUTE or name in ASIDE or bool(words & MARKS)
             if not articles:
                 beside = beside or name == "header" or bool(words & OUTSIDE)
+            if beside and last is not None and not bodies and name not in MUTE and name not in ASIDE and name != "header":
+                beside = before[last + 1] - before[k + 1] <= MOST * before[-1]
             ahead = bisect_right(bodies, k) if beside and last is not None else 0
             if beside and last is not None and name not in ("html", "body") and k not in starts and not (ahead < len(bodies) and bodies[ahead] < last):
                 if name in BLOCK:
@@ -155,30 +177,37 @@ def page_lines(page: str) -> list[tuple[str, int, int]]:
     return lines
 
 
-def areas(lengths: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
-    """First and last line of each stretch from a surge to the next dive of the window sums."""
-    if not len(lengths):
+def areas(weights: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int]]:
+    """First line, line behind the last one and highest window sum of each stretch between two dives to zero."""
+    if not len(weights):
         return []
-    sums = np.convolve(lengths, np.ones(window, np.int64))[: len(lengths)]  # of each line and those before it
-    full = np.concatenate([[0], (sums > 0).astype(np.int8), [0]])
-    step = np.diff(full)
-    return [(a, min(b, len(lengths))) for a, b in zip(np.flatnonzero(step > 0).tolist(), np.flatnonzero(step < 0).tolist(), strict=True)]
+    sums = np.convolve(weights, np.ones(window, np.int64))[: len(weights)]  # of each line and those before it
+    step = np.diff(np.concatenate([[0], (sums > 0).astype(np.int8), [0]]))
+    out = []
+    for first, end in zip(np.flatnonzero(step > 0).tolist(), np.flatnonzero(step < 0).tolist(), strict=True):
+        last = first + int(np.flatnonzero(weights[first:end])[-1]) + 1
+        out.append((first, last, int(sums[first:end].max())))
+    return out
+
+
+def surging(found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The stretches whose window sums surge; the strongest (ties: the first) if none does."""
+    top = max((peak for _, _, peak in found), default=0)
+    kept = [(first, end) for first, end, peak in found if peak >= max(SURGE, SURGE_SHARE * top)]
+    return kept or [next((first, end) for first, end, peak in found if peak == top)] if found else []
 
 
 def main_text(page: str | None) -> str:
     """The article's blocks joined by an empty line; an empty string if there is no text."""
     lines = page_lines(page or "")
-    weights: Counter[int] = Counter()
+    held: Counter[int] = Counter()
     for text, _, number in lines:
-        weights[number] += len(text)
-    inside = [n for n in weights if n and weights[n]]
-    best = max(inside, key=lambda n: (weights[n], -n)) if inside else 0
-    # Inside the article links are text like any other; elsewhere they are what tells menus from text.
-    lengths = np.array([(len(text) if best else plain) if number == best else 0 for text, plain, number in lines], np.int64)
-    found = areas(lengths)
-    if not best and found:
-        found = [max(found, key=lambda a: (int(lengths[a[0] : a[1]].sum()), -a[0]))]
-    return "\n\n".join(lines[i][0] for first, last in found for i in range(first, last) if lengths[i])
+        held[number] += len(text)
+    inside = [n for n in held if n and held[n]]
+    best = max(inside, key=lambda n: (held[n], -n)) if inside else 0
+    # Inside the article links are text like any other; elsewhere they are what tells menus from text. Other articles are teasers.
+    weights = np.array([INSIDE * len(text) if best and number == best else 0 if number else plain for text, plain, number in lines], np.int64)
+    return "\n\n".join(lines[i][0] for first, end in surging(areas(weights)) for i in range(first, end) if lines[i][0] and lines[i][2] in (0, best))
 
 
 def extracted(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
