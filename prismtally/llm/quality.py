@@ -166,13 +166,15 @@ def usable_labels(labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
 def fit_rules(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> list[Rule]:
     """A decision list from at most ``limit`` labels, so they may be broadcast and their statistics may reach the driver.
 
-    Documents that fail the base rules teach nothing. If rows repeat an id, each is a row of its own.
+    Documents that fail the base rules teach nothing. Of the rows that repeat an id the one with the smallest statistics teaches, so the rows that
+    reach the driver are as many as labels, however often an id occurs.
     """
     known = F.broadcast(usable_labels(labels, limit))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     stats = text_statistics(slim.join(known, slim["doc_id"] == known["label_id"], "left_semi"))
     taken = stats.where(~base_failed()).join(known, stats["doc_id"] == known["label_id"])
-    rows = taken.select("doc_id", "bad", *[F.expr(feature_sql(f)).alias(f) for f in FEATURES]).toPandas()
+    features = F.struct(*[F.expr(feature_sql(f)).alias(f) for f in FEATURES])
+    rows = taken.groupBy("doc_id").agg(F.max("bad").alias("bad"), F.min(features).alias("x")).select("doc_id", "bad", "x.*").toPandas()
     rows = rows.sort_values(list(rows.columns), kind="stable")
     x = {f: rows[f].to_numpy(np.float64) for f in FEATURES}
     return learn_rules(x, rows["bad"].to_numpy(bool), np.arange(len(rows)) % 3 == 0)

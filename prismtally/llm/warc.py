@@ -2,11 +2,12 @@
 
 Reading plans partitions from the sizes of the files, tests record type and header predicates on the headers, which come
 first in a record, and only then reads, or skips, the payload. Payloads are decoded only for record types that carry
-them and only if asked for. Every record is a gzip member of its own, as the format recommends for
-``.warc.gz``. Files are reached through the file system of their URI, so a shared folder can be a mount or a store.
+them and only if asked for. Records are told apart by their lengths, so a gzip member may hold one (as written here, and as the format
+recommends), several or a part of one, and files may be plain. Files are reached through the file system of their URI, so a shared
+folder can be a mount or a store.
 
-Writing gives one file per task. A file is visible under its final name only after the job commits, so a task that
-is run again leaves no second copy.
+A task writes a file, and another one whenever a file has grown to ``fileBytes``. A file is visible under its final name only after the job
+commits, so a task that is run again leaves no second copy.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
+from prismtally.llm.common import stored
+
 SCHEMA = (
     "record_id string, record_type string, target_uri string, date string, payload_digest string, "
     "payload_bytes long, refers_to string, page_id long, payload binary"
@@ -40,7 +43,9 @@ SCHEMA = (
 VERSION = b"WARC/1.1"
 DATE = "2020-01-01T00:00:00Z"  # records of one table carry one date, so reruns write the same bytes
 PART_BYTES = 64 << 20
+FILE_BYTES = 256 << 20
 CHUNK = 1 << 16
+GZIP = b"\x1f\x8b"
 #: Column by WARC header; these columns can be tested before a payload is read.
 HEADERS = {
     "record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "date": "WARC-Date",
@@ -98,57 +103,77 @@ def page_record(row, level: int = 6) -> bytes:
     return gzip_member(record_bytes(headers, http if revisit else http + payload), level)
 
 
-class MemberStream:
-    """Bytes of one gzip member after another, unpacked no further than they are asked for."""
+class RecordStream:
+    """Bytes of an archive, plain or in gzip members, unpacked no further than they are asked for."""
 
     def __init__(self, source) -> None:
-        self.source, self.packed, self.began = source, b"", False
-        self._renew()
-
-    def _renew(self) -> None:
-        self.unpacker, self.ready, self.done = zlib.decompressobj(31), bytearray(), False
+        self.source, self.ready = source, bytearray()
+        self.packed = source.read(CHUNK)
+        self.unpacker = zlib.decompressobj(31) if self.packed.startswith(GZIP) else None
 
     def _more(self) -> bool:
-        if self.done:
-            return False
+        """Some more bytes; false at the end of the file."""
         if not self.packed:
             self.packed = self.source.read(CHUNK)
+        if self.unpacker is None:
+            self.ready += self.packed
+            found, self.packed = bool(self.packed), b""
+            return found
+        if self.unpacker.eof:
+            self.packed = self.packed.lstrip(b"\0")  # padding between members
             if not self.packed:
-                raise EOFError("A WARC record ends too early.")
+                self.packed = self.source.read(CHUNK)
+                return self._more() if self.packed else False
+            self.unpacker = zlib.decompressobj(31)
+        elif not self.packed:
+            raise EOFError("A gzip member ends too early.")
         self.ready += self.unpacker.decompress(self.packed, CHUNK)
-        self.packed = self.unpacker.unconsumed_tail
-        if self.unpacker.eof:
-            self.packed, self.done = self.unpacker.unused_data, True
+        self.packed = self.unpacker.unused_data if self.unpacker.eof else self.unpacker.unconsumed_tail
         return True
 
-    def next_member(self) -> bool:
-        """Goes on to the next record, past whatever is left of this one; false at the end of the file."""
-        while self.began and not self.done:
-            self.ready.clear()
-            self._more()
-        if not self.packed:
-            self.packed = self.source.read(CHUNK)
-        self._renew()
-        return bool(self.packed)
-
-    def until(self, mark: bytes) -> bytes:
-        self.began = True
-        at = self.ready.find(mark)
-        while at < 0:
+    def next_record(self) -> bool:
+        """Goes past the line breaks between records; false at the end of the file."""
+        while True:
+            del self.ready[: len(self.ready) - len(self.ready.lstrip(b"\r\n"))]
+            if self.ready:
+                return True
             if not self._more():
+                return False
+
+    def until(self, mark: bytes, most: int | None = None) -> bytes | None:
+        """Bytes before ``mark``, which is taken too; ``None``, and nothing taken, if it does not end within ``most`` bytes."""
+        at, searched = -1, 0
+        while True:
+            at = self.ready.find(mark, max(0, searched - len(mark)), most)
+            if at >= 0 or (most is not None and len(self.ready) >= most):
+                break
+            searched = len(self.ready)
+            if not self._more():
+                if most is not None:
+                    break
                 raise EOFError("A WARC record has no end of headers.")
-            at = self.ready.find(mark)
+        if at < 0:
+            return None
         out = bytes(self.ready[:at])
         del self.ready[: at + len(mark)]
         return out
 
     def take(self, count: int) -> bytes:
-        while len(self.ready) < count and self._more():
-            pass
+        while len(self.ready) < count:
+            if not self._more():
+                raise EOFError("A WARC record ends too early.")
         out = bytes(self.ready[:count])
         del self.ready[:count]
         return out
 
+    def skip(self, count: int) -> None:
+        while count > len(self.ready):
+            count -= len(self.ready)
+            self.ready.clear()
+            if not self._more():
+                raise EOFError("A WARC record ends too early.")
+        del self.ready[:count]
+
 
 def parse_headers(head: bytes) -> dict[str, str]:
     version, *lines = head.decode("utf-8", "surrogatepass").split("\r\n")
@@ -199,34 +224,39 @@ class WarcReader(DataSourceReader):
         store, _ = fs.FileSystem.from_uri(self.uri)
         for path in partition.paths if partition else ():  # Spark reads None where there is no partition
             with store.open_input_stream(path, compression=None) as source:
-                stream = MemberStream(source)
-                while stream.next_member():
+                stream = RecordStream(source)
+                while stream.next_record():
                     headers = parse_headers(stream.until(b"\r\n\r\n"))
-                    row = self._row(headers, stream)
+                    row = self._row(headers, stream, int(headers.get("content-length", 0)))
                     if row is not None:
                         yield row
 
-    def _row(self, headers: dict[str, str], stream: MemberStream) -> tuple | None:
+    def _row(self, headers: dict[str, str], stream: RecordStream, left: int) -> tuple | None:
+        """The row of a record whose block of ``left`` bytes comes next; the whole block is taken or skipped."""
         values = {c: headers.get(h.lower()) for c, h in HEADERS.items()}
-        if values["target_uri"] is not None:
+        page = page_of(values["record_id"])
+        if values["target_uri"] is not None and (values["record_id"] or "").startswith("<urn:page:"):
             values["target_uri"] = header_text(values["target_uri"])
         if any(values[c] not in wanted for c, wanted in self.wanted.items()):
-            return None  # the rest of the member is skipped, never decoded into a row
-        left, size, payload = int(headers.get("content-length", 0)), None, None
-        if values["record_type"] in ("response", "revisit"):
-            http = stream.until(b"\r\n\r\n")
-            lines = http.decode("latin-1").split("\r\n")[1:]
-            fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-            size = int(fields.get("content-length", 0))
-            if values["record_type"] == "response" and self.payload:
-                payload = stream.take(left - len(http) - 4)
-        elif self.payload:
-            payload = stream.take(left)
+            stream.skip(left)  # never decoded into a row
+            return None
+        payload, size = None, None
+        http = stream.until(b"\r\n\r\n", left) if headers.get("content-type", "").startswith("application/http") else None
+        if http is not None:
+            left -= len(http) + 4
+        if values["record_type"] == "revisit":
+            fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in (http or b"").decode("latin-1").split("\r\n")[1:])}
+            length = fields.get("content-length", "")
+            size = int(length) if length.isdigit() else 0
+        else:
             size = left
+            if self.payload:
+                payload, left = stream.take(left), 0
+        stream.skip(left)
         digest = values["payload_digest"]
         return (
             values["record_id"], values["record_type"], values["target_uri"], values["date"],
-            digest and digest.removeprefix("sha1:"), size, values["refers_to"], page_of(values["record_id"]), payload,
+            digest and digest.removeprefix("sha1:"), size, values["refers_to"], page, payload,
         )
 
 
@@ -239,24 +269,35 @@ class WarcWriter(DataSourceWriter):
     def __init__(self, options: dict[str, str], overwrite: bool) -> None:
         self.uri, self.overwrite = options["path"], overwrite
         self.level = int(options.get("level", 6))
+        self.file_bytes = int(options.get("filebytes", FILE_BYTES))
 
     def write(self, iterator: Iterator) -> Written:
-        """Records of one task into a hidden file; rows have page_id, target_uri, payload and refers_to."""
+        """Records of one task into hidden files; rows have page_id, target_uri, payload and refers_to."""
         from pyspark import TaskContext
 
         store, path = fs.FileSystem.from_uri(self.uri)
-        context = TaskContext.get()
-        name = f"part-{context.partitionId():05d}-{uuid.uuid4().hex}"  # appending never meets an older file of that name
-        hidden = f"{path}/_temporary/{name}"
+        part = TaskContext.get().partitionId()
         store.create_dir(f"{path}/_temporary", recursive=True)
-        rows = 0
-        with store.open_output_stream(hidden, compression=None) as out:
-            info = json.dumps({"software": "prismtally", "format": "WARC File Format 1.1"}).encode()
-            out.write(gzip_member(record_bytes([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:part:{name}>"), ("WARC-Date", DATE), ("Content-Type", "application/json")], info), self.level))
+        info = json.dumps({"software": "prismtally", "format": "WARC File Format 1.1"}).encode()
+        moves, out, filled = [], None, 0
+        try:
             for row in iterator:
-                out.write(page_record(row, self.level))
-                rows += 1
-        return Written([(hidden, f"{path}/{name}.warc.gz")] if rows else [])
+                if out is None or filled >= self.file_bytes:
+                    if out is not None:
+                        out.close()
+                    name = f"part-{part:05d}-{uuid.uuid4().hex}"  # appending never meets an older file of that name
+                    moves.append((f"{path}/_temporary/{name}", f"{path}/{name}.warc.gz"))
+                    out = store.open_output_stream(moves[-1][0], compression=None)
+                    head = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:part:{name}>"), ("WARC-Date", DATE), ("Content-Type", "application/json")]
+                    out.write(gzip_member(record_bytes(head, info), self.level))
+                    filled = 0
+                record = page_record(row, self.level)
+                out.write(record)
+                filled += len(record)
+        finally:
+            if out is not None:
+                out.close()
+        return Written(moves)
 
     def commit(self, messages: list[Written | None]) -> None:
         store, path = fs.FileSystem.from_uri(self.uri)
@@ -273,7 +314,7 @@ class WarcWriter(DataSourceWriter):
 
 
 class WarcSource(DataSource):
-    """``spark.read.format("warc").load(uri)``; options ``payload`` (false: leave it out), ``partitionBytes``, ``level``."""
+    """``spark.read.format("warc").load(uri)``; options ``payload`` (false: leave it out), ``partitionBytes``, ``fileBytes``, ``level``."""
 
     @classmethod
     def name(cls) -> str:
@@ -307,7 +348,8 @@ def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     )
     rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
     firsts = rows.where(F.length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    shared = firsts.where("n > 1").select("digest", "first")
+    # Stored, so that both sides of the join come from a shuffle of their own and the rows of a frequent payload can be split.
+    shared = stored(firsts.where("n > 1").select("digest", "first"), "shared-payloads")
     later = ~F.col("page_id").eqNullSafe(F.col("first"))
     return rows.join(shared, "digest", "left").select(
         "page_id", "target_uri", "payload", F.when(F.col("first").isNotNull() & later, F.col("first")).alias("refers_to")
