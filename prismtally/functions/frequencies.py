@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prismtally.functions.columns import as_text
+from prismtally.functions.columns import as_text, col
 from prismtally.functions.parsing import strip
 
 DIGEST_OVER = 64  # characters; a digest has 64
@@ -47,6 +47,21 @@ def digests(df: DataFrame, columns: list[str] | None = None) -> dict[str, Column
     }
 
 
+STAMPS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def row_digest(df: DataFrame) -> Column:
+    """SHA-256 of a whole row (32 bytes): equal for equal rows only; missing values differ from empty ones."""
+    parts = []
+    for f in df.schema.fields:
+        c = col(f.name)
+        nested = isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))
+        text = F.to_json(c, {**STAMPS, "ignoreNullFields": "false"}) if nested else F.base64(c) if isinstance(f.dataType, T.BinaryType) else c.cast("string")
+        # The length in front keeps neighbouring texts apart.
+        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    return F.unhex(F.sha2(F.concat(*parts), 256))
+
+
 def value_counts(df: DataFrame, columns: list[str] | None = None, texts: dict[str, Column] | None = None) -> DataFrame:
     """(column, value, n). The shuffle key is (column, value), so neither a wide table nor a
     column dominated by one value lands in one task: equal values collapse before the shuffle."""

@@ -1,16 +1,13 @@
-"""Modelled drivers of a measure by a distributed random forest."""
+"""Modelled drivers of measures by random forests."""
 
 from __future__ import annotations
 
-
-from pyspark.ml import Pipeline
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismtally.functions.columns import as_text, number
+from prismtally.functions.forest import coded, fit_forests
 from prismtally.functions.quantiles import quantile_row
 from prismtally.operators.insights.common import few_valued, findings, fixed, no_findings, say
 
@@ -18,9 +15,7 @@ from prismtally.operators.insights.common import few_valued, findings, fixed, no
 DRIVER_VALUES = 15
 DRIVER_ROWS, DRIVER_TARGET_VALUES = 30, 8
 TREES, LEAF, SEED = 180, 3, 42
-DEPTH = 6  # default depth of a tree; MLlib grows level by level, one job or more each, so depth is what a forest costs
-MODEL_ROWS = 10_000  # labelled rows a forest is fitted on at most, chosen by a hash of the row
-MODEL_PARTS = 4  # bags are drawn per partition, so their number is fixed and does not follow the cluster
+MODEL_ROWS = 10_000  # rows the forests are fitted on at most, chosen by a hash of the row; trees grow without a limit of depth
 LEAST_R2, LEAST_IMPORTANCE, KEPT = 0.2, 0.18, 1
 
 
@@ -33,69 +28,56 @@ def usable_dimensions(df: DataFrame, dimensions: list[str]) -> list[str]:
     return [c for i, c in enumerate(small) if row[i] <= DRIVER_VALUES]
 
 
-def driver_model(
-    df: DataFrame, target: str, dimensions: list[str], peers: list[str], trees: int = TREES, depth: int = DEPTH
-) -> tuple[dict[str, float], float, int] | None:
-    """(importance per source column, R squared over all rows, rows), or None below the gates.
+def driver_models(
+    df: DataFrame, targets: list[str], dimensions: list[str], measures: list[str], trees: int = TREES
+) -> dict[str, tuple[dict[str, float], float, int]]:
+    """Per target that passes the gates: (importance per source column, R squared, rows with a value of it).
 
-    Missing categories become the most frequent one and missing numbers the median, as literals;
-    indexing, one-hot encoding and the forest are MLlib stages. Each level of a tree is one
-    aggregate over the rows with bin statistics only, so training never gathers rows.
+    Features of a target are the dimensions and the other measures. Missing categories become the most frequent one and missing
+    numbers the median of the rows that have the target. Gates, modes and medians are those of all rows, taken for all
+    targets at once; the forests see at most ``MODEL_ROWS`` rows, and R squared is over those.
     """
-    rows = df.where(number(df, target).isNotNull())
-    n, distinct = rows.agg(F.count(F.lit(1)), F.approx_count_distinct(number(df, target), 0.02)).first()
-    if n < DRIVER_ROWS or (distinct < 2 * DRIVER_TARGET_VALUES and _exact_distinct(rows, target) < DRIVER_TARGET_VALUES):
-        return None
-    medians = quantile_row(rows, {p: number(df, p) for p in peers}, [0.5])
-    modes = rows.agg(*[F.mode(as_text(df, d), deterministic=True).alias(f"m{i}") for i, d in enumerate(dimensions)]).first() if dimensions else []
-    dimensions = [d for i, d in enumerate(dimensions) if modes[i] is not None]
-    modes = [m for m in modes if m is not None]
-    peers = [p for p in peers if medians[p] is not None]
-    if not dimensions and not peers:
-        return None
-    table = rows.select(
-        number(df, target).alias("label"),
-        *[F.coalesce(as_text(df, d), F.lit(modes[i])).alias(f"d{i}") for i, d in enumerate(dimensions)],
-        *[F.coalesce(number(df, p), F.lit(medians[p][0])).alias(f"p{i}") for i, p in enumerate(peers)],
-    )
-    whole = table
-    table = table.withColumn("h", F.xxhash64(*table.columns))
-    if n > MODEL_ROWS:
-        # One comparison per row keeps the smallest hashes; rows that are equal stay or go together.
-        edge = table.orderBy("h").select("h").limit(MODEL_ROWS).agg(F.max("h")).first()[0]
-        table = table.where(F.col("h") <= F.lit(edge))
-    table = table.repartition(MODEL_PARTS, "h").sortWithinPartitions("h").drop("h").persist()
-    stages, inputs = [], []
-    for i in range(len(dimensions)):
-        stages.append(StringIndexer(inputCol=f"d{i}", outputCol=f"i{i}", handleInvalid="keep", stringOrderType="frequencyDesc"))
-        stages.append(OneHotEncoder(inputCol=f"i{i}", outputCol=f"h{i}", dropLast=True))
-        inputs.append(f"h{i}")
-    inputs += [f"p{i}" for i in range(len(peers))]
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
-    stages.append(
-        RandomForestRegressor(
-            featuresCol="features", labelCol="label", numTrees=trees, minInstancesPerNode=LEAF, seed=SEED,
-            featureSubsetStrategy="all", maxDepth=depth, maxMemoryInMB=1024,
-        )
-    )
-    model = Pipeline(stages=stages).fit(table)
-    table.unpersist()
-    scored = model.transform(whole)  # R squared is that of all rows
-    r2 = RegressionEvaluator(labelCol="label", metricName="r2").evaluate(scored)
-    slots = scored.schema["features"].metadata["ml_attr"]["attrs"]
-    owner: dict[int, str] = {}
-    for group in slots.values():
-        for attr in group:
-            prefix, number_ = attr["name"][0], attr["name"][1:].split("_")[0]
-            owner[attr["idx"]] = dimensions[int(number_)] if prefix == "h" else peers[int(number_)]
-    importance: dict[str, float] = {}
-    for i, value in enumerate(model.stages[-1].featureImportances.toArray()):
-        importance[owner[i]] = importance.get(owner[i], 0.0) + float(value)
-    return importance, float(r2), int(n)
+    value = {m: number(df, m) for m in dict.fromkeys([*targets, *measures])}
+
+    def where_known(target: str, c: Column) -> Column:
+        return F.when(value[target].isNotNull(), c)
 
+    aggs = [f(value[t]).alias(f"{k}{i}") for i, t in enumerate(targets) for k, f in (("n", F.count), ("u", lambda v: F.approx_count_distinct(v, 0.02)))]
+    modes = [F.mode(where_known(t, as_text(df, d)), deterministic=True).alias(f"m{i}_{j}") for i, t in enumerate(targets) for j, d in enumerate(dimensions)]
+    facts = df.agg(F.count(F.lit(1)).alias("rows"), *aggs, *modes).first()
+    numbers_of = {t: [m for m in measures if m != t] for t in targets}
+    kept = []
+    for i, t in enumerate(targets):
+        few = facts[f"u{i}"] < 2 * DRIVER_TARGET_VALUES and df.agg(F.count_distinct(value[t])).first()[0] < DRIVER_TARGET_VALUES
+        if facts[f"n{i}"] >= DRIVER_ROWS and not few:
+            kept.append((i, t))
+    # Targets without gaps share the medians of whole columns.
+    gaps = {t for i, t in kept if facts[f"n{i}"] < facts["rows"]}
+    wanted = {f"{t if t in gaps else ''}\0{m}": where_known(t, value[m]) if t in gaps else value[m] for _, t in kept for m in numbers_of[t]}
+    medians = quantile_row(df, wanted, [0.5])
+    names = [*[f"d{j}" for j in range(len(dimensions))], *[f"v{k}" for k in range(len(value))]]
+    slim = df.select(*[as_text(df, d).alias(f"d{j}") for j, d in enumerate(dimensions)], *[v.alias(f"v{k}") for k, v in enumerate(value.values())])
+    # Rows that are equal have one hash; which of them the limit takes makes no difference.
+    rows = slim.withColumn("h", F.xxhash64(*names)).orderBy("h", *names).limit(MODEL_ROWS).select(*names).toArrow()
+    held = {m: rows[f"v{k}"].to_numpy().astype(np.float64) for k, m in enumerate(value)}
 
-def _exact_distinct(rows: DataFrame, target: str) -> int:
-    return rows.agg(F.count_distinct(number(rows, target))).first()[0]
+    tables, about = [], []
+    for i, t in kept:
+        known = ~np.isnan(held[t])
+        categories, numbers = {}, {}
+        for j, d in enumerate(dimensions):
+            mode = facts[f"m{i}_{j}"]
+            if mode is not None:
+                categories[d] = np.array([mode if v is None else v for v in rows[f"d{j}"].to_pylist()], dtype=str)[known]
+        for m in numbers_of[t]:
+            median = medians[f"{t if t in gaps else ''}\0{m}"]
+            if median is not None:
+                numbers[m] = np.where(np.isnan(held[m]), median[0], held[m])[known]
+        if known.any() and (categories or numbers):
+            tables.append(coded(numbers, categories, held[t][known]))
+            about.append((t, int(facts[f"n{i}"])))
+    fitted = fit_forests(df.sparkSession, tables, trees, LEAF, SEED)
+    return {t: (importance, r2, n) for (t, n), (importance, r2) in zip(about, fitted, strict=True)}
 
 
 def model_driver_insights(df: DataFrame, dimensions: list[str], measures: list[str], trees: int = TREES) -> DataFrame:
@@ -104,12 +86,7 @@ def model_driver_insights(df: DataFrame, dimensions: list[str], measures: list[s
     if not usable or len(measures) < 2:
         return no_findings(df)
     results = []
-    for target in measures:
-        peers = [m for m in measures if m != target]
-        fitted = driver_model(df, target, usable, peers, trees)
-        if fitted is None:
-            continue
-        importance, r2, n = fitted
+    for target, (importance, r2, n) in driver_models(df, measures, usable, measures, trees).items():
         top = max(importance, key=importance.get)
         if r2 >= LEAST_R2 and importance[top] >= LEAST_IMPORTANCE:
             results.append((target, top, "bar" if top in usable else "scatter", importance[top], r2, n))

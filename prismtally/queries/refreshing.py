@@ -193,12 +193,12 @@ def r9_alerts(spark, sf):
 
 @query("R2_stream_refresh", "SELECT * FROM events")
 def r2_stream(spark, sf):
-    """Half of the events are held as a managed version; the rest arrives in several files, the newest first, one per batch."""
+    """Half of the events are held as a managed version; the rest arrives in four loads, the newest first, a few files per batch."""
     events = table(spark, sf, "events")
     base, landing = scratch_path(spark, "managed-events"), scratch_path(spark, "landing")
     top = events.agg(F.max("event_id")).first()[0] or 0
     append_batch(events.where(F.col("event_id") <= top // 2), base, "event_id")
     for part in (3, 2, 1, 0):
-        events.where(F.floor(F.col("event_id") * 4 / (top + 1)) == part).coalesce(1).write.mode("append").parquet(landing)
-    refresh_available(spark, landing, events.schema, base, "event_id", scratch_path(spark, "progress"), max_files_per_batch=1)
+        events.where(F.floor(F.col("event_id") * 4 / (top + 1)) == part).write.mode("append").parquet(landing)
+    refresh_available(spark, landing, events.schema, base, "event_id", scratch_path(spark, "progress"), max_files_per_batch=2)
     return snapshot(spark, base)

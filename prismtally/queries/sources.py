@@ -9,7 +9,7 @@ from prismtally.operators.transforms import create_calculated_column
 from prismtally.plans.workbench import export_query
 from prismtally.queries.registry import query, table
 from prismtally.session import scratch_path
-from prismtally.sources.readers import flatten_deep, flatten_json_text, read_dataset
+from prismtally.sources.readers import explode_json, flatten_deep, flatten_json_text, read_dataset
 from prismtally.sources.writers import write_csv, write_version
 
 
@@ -64,18 +64,34 @@ def s5(spark, sf):
     return read_dataset(spark, path, "jsonl").select("event_id", "ts", "user_id", "event_type", "value", "props")
 
 
-@query("S6_parquet_scan", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+@query("S6_parquet_scan", "SELECT * FROM orders")
 def s6(spark, sf):
-    return read_dataset(spark, f"{sf}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice")
+    return read_dataset(spark, f"{sf}/orders.parquet")
 
 
 @query(
     "S8_flatten_json",
-    "SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS props_k FROM events",
+    "SELECT event_id, ts, user_id, event_type, value, CAST(json_extract(props, '$.k') AS BIGINT) AS props_k FROM events",
 )
 def s8(spark, sf):
-    rows = table(spark, sf, "events").select("event_id", "event_type", "props")
-    return flatten_json_text(rows, "props", "k long")
+    """The texts tell their own schema."""
+    return flatten_json_text(table(spark, sf, "events"), "props")
+
+
+@query(
+    "S8_explode_json",
+    """WITH j AS (SELECT event_id, user_id, event_type, ts FROM events),
+            p AS (SELECT event_id, unnest([0, 1, 2]) AS i, user_id, event_type, ts FROM j)
+       SELECT event_id, CAST(i AS INTEGER) AS doc_index, CAST(NULL AS VARCHAR) AS doc_key,
+              CASE i WHEN 0 THEN CAST(user_id AS VARCHAR) WHEN 1 THEN event_type ELSE '{"user":' || user_id || '}' END AS doc_value
+       FROM p WHERE i < 1 + event_id % 3""",
+)
+def s8_long(spark, sf):
+    """Lists of one to three elements of different types, made of the events, in long form."""
+    user = F.col("user_id").cast("string")
+    parts = F.array(user, F.concat(F.lit('"'), "event_type", F.lit('"')), F.concat(F.lit('{"user":'), user, F.lit("}")))
+    listed = F.concat(F.lit('{"list":['), F.array_join(F.slice(parts, F.lit(1), (1 + F.col("event_id") % 3).cast("int")), ","), F.lit("]}"))
+    return explode_json(table(spark, sf, "events").select("event_id", listed.alias("doc")), "doc", "$.list")
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -197,7 +198,43 @@ def explode_records(df: DataFrame, column: str, sep: str = "_") -> DataFrame:
     return flatten_structs(exploded, sep)
 
 
-def flatten_json_text(df: DataFrame, column: str, schema: str | T.StructType, sep: str = "_") -> DataFrame:
-    """S8 for a text column that holds JSON: parsed by ``schema``, then flattened next to the rest."""
-    parsed = df.withColumn(column, F.from_json(col(column), schema))
-    return flatten_deep(parsed, sep)
+def json_schema(df: DataFrame, column: str) -> T.StructType | None:
+    """The type of the objects in a JSON text column, merged over all rows by one aggregate; ``None`` if it holds no objects.
+
+    A field that holds values of several types stays a variant. Texts that are no JSON do not count.
+    """
+    found = df.select(F.try_parse_json(col(column)).alias("v")).agg(F.schema_of_variant_agg("v")).first()[0]
+    if not found or not found.startswith("OBJECT<"):
+        return None
+    return T.StructType.fromDDL("root " + re.sub(r"\bOBJECT<", "STRUCT<", found).replace("STRUCT<>", "STRING")).fields[0].dataType
+
+
+def flatten_json_text(df: DataFrame, column: str, schema: str | T.StructType | None = None, sep: str = "_") -> DataFrame:
+    """S8 for a text column that holds JSON: parsed, then flattened next to the rest.
+
+    Without ``schema`` the texts tell theirs: they are parsed once into variants, whose merged type is read ahead. A field of mixed types
+    becomes text in JSON form; a text that is no JSON object gives nulls.
+    """
+    if schema is not None:
+        return flatten_deep(df.withColumn(column, F.from_json(col(column), schema)), sep)
+    found = json_schema(df, column)
+    if found is None:
+        return df
+    parsed = F.try_variant_get(F.try_parse_json(col(column)), "$", found.simpleString())
+    flat = flatten_deep(df.withColumn(column, parsed), sep)
+    mixed = [f.name for f in flat.schema.fields if isinstance(f.dataType, T.VariantType)]
+    return flat.withColumns({c: F.coalesce(F.try_variant_get(col(c), "$", "string"), F.to_json(col(c))) for c in mixed}) if mixed else flat
+
+
+def explode_json(df: DataFrame, column: str, path: str = "$", sep: str = "_") -> DataFrame:
+    """The long form of a JSON text column: a row per element of the list, or field of the object, at ``path``.
+
+    ``{column}{sep}index``, ``{column}{sep}key`` (of a field) and ``{column}{sep}value`` (scalars as text, the rest as JSON) stand beside the other
+    columns, whatever the elements hold and however many there are. Rows without elements are left out.
+    """
+    at = F.try_variant_get(F.try_parse_json(col(column)), path, "variant")
+    rows = df.withColumn(column, at).where(col(column).isNotNull())
+    spread = rows.lateralJoin(df.sparkSession.tvf.variant_explode(col(column).outer()))
+    text = F.coalesce(F.try_variant_get("value", "$", "string"), F.to_json("value"))
+    others = [col(c) for c in df.columns if c != column]
+    return spread.select(*others, F.col("pos").alias(f"{column}{sep}index"), F.col("key").alias(f"{column}{sep}key"), text.alias(f"{column}{sep}value"))

@@ -141,11 +141,6 @@ class Ranges:
     begin: dict[tuple[int, int], tuple[int, int]] = field(default_factory=dict)
     openings: set[bytes] = field(default_factory=set)
 
-    def of(self, place: tuple[int, int]) -> tuple[int, int]:
-        if place not in self.begin:
-            raise ValueError("The byte ranges of the files changed between two scans; read them again.")
-        return self.begin[place]
-
 
 def pieces_of(spark: SparkSession, path: str, separator: str) -> DataFrame:
     """``value, file, start``: pieces in file order within a range."""
@@ -214,14 +209,15 @@ def effects(pieces: DataFrame, cutter: Quoted | Listed) -> Ranges:
 def records(spark: SparkSession, path: str, cutter: Quoted | Listed, found: Ranges | None = None) -> DataFrame:
     """Every record of the files below ``path`` as ``record`` (bytes); ``found`` are their effects, if known."""
     pieces = pieces_of(spark, path, cutter.separator)
-    ranges = spark.sparkContext.broadcast(found or effects(pieces, cutter))  # a few numbers per range that Spark plans
+    known = spark.sparkContext.broadcast((found or effects(pieces, cutter)).begin)  # a few numbers per range that Spark plans
 
     def cut(wanted: tuple[int, ...]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = ranges.value
             for place, inside in _by_range(batches):
+                if place not in known.value:
+                    raise ValueError("The byte ranges of the files changed between two scans; read them again.")
                 held, size = [], 0
-                for kind, record in cutter.cut(*known.of(place), place[1] == 0, inside):
+                for kind, record in cutter.cut(*known.value[place], place[1] == 0, inside):
                     if kind in wanted:
                         held.append((kind, record))
                         size += len(record)

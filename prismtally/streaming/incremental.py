@@ -1,18 +1,23 @@
 """Incremental refresh of a managed dataset from new files (the micro-batch form of R2).
 
 The managed dataset is a folder of committed versions whose union is the snapshot. What counts as new is settled once per
-run, by the versions held when it began: every batch is compared with those, so neither the order of the files
-nor their number per batch changes the answer. A run that did not end goes on with the versions it began with.
+run, by the versions held when it began: their largest cursor (or their cursor texts) is read once and every batch is filtered by it. Rows that
+repeat, in a batch, across batches or across runs, are dropped by the state of the stream, which keeps a digest of 32 bytes per row it has
+seen. So a batch costs its own rows, whatever the run has added before, and neither the order of the files nor their number per batch
+changes the answer. A run that did not end goes on with the versions it began with.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prismtally.functions.columns import DATETIME_TYPES, col, field_type, moment, number
+from prismtally.functions.frequencies import row_digest
 from prismtally.operators.refresh import new_rows
 from prismtally.sources.writers import WHOLE, committed_versions, write_version
 
@@ -31,27 +36,49 @@ def compact(spark: SparkSession, base: str) -> str | None:
     return None if held is None else write_version(held, base, WHOLE)
 
 
-def append_batch(batch: DataFrame, base: str, cursor: str, label: str | None = None, held: list[str] | None = None) -> str | None:
+def append_batch(batch: DataFrame, base: str, cursor: str, label: str | None = None) -> str | None:
     """Add the new distinct rows of ``batch`` as a version; returns its path, None if nothing is new.
 
-    ``held`` are the versions to compare the cursor with (all committed ones by default). Rows of versions that came later, in
-    the same run, are not added a second time. The batch is computed once: it is written, and an empty version adds nothing.
+    The batch is computed once: it is written, and an empty version adds nothing.
     """
     spark = batch.sparkSession
-    versions = committed_versions(spark, base)
-    held = versions if held is None else held
+    held = committed_versions(spark, base)
     new = new_rows(spark.read.parquet(*held), batch, cursor) if held else batch.dropDuplicates()
-    since = [v for v in versions if v not in set(held)]
-    if since:
-        run = spark.read.parquet(*since).select(*batch.columns).alias("run")
-        same = F.lit(True)
-        for c in batch.columns:
-            same = same & F.col(f"new.`{c}`").eqNullSafe(F.col(f"run.`{c}`"))
-        new = new.alias("new").join(run, same, "left_anti")
     path = write_version(new, base, label)
     return None if spark.read.parquet(path).isEmpty() else path
 
 
+def beyond(spark: SparkSession, held: list[str], sample: DataFrame, cursor: str, scratch: str) -> Callable[[DataFrame], DataFrame]:
+    """The filter of one run: rows of a batch beyond the cursor of the ``held`` versions. They are read here, once.
+
+    A number or instant is compared with one literal. The different texts of a text cursor are written to ``scratch``, and rows
+    without a cursor text to another table there; both are narrow and batches are joined with them.
+    """
+    if not held:
+        return lambda batch: batch
+    current = spark.read.parquet(*held)
+    if not isinstance(field_type(sample, cursor), T.StringType):
+        typed = moment if isinstance(field_type(sample, cursor), DATETIME_TYPES) else number
+        exact = field_type(current, cursor) == field_type(sample, cursor) and not isinstance(field_type(sample, cursor), (T.DoubleType, T.FloatType))
+        value = (lambda df: col(cursor)) if exact else (lambda df: typed(df, cursor))
+        latest = current.agg(F.max(value(current))).first()[0]
+        return lambda batch: batch if latest is None else batch.where(value(batch) > F.lit(latest))
+    dated = current.agg(F.max(moment(current, cursor))).first()[0]
+    current.select(col(cursor).alias("_held")).where("_held IS NOT NULL").distinct().write.mode("overwrite").parquet(f"{scratch}/texts")
+    current.where(col(cursor).isNull()).select(row_digest(current).alias("_digest")).distinct().write.mode("overwrite").parquet(f"{scratch}/without")
+    texts, without = spark.read.parquet(f"{scratch}/texts"), spark.read.parquet(f"{scratch}/without")
+
+    def new(batch: DataFrame) -> DataFrame:
+        missing = col(cursor).isNull()
+        bare = batch.where(missing).withColumn("_digest", row_digest(batch)).join(without, "_digest", "left_anti").drop("_digest")
+        filled = batch.where(~missing)
+        if dated is not None and not filled.where(moment(filled, cursor).isNotNull()).isEmpty():
+            return filled.where(moment(filled, cursor) > F.lit(dated)).unionByName(bare)
+        return filled.join(texts, col(cursor) == F.col("_held"), "left_anti").unionByName(bare)
+
+    return new
+
+
 def _run_start(spark: SparkSession, base: str, log: str) -> tuple[int, list[str]]:
     """Number of the run and the versions it compares with: those of an unfinished run, else the ones there are now."""
     try:
@@ -94,15 +121,18 @@ def refresh_available(
     stream = f"{zlib.crc32(checkpoint.encode()):08x}"
     log = f"{checkpoint.rstrip('/')}-runs"
     run, held = _run_start(spark, base, log)
+    arriving = reader.load(source)
+    new = beyond(spark, held, arriving, cursor, f"{checkpoint.rstrip('/')}-held/{run}")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         label = f"batch-{stream}-{batch_id:012d}"
         done = committed_versions(batch.sparkSession, base)
         if not any(path.rstrip("/").endswith(label) for path in done):
-            append_batch(batch, base, cursor, label, held)
+            write_version(new(batch.drop("_digest")), base, label)
 
     query = (
-        reader.load(source)
+        arriving.withColumn("_digest", row_digest(arriving))
+        .dropDuplicates(["_digest"])
         .writeStream.foreachBatch(apply)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

@@ -2,9 +2,11 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from prismtally.functions import forest
 from prismtally.operators.insights import drivers, foundational, journeys, segments, series
 from prismtally.plans import summary
 
@@ -129,9 +131,57 @@ def test_model_driver(spark):
 def test_model_driver_fills_gaps_and_respects_gates(spark):
     rows = [(None if i % 5 == 0 else "ab"[i % 2], None if i % 7 == 0 else float(i), float(i * 3)) for i in range(60)]
     df = spark.createDataFrame(rows, "g string, x double, y double")
-    importance, r2, n = drivers.driver_model(df, "y", ["g"], ["x"], trees=10)
+    importance, r2, n = drivers.driver_models(df, ["y"], ["g"], ["x", "y"], trees=10)["y"]
     assert n == 60 and r2 > 0.5 and importance["x"] > importance["g"]
-    assert drivers.driver_model(df.limit(10), "y", ["g"], ["x"], trees=2) is None
+    assert drivers.driver_models(df.limit(10), ["y"], ["g"], ["x", "y"], trees=2) == {}
+
+
+def test_forests_of_all_measures_are_one_set_of_jobs(spark):
+    base = spark.range(400).select(
+        F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("g"), *[(F.col("id") * (k + 2) % 101 + k).cast("double").alias(f"m{k}") for k in range(6)],
+        F.when(F.col("id") % 5 != 0, F.col("id") * 2.0).alias("gaps"),
+    )
+    jobs = []
+    for count in (2, 6):
+        spark.sparkContext.setJobGroup(f"forest{count}", "")
+        names = [f"m{k}" for k in range(count)]
+        drivers.driver_models(base, names, ["g"], names, trees=3)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"forest{count}")))
+    spark.sparkContext.setJobGroup("tests", "")
+    assert jobs[0] == jobs[1] > 0
+    again = [drivers.driver_models(base.repartition(p), ["gaps"], ["g"], ["gaps", "m1"], trees=4)["gaps"] for p in (1, 5)]
+    assert again[0][2] == 320 and again[0][0] == pytest.approx(again[1][0]) and again[0][1] == pytest.approx(again[1][1])
+
+
+def test_a_tree_is_what_a_plain_search_grows():
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.integers(0, 5, 60), rng.integers(0, 2, 60), rng.integers(0, 9, 60)]).astype(np.uint8)
+    y = x[:, 0] * 3.0 + (x[:, 2] > 4) * 7 + rng.normal(size=60)
+    drawn = np.bincount(rng.integers(0, 60, 60), minlength=60)
+    gains, plain = np.zeros(3), np.zeros(60)
+
+    def grow(rows):
+        w = drawn[rows]
+        best = (0.0, None, None)
+        base = (w @ y[rows]) ** 2 / w.sum()
+        for f in range(3):
+            for cut in range(x[rows, f].max()):
+                left = x[rows, f] <= cut
+                if w[left].sum() >= 3 and w[~left].sum() >= 3:
+                    gain = (w[left] @ y[rows][left]) ** 2 / w[left].sum() + (w[~left] @ y[rows][~left]) ** 2 / w[~left].sum() - base
+                    if gain > best[0] + 1e-9:
+                        best = (gain, f, cut)
+        if best[1] is None:
+            plain[rows] = w @ y[rows] / w.sum()
+        else:
+            gains[best[1]] += best[0]
+            grow(rows[x[rows, best[1]] <= best[2]])
+            grow(rows[x[rows, best[1]] > best[2]])
+
+    grow(np.arange(60))
+    got, predicted = forest.grown(x, [5, 2, 9], y, drawn, 3)
+    np.testing.assert_allclose(got, gains, rtol=1e-6)
+    np.testing.assert_allclose(predicted, plain, rtol=1e-9)
 
 
 def test_summary_of_a_small_business_table(spark):
