@@ -32,8 +32,8 @@ class Search:
     """``replicas`` lists at most hold a vector, those within ``border`` times its nearest centroid's distance; a query
     reads the lists within ``reach`` times. ``beam`` candidates are kept open in a walk."""
 
-    replicas: int = 6
-    border: float = 1.1
+    replicas: int = 2
+    border: float = 1.01
     reach: float = 1.12
     beam: int = 24
 
@@ -76,9 +76,14 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class CentroidGraph:
     """Centroids and links to near ones; neighbours in order of bisection are linked too, so all can be reached."""
 
-    def __init__(self, centroids: np.ndarray, degree: int = DEGREE) -> None:
+    def __init__(self, centroids: np.ndarray, links: np.ndarray | None = None, degree: int = DEGREE) -> None:
+        """``links`` of a graph made before, which is then only taken up."""
         self.centroids = centroids
         k = len(centroids)
+        self.entries = np.unique(np.linspace(0, k - 1, min(k, 16)).astype(np.int64))
+        if links is not None:
+            self.links = links
+            return
         links = np.empty((k, min(degree, max(k - 1, 0)) + 2), np.int64)
         for at in range(0, k, 512):
             d = distances(centroids[at : at + 512], centroids)
@@ -87,7 +92,6 @@ class CentroidGraph:
             own = at + np.arange(len(d))
             links[at : at + 512] = np.column_stack([near, (own + 1) % k, (own - 1) % k])
         self.links = links
-        self.entries = np.unique(np.linspace(0, k - 1, min(k, 16)).astype(np.int64))
 
     def near(self, vectors: np.ndarray, beam: int, reach: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """Distances to the centroids a best-first walk meets (others are infinite) and to the nearest of them.
@@ -141,7 +145,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _with_lists(vectors: DataFrame, shared, pick, search: Search) -> DataFrame:
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        graph = CentroidGraph(shared.value)
+        graph = CentroidGraph(*shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
@@ -195,7 +199,8 @@ def nearest_neighbours(
     lists = int(min(MAX_LISTS, max(1, n // list_rows)))
     picked = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()
     points = _matrix(picked["embedding"].combine_chunks()) if n else np.zeros((1, 1))
-    shared = context.broadcast(bisected(points, min(lists, len(points))))
+    graph = CentroidGraph(bisected(points, min(lists, len(points))))
+    shared = context.broadcast((graph.centroids, graph.links))  # made once; MAX_LISTS rows at most
     held = _with_lists(vectors, shared, chosen_lists, search).select("vec_id", "embedding", F.explode("lists").alias("list"))
     held = stored(held, "postings")
     blocks = stored(held.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")), "blocks")
@@ -206,7 +211,7 @@ def nearest_neighbours(
     short = queries.join(found.groupBy("query_id").count().where(F.col("count") >= min(k, max(n - 1, 0))), F.col("vec_id") == F.col("query_id"), "left_anti")
     short = stored(short, "short")
     if n > 1 and rows_of(short):
-        everywhere = short.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(shared.value) - 1))).alias("list"))
+        everywhere = short.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(graph.centroids) - 1))).alias("list"))
         again = _found(dealt, everywhere, blocks, k)
         found = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(again)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
