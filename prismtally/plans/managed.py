@@ -69,10 +69,10 @@ def _appended(spark: SparkSession, dataset: ManagedDataset, cursor: str | None)
     return Refreshed(result.frame, result.mode, result.reason, result.added if dataset.distinct else None)
 
 
-def _replaced(spark: SparkSession, record: DatasetRecord, catalog: Mapping[str, DatasetRecord]) -> Refreshed:
+def _replaced(spark: SparkSession, record: DatasetRecord, catalog: Mapping[str, DatasetRecord], store: str | None) -> Refreshed:
     """The whole source again: by lineage where the record has one and a catalog is given, else from its path."""
     if record.source_type not in SOURCE_TYPES and catalog and can_rebuild(record):
-        return Refreshed(rebuild(spark, catalog, record.id), "pipeline_rebuild", "Built again from its lineage.")
+        return Refreshed(rebuild(spark, catalog, record.id, store), "pipeline_rebuild", "Built again from its lineage.")
     if not record.stored_path:
         raise ValueError(f"Record {record.id!r} has neither a lineage nor a path to refresh from.")
     return Refreshed(_read(spark, record), "full", "Read again from its path.")
@@ -84,13 +84,17 @@ def refresh(
     mode: str = "full",
     cursor: str | None = None,
     catalog: Mapping[str, DatasetRecord] | None = None,
+    store: str | None = None,
 ) -> RefreshOutcome:
-    """Write the refreshed data and return the dataset pointing at it; an empty result cancels."""
+    """Write the refreshed data and return the dataset pointing at it; an empty result cancels.
+
+    ``store`` is where results of a lineage are kept, so that a rebuild without a change reads them.
+    """
     if mode == "incremental":
         dataset = materialise(spark, dataset)
         new = _appended(spark, dataset, cursor)
     else:
-        new = _replaced(spark, dataset.record, catalog or {})
+        new = _replaced(spark, dataset.record, catalog or {}, store)
     if new.added is not None:
         added = () if new.added.isEmpty() else (write_version(new.added, dataset.base),)
         grown = replace(dataset, versions=dataset.versions + added)

@@ -84,11 +84,7 @@ def r4(spark, sf):
     return refresh.append_details(refresh.incremental_append(held, _orders(spark, sf), "o_orderdate"), held)
 
 
-@query(
-    "R5_rebuild_refresh",
-    "SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS o_year, o_orderpriority FROM orders",
-)
-def r5(spark, sf):
+def _dated_catalog(sf):
     def step(operation: str, **options) -> tuple[dict, ...]:
         return ({"kind": "transform", "operation": operation, "options": options},)
 
@@ -98,11 +94,29 @@ def r5(spark, sf):
         DatasetRecord("slim", "derived", parent_dataset_id="dated", steps=step("keep_columns", columns=["o_year", "o_orderpriority"])),
         DatasetRecord("unique", "derived", parent_dataset_id="slim", steps=step("drop_duplicates")),
     ]
-    dataset = ManagedDataset(records[-1], scratch_path(spark, "rebuilt"))
-    outcome = refresh_managed(spark, dataset, catalog={r.id: r for r in records})
+    return {r.id: r for r in records}
+
+
+_DATED = "SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS o_year, o_orderpriority FROM orders"
+
+
+@query("R5_rebuild_refresh", _DATED)
+def r5(spark, sf):
+    catalog = _dated_catalog(sf)
+    outcome = refresh_managed(spark, ManagedDataset(catalog["unique"], scratch_path(spark, "rebuilt")), catalog=catalog)
     return current(spark, outcome.dataset)
 
 
+@query("R5_stored_lineage", _DATED)
+def r5_stored(spark, sf):
+    """The second refresh finds what the first one built."""
+    catalog, store = _dated_catalog(sf), scratch_path(spark, "results")
+    dataset = ManagedDataset(catalog["unique"], scratch_path(spark, "rebuilt"))
+    for _ in range(2):
+        dataset = refresh_managed(spark, dataset, catalog=catalog, store=store).dataset
+    return current(spark, dataset)
+
+
 @query(
     "R6_schema_drift",
     """WITH c AS (SELECT user_id AS dataset, event_type AS "column", ts < TIMESTAMP '2024-01-16' AS old, max(CASE WHEN value > 40 THEN 'double' ELSE 'bigint' END) AS t

@@ -198,12 +198,16 @@ def explode_records(df: DataFrame, column: str, sep: str = "_") -> DataFrame:
     return flatten_structs(exploded, sep)
 
 
+def _json_object(text: Column) -> Column:
+    return F.when(F.ltrim(text).startswith("{"), F.try_parse_json(text))
+
+
 def json_schema(df: DataFrame, column: str) -> T.StructType | None:
     """The type of the objects in a JSON text column, merged over all rows by one aggregate; ``None`` if it holds no objects.
 
-    A field that holds values of several types stays a variant. Texts that are no JSON do not count.
+    A field that holds values of several types stays a variant. Texts that are no JSON objects do not count.
     """
-    found = df.select(F.try_parse_json(col(column)).alias("v")).agg(F.schema_of_variant_agg("v")).first()[0]
+    found = df.select(_json_object(col(column)).alias("v")).agg(F.schema_of_variant_agg("v")).first()[0]
     if not found or not found.startswith("OBJECT<"):
         return None
     return T.StructType.fromDDL("root " + re.sub(r"\bOBJECT<", "STRUCT<", found).replace("STRUCT<>", "STRING")).fields[0].dataType
@@ -220,7 +224,7 @@ def flatten_json_text(df: DataFrame, column: str, schema: str | T.StructType | N
     found = json_schema(df, column)
     if found is None:
         return df
-    parsed = F.try_variant_get(F.try_parse_json(col(column)), "$", found.simpleString())
+    parsed = F.try_variant_get(_json_object(col(column)), "$", found.simpleString())
     flat = flatten_deep(df.withColumn(column, parsed), sep)
     mixed = [f.name for f in flat.schema.fields if isinstance(f.dataType, T.VariantType)]
     return flat.withColumns({c: F.coalesce(F.try_variant_get(col(c), "$", "string"), F.to_json(col(c))) for c in mixed}) if mixed else flat

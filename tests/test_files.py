@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from prismtally.operators import refresh, transforms
 from prismtally.plans import managed, workbench
 from prismtally.plans.replay import DatasetRecord, JoinSpec, can_rebuild, rebuild
-from prismtally.sources.readers import explode_records, flatten_deep, read_dataset
+from prismtally.sources.readers import explode_json, explode_records, flatten_deep, flatten_json_text, read_dataset
 from prismtally.sources.sqlite import list_tables, read_sqlite
 from prismtally.sources.writers import committed_versions, write_csv, write_version
 from prismtally.streaming.incremental import append_batch, compact, refresh_available, snapshot
@@ -349,3 +349,77 @@ def test_versions_are_never_overwritten(spark, folder):
     later = write_version(spark.range(5), folder, "x")
     assert spark.read.parquet(path).count() == 2 and spark.read.parquet(later).count() == 5
     assert [p.rsplit("/", 1)[1] for p in committed_versions(spark, folder)] == ["version=000000000001-x", "version=000000000002-x"]
+
+
+def test_json_texts_tell_their_schema(spark):
+    texts = ['{"a": 1, "b": {"c": "x"}, "m": 1}', '{"a": 2.5, "b": {"d": true}, "m": "t"}', '{"l": [{"e": 1}, {"e": 2}]}', "no json", None, "[1]"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, j string")
+    got = {r["id"]: r.asDict() for r in flatten_json_text(df, "j").collect()}
+    assert set(got[0]) == {"id", "j_a", "j_b_c", "j_b_d", "j_l_0_e", "j_l_1_e", "j_m"}
+    assert float(got[0]["j_a"]) == 1 and float(got[1]["j_a"]) == 2.5 and got[0]["j_b_c"] == "x" and got[1]["j_b_d"] is True
+    assert (got[2]["j_l_0_e"], got[2]["j_l_1_e"]) == (1, 2) and (got[0]["j_m"], got[1]["j_m"]) == ("1", "t")
+    assert all(v is None for k, v in got[3].items() if k != "id") and all(v is None for k, v in got[4].items() if k != "id")
+    assert flatten_json_text(df.where("id > 2"), "j").columns == ["id", "j"]
+
+
+def test_json_in_long_form(spark):
+    df = spark.createDataFrame([(1, '{"l": [5, "x", {"k": [1]}, null]}'), (2, '{"l": []}'), (3, "{}"), (4, None), (5, '{"l": {"p": 1}}')], "id int, j string")
+    got = sorted(map(tuple, explode_json(df, "j", "$.l").collect()))
+    assert got[:3] == [(1, 0, None, "5"), (1, 1, None, "x"), (1, 2, None, '{"k":[1]}')] and got[-1] == (5, 0, "p", "1")
+
+
+def test_a_run_that_broke_off_goes_on(spark, folder, monkeypatch):
+    """The second batch fails once; rows that come twice, before and after the failure, are added once."""
+    from prismtally.streaming import incremental
+
+    struct = spark.createDataFrame([], "k long, v string").schema
+    base, landing, progress = f"{folder}/m", f"{folder}/in", f"{folder}/cp"
+    append_batch(spark.createDataFrame([(k, "held") for k in range(10)], struct), base, "k")
+    for low in (80, 40, 5, 40):
+        spark.createDataFrame([(k, "new") for k in range(low, low + 20)], struct).coalesce(1).write.mode("append").parquet(landing)
+    real, calls = incremental.write_version, []
+
+    def breaking(df, *rest):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        return real(df, *rest)
+
+    monkeypatch.setattr(incremental, "write_version", breaking)
+    with pytest.raises(Exception, match="lost"):
+        refresh_available(spark, landing, struct, base, "k", progress, max_files_per_batch=1)
+    refresh_available(spark, landing, struct, base, "k", progress, max_files_per_batch=1)
+    want = sorted([(k, "held") for k in range(10)] + [(k, "new") for k in {*range(10, 25), *range(40, 60), *range(80, 100)}])
+    assert tuples(snapshot(spark, base)) == want
+    refresh_available(spark, landing, struct, base, "k", progress)
+    assert tuples(snapshot(spark, base)) == want
+
+
+def test_batches_read_neither_the_snapshot_nor_the_run(spark, folder, monkeypatch):
+    from prismtally.streaming import incremental
+
+    struct = spark.createDataFrame([], "k long, v string").schema
+    base, landing = f"{folder}/m", f"{folder}/in"
+    append_batch(spark.createDataFrame([(1, "held")], struct), base, "k")
+    for low in (30, 20, 10):
+        spark.createDataFrame([(k, "new") for k in range(low, low + 5)], struct).coalesce(1).write.mode("append").parquet(landing)
+    files = []
+    real = incremental.write_version
+    monkeypatch.setattr(incremental, "write_version", lambda df, *rest: files.append(df.inputFiles()) or real(df, *rest))
+    refresh_available(spark, landing, struct, base, "k", f"{folder}/cp", max_files_per_batch=1)
+    assert len(files) >= 3 and not any("version=" in f for batch in files for f in batch)
+
+
+def test_text_cursors_and_missing_ones_in_a_stream(spark, folder):
+    struct = spark.createDataFrame([], "k string, v string").schema
+    base, landing = f"{folder}/m", f"{folder}/in"
+    append_batch(spark.createDataFrame([("a", "1"), (None, "x")], struct), base, "k")
+    for rows in ([("a", "2"), ("b", "3"), (None, "x")], [("b", "3"), ("b", "4"), (None, "y"), (None, "y")]):
+        spark.createDataFrame(rows, struct).coalesce(1).write.mode("append").parquet(landing)
+    refresh_available(spark, landing, struct, base, "k", f"{folder}/cp", max_files_per_batch=1)
+    got = sorted(map(str, tuples_any(snapshot(spark, base))))
+    assert got == sorted(map(str, [("a", "1"), (None, "x"), ("b", "3"), ("b", "4"), (None, "y")]))
+
+
+def tuples_any(df):
+    return [tuple(r) for r in df.collect()]
