@@ -5,8 +5,9 @@ only the boundaries next to it and shared passages fall into the same chunks whe
 more lines with words that an earlier document (or place) has too is removed; equal digests only make candidates, the
 bytes are compared before anything goes.
 
-Chunks miss most short passages, as their first and last part share a chunk with other lines. ``without_repeats``, which the
-pipeline uses, finds every repeated run of two or more lines with words. The chunks stay for the SQL of the line dedup query.
+With boundaries at a share of the lines (``deduplicated``) the first and last part of a passage share a chunk with other lines, so most short
+passages stay. ``without_repeats``, which the query and the pipeline use, takes the smallest chunks at every line instead: a line with words and
+the next one. Their union is every repeated run of two or more lines with words, whatever stands around it.
 """
 
 from __future__ import annotations

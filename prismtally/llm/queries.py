@@ -126,24 +126,23 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = linededup.deduplicated(table(spark, sf_dir, "documents"))
-    return cleaned.select("doc_id", "text", "n_lines", "n_removed_chunks", "n_removed_lines")
+    return linededup.without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed_lines")
 
 
-ORACLES["op8_line_dedup"] = f"""
+ORACLES["op8_line_dedup"] = r"""
   WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-  h AS (SELECT *, list_transform(lines, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT)) AS hs FROM d),
-  e AS (SELECT *, list_filter(range(1, len(lines) + 1), lambda i: i = len(lines) OR
-          (hs[i] + {linededup.FACTOR} * CASE WHEN i > 1 THEN hs[i - 1] ELSE 0 END) % {linededup.DIVISOR} = 0) AS ends FROM h),
-  c AS (SELECT doc_id, lines, unnest(range(0, len(ends))) AS no, ends FROM e),
-  p AS (SELECT doc_id, no, lines[CASE WHEN no = 0 THEN 1 ELSE ends[no] + 1 END : ends[no + 1]] AS part FROM c),
-  b AS (SELECT doc_id, no, part, array_to_string(part, chr(10)) AS body,
-          len(list_filter(part, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) >= 2 AS many FROM p),
-  r AS (SELECT *, many AND row_number() OVER (PARTITION BY many, body ORDER BY doc_id, no) > 1 AS gone FROM b)
-  SELECT doc_id, coalesce(string_agg(body, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '') AS text,
-         CAST(sum(len(part)) AS BIGINT) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed_chunks,
-         CAST(coalesce(sum(len(part)) FILTER (WHERE gone), 0) AS BIGINT) AS n_removed_lines
-  FROM r GROUP BY doc_id"""
+  w AS (SELECT *, list_filter(range(1, len(lines) + 1), lambda i: regexp_matches(lines[i], '[^\x20\x09-\x0D]')) AS worded FROM d),
+  p AS (SELECT doc_id, lines, worded, unnest(range(1, len(worded))) AS no FROM w WHERE len(worded) > 1),
+  b AS (SELECT doc_id, no, worded[no] AS top, worded[no + 1] AS bottom, array_to_string(lines[worded[no] : worded[no + 1]], chr(10)) AS body FROM p),
+  f AS (SELECT doc_id, no, top, bottom, first_value(doc_id) OVER x AS first_doc, first_value(no) OVER x AS first_no
+        FROM b WINDOW x AS (PARTITION BY body ORDER BY doc_id, no)),
+  r AS (SELECT DISTINCT doc_id, unnest(range(top + CASE WHEN doc_id = first_doc AND no = first_no + 1 THEN 1 ELSE 0 END, bottom + 1)) AS i
+        FROM f WHERE doc_id <> first_doc OR no <> first_no),
+  g AS (SELECT doc_id, list(i) AS gone FROM r GROUP BY doc_id)
+  SELECT w.doc_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(
+           list_filter(range(1, len(lines) + 1), lambda i: NOT list_contains(gone, i)), lambda i: lines[i]), chr(10)) END AS text,
+         CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed_lines
+  FROM w LEFT JOIN g ON w.doc_id = g.doc_id"""
 
 
 @query
