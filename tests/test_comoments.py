@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prismtally.functions.comoments import CoMoments, co_moments
+from prismtally.operators import charts
 from prismtally.operators.charts import correlation_matrix
 
 
@@ -92,3 +93,12 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], "a double, b double")
     assert [tuple(r) for r in correlation_matrix(empty).collect()] == [("a", "b", None, 0)]
     assert correlation_matrix(empty.select("a")).count() == 0 and len(co_moments(empty, []).n) == 0
+
+
+def test_a_heatmap_too_wide_for_a_table_says_so(spark, monkeypatch):
+    df = spark.range(30).select(F.col("id").cast("string").alias("x"), F.lit("a").alias("y"))
+    assert len(charts.heatmap(df, "x", "y").columns) == 31
+    monkeypatch.setattr(charts, "HEATMAP_COLUMNS", 29)
+    with pytest.raises(ValueError, match="heatmap_long"):
+        charts.heatmap(df, "x", "y")
+    assert charts.heatmap_long(df, "x", "y").count() == 30
