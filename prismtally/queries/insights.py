@@ -497,6 +497,38 @@ def i15(spark, sf):
     return drivers.model_driver_insights(_lines(spark, sf), ["l_returnflag", "l_linestatus"], ["swing", "net", "l_quantity"])
 
 
+_CHOICES = {"swing": ["l_returnflag", "l_linestatus", "net", "l_quantity"], "net": ["l_returnflag", "l_linestatus", "swing", "l_quantity"]}
+_CHOICE_SHARES = " UNION ALL ".join(
+    f"SELECT '{t}' AS measure, '{c}' AS driver, "
+    + (f"var_pop(m) / max(v) AS share FROM (SELECT avg({t}) OVER (PARTITION BY {c}) AS m, var_pop({t}) OVER () AS v FROM {_LINES})" if c in ("l_returnflag", "l_linestatus")
+       else f"corr({t}, {c}) * corr({t}, {c}) AS share FROM {_LINES}")
+    for t, columns in _CHOICES.items() for c in columns
+)
+
+
+@query(
+    "I15_driver_choice",
+    f"""WITH s AS ({_CHOICE_SHARES})
+        SELECT measure, driver, (SELECT count(*) FROM lineitem) AS rows, share <= 1 AS explains_more
+        FROM (SELECT *, row_number() OVER (PARTITION BY measure ORDER BY share DESC) AS place FROM s) WHERE place = 1""",
+)
+def i15_choice(spark, sf):
+    """The forest's first driver is the column that explains most on its own, and the forest explains at least as much."""
+    rows = _lines(spark, sf)
+    models = drivers.driver_models(rows, list(_CHOICES), ["l_returnflag", "l_linestatus"], ["swing", "net", "l_quantity"])
+    found = []
+    for target, (importance, r2, n) in models.items():
+        top = max(importance, key=importance.get)
+        if top.startswith("l_r") or top.startswith("l_l"):
+            spread = rows.groupBy(top).agg(F.count(target).alias("n"), F.avg(target).alias("m"))
+            grand = rows.agg(F.var_pop(target).alias("v"), F.avg(target).alias("g")).first()
+            share = spread.agg(F.sum(F.col("n") * (F.col("m") - grand["g"]) ** 2) / F.sum("n")).first()[0] / grand["v"]
+        else:
+            share = rows.agg(F.corr(target, top)).first()[0] ** 2
+        found.append((target, top, n, share - 0.01 <= r2 <= 1))
+    return spark.createDataFrame(found, "measure string, driver string, rows long, explains_more boolean")
+
+
 # --- I16-I19 ------------------------------------------------------------------------------------
 
 
@@ -565,13 +597,13 @@ def _roles():
 @query("I17_key_insights")
 def i17(spark, sf):
     rows = _lines(spark, sf)
-    return summary.key_insights(foundational.foundational(rows), summary.advanced_insights(rows, _roles(), with_model=False))
+    return summary.key_insights(foundational.foundational(rows), summary.advanced_insights(rows, _roles()))
 
 
 @query("I17_dataset_summary")
 def i17_summary(spark, sf):
     """Key insights of the orders table as the summary finds them from the inferred roles."""
-    return summary.analyse(table(spark, sf, "orders"), with_model=False).key_insights
+    return summary.analyse(table(spark, sf, "orders")).key_insights
 
 
 @query(
