@@ -20,6 +20,7 @@ from prismtally.llm.common import free_name, ordered_id, row_key, stored
 WORDED = r"[^\x20\x09-\x0D]"  # found in a line with a word
 DIVISOR = 3  # one line in so many ends a chunk
 FACTOR = 31
+SENT_ROWS, SENT_LINES = 1_000_000, 10_000_000  # removed numbers that are sent to all executors; more are joined by a shuffle
 
 
 def line_hash(line: Column) -> Column:
@@ -144,6 +145,12 @@ def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return stored(same.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("first", "last")))).alias("removed")), "removed")
 
 
+def _is_small(removed: DataFrame) -> bool:
+    """Whether the removed numbers take some 80 MB at most, so that texts need no shuffle to meet them."""
+    rows, lines = removed.agg(F.count(F.lit(1)), F.sum(F.size("removed"))).first()
+    return rows <= SENT_ROWS and (lines or 0) <= SENT_LINES
+
+
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", count: str = "n_removed_lines") -> DataFrame:
     """``docs`` without the lines of ``repeated_lines``, with their number as ``count`` added (a column of that name is replaced).
 
@@ -152,7 +159,8 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     removed = repeated_lines(docs, id_column, text_column)
     rid, gone, lines = free_name(docs, "rid"), free_name(docs, "removed_numbers"), free_name(docs, "lines")
     keyed = docs.withColumn(rid, row_key(id_column, text_column))
-    joined = keyed.join(removed.select(F.col("rid").alias(rid), F.col("removed").alias(gone)), rid, "left")
+    numbers = removed.select(F.col("rid").alias(rid), F.col("removed").alias(gone))
+    joined = keyed.join(F.broadcast(numbers) if _is_small(removed) else numbers, rid, "left")
     cut = joined.withColumn(lines, F.split(F.coalesce(F.col(text_column).cast("string"), F.lit("")), "\n", -1))
     stays = F.transform(F.array_except(F.sequence(F.lit(1), F.size(lines)), F.col(gone)), lambda i: F.element_at(lines, i))
     return (
