@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CANCELLED = 1e-9  # deviations below this share of the shifted squares have lost too many digits
-TREE = 64
+TREE = 256  # rows that reach the driver at most; a merging task gets the rows of one task in so many
 MATRICES = ("n", "mean", "square", "cross", "odd")
 SCHEMA = ", ".join(f"{m} array<double>" for m in MATRICES)
 
