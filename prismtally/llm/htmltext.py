@@ -177,16 +177,21 @@ def page_lines(page: str) -> list[tuple[str, int, int]]:
     return lines
 
 
-def areas(weights: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int]]:
-    """First line, line behind the last one and highest window sum of each stretch between two dives to zero."""
-    if not len(weights):
+def areas(lengths: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
+    """First line and end of each stretch in which the window sums stay above zero."""
+    if not len(lengths):
         return []
-    sums = np.convolve(weights, np.ones(window, np.int64))[: len(weights)]  # of each line and those before it
+    sums = np.convolve(lengths, np.ones(window, np.int64))[: len(lengths)]  # of each line and those before it
     step = np.diff(np.concatenate([[0], (sums > 0).astype(np.int8), [0]]))
+    return list(zip(np.flatnonzero(step > 0).tolist(), np.flatnonzero(step < 0).tolist(), strict=True))
+
+
+def stretches(weights: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int]]:
+    """First line, line behind the last one with a weight, and highest window sum of each area."""
     out = []
-    for first, end in zip(np.flatnonzero(step > 0).tolist(), np.flatnonzero(step < 0).tolist(), strict=True):
-        last = first + int(np.flatnonzero(weights[first:end])[-1]) + 1
-        out.append((first, last, int(sums[first:end].max())))
+    for first, end in areas(weights, window):
+        sums = np.convolve(weights[first:end], np.ones(window, np.int64))
+        out.append((first, first + int(np.flatnonzero(weights[first:end])[-1]) + 1, int(sums.max())))
     return out
 
 
@@ -207,7 +212,7 @@ def main_text(page: str | None) -> str:
     best = max(inside, key=lambda n: (held[n], -n)) if inside else 0
     # Inside the article links are text like any other; elsewhere they are what tells menus from text. Other articles are teasers.
     weights = np.array([INSIDE * len(text) if best and number == best else 0 if number else plain for text, plain, number in lines], np.int64)
-    return "\n\n".join(lines[i][0] for first, end in surging(areas(weights)) for i in range(first, end) if lines[i][0] and lines[i][2] in (0, best))
+    return "\n\n".join(lines[i][0] for first, end in surging(stretches(weights)) for i in range(first, end) if lines[i][0] and lines[i][2] in (0, best))
 
 
 def extracted(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:

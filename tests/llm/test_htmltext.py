@@ -43,7 +43,7 @@ def test_windows_match_a_plain_walk():
     rng = random.Random(3)
     for _ in range(3000):
         weights = [rng.choice([0, 0, 0, rng.randint(1, 30), rng.randint(1, 300)]) for _ in range(rng.randint(0, 40))]
-        found = htmltext.surging(htmltext.areas(np.array(weights, np.int64)))
+        found = htmltext.surging(htmltext.stretches(np.array(weights, np.int64)))
         assert found == plain_surging(weights), weights
 
 
