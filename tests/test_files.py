@@ -423,3 +423,17 @@ def test_text_cursors_and_missing_ones_in_a_stream(spark, folder):
 
 def tuples_any(df):
     return [tuple(r) for r in df.collect()]
+
+
+def test_rows_that_are_not_new_leave_no_state(spark, folder):
+    schema = "k long, v string"
+    base, landing = f"{folder}/m", f"{folder}/in"
+    append_batch(spark.createDataFrame([(k, "held") for k in range(50)], schema), base, "k")
+    spark.createDataFrame([(k, "new") for k in (*range(60), 55)], schema).coalesce(1).write.parquet(landing)
+    struct = spark.createDataFrame([], schema).schema
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    ended = refresh_available(spark, landing, struct, base, "k", f"{folder}/cp", state_partitions=3)
+    state = ended.recentProgress[0]["stateOperators"][0]
+    assert state["numRowsTotal"] == 10 and state["numShufflePartitions"] == 3
+    assert spark.conf.get("spark.sql.shuffle.partitions") == partitions
+    assert tuples(snapshot(spark, base)) == [(k, "held") for k in range(50)] + [(k, "new") for k in range(50, 60)]
