@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismtally.functions.columns import as_text, number
+from prismtally.functions.columns import as_text, local_frame, number
 from prismtally.functions.forest import coded, fit_forests
 from prismtally.functions.quantiles import quantile_row
 from prismtally.operators.insights.common import few_valued, findings, fixed, no_findings, say
@@ -92,8 +92,8 @@ def model_driver_insights(df: DataFrame, dimensions: list[str], measures: list[s
             results.append((target, top, "bar" if top in usable else "scatter", importance[top], r2, n))
     if not results:
         return no_findings(df)
-    rows = df.sparkSession.createDataFrame(
-        results, "measure string, driver string, chart string, importance double, r2 double, n long"
+    rows = local_frame(
+        df.sparkSession, results, "measure string, driver string, chart string, importance double, r2 double, n long"
     )
     importance, r2 = F.col("importance"), F.col("r2")
     return findings(

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismtally.functions.columns import as_text, moment, number, period_start
+from prismtally.functions.columns import as_text, local_frame, moment, number, period_start
 from prismtally.functions.stats import anova, correlation_p_value, pearson, with_f_p_value
 from prismtally.operators.filters import not_before
 from prismtally.operators.insights.common import findings, fixed, grouped, month_totals, no_findings, say
@@ -287,7 +287,8 @@ def variance_table(
             F.struct("segment", "delta", "support"), F.struct(-F.abs("delta"), F.col("segment"))
         ).alias("top")
     )
-    totals = df.sparkSession.createDataFrame(
+    totals = local_frame(
+        df.sparkSession,
         [
             (
                 b["measure"],

@@ -12,6 +12,7 @@ from prismtally.functions.columns import (
     datetime_columns,
     is_profiled_as_number,
     kind_of,
+    local_frame,
     moment,
     number,
     numeric_columns,
@@ -157,7 +158,7 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None, digits: int
         fences.append((q1 - FENCE * (q3 - q1), q3 + FENCE * (q3 - q1)) if q3 > q1 else None)
     fields = column_moments(df, [number(df, c) for c in columns], fences)
     rows = [(c, *(quartiles[c] or (None,) * 3), *map(float, fields[:, i])) for i, c in enumerate(columns)]
-    raw = df.sparkSession.createDataFrame(rows, "name string, q1 double, median double, q3 double, n double, mean double, m2 double, m3 double, m4 double, low double, high double, outside double, total double")
+    raw = local_frame(df.sparkSession, rows, "name string, q1 double, median double, q3 double, n double, mean double, m2 double, m3 double, m4 double, low double, high double, outside double, total double")
     some, n = F.col("n") > 0, F.col("n")
     skew = F.try_divide(F.sqrt(n) * F.col("m3"), F.pow("m2", F.lit(1.5)))
     kurtosis = F.try_divide(n * F.col("m4"), F.col("m2") * F.col("m2")) - 3

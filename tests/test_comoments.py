@@ -102,3 +102,14 @@ def test_a_heatmap_too_wide_for_a_table_says_so(spark, monkeypatch):
     with pytest.raises(ValueError, match="heatmap_long"):
         charts.heatmap(df, "x", "y")
     assert charts.heatmap_long(df, "x", "y").count() == 30
+
+
+def test_figures_of_the_driver_need_no_workers(spark):
+    rows = [(float(i), float(i * i % 7), None if i % 3 else float(i), 1.0) for i in range(40)]
+    found = correlation_matrix(spark.createDataFrame(rows, "a double, b double, c double, d double"))
+    # A list would be dealt over all cores, each with a worker that unpickles its share.
+    assert found.rdd.getNumPartitions() == 1
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" in plan and "ExistingRDD" not in plan
+    got = {(r["left"], r["right"]): (r["r"], r["n"]) for r in found.collect()}
+    assert len(got) == 6 and got["a", "d"] == (None, 40) and got["a", "c"][0] == pytest.approx(1.0) and got["a", "c"][1] == 14
