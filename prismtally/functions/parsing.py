@@ -32,15 +32,19 @@ DATE_LAYOUTS = (
 DATE_PATTERN = "^(" + "|".join(dict.fromkeys(shape for shape, _ in DATE_LAYOUTS)) + ")$"
 
 
+def without_commas(c: Column) -> Column:
+    return F.replace(c, F.lit(","), F.lit(""))
+
+
 def parse_number(c: Column, strip_commas: bool = False) -> Column:
     if strip_commas:
-        c = F.replace(c, F.lit(","), F.lit(""))
+        c = without_commas(c)
     return F.when(c.rlike(NUMBER_PATTERN), F.trim(c).try_cast("double"))
 
 
 def parse_whole(c: Column, strip_commas: bool = False) -> Column:
     if strip_commas:
-        c = F.replace(c, F.lit(","), F.lit(""))
+        c = without_commas(c)
     return F.when(c.rlike(WHOLE_PATTERN), F.trim(c).try_cast("long"))
 
 

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prismtally.functions.columns import col, field_type, present
-from prismtally.functions.parsing import parse_datetime, parse_number, parse_whole
+from prismtally.functions.parsing import parse_datetime, parse_number, parse_whole, without_commas
 
 COERCION_SHARE = 0.8
+TYPING_ROWS = 1000  # rows that rule types out before all rows are tested
 
 
 def strip_column_names(df: DataFrame) -> DataFrame:
@@ -107,22 +108,34 @@ def coerce_text(
 
 
 def infer_text_types(df: DataFrame) -> DataFrame:
-    """Reader inference: a text column becomes a number or boolean only if every value is one."""
+    """Reader inference: a text column becomes a number or boolean only if every value is one.
+
+    The first rows rule out what a column cannot be; one scan of all rows tests what is left. Where every value has passed, casts need
+    no pattern in front of them any more.
+    """
     wanted = text_columns(df)
+
     tests: dict[str, Column] = {}
     for c in wanted:
-        tests[f"whole:{c}"] = parse_whole(col(c), True)
-        tests[f"number:{c}"] = parse_number(col(c), True)
+        whole = parse_whole(col(c), True)
+        tests[f"whole:{c}"] = whole
+        # Every whole number is a number, so the dearer pattern is for the others.
+        tests[f"number:{c}"] = F.when(whole.isNotNull(), 1.0).otherwise(parse_number(col(c), True))
         tests[f"flag:{c}"] = F.when(F.lower(col(c)).isin("true", "false"), 1)
-    shares = parse_ratio(df, tests, {t: col(t.split(":", 1)[1]) for t in tests})
+    tested = {t: col(t.split(":", 1)[1]) for t in tests}
+    early = parse_ratio(df.limit(TYPING_ROWS), {**tests, **{f"seen:{c}": col(c) for c in wanted}}, tested)
+    # A column without a value in the first rows may still be anything.
+    left = {t: test for t, test in tests.items() if early[t] == 1.0 or early[f"seen:{t.split(':', 1)[1]}"] == 0.0}
+    left |= {f"number:{c}": parse_number(col(c), True) for c in wanted if f"number:{c}" in left and f"whole:{c}" not in left}
+    shares = {t: 0.0 for t in tests} | parse_ratio(df, left, tested)
     out = []
     for c in df.columns:
         if c not in wanted:
             out.append(col(c))
         elif shares[f"whole:{c}"] == 1.0:
-            out.append(parse_whole(col(c), True).alias(c))
+            out.append(F.trim(without_commas(col(c))).try_cast("long").alias(c))
         elif shares[f"number:{c}"] == 1.0:
-            out.append(parse_number(col(c), True).alias(c))
+            out.append(F.trim(without_commas(col(c))).try_cast("double").alias(c))
         elif shares[f"flag:{c}"] == 1.0:
             out.append(F.lower(col(c)).try_cast("boolean").alias(c))
         else:

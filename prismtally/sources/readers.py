@@ -82,6 +82,35 @@ def guess_separator(lines: DataFrame, header: str) -> str:
     return max(split, key=lambda s: (hits[s], top[s], -SEPARATORS.index(s)))
 
 
+def _open_lines(sep: str) -> Column:
+    """How many lines (``value``) do not end outside of quotes."""
+    line = F.col("value")
+    return F.count_if(line.contains('"') & ~line.rlike(spanning.Quoted(sep).complete_line))
+
+
+def _layout(spark: SparkSession, path: str, sep: str | None, encoding: str | None) -> tuple[str, str, str, bool]:
+    """Encoding, header line, separator, and whether every line ends outside of quotes.
+
+    Lines are read as UTF-8 first. Where the header leaves one separator, one aggregate over all of them tells both whether that encoding was
+    right and the rest.
+    """
+    guessed = encoding or "UTF-8"
+    lines = _lines(spark, path, guessed)
+    first = lines.first()
+    header = (first[0] or "") if first else ""
+    bare = re.sub('"[^"]*"', "", header)
+    present = [sep] if sep else [s for s in SEPARATORS if s in bare]
+    only = present[0] if len(present) == 1 else SEPARATORS[0] if not present else None
+    odd = F.lit(0).cast("long") if encoding else F.count_if(~F.is_valid_utf8("value"))
+    facts = lines.agg(odd, _open_lines(only) if only else F.lit(0).cast("long")).first()
+    if facts[0]:
+        return _layout(spark, path, sep, FALLBACK_ENCODING)
+    if only:
+        return guessed, header, only, not facts[1]
+    sep = guess_separator(lines, header.rstrip("\r"))
+    return guessed, header, sep, not lines.agg(_open_lines(sep)).first()[0]
+
+
 def read_delimited(
     spark: SparkSession,
     path: str,
@@ -97,24 +126,20 @@ def read_delimited(
     where they are not given. Files are read in ranges by many tasks, whatever their fields hold: where every line ends outside of
     quotes, by Spark's reader, else by :mod:`prismtally.sources.spanning`.
     """
-    encoding = encoding or text_encoding(spark, path)
-    lines = _lines(spark, path, encoding)
-    first = lines.first()
-    header = (first[0] or "") if first else ""
+    encoding, header, sep, closed = _layout(spark, path, sep, encoding)
     windows = header.endswith("\r")
-    sep = sep or guess_separator(lines, header.rstrip("\r"))
     options = {**csv_options(null_mark), "encoding": encoding, "ignoreLeadingWhiteSpace": "true", "sep": sep}
     del options["lineSep"]  # the reader then takes both kinds of line ends
-    whole = spanning.Quoted(sep)
     names = [n.strip() for n in spark.read.options(header="true", **options).csv(path).columns]
     schema = T.StructType([T.StructField(f"f{i}", T.StringType()) for i in range(len(names))])
     schema = schema.add(OVERFLOW, T.StringType())
-    if lines.where(F.col("value").contains('"') & ~F.col("value").rlike(whole.complete_line)).isEmpty():
+    if closed:
         ends = {} if windows else {"lineSep": "\n"}
         rows = spark.read.options(header="true", mode="PERMISSIVE", **options, **ends).schema(schema).csv(path)
     else:
         text = F.decode("record", encoding)
         text = F.regexp_replace(text, "\r$", "") if windows else text
+        whole = spanning.Quoted(sep)
         parsed = F.from_csv(text, schema.simpleString()[len("struct<"):-1].replace(":", " "), {**options, "mode": "PERMISSIVE", "multiLine": "true"})
         rows = spanning.records(spark, path, whole).select(parsed.alias("r")).select("r.*")
     kept = rows.where(col(OVERFLOW).isNull()).drop(OVERFLOW).toDF(*names)

@@ -437,3 +437,25 @@ def test_rows_that_are_not_new_leave_no_state(spark, folder):
     assert state["numRowsTotal"] == 10 and state["numShufflePartitions"] == 3
     assert spark.conf.get("spark.sql.shuffle.partitions") == partitions
     assert tuples(snapshot(spark, base)) == [(k, "held") for k in range(50)] + [(k, "new") for k in range(50, 60)]
+
+
+def test_first_rows_only_rule_types_out(spark, folder, monkeypatch):
+    from prismtally.operators import prepare
+
+    seen, plain = [], prepare.parse_ratio
+    monkeypatch.setattr(prepare, "parse_ratio", lambda df, tests, *more: seen.append(set(tests)) or plain(df, tests, *more))
+    monkeypatch.setattr(prepare, "TYPING_ROWS", 2)
+    texts = ["n,x,late,empty,word,b", "1,1.5,1,,a,true", '"1,000",2,2,,b,false', "3,-.5e1,2.5,7,c,TRUE", "4,4,x,,1,true"]
+    rows = read_dataset(spark, put(folder, "a.csv", "\n".join(texts) + "\n"))
+    assert [t for _, t in rows.dtypes] == ["bigint", "double", "string", "bigint", "string", "boolean"]
+    assert (3, -5.0, "2.5", 7, "c", True) in tuples(rows) and (1000, 2.0, "2", None, "b", False) in tuples(rows)
+    # All rows are tested for what the first two leave open only.
+    assert seen[-1] == {"whole:n", "number:n", "number:x", "whole:late", "number:late", "whole:empty", "number:empty", "flag:empty", "flag:b"}
+
+
+def test_one_separator_in_the_header_outside_of_quotes(spark, folder):
+    path = put(folder, "a.csv", '"a;b"\n"1;2"\n"x"\n')
+    assert tuples(read_dataset(spark, path)) == [("1;2",), ("x",)]
+    path = put(folder, "b.csv", 'größe;"n,m"\n1;"2\n3"\n4;5\n', "latin1")
+    got = read_dataset(spark, path)
+    assert got.columns == ["größe", "n,m"] and tuples(got) == [(1, "2\n3"), (4, "5")]
