@@ -7,15 +7,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismtally.functions.columns import as_text, local_frame, number
-from prismtally.functions.forest import coded, fit_forests
-from prismtally.functions.quantiles import quantile_row
+from prismtally.functions.forest import BINS, Category, Number, Target, fit_forests
+from prismtally.functions.quantiles import bin_ends, quantile_row
 from prismtally.operators.insights.common import few_valued, findings, fixed, no_findings, say
 
 # Gates and forest settings.
 DRIVER_VALUES = 15
 DRIVER_ROWS, DRIVER_TARGET_VALUES = 30, 8
 TREES, LEAF, SEED = 180, 3, 42
-MODEL_ROWS = 10_000  # rows the forests are fitted on at most, chosen by a hash of the row; trees grow without a limit of depth
 LEAST_R2, LEAST_IMPORTANCE, KEPT = 0.2, 0.18, 1
 
 
@@ -34,8 +33,8 @@ def driver_models(
     """Per target that passes the gates: (importance per source column, R squared, rows with a value of it).
 
     Features of a target are the dimensions and the other measures. Missing categories become the most frequent one and missing
-    numbers the median of the rows that have the target. Gates, modes and medians are those of all rows, taken for all
-    targets at once; the forests see at most ``MODEL_ROWS`` rows, and R squared is over those.
+    numbers the median of the rows that have the target. Gates, modes, medians, bins and the forests are those of all rows, taken for
+    all targets at once.
     """
     value = {m: number(df, m) for m in dict.fromkeys([*targets, *measures])}
 
@@ -44,39 +43,38 @@ def driver_models(
 
     aggs = [f(value[t]).alias(f"{k}{i}") for i, t in enumerate(targets) for k, f in (("n", F.count), ("u", lambda v: F.approx_count_distinct(v, 0.02)))]
     modes = [F.mode(where_known(t, as_text(df, d)), deterministic=True).alias(f"m{i}_{j}") for i, t in enumerate(targets) for j, d in enumerate(dimensions)]
-    facts = df.agg(F.count(F.lit(1)).alias("rows"), *aggs, *modes).first()
+    texts = [F.collect_set(as_text(df, d)).alias(f"t{j}") for j, d in enumerate(dimensions)]
+    facts = df.agg(F.count(F.lit(1)).alias("rows"), *aggs, *modes, *texts).first()
     numbers_of = {t: [m for m in measures if m != t] for t in targets}
     kept = []
     for i, t in enumerate(targets):
         few = facts[f"u{i}"] < 2 * DRIVER_TARGET_VALUES and df.agg(F.count_distinct(value[t])).first()[0] < DRIVER_TARGET_VALUES
         if facts[f"n{i}"] >= DRIVER_ROWS and not few:
             kept.append((i, t))
-    # Targets without gaps share the medians of whole columns.
+    # Targets without gaps share the medians and the bins of whole columns.
     gaps = {t for i, t in kept if facts[f"n{i}"] < facts["rows"]}
-    wanted = {f"{t if t in gaps else ''}\0{m}": where_known(t, value[m]) if t in gaps else value[m] for _, t in kept for m in numbers_of[t]}
-    medians = quantile_row(df, wanted, [0.5])
-    names = [*[f"d{j}" for j in range(len(dimensions))], *[f"v{k}" for k in range(len(value))]]
-    slim = df.select(*[as_text(df, d).alias(f"d{j}") for j, d in enumerate(dimensions)], *[v.alias(f"v{k}") for k, v in enumerate(value.values())])
-    # Rows that are equal have one hash; which of them the limit takes makes no difference.
-    rows = slim.withColumn("h", F.xxhash64(*names)).orderBy("h", *names).limit(MODEL_ROWS).select(*names).toArrow()
-    held = {m: rows[f"v{k}"].to_numpy().astype(np.float64) for k, m in enumerate(value)}
+    keys = {(t, m): f"{t if t in gaps else ''}\0{m}" for _, t in kept for m in numbers_of[t]}
+    wanted = {key: where_known(t, value[m]) if t in gaps else value[m] for (t, m), key in keys.items()}
+    medians = {key: q[0] for key, q in quantile_row(df, wanted, [0.5]).items() if q is not None}
+    filled = {key: where_known(t, F.coalesce(value[m], F.lit(medians[key]))) if t in gaps else F.coalesce(value[m], F.lit(medians[key])) for (t, m), key in keys.items() if key in medians}
+    ends = bin_ends(df, filled, BINS)
 
-    tables, about = [], []
+    places = {m: f"v{k}" for k, m in enumerate(value)}
+    numbers = {(key, m): Number(places[m], np.array(ends[key]), medians[key], m) for (_, m), key in keys.items() if key in medians}
+    shared: dict[tuple[int, str], Category] = {}
+    models, about = [], []
     for i, t in kept:
-        known = ~np.isnan(held[t])
-        categories, numbers = {}, {}
+        features: list[Category | Number] = []
         for j, d in enumerate(dimensions):
             mode = facts[f"m{i}_{j}"]
             if mode is not None:
-                categories[d] = np.array([mode if v is None else v for v in rows[f"d{j}"].to_pylist()], dtype=str)[known]
-        for m in numbers_of[t]:
-            median = medians[f"{t if t in gaps else ''}\0{m}"]
-            if median is not None:
-                numbers[m] = np.where(np.isnan(held[m]), median[0], held[m])[known]
-        if known.any() and (categories or numbers):
-            tables.append(coded(numbers, categories, held[t][known]))
+                features.append(shared.setdefault((j, mode), Category(f"d{j}", sorted(facts[f"t{j}"]), mode, d)))
+        features += [numbers[keys[t, m], m] for m in numbers_of[t] if keys[t, m] in medians]
+        if features:
+            models.append(Target(places[t], features))
             about.append((t, int(facts[f"n{i}"])))
-    fitted = fit_forests(df.sparkSession, tables, trees, LEAF, SEED)
+    slim = df.select(*[as_text(df, d).alias(f"d{j}") for j, d in enumerate(dimensions)], *[v.alias(places[m]) for m, v in value.items()])
+    fitted = fit_forests(slim, models, trees, LEAF, SEED)
     return {t: (importance, r2, n) for (t, n), (importance, r2) in zip(about, fitted, strict=True)}
 
 

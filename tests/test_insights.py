@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from prismtally.functions import forest
+from prismtally.functions import forest, quantiles
 from prismtally.operators.insights import drivers, foundational, journeys, segments, series
 from prismtally.plans import summary
 
@@ -184,6 +184,62 @@ def test_a_tree_is_what_a_plain_search_grows():
     np.testing.assert_allclose(predicted, plain, rtol=1e-9)
 
 
+def test_forests_are_fitted_on_all_rows(spark):
+    """The share that a column explains hangs on a few far rows, so any part of the table would give another one."""
+    rows = spark.range(24_000).select(
+        F.when(F.col("id") % 400 == 7, "b").otherwise("a").alias("g"),
+        F.when(F.col("id") % 800 == 7, 9000.0 + F.col("id") % 31).when(F.col("id") % 37 == 0, 300.0).otherwise(F.col("id") % 10).alias("y"),
+    )
+    means = rows.groupBy("g").agg(F.count("y").alias("n"), F.avg("y").alias("m"))
+    grand = rows.agg(F.avg("y").alias("m"), F.var_pop("y").alias("v")).first()
+    share = means.agg(F.sum(F.col("n") * (F.col("m") - grand["m"]) ** 2)).first()[0] / 24_000 / grand["v"]
+    importance, r2, n = drivers.driver_models(rows, ["y"], ["g"], ["y"], trees=40)["y"]
+    assert n == 24_000 and importance == {"g": 1.0} and r2 == pytest.approx(share, rel=0.02)
+
+
+def test_forests_of_wide_tables_do_not_hang_on_the_partitions(spark, monkeypatch):
+    """Cells of two words, gaps, several buckets of rows and slices of nodes."""
+    monkeypatch.setattr(forest, "BUCKET_ROWS", 500)
+    monkeypatch.setattr(forest, "MOST_SUMS", 700)
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 7 != 0, F.concat(F.lit("k"), (F.col("id") % 3).cast("string"))).alias("g"),
+        *[F.when(F.col("id") * (k + 3) % 11 != 0, (F.col("id") * (k + 7) * 7919 % (1000 + k)).cast("double")).alias(f"m{k}") for k in range(5)],
+    ).withColumn("y", F.col("m1") * 3 + F.when(F.col("g") == "k1", 500).otherwise(0))
+    names = ["y", *[f"m{k}" for k in range(5)]]
+    one, many = (drivers.driver_models(df.repartition(p), ["y"], ["g"], names, trees=3)["y"] for p in (1, 5))
+    assert one[0] == pytest.approx(many[0]) and one[1] == pytest.approx(many[1]) and one[2] == many[2] == 2727
+    assert max(one[0], key=one[0].get) == "m1" and one[1] > 0.95
+
+
+def test_slices_of_nodes_grow_the_same_tree(monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.column_stack([rng.integers(0, 40, 900), rng.integers(0, 2, 900), rng.integers(0, 30, 900)]).astype(np.uint16)
+    y, drawn = x[:, 0] * 2.0 + rng.normal(size=900), rng.poisson(1, 900)
+    whole = forest.grown(x, [40, 2, 30], y, drawn, 3)
+    monkeypatch.setattr(forest, "MOST_SUMS", 120)
+    for a, b in zip(whole, forest.grown(x, [40, 2, 30], y, drawn, 3), strict=True):
+        np.testing.assert_allclose(a, b)
+
+
+@pytest.mark.parametrize("builtin", [5_000_000, 0])
+def test_bin_ends_count_all_values(spark, builtin):
+    rng = np.random.default_rng(8)
+    columns = {"even": rng.integers(0, 50, 9000) * 1.0, "tail": np.exp(rng.normal(size=9000) * 4), "hot": np.where(rng.random(9000) < 0.6, 0.0, rng.normal(size=9000))}
+    df = spark.createDataFrame([(float(a), float(b), float(c)) for a, b, c in zip(*columns.values(), strict=True)], "even double, tail double, hot double")
+    spark.conf.set(quantiles.EXACT_VALUES_KEY, str(builtin))
+    try:
+        ends = quantiles.bin_ends(df.repartition(3), {**{c: F.col(c) for c in columns}, "none": F.lit(None)}, 64)
+    finally:
+        spark.conf.unset(quantiles.EXACT_VALUES_KEY)
+    assert set(ends) == set(columns)
+    for name, values in columns.items():
+        if builtin:
+            assert ends[name] == np.unique(np.quantile(values, np.arange(1, 64) / 64, method="lower")).tolist()
+        held = np.bincount(np.searchsorted(ends[name], values, side="left"))
+        most = max(9000 / 64 * (1 + 2 * quantiles.BIN_SLACK) + 1, np.unique(values, return_counts=True)[1].max() + 9000 / 64 * (1 + quantiles.BIN_SLACK))
+        assert set(ends[name]) <= set(values) and held.max() <= most
+
+
 def test_summary_of_a_small_business_table(spark):
     rows = [
         (i, dt.datetime(2026, 1 + i // 4, 1 + i), "North" if i % 2 else "South", 100.0 + 10 * i, 20.0 + 2 * i)
